@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexgrove.llm.language import op2_language_id
 from lexgrove.llm.mixing import op7_source_mixing
 from lexgrove.llm.packing import op4_vector_packing
 from lexgrove.llm.sharding import op10_rendezvous_sharding
@@ -14,6 +15,7 @@ from lexgrove.llm.tokens import op9_section_token_counts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
+        op2_language_id,
         op4_vector_packing,
         op7_source_mixing,
         op9_section_token_counts,
