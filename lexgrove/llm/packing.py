@@ -25,35 +25,47 @@ def fill_bins(items: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.nda
     alone still gets a bin; one over a limit is refused.
     """
     n = len(items)
-    if n and (items > limits).any():
+    bins, place = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+    if not n:
+        return bins, place
+    if (items > limits).any():
         raise ValueError("an item is over a limit")
     share = items / limits
-    weight = share.mean(axis=0) if n else np.ones(len(limits))
+    weight = share.mean(axis=0)
     scaled = share * weight
-    order = np.argsort(-scaled.sum(axis=1), kind="stable")
-    pool, sizes = scaled[order], items[order].astype(np.int64)
-    bins, place, bin_id = np.full(n, -1, np.int64), np.zeros(n, np.int64), 0
-    ids = order
-    while len(ids):
-        left, count, taken = limits.astype(np.int64).copy(), 0, np.zeros(len(ids), bool)
-        fits = np.ones(len(ids), bool)
+    ids = np.argsort(-scaled.sum(axis=1), kind="stable")
+    scaled, sizes = scaled[ids], items[ids].astype(np.int64)
+    sums, alive, dead, bin_id, block = scaled.sum(axis=1), np.ones(n, bool), 0, 0, 64
+    after = np.maximum.accumulate(scaled[::-1])[::-1]
+    while dead < len(ids):
+        if dead > max(64, len(ids) // 16):
+            ids, scaled, sizes, sums = ids[alive], scaled[alive], sizes[alive], sums[alive]
+            alive, dead, after = np.ones(len(ids), bool), 0, np.maximum.accumulate(scaled[::-1])[::-1]
+        left, count = limits.astype(np.int64).copy(), 0
         while True:
-            fits &= (sizes <= left).all(axis=1)
-            at = np.flatnonzero(fits)
-            if not len(at):
+            ratio = left / limits
+            best, value = -1, -1.0
+            # the largest that can fit comes first; after[i] bounds the sizes from i on
+            at = int(np.searchsorted(-sums, -(weight @ ratio) * (1 + 1e-9), side="left"))
+            while at < len(ids) and after[at] @ ratio > value:
+                part = slice(at, at + block)
+                ok = np.flatnonzero(alive[part] & (sizes[part] <= left).all(axis=1))
+                if len(ok):
+                    worth = scaled[part][ok] @ ratio
+                    if worth.max() > value:
+                        best, value = at + int(ok[int(worth.argmax())]), float(worth.max())
+                at += block
+            if best < 0:
                 break
-            best = at[int(np.argmax(pool[at] @ (left / limits)))]
-            fits[best], taken[best] = False, True
+            alive[best], dead = False, dead + 1
             bins[ids[best]], place[ids[best]] = bin_id, count
             left -= sizes[best]
             count += 1
-        keep = ~taken
-        pool, sizes, ids = pool[keep], sizes[keep], ids[keep]
         bin_id += 1
     return bins, place
 
 
-def pack(pieces: DataFrame, tokens: str, loss: str, order: list[str], max_tokens: int = 2048, max_segments: int = 512, max_loss: int | None = None, group_rows: int = 4096) -> DataFrame:
+def pack(pieces: DataFrame, tokens: str, loss: str, order: list[str], max_tokens: int = 2048, max_segments: int = 512, max_loss: int | None = None, group_rows: int = 2048) -> DataFrame:
     """Columns of `pieces` with sequence_id and offset; sequences stay under three limits.
 
     tokens and loss are the columns of a piece's tokens and loss-bearing tokens; a sequence

@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import functools
 import re
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -15,41 +17,77 @@ from pyspark.sql import functions as F
 
 from lexgrove.llm.common import column, documents, slices
 
-#: Python takes these for white space, the vocabulary's patterns don't.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Python takes the separators for white space, the vocabulary's patterns don't; special tokens begin with "<|".
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+_LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]{1,64}")
+_MARKS = ".,;:!?"
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level alphabet as a rule: visible Latin-1 bytes stand for themselves, the others follow from 256 on."""
+    hidden = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE)]
+    return {b: 256 + i for i, b in enumerate(hidden)}
 
 
 class WordIds:
-    """Ids of texts by a vocabulary that never merges across white space, kept by chunk.
+    """Ids of texts by a lower-casing vocabulary that never merges across white space, kept by chunk.
 
     A chunk is what stands between white space. Its ids don't depend on its neighbours, so a
-    text's ids are its chunks' ids one after another. At most `most` chunks are kept; when
-    they are more, all are forgotten. Chunks over 64 characters and texts with odd separators
-    are encoded on their own each time.
+    text's ids are its chunks' ids one after another. Latin letters, with one mark after them or
+    none, go straight to the merge model; other chunks, and texts whose lower case is not
+    settled (odd separators, final sigma, composition), to the whole tokenizer. At most
+    `most` chunks are kept; when they are more, all are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 250_000) -> None:
+    def __init__(self, path: str, most: int = 900_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.most = most
         self.known: dict[str, bytes] = {}
+        self.letters = _byte_letters()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of chunks not known; those of up to 64 characters are kept."""
+        known, rest = self.known, []
+        for c in new:
+            if _LATIN.fullmatch(c):
+                known[c] = self._word(c)
+            elif c[-1] in _MARKS and _LATIN.fullmatch(c, 0, len(c) - 1):
+                if (word := known.get(c[:-1])) is None:
+                    word = known[c[:-1]] = self._word(c[:-1])
+                if (mark := known.get(c[-1])) is None:
+                    mark = known[c[-1]] = self._encode([c[-1]])[0]
+                known[c] = word + mark
+            else:
+                rest.append(c)
+        long = {}
+        for i in range(0, len(rest), 2000):
+            for c, ids in zip(part := rest[i : i + 2000], self._encode(part)):
+                (known if len(c) <= 64 else long)[c] = ids
+        return long
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        chunks = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
-        new = {c for own in chunks if own for c in own}
+        """Native 32-bit ids of each text."""
+        chunks: list[list[str] | None] = []
+        for t in texts:
+            low = t.lower()
+            settled = low.isascii() or (is_normalized("NFC", t) and is_normalized("NFC", low) and "\u03a3" not in t)
+            chunks.append(low.split() if settled and not any(odd in t for odd in _ODD) else None)
+        new = {c for own in chunks if own for c in own}.difference(self.known)
         if len(self.known) + len(new) > self.most:
             self.known = {}
-        new = [c for c in new if c not in self.known]
-        odd = [c for c in new if len(c) > 64]
-        long = dict(zip(odd, self._encode(odd)))
-        short = [c for c in new if len(c) <= 64]
-        for i in range(0, len(short), 5000):
-            self.known.update(zip(part := short[i : i + 5000], self._encode(part)))
+            new = {c for own in chunks if own for c in own}
+        long = self._learn(list(new))
         get = self.known.__getitem__ if not long else lambda c: long[c] if c in long else self.known[c]
         for text, own in zip(texts, chunks):
             yield self._encode([text])[0] if own is None else b"".join(map(get, own))
