@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexgrove.llm.language import op2_language_id
+from lexgrove.llm.lines import OP5_SQL, op5_line_dedup
 from lexgrove.llm.mixing import op7_source_mixing
+from lexgrove.llm.neighbours import op8_projected_neighbours
 from lexgrove.llm.packing import op4_vector_packing
+from lexgrove.llm.quality import op3_pu_quality
 from lexgrove.llm.sharding import op10_rendezvous_sharding
 from lexgrove.llm.tokens import op9_section_token_counts
 
@@ -16,11 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
         op2_language_id,
+        op3_pu_quality,
         op4_vector_packing,
+        op5_line_dedup,
         op7_source_mixing,
+        op8_projected_neighbours,
         op9_section_token_counts,
         op10_rendezvous_sharding,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL}
