@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexgrove.llm.jaccard import op1_forest_join
 from lexgrove.llm.language import op2_language_id
 from lexgrove.llm.lines import OP5_SQL, op5_line_dedup
 from lexgrove.llm.mixing import op7_source_mixing
@@ -13,15 +14,18 @@ from lexgrove.llm.neighbours import op8_projected_neighbours
 from lexgrove.llm.packing import op4_vector_packing
 from lexgrove.llm.quality import op3_pu_quality
 from lexgrove.llm.sharding import op10_rendezvous_sharding
+from lexgrove.llm.spotsigs import op6_spotsigs
 from lexgrove.llm.tokens import op9_section_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
+        op1_forest_join,
         op2_language_id,
         op3_pu_quality,
         op4_vector_packing,
         op5_line_dedup,
+        op6_spotsigs,
         op7_source_mixing,
         op8_projected_neighbours,
         op9_section_token_counts,
