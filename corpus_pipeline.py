@@ -1,4 +1,4 @@
-"""From raw documents to packed sequences."""
+"""From raw documents to packed sequences: language, lines, near duplicates, mix, packing."""
 
 from __future__ import annotations
 
@@ -6,24 +6,49 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexgrove.llm.jaccard import near_duplicate_stage
+from lexgrove.llm.language import language_stage
+from lexgrove.llm.lines import line_stage
 from lexgrove.llm.mixing import mix_stage
 from lexgrove.llm.packing import pack_documents
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a known language go."""
+    return language_stage(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cross-site boilerplate lines go, but for their first occurrence, and documents that were nothing else."""
+    return line_stage(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    return near_duplicate_stage(docs)
+
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stay or are repeated as often as the mix of sources takes them."""
     return mix_stage(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's token pieces in sequences of at most 2048 tokens."""
     return pack_documents(docs)
 
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
+    ("language ID", language),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
     ("mixing sources to target weights", mixing),
     ("packing", packing),
 ]
 
+#: Models, hashes and token ids are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
