@@ -110,8 +110,8 @@ def pruned_jaccard(a: np.ndarray, b: np.ndarray, threshold: float = 0.0) -> floa
     return value if value >= threshold else 0.0
 
 
-def in_order(docs: DataFrame, key: str, text: str, ranges: int) -> DataFrame:
-    """Rows (key, text, range, copy) sorted by key from large to small within range partitions.
+def in_order(docs: DataFrame, key: str, text: str, ranges: int, partitions: int) -> DataFrame:
+    """Rows (key, text, range, copy) sorted by key from large to small within ranges, several to a partition.
 
     The keys' quantiles part the rows into ranges, which follow one another. The first row of a
     range stands once more, as a copy, at the end of the range before it, that of the first at
@@ -136,7 +136,7 @@ def in_order(docs: DataFrame, key: str, text: str, ranges: int) -> DataFrame:
     here = F.struct("range", F.lit(False).alias("copy"))
     there = F.struct(F.col("_to").alias("range"), F.lit(True).alias("copy"))
     spread = joined.withColumn("place", F.explode(F.when(twice, F.array(here, there)).otherwise(F.array(here)))).select("key", "text", "place.range", "place.copy", "tie")
-    return spread.repartition(ranges, "range").sortWithinPartitions("range", "copy", F.desc_nulls_last("key"), "tie").select("key", "text", "range", "copy")
+    return spread.repartition(partitions, "range").sortWithinPartitions("range", "copy", F.desc_nulls_last("key"), "tie").select("key", "text", "range", "copy")
 
 
 def fingerprints(docs: DataFrame, chain: int = 3, threshold: float = 0.0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -151,7 +151,7 @@ def fingerprints(docs: DataFrame, chain: int = 3, threshold: float = 0.0, key: s
     """
     kind = docs.schema[key].dataType.simpleString()
     body = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))
-    ranges = max(8, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    partitions = max(8, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, texts, marks = [], [], []
@@ -181,7 +181,7 @@ def fingerprints(docs: DataFrame, chain: int = 3, threshold: float = 0.0, key: s
             keys, texts, marks = keys[-1:], texts[-1:], marks[-1:]
 
     schema = f"key {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, signatures long"
-    return in_order(body, key, text, ranges).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return in_order(body, key, text, 8 * partitions, partitions).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
