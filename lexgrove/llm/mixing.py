@@ -106,7 +106,7 @@ def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
     whole = int(target // size) if size else 0
     pdf = pdf.sort_values("size", kind="stable")
     extra = fit_counts(pdf["size"].to_numpy(), pdf["n"].to_numpy(), target - whole * size) if size else np.zeros(len(pdf), np.int64)
-    return pdf[["source_key", "size"]].assign(whole=np.int64(whole), extra=extra)
+    return pdf[["source_key", "size", "source_size", "target"]].assign(whole=np.int64(whole), extra=extra)
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), share: float = 1.0, most: float = 3.0, seed: int = 7, text: str = "text", source: str = "source", key: str = "doc_id", rows_per_bucket: int = 20_000) -> DataFrame:
@@ -127,11 +127,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), share: float = 1.
     counts = light.groupBy(source, "size").agg(F.count(F.lit(1)).alias("n"))
     known = targets.select(F.col(source).alias("_s"), "source_key", "source_size", "target")
     histogram = counts.join(known, counts[source].eqNullSafe(known["_s"])).select("source_key", "size", "n", "source_size", "target")
-    plan = cut(histogram.groupBy("source_key").applyInPandas(_fit_source, "source_key long, size long, whole long, extra long"))
+    plan = cut(histogram.groupBy("source_key").applyInPandas(_fit_source, "source_key long, size long, source_size long, target double, whole long, extra long"))
     rows = light.withColumn("source_key", F.xxhash64(F.col(source).isNull(), F.col(source)))
-    rows = rows.join(plan, ["source_key", "size"]).join(targets.select("source_key", "source_size", "target"), "source_key")
     buckets = 1 + light.count() // rows_per_bucket
-    placed = with_slots(rows, ["source_key", "size"], [F.col("h"), F.col("k")], F.struct(F.lit(seed), F.col("h")), buckets, "slot")
+    # numbered before the plan is joined, so that no source and no length has to meet in one task
+    placed = with_slots(rows, ["source_key", "size"], [F.col("h"), F.col("k")], F.struct(F.lit(seed), F.col("h")), buckets, "slot").join(plan, ["source_key", "size"])
     takes = F.col("whole") + F.when(F.col("slot") < F.col("extra"), 1).otherwise(0)
     return placed.select(F.col("k").alias(key), F.col(source), "h", "size", "source_size", "target", (takes * F.col("size")).cast("long").alias("taken"))
 
