@@ -5,10 +5,324 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexgrove.functions.text import article_label, article_num, era_date, fold_width, heading, strip_item_marker, trim_wide
+from lexgrove.operators import history, lookup, search, tree
+from lexgrove.operators import outline as toc
+from lexgrove.operators.errors import first_error, is_error, make_error
+from lexgrove.plans import standins
+from lexgrove.session import table
+from lexgrove.sources.aliases import OWNER, aliases
+from lexgrove.sources.law_types import law_types
+from lexgrove.sources.nodes import shred
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def registered(sql: str | None = None):
+    def keep(query):
+        QUERIES[query.__name__] = query
+        if sql:
+            ORACLE_SQL[query.__name__] = sql
+        return query
+
+    return keep
+
+
+OUTLINE = """
+o AS (
+  SELECT CAST(r_regionkey AS BIGINT) doc_id, lpad(CAST(r_regionkey AS VARCHAR), 8, '0') path, 0 AS lvl, 'Part' tag, CAST(r_regionkey AS VARCHAR) num, r_name title, NULL caption FROM region
+  UNION ALL
+  SELECT CAST(r_regionkey AS BIGINT), lpad(CAST(r_regionkey AS VARCHAR), 8, '0') || '.' || lpad(CAST(n_nationkey AS VARCHAR), 8, '0'), 1, 'Chapter', CAST(n_nationkey AS VARCHAR), n_name, NULL
+  FROM region JOIN nation ON r_regionkey = n_regionkey
+  UNION ALL
+  SELECT CAST(r_regionkey AS BIGINT), lpad(CAST(r_regionkey AS VARCHAR), 8, '0') || '.' || lpad(CAST(n_nationkey AS VARCHAR), 8, '0') || '.' || lpad(CAST(c_custkey AS VARCHAR), 8, '0'), 2, 'Article', CAST(c_custkey AS VARCHAR), NULL, c_mktsegment
+  FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey)
+"""
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    path = F.array_join(F.transform(F.slice("path", 2, 9), lambda x: F.lpad(x.cast("string"), 8, "0")), ".")
+    return rows.select("doc_id", path.alias("path"), F.col("level").cast("long").alias("lvl"), "tag", "num", "title", "caption")
+
+
+@registered(f"WITH {OUTLINE} SELECT doc_id, path, CAST(lvl AS BIGINT) AS lvl, tag, num, title, caption FROM o")
+def toc_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(standins.outline(spark, sf_dir))
+
+
+@registered(
+    f"""WITH {OUTLINE}, l AS (SELECT doc_id, path, repeat('  ', lvl) || '- ' || CASE WHEN tag = 'Article' THEN '第' || num || '条 ' || caption ELSE title END AS line FROM o)
+    SELECT l.doc_id, count(*) AS node_count, '# ' || any_value(r_name) || ' — 目次' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY path) AS markdown
+    FROM l JOIN region ON r_regionkey = doc_id GROUP BY l.doc_id"""
+)
 def toc_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    lines = toc.listing(standins.outline(spark, sf_dir))
+    named = lines.join(table(spark, sf_dir, "region"), F.col("doc_id") == F.col("r_regionkey"))
+    return named.select("doc_id", "node_count", F.concat(F.lit("# "), "r_name", F.lit(" — 目次\n\n"), "lines").alias("markdown"))
+
+
+@registered(f"WITH {OUTLINE} SELECT doc_id, path, CAST(lvl AS BIGINT) AS lvl, tag, num, title, caption FROM o WHERE lvl < 2")
+def toc_depth_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(toc.limit_depth(standins.outline(spark, sf_dir), 2))
+
+
+@registered(f"WITH {OUTLINE} SELECT doc_id, count(*) AS node_count FROM o GROUP BY doc_id")
+def toc_node_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return standins.outline(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("node_count"))
+
+
+@registered("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS whole FROM conversations GROUP BY conv_id")
+def extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    rows = turns.select("conv_id", F.array(F.lit(0), F.col("turn").cast("int")).alias("path"), "text")
+    roots = turns.select("conv_id", F.array(F.lit(0)).alias("path")).distinct()
+    return tree.node_text(rows, roots, "conv_id").select("conv_id", "whole")
+
+
+NODES = """
+p AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders),
+i AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem)
+"""
+
+
+@registered(f"WITH {NODES} SELECT CAST(o_custkey AS VARCHAR) AS article, p AS paragraph, CAST(l_partkey AS VARCHAR) AS first_item FROM p LEFT JOIN i ON l_orderkey = o_orderkey AND i = 1")
+def find_child_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = standins.nodes(spark, sf_dir)
+    found = tree.children(nodes, nodes.where("tag = 'Paragraph'").select("doc_id", "path"), "Item", first=True)
+    return found.select(F.col("path")[1].cast("string").alias("article"), F.col("path")[2].cast("long").alias("paragraph"), F.col("child.content").alias("first_item"))
+
+
+@registered(f"WITH {NODES} SELECT o_custkey AS article, p AS paragraph, i AS item, CAST(l_partkey AS VARCHAR) AS content FROM p JOIN i ON l_orderkey = o_orderkey")
+def children_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = standins.nodes(spark, sf_dir)
+    found = tree.children(nodes, nodes.where("tag = 'Paragraph'").select("doc_id", "path"), "Item")
+    return found.select(F.col("path")[1].cast("long").alias("article"), F.col("path")[2].cast("long").alias("paragraph"), F.col("child.num").cast("long").alias("item"), F.col("child.content").alias("content"))
+
+
+@registered(
+    f"""WITH {NODES} SELECT CAST(c_custkey AS VARCHAR) AS article, CAST(o_orderkey AS VARCHAR) AS paragraph, CAST(l_partkey AS VARCHAR) AS item
+    FROM customer LEFT JOIN p ON o_custkey = c_custkey AND p = 2 LEFT JOIN i ON l_orderkey = o_orderkey AND i = 3"""
+)
+def find_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = standins.nodes(spark, sf_dir)
+    wanted = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("doc_id"), F.col("c_custkey").cast("string").alias("article"), F.lit(2).alias("paragraph"), F.lit(3).alias("item"))
+    a = tree.find_articles(nodes, wanted).withColumn("path", F.col("found.path"))
+    p = tree.children(nodes, a, "Paragraph", "paragraph", first=True).withColumnRenamed("child", "p").withColumn("path", F.col("p.path"))
+    i = tree.children(nodes, p, "Item", "item", first=True)
+    return i.select("article", F.col("p.content").alias("paragraph"), F.col("child.content").alias("item"))
+
+
+@registered(
+    f"""WITH {NODES}, b AS (SELECT o_custkey, p, CASE WHEN p <> 1 THEN '**第' || p || '項**' || chr(10) ELSE '' END
+      || string_agg(i || ' ' || regexp_replace(CAST(l_partkey AS VARCHAR), '^[0-9]+', ''), chr(10) ORDER BY i) AS block FROM p JOIN i ON l_orderkey = o_orderkey GROUP BY o_custkey, p),
+    e AS (SELECT o_custkey, p, CASE WHEN p <> 1 THEN '**第' || p || '項**' ELSE '' END AS block FROM p WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem))
+    SELECT CAST(o_custkey AS VARCHAR) AS article, string_agg(block, chr(10) || chr(10) ORDER BY p) AS body FROM (SELECT * FROM b UNION ALL SELECT * FROM e) GROUP BY o_custkey"""
+)
+def article_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = standins.nodes(spark, sf_dir)
+    return toc.paragraphs(nodes, nodes.where("tag = 'Article'").select("doc_id", "path")).select(F.col("path")[1].cast("string").alias("article"), "body")
+
+
+@registered(
+    """SELECT raw, CASE WHEN NOT regexp_matches(t, '[一二三四五六七八九十百千]') THEN replace(t, 'の', '_') END AS num,
+      replace(CASE WHEN NOT regexp_matches(t, '[一二三四五六七八九十百千]') THEN replace(t, 'の', '_') END, '_', 'の') AS label
+    FROM (SELECT raw, replace(regexp_replace(trim(raw, ' 　'), '^第', ''), '条', '') AS t FROM (VALUES ('30'), ('30の2'), ('第30条の2'), ('三十'), ('  57の4  '), ('　第７条　'), ('第三十条')) v(raw))"""
+)
+def article_num_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(x,) for x in ("30", "30の2", "第30条の2", "三十", "  57の4  ", "　第７条　", "第三十条")], "raw string")
+    num = article_num(F.col("raw"))
+    return rows.select("raw", num.alias("num"), article_label(num).alias("label"))
+
+
+@registered("SELECT raw, regexp_replace(raw, '^[一二三四五六七八九十百0-9]+[ 　]*', '') AS bare FROM (VALUES ('一　次の者'), ('12 text'), ('一二以上の者'), ('３課'), ('none')) v(raw)")
+def item_marker_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(x,) for x in ("一　次の者", "12 text", "一二以上の者", "３課", "none")], "raw string")
+    return rows.select("raw", strip_item_marker(F.col("raw")).alias("bare"))
+
+
+@registered(
+    """SELECT p_partkey, '# ' || p_name || ' 第' || p_size || '条' || CASE WHEN p_size % 3 > 0 THEN '第' || (p_size % 3) || '項' ELSE '' END
+      || CASE WHEN p_size % 3 > 0 AND p_size % 5 > 0 THEN '第' || (p_size % 5) || '号' ELSE '' END AS heading FROM part"""
+)
+def article_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    rest = lambda n: F.nullif(F.col("p_size") % n, F.lit(0))
+    return part.select("p_partkey", heading(F.col("p_name"), F.col("p_size").cast("string"), rest(3), rest(5)).alias("heading"))
+
+
+KEYWORDS = ("red plate", "plate", "rod", "no such part", "hot")
+
+
+@registered(
+    """WITH k(kw) AS (VALUES ('red plate'), ('plate'), ('rod'), ('no such part'), ('hot')),
+    h AS (SELECT kw, p_partkey, p_name, row_number() OVER (PARTITION BY kw ORDER BY p_name, p_partkey) AS rn FROM k JOIN part ON contains(p_name, kw)),
+    b AS (SELECT *, row_number() OVER (PARTITION BY kw ORDER BY CASE WHEN p_name = kw THEN 0 ELSE 1 END, rn) AS r2 FROM h WHERE rn <= 5)
+    SELECT k.kw AS law_name, CAST(p_partkey AS VARCHAR) AS law_id, p_name AS title FROM k LEFT JOIN b ON b.kw = k.kw AND r2 = 1"""
+)
+def resolve_exact_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.createDataFrame(list(enumerate(KEYWORDS)), "req_id int, law_name string")
+    return lookup.resolve(names, standins.laws(spark, sf_dir), aliases(spark)).select("law_name", F.col("law.law_id").alias("law_id"), F.col("law.title").alias("title"))
+
+
+@registered("SELECT n_name AS name, CASE n_name WHEN 'NATION_1' THEN 'First Nation' WHEN 'NATION_2' THEN 'Second Nation' ELSE n_name END AS title FROM nation")
+def alias_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame([("NATION_1", "First Nation", OWNER), ("NATION_2", "Second Nation", "others")], "abbr string, formal string, owner string")
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("　"), "n_name", F.lit(" ")).alias("padded"), F.col("n_name").alias("name"))
+    return lookup.with_alias(rows, known, "padded").select("name", lookup.searched_title(F.col("padded")).alias("title"))
+
+
+@registered("SELECT * FROM (VALUES ('消法', CAST(NULL AS VARCHAR)), ('所基通', 'OUT_OF_SCOPE'), (' ', NULL), ('民法', NULL)) v(name, code)")
+def scope_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.createDataFrame([("消法",), ("所基通",), (" ",), ("民法",)], "name string")
+    return lookup.with_alias(names, aliases(spark)).select("name", lookup.scope_error(F.col("name"), OWNER)["code"].alias("code"))
+
+
+@registered(
+    """WITH t(ord, name, code) AS (VALUES (0,'憲法',NULL),(1,'法律','Act'),(2,'政令','CabinetOrder'),(3,'省令','MinisterialOrdinance'),(4,'規則',NULL),(5,'条例',NULL),(6,'告示',NULL),(7,'訓令',NULL),(8,'通達',NULL),(9,'通知',NULL)),
+    a(name, k) AS (VALUES ('憲法','日本国憲法'),('政令','施行令'),('政令','CabinetOrder'),('省令','府令'),('省令','内閣府令'),('省令','施行規則'),('省令','MinisterialOrdinance'),('通達','通知'),('通達','基本通達'),('通達','取扱通達')),
+    ks AS (SELECT name AS k, 0 AS p, ord, name FROM t UNION ALL SELECT a.k, 1, t.ord, t.name FROM a JOIN t USING (name) UNION ALL SELECT code, 2, ord, name FROM t WHERE code IS NOT NULL),
+    w(asked) AS (VALUES ('政令'),('施行令'),('Act'),('  通達  '),('通知'),('Rule'),('日本国憲法'))
+    SELECT asked, (SELECT name FROM ks WHERE k = trim(asked) ORDER BY p, ord LIMIT 1) AS name FROM w"""
+)
+def law_type_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.createDataFrame([(x,) for x in ("政令", "施行令", "Act", "  通達  ", "通知", "Rule", "日本国憲法")], "asked string")
+    return lookup.find_law_types(asked, law_types(spark), "asked").select("asked", F.col("entry.name").alias("name"))
+
+
+@registered("SELECT '憲法, 法律, 政令, 省令, 規則, 条例, 告示, 訓令, 通達, 通知' AS names")
+def law_type_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.type_names(law_types(spark))
+
+
+def _requests(spark: SparkSession) -> DataFrame:
+    rows = [(0, "plate", None, None), (1, "rod", "ECONOMY", 3), (2, " ", None, None), (3, "no such part", None, 5), (4, " hot ring ", "", 50)]
+    return spark.createDataFrame(rows, "req_id int, keyword string, law_type string, lim int")
+
+
+SEARCHED = """
+r(req_id, keyword, law_type, lim) AS (VALUES (0, 'plate', NULL, NULL), (1, 'rod', 'ECONOMY', 3), (2, ' ', NULL, NULL), (3, 'no such part', NULL, 5), (4, ' hot ring ', '', 50)),
+h AS (SELECT req_id, coalesce(lim, 10) AS lim, p_partkey, p_name, p_type, row_number() OVER (PARTITION BY req_id ORDER BY p_name, p_partkey) AS rn, count(*) OVER (PARTITION BY req_id) AS n
+  FROM r JOIN part ON trim(keyword) <> '' AND contains(p_name, trim(keyword)) AND (coalesce(r.law_type, '') = '' OR p_type = r.law_type))
+"""
+
+
+@registered(f"WITH {SEARCHED} SELECT CAST(req_id AS BIGINT) AS req_id, rn AS hit, CAST(p_partkey AS VARCHAR) AS law_id, p_name AS title, p_type AS law_type FROM h WHERE rn <= lim")
+def search_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.search_titles(_requests(spark), standins.laws(spark, sf_dir), aliases(spark))
+    hits = found.select(F.col("req_id").cast("long").alias("req_id"), F.posexplode("results").alias("hit", "x"))
+    return hits.select("req_id", (F.col("hit") + 1).cast("long").alias("hit"), "x.law_id", F.col("x.law_title").alias("title"), "x.law_type")
+
+
+@registered(
+    f"""WITH {SEARCHED} SELECT CAST(r.req_id AS BIGINT) AS req_id, 'title search' AS note, count(h.rn) FILTER (WHERE rn <= h.lim) AS total_count, count(h.rn) AS matched_count,
+      CASE WHEN trim(any_value(keyword)) = '' THEN 'INVALID_ARGUMENT' END AS code, FALSE AS is_error
+    FROM r LEFT JOIN h USING (req_id) GROUP BY r.req_id"""
+)
+def search_fulltext_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.search_titles(_requests(spark), standins.laws(spark, sf_dir), aliases(spark))
+    # the error stays inside the fallback, so the answer itself is none
+    outer = found.select(F.col("req_id").cast("long").alias("req_id"), F.lit("title search").alias("note"), F.struct("total_count", "matched_count", "error").alias("fallback"), make_error("INTERNAL_ERROR", "").alias("e"))
+    return outer.select("req_id", "note", "fallback.total_count", "fallback.matched_count", F.col("fallback.error.code").alias("code"), is_error(F.when(F.lit(False), F.col("e"))).alias("is_error"))
+
+
+@registered(
+    """SELECT o_custkey, ord, total, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS ord, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders) WHERE ord <= 5"""
+)
+def revisions_latest_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = history.latest(table(spark, sf_dir, "orders"), 5, "o_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")])
+    return found.select("o_custkey", "ord", "total", "o_orderkey")
+
+
+@registered(
+    """SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01') WHERE rn = 1"""
+)
+def as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = history.as_of(table(spark, sf_dir, "orders"), F.lit("1998-01-01").cast("timestamp"), "o_custkey", "o_orderdate", "o_orderkey")
+    return found.select("o_custkey", "revision.o_orderkey", "revision.o_orderstatus")
+
+
+@registered("SELECT doc_id FROM documents WHERE contains(text, 'the') AND contains(text, 'and')")
+def fulltext_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.fulltext(table(spark, sf_dir, "documents"), " the　ａｎｄ ").select("doc_id")
+
+
+@registered("SELECT doc_id FROM documents WHERE contains(text, 'License') AND contains(text, 'the')")
+def fulltext_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.indexed_fulltext(docs, search.gram_index(docs), "License the").select("doc_id")
+
+
+@registered(
+    """SELECT * FROM (VALUES (0, 'OUT_OF_SCOPE'), (1, 'LAW_NOT_FOUND'), (2, 'INVALID_ARGUMENT'), (3, 'INVALID_ARTICLE_NUM'), (4, 'ARTICLE_NOT_FOUND'), (5, CAST(NULL AS VARCHAR))) v(req_id, code)"""
+)
+def error_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(0, "所基通", "三十", None), (1, "no such law", "三十", None), (2, "消法", None, "json"), (3, "消法", "三十", None), (4, "消法", "99", None), (5, "消法", "30", None)]
+    asked = spark.createDataFrame(rows, "req_id int, law_name string, article string, format string")
+    known = lookup.resolve(asked, standins.laws(spark, sf_dir), aliases(spark))
+    num = article_num(F.col("article"))
+    error = first_error(
+        lookup.scope_error(F.col("law_name"), OWNER),
+        F.when(F.col("law").isNull(), make_error("LAW_NOT_FOUND", "no such law")),
+        F.when(F.col("article").isNull() & (F.col("format") == "json"), make_error("INVALID_ARGUMENT", "no article")),
+        F.when(F.col("article").isNotNull() & num.isNull(), make_error("INVALID_ARTICLE_NUM", "bad number")),
+        F.when(num != "30", make_error("ARTICLE_NOT_FOUND", "no such article")),
+    )
+    return known.select("req_id", error["code"].alias("code"))
+
+
+@registered("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'repealed' WHEN doc_id % 3 = 1 THEN 'not yet in force' ELSE 'in force' END AS label FROM documents")
+def status_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    third = F.col("doc_id") % 3
+    label = history.status_label(F.when(third == 1, "UnEnforced").otherwise("CurrentEnforced"), F.when(third == 0, "Repeal").otherwise("None"), F.lit(False))
+    return table(spark, sf_dir, "documents").select("doc_id", label.alias("label"))
+
+
+@registered("SELECT doc_id FROM documents WHERE doc_id % 4 = 0")
+def changed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "documents").select("doc_id", "text")
+    new = old.withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("."))).otherwise(F.col("text")))
+    return history.changed(old, new, "doc_id", "text").select("doc_id")
+
+
+@registered("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def upsert_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return history.upsert(old, old.where("o_orderkey % 10 = 0").withColumn("o_orderstatus", F.lit("X")), "o_orderkey")
+
+
+@registered(
+    """SELECT o_orderkey, CASE WHEN d <= 1 THEN 'fresh' WHEN d <= 90 THEN 'aging' ELSE 'stale' END AS label FROM (SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-08-02') AS d FROM orders)"""
+)
+def sync_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", history.staleness(F.col("o_orderdate"), F.lit("2001-08-02").cast("date")).alias("label"))
+
+
+@registered("SELECT raw, CAST(CAST(d AS DATE) AS VARCHAR) AS day FROM (VALUES ('明治二十九年四月二十七日', '1896-04-27'), ('昭和六十三年十二月三十日', '1988-12-30'), ('令和元年五月一日', '2019-05-01'), ('平成十年二月三十日', NULL), ('西暦十年', NULL)) v(raw, d)")
+def era_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(x,) for x in ("明治二十九年四月二十七日", "昭和六十三年十二月三十日", "令和元年五月一日", "平成十年二月三十日", "西暦十年")], "raw string")
+    return rows.select("raw", era_date(F.col("raw")).cast("string").alias("day"))
+
+
+@registered("SELECT * FROM (VALUES ('Ａｂ１２！', 'Ab12!'), ('条　文', '条 文'), ('plain', 'plain')) v(raw, folded)")
+def width_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("Ａｂ１２！",), ("条　文",), ("plain",)], "raw string")
+    return rows.select("raw", fold_width(F.col("raw")).alias("folded"))
+
+
+@registered("SELECT conv_id, count(*) AS paragraphs, sum(length(text)) AS n_chars FROM conversations GROUP BY conv_id")
+def shred_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as JSON trees, shredded again into rows."""
+    turns = table(spark, sf_dir, "conversations")
+    leaf = F.struct(F.lit("Paragraph").alias("tag"), F.struct(F.col("turn").cast("string").alias("Num")).alias("attr"), F.array("text").alias("children"))
+    bodies = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(leaf)).alias("children"))
+    docs = bodies.select("conv_id", F.to_json(F.struct(F.lit("Article").alias("tag"), "children")).alias("body"))
+    rows = shred(docs, "conv_id")
+    return rows.groupBy("conv_id").agg(F.count(F.when(F.col("tag") == "Paragraph", 1)).alias("paragraphs"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@registered("SELECT conv_id, turn, trim(text, ' 　' || chr(9) || chr(10) || chr(13)) AS text FROM conversations")
+def trimmed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", trim_wide(F.col("text")).alias("text"))
