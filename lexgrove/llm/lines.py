@@ -57,10 +57,11 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10, log2_registers: int = 12,
     first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos"))
     gone = lines.select("_row", "id", "pos", "h").join(_if_small(common), "h")
     gone = (gone.where(~first) if keep_first else gone).groupBy("_row").agg(F.collect_set("pos").alias("_gone"))
-    parts = F.split(F.col(text), "\n")
+    parts = F.col("_parts")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone")), lambda i: F.get(parts, i))
-    names = [F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text) if c == text else F.col(c) for c in docs.columns]
-    return keyed.join(gone, "_row", "left").select(*names, F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    names = [F.array_join(F.when(F.col("_gone").isNull(), parts).otherwise(kept), "\n").alias(text) if c == text else F.col(c) for c in docs.columns]
+    # the lines instead of the text go through the join, so that a text is split once
+    return keyed.withColumn("_parts", F.split(F.col(text), "\n")).drop(text).join(gone, "_row", "left").select(*names, F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
