@@ -43,7 +43,7 @@ def gram_index(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     """Inverted index: gram (a pair of characters, widths folded) and key, each pair once; to be written partitioned or bucketed by gram."""
     # zipped with itself one further, so that the work is linear in the length of the text
     chars = F.split(fold_width(F.col(text)), "")
-    pairs = F.zip_with(chars, F.slice(chars, 2, 2**31 - 1), lambda a, b: F.concat(a, b))
+    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), F.size(chars)), lambda a, b: F.concat(a, b))
     return documents.where(F.length(text) > 1).select(F.explode(F.array_distinct(F.array_compact(pairs))).alias("gram"), F.col(key))
 
 

@@ -56,8 +56,8 @@ def children(nodes: DataFrame, parents: DataFrame, tag: str, num: str | None = N
 def find_articles(nodes: DataFrame, wanted: DataFrame, num: str = "article", key: str = "doc_id") -> DataFrame:
     """wanted (key, num, more) with `found`: the first Article of that number in document order, at any depth, or null."""
     own = nodes.where(F.col("tag") == "Article")
-    first = own.groupBy(F.col(key).alias("_k"), F.col("num").alias("_num")).agg(F.min_by(F.struct("path", "num", "content", "json"), F.col("path")).alias("found"))
-    return wanted.join(first, (F.col(key) == F.col("_k")) & (F.col(num) == F.col("_num")), "left").drop("_k", "_num")
+    first = own.groupBy(F.col(key).alias("_k"), F.col("num").alias("_first")).agg(F.min_by(F.struct("path", "num", "content", "json"), F.col("path")).alias("found"))
+    return wanted.join(first, (F.col(key) == F.col("_k")) & (F.col(num) == F.col("_first")), "left").drop("_k", "_first")
 
 
 def titles(nodes: DataFrame, tag: str = "LawTitle", key: str = "doc_id") -> DataFrame:

@@ -86,7 +86,7 @@ def shred_variant(docs: DataFrame, key: str = "doc_id", body: str = "body") -> D
     return docs.sparkSession.sql(
         f"""
         WITH RECURSIVE t(k, path, v) AS (
-          SELECT k, array(0), v FROM _trees WHERE v IS NOT NULL
+          SELECT k, array(0), v FROM _trees WHERE schema_of_variant(v) LIKE 'OBJECT%'
           UNION ALL
           SELECT t.k, concat(t.path, array(c.pos)), c.value
           FROM t, LATERAL variant_explode(try_variant_get(t.v, '$.children', 'variant')) c)
