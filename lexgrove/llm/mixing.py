@@ -58,7 +58,8 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: float, window: i
     up while more than `window` words are missing; the rest is a bounded knapsack, solved
     exactly by a table of reachable sums (counts split into powers of two).
     """
-    lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
+    lengths = lengths.astype(np.int64)
+    counts = np.where(lengths > 0, counts, 0).astype(np.int64)  # without words, nothing to take
     total = int((lengths * counts).sum())
     goal = int(round(max(0.0, min(budget, total))))
     if not total or not goal:
@@ -75,6 +76,8 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: float, window: i
     for i in np.argsort(-lengths, kind="stable"):
         if left <= window:
             break
+        if not free[i]:
+            continue
         k = min(int(free[i]), (left - window) // int(lengths[i]) + ((left - window) % int(lengths[i]) > 0), left // int(lengths[i]))
         take[i] += k
         free[i] -= k
@@ -82,7 +85,7 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: float, window: i
     # a shortest document may overshoot, and may then be nearer than any sum below
     shortest = int(lengths[free > 0].min()) if (free > 0).any() else 0
     reach, steps, mask = 1, [], (1 << (left + shortest + 1)) - 1
-    for i in np.argsort(lengths, kind="stable"):
+    for i in np.flatnonzero(free)[np.argsort(lengths[free > 0], kind="stable")]:
         n, unit = min(int(free[i]), (left + shortest) // int(lengths[i])), 1
         while n > 0:
             k = min(unit, n)
@@ -143,12 +146,12 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_stage(docs: DataFrame, **options) -> DataFrame:
     """The documents as often as the mix takes them; those it does not take go."""
-    taken = mix(docs, **options).where("taken > 0").select("h", F.col("doc_id").alias("_id"), F.expr("cast(taken div size as int)").alias("_times"))
+    taken = mix(docs, **options).where("taken > 0").select(F.col("h").alias("_th"), F.col("doc_id").alias("_id"), F.expr("cast(taken div size as int)").alias("_times"))
     seed = options.get("seed", 7)
     keyed = docs.withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")))
     # rows alike in id and text share their takes out evenly
-    per = taken.groupBy("h", "_id").agg(F.sum("_times").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
+    per = taken.groupBy("_th", "_id").agg(F.sum("_times").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
     turn = Window.partitionBy("_h", "doc_id").orderBy(F.col("lang"), F.col("source"))
-    joined = keyed.withColumn("_turn", F.row_number().over(turn)).join(per, (F.col("_h") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    joined = keyed.withColumn("_turn", F.row_number().over(turn)).join(per, (F.col("_h") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     times = F.expr("cast(_sum div _rows + if(_turn <= _sum % _rows, 1, 0) as int)")
     return joined.withColumn("_n", times).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
