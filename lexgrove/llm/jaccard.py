@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -76,17 +77,24 @@ def signed(docs: DataFrame, words: int, trees: int, depth: int, seed: int) -> Da
     return docs.select("tid", "id", "text").mapInArrow(run, f"tid long, id {kind}, key binary, n_shingles long, labels binary")
 
 
-def forest_pairs(texts: DataFrame, trees: int, depth: int, least: int, reach: int, partitions: int) -> DataFrame:
-    """Candidate pairs a < b of texts (tid, labels): neighbours in some tree with a common prefix of `least` labels or more.
+def forest(texts: DataFrame, trees: int, depth: int, partitions: int) -> DataFrame:
+    """tid, tree, label and range of each text (tid, labels) in each tree.
 
-    Each tree is its labels in sorted order, a prefix trie laid flat and dealt by ranges, so
-    that no prefix, however many texts share it, meets in one task. A text is paired with
-    the `reach` texts before it as far as they share the prefix: the longest shared prefixes first,
-    then shorter ones down to `least`.
+    A tree is its labels in sorted order, a prefix trie laid flat and dealt by ranges, so
+    that no prefix, however many texts share it, meets in one task.
     """
     label = F.array(*[F.struct(F.lit(t).alias("tree"), F.expr(f"substring(labels, {t * depth + 1}, {depth})").alias("label")) for t in range(trees)])
     rows = texts.select("tid", F.explode(label).alias("x")).select("tid", "x.tree", "x.label")
-    flat = rows.repartitionByRange(partitions, "tree", "label", "tid").sortWithinPartitions("tree", "label", "tid")
+    flat = cut(rows.repartitionByRange(partitions, "tree", "label", "tid").sortWithinPartitions("tree", "label", "tid"))
+    return flat.withColumn("range", F.spark_partition_id())
+
+
+def forest_pairs(flat: DataFrame, depth: int, least: int, reach: int) -> DataFrame:
+    """Candidate pairs a < b of texts: neighbours in some tree with a common prefix of `least` labels or more.
+
+    A text is paired with the `reach` texts before it as far as they share the prefix: the longest
+    shared prefixes first, then shorter ones down to `least`. Texts further apart are left to `far_links`.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tid, tree, lab = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros((0, depth), np.uint8)
@@ -112,8 +120,12 @@ def forest_pairs(texts: DataFrame, trees: int, depth: int, least: int, reach: in
     return flat.mapInArrow(run, "a long, b long").distinct()
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _semi(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, on, "left_semi")
+    return df.join(_small(ids), on, "left_semi")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -167,31 +179,118 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, trees: int = 20, depth: int = 9, recall: float = 0.99, reach: int = 3, seed: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dealt(members: DataFrame, texts: DataFrame, block_rows: int, block_shingles: int) -> DataFrame:
+    """Members (gid, tid and others) with their texts, so that each pair of a group meets in one (gid, lo, hi).
+
+    A group's members go to blocks of about `block_rows` texts and `block_shingles` shingles,
+    and a block meets each block of its group; no task holds more than two blocks.
+    """
+    many = members.groupBy("gid").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64(F.lit(5), "tid"), F.col("blocks")).cast("int")
+    placed = members.join(_small(many), "gid").withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    placed = placed.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "blocks", "n_shingles")
+    own = _semi(texts, members.select("tid").distinct(), "tid").dropDuplicates(["tid"])
+    return placed.join(own, "tid")
+
+
+def linked(texts: list[str], left: np.ndarray, right: np.ndarray, words: int, threshold: float, width: int = 4096) -> np.ndarray:
+    """Which of the texts `left` (rows) and `right` (columns) have shingle sets of that Jaccard; not a text with itself."""
+    h, owner, _ = shingle_hashes(texts, words)
+    code = np.unique(h, return_inverse=True)[1]
+    key = np.unique(code.astype(np.int64) * len(texts) + owner)
+    code, owner = key // len(texts), key % len(texts)
+    size = np.bincount(owner, minlength=len(texts)).astype(float)
+    shared = np.bincount(code)[code] > 1
+    code, owner = np.unique(code[shared], return_inverse=True)[1], owner[shared]
+    both = np.zeros((len(left), len(right)))
+    for a in range(0, int(code.max(initial=-1)) + 1, width):
+        part = slice(*np.searchsorted(code, [a, a + width]))
+        has = np.zeros((len(texts), width), np.float32)
+        has[owner[part], code[part] - a] = 1
+        both += has[left] @ has[right].T
+    return (both >= threshold * (size[left][:, None] + size[right][None] - both)) & (left[:, None] != right[None]) & (both > 0)
+
+
+def far_links(flat: DataFrame, labels: DataFrame, light: DataFrame, texts: DataFrame, least: int, reach: int, words: int, threshold: float, block_rows: int, block_shingles: int) -> DataFrame:
+    """Links (a, b) that join classes (labels: node, label) between texts under one prefix that were no neighbours.
+
+    Prefixes of more than `reach` + 1 texts, or parted by a range's end, are looked at where their
+    texts are of several classes; all their pairs of different classes are verified in blocks, and a text's
+    first link into each class is returned.
+    """
+    keyed = flat.select("tid", "tree", F.expr(f"substring(label, 1, {least})").alias("prefix"), "range")
+    size = F.count(F.lit(1))
+    wide = keyed.groupBy("tree", "prefix").agg(size.alias("n"), F.min("range").alias("low"), F.max("range").alias("high")).where(f"n > {reach + 1} or high > low")
+    wide = cut(wide.select("tree", "prefix"))
+    under = keyed.join(_small(wide), ["tree", "prefix"]).join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid")).drop("range")
+    # prefixes over the same texts, in several trees, are one group
+    mixed = under.groupBy("tree", "prefix").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.xxhash64(size, F.bit_xor(F.xxhash64("tid")), F.bit_xor(F.xxhash64(F.lit(1), "tid"))).alias("gid"))
+    mixed = cut(mixed.where("low < high").select("tree", "prefix", "gid"))
+    members = under.join(_small(mixed), ["tree", "prefix"]).select("gid", "tid", "label").distinct().join(light.select("tid", "n_shingles"), "tid")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = (np.flatnonzero(pdf["block"] == pdf[c]) for c in ("lo", "hi"))
+        tid, label = pdf["tid"].to_numpy(), pdf["label"].to_numpy()
+        hit = linked(pdf["text"].tolist(), lo, hi, words, threshold) & (label[lo][:, None] != label[hi][None])
+        x, y = np.nonzero(hit)
+        found = pd.DataFrame({"a": tid[lo][x], "b": tid[hi][y], "into": label[hi][y]})
+        return found.drop_duplicates(["a", "into"])[["a", "b"]]
+
+    return dealt(cut(members), texts, block_rows, block_shingles).groupBy("gid", "lo", "hi").applyInPandas(run, "a long, b long")
+
+
+def class_links(members: DataFrame, texts: DataFrame, words: int, threshold: float, block_rows: int, block_shingles: int) -> DataFrame:
+    """tid and linked of members (gid, tid, copies, n_shingles): the copies of all texts of its class linked with it, counted in blocks."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = (np.flatnonzero(pdf["block"] == pdf[c]) for c in ("lo", "hi"))
+        tid, copies = pdf["tid"].to_numpy(), pdf["copies"].to_numpy()
+        hit = linked(pdf["text"].tolist(), lo, hi, words, threshold).astype(float)
+        found = pd.DataFrame({"tid": tid[lo], "n": (hit @ copies[hi]).astype(np.int64)})
+        if pdf["lo"].iloc[0] != pdf["hi"].iloc[0]:
+            found = pd.concat([found, pd.DataFrame({"tid": tid[hi], "n": (copies[lo] @ hit).astype(np.int64)})])
+        return found
+
+    counted = dealt(members, texts, block_rows, block_shingles).groupBy("gid", "lo", "hi").applyInPandas(run, "tid long, n long")
+    return counted.groupBy("tid").agg(F.sum("n").alias("linked"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, trees: int = 20, depth: int = 9, recall: float = 0.99, reach: int = 3, seed: int = 1, key: str = "doc_id", text: str = "text", count_links: bool = True, block_rows: int = 256, block_shingles: int = 500_000) -> DataFrame:
     """A row per document: tid, key, class_id, text_id, n_links and keep.
 
     Documents of the same words (case and white space aside) are copies; of each such text
     one goes through the forest. Candidates are verified exactly: Jaccard of the sets of
     `words`-word shingles at `threshold` or more. A class holds what copies and links connect;
     class_id is its least key, text_id the least key of the document's copies. n_links is the number of other documents that are
-    copies or whose text was verified against this document's text; texts of a large class are linked
-    by neighbouring in the trees, not all with all. keep marks one document of each class. A text without words
+    copies or whose text, of those of the class, has that Jaccard with this document's text, in classes of any size;
+    without count_links it is 0. keep marks one document of each class. A text without words
     (or null) is a class of its own, as is each such row; rows alike in key and text are copies. A class without a key has the hash tid as its id.
     """
     rows = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("tid"), F.col(key).alias("id"), F.col(text).alias("text"))
     signs = cut(signed(rows, words, trees, depth, seed))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("tid"))).alias("m")
-    texts = cut(signs.where("n_shingles > 0").groupBy("key").agg(least, F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels")).select("key", F.col("m.id").alias("text_id"), F.col("m.tid").alias("tid"), "copies", "labels"))
+    texts = cut(signs.where("n_shingles > 0").groupBy("key").agg(least, F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels"), F.first("n_shingles").alias("n_shingles")).select("key", F.col("m.id").alias("text_id"), F.col("m.tid").alias("tid"), "copies", "labels", "n_shingles"))
     partitions = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    pairs = cut(forest_pairs(texts.select("tid", "labels"), trees, depth, forest_depth(threshold, trees, recall, depth), reach, partitions))
-    links = cut(verified(pairs, rows.select("tid", "text"), words, threshold))
+    shortest, bodies = forest_depth(threshold, trees, recall, depth), rows.select("tid", "text")
+    flat = forest(texts.select("tid", "labels"), trees, depth, partitions)
+    light = texts.select("key", "tid", "text_id", "copies", "n_shingles")
+    links = cut(verified(cut(forest_pairs(flat, depth, shortest, reach)), bodies, words, threshold))
     labels = components(links)
-    light = texts.select("key", "tid", "text_id", "copies")
-    weight = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    weight = weight.join(light.select(F.col("tid").alias("b"), "copies"), "b").groupBy(F.col("a").alias("tid")).agg(F.sum("copies").alias("linked"))
-    classed = light.join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid")).join(weight, "tid", "left")
+    far = cut(far_links(flat, labels, light, bodies, shortest, reach, words, threshold, block_rows, block_shingles))
+    if far.take(1):
+        links = links.unionByName(far)
+        labels = components(links)
+    classed = light.join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
+    if count_links:
+        classed = cut(classed)
+        several = _small(cut(classed.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("label").alias("gid"))))
+        members = cut(classed.withColumnRenamed("label", "gid").join(several, "gid").select("gid", "tid", "copies", "n_shingles"))
+        weight = class_links(members, bodies, words, threshold, block_rows, block_shingles)
+        classed = classed.join(weight, "tid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("linked", F.lit(0)))
+    else:
+        classed = classed.withColumn("n_links", F.lit(0))
     best = classed.groupBy("label").agg(F.min(F.struct(F.col("text_id").isNull().alias("none"), F.col("text_id"), F.col("tid"))).alias("best"))
-    known = classed.join(best, "label").select("key", "text_id", F.coalesce(F.col("best.text_id"), F.col("best.tid")).alias("class_id"), F.col("best.tid").alias("kept"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    known = classed.join(best, "label").select("key", "text_id", F.coalesce(F.col("best.text_id"), F.col("best.tid")).alias("class_id"), F.col("best.tid").alias("kept"), "n_links")
     found = signs.select("tid", "id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key")).alias("key")).join(known, "key", "left")
     alone = F.col("kept").isNull()
     return found.select(
@@ -211,7 +310,7 @@ def op1_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(docs: DataFrame) -> DataFrame:
     """One document of each class stays; every row without words stays."""
-    kept = near_duplicates(docs).where("keep").groupBy(F.col("tid").alias("_tid")).agg(F.max("_alone").alias("_alone"))
+    kept = near_duplicates(docs, count_links=False).where("keep").groupBy(F.col("tid").alias("_tid")).agg(F.max("_alone").alias("_alone"))
     turn = F.row_number().over(Window.partitionBy("_tid").orderBy("lang", "source"))
     rows = docs.withColumn("_tid", F.xxhash64("doc_id", "text")).join(kept, "_tid").withColumn("_turn", turn)
     return rows.where(F.col("_alone") | (F.col("_turn") == 1)).select(*docs.columns)

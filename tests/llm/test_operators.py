@@ -281,9 +281,28 @@ def test_near_duplicates(docs, none):
 def test_near_duplicates_of_the_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
-    top, _ = brute_classes(rows)
-    got = {r.doc_id: r.class_id for r in jaccard.op1_forest_join(spark, SF).collect()}
-    assert got == {i: rows[top[k]][0] for k, (i, _) in enumerate(rows)}
+    top, links = brute_classes(rows)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.op1_forest_join(spark, SF).collect()}
+    assert got == {i: (rows[top[k]][0], links[k]) for k, (i, _) in enumerate(rows)}
+
+
+def test_links_of_large_classes_are_whole(spark):
+    """Many texts under one prefix: some alike, some just below the threshold; no link is lost beyond the neighbours."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for at in rng.choice(150, int(rng.integers(0, 6)), replace=False):
+            w[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, rows[3][1]) for i in range(15)] + [(3, rows[3][1])]
+    rows.sort()
+    top, links = brute_classes(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"reach": 1, "block_rows": 7}, {"block_shingles": 600}):
+        got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.near_duplicates(df, **options).collect())
+        assert got == sorted((i, rows[top[k]][0], links[k]) for k, (i, _) in enumerate(rows)), options
 
 
 def test_components_of_a_long_chain(spark):
