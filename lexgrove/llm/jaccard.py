@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -180,15 +180,23 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def dealt(members: DataFrame, texts: DataFrame, block_rows: int, block_shingles: int) -> DataFrame:
-    """Members (gid, tid and others) with their texts, so that each pair of a group meets in one (gid, lo, hi).
+    """Members (gid, tid, n_shingles, main and others) with their texts, so that each pair of a group meets in one (gid, lo, hi).
 
     A group's members go to blocks of about `block_rows` texts and `block_shingles` shingles,
-    and a block meets each block of its group; no task holds more than two blocks.
+    and a block meets each block of its group; no task holds more than two blocks. Blocks of main
+    members meet those of the others alone; a group has others.
     """
-    many = members.groupBy("gid").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64(F.lit(5), "tid"), F.col("blocks")).cast("int")
-    placed = members.join(_small(many), "gid").withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    placed = placed.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "blocks", "n_shingles")
+
+    def blocks(own: Column) -> Column:
+        shingles = F.coalesce(F.sum(F.when(own, F.col("n_shingles"))), F.lit(0))
+        return F.greatest(F.ceil(F.count(F.when(own, 1)) / block_rows), F.ceil(shingles / block_shingles)).cast("int")
+
+    many = members.groupBy("gid").agg(blocks(F.col("main")).alias("mains"), blocks(~F.col("main")).alias("others"))
+    hashed = F.xxhash64(F.lit(5), "tid")
+    block = F.when(F.col("main"), F.pmod(hashed, F.greatest("mains", F.lit(1)))).otherwise(F.col("mains") + F.pmod(hashed, F.greatest("others", F.lit(1)))).cast("int")
+    meets = F.explode(F.expr("sequence(if(main, mains, 0), mains + others - 1)"))
+    placed = members.join(_small(many), "gid").withColumn("block", block).withColumn("other", meets)
+    placed = placed.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "mains", "others", "main", "n_shingles")
     own = _semi(texts, members.select("tid").distinct(), "tid").dropDuplicates(["tid"])
     return placed.join(own, "tid")
 
@@ -216,7 +224,7 @@ def far_links(flat: DataFrame, labels: DataFrame, light: DataFrame, texts: DataF
 
     Prefixes of more than `reach` + 1 texts, or parted by a range's end, are looked at where their
     texts are of several classes; all their pairs of different classes are verified in blocks, and a text's
-    first link into each class is returned.
+    first link into each class is returned. Texts of a prefix's largest class don't meet one another.
     """
     keyed = flat.select("tid", "tree", F.expr(f"substring(label, 1, {least})").alias("prefix"), "range")
     size = F.count(F.lit(1))
@@ -227,6 +235,9 @@ def far_links(flat: DataFrame, labels: DataFrame, light: DataFrame, texts: DataF
     mixed = under.groupBy("tree", "prefix").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.xxhash64(size, F.bit_xor(F.xxhash64("tid")), F.bit_xor(F.xxhash64(F.lit(1), "tid"))).alias("gid"))
     mixed = cut(mixed.where("low < high").select("tree", "prefix", "gid"))
     members = under.join(_small(mixed), ["tree", "prefix"]).select("gid", "tid", "label").distinct().join(light.select("tid", "n_shingles"), "tid")
+    members = cut(members)
+    largest = members.groupBy("gid", "label").agg(size.alias("n")).groupBy("gid").agg(F.max(F.struct("n", "label"))["label"].alias("top"))
+    members = members.join(_small(largest), "gid").withColumn("main", F.col("label") == F.col("top")).drop("top")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = (np.flatnonzero(pdf["block"] == pdf[c]) for c in ("lo", "hi"))
@@ -236,7 +247,7 @@ def far_links(flat: DataFrame, labels: DataFrame, light: DataFrame, texts: DataF
         found = pd.DataFrame({"a": tid[lo][x], "b": tid[hi][y], "into": label[hi][y]})
         return found.drop_duplicates(["a", "into"])[["a", "b"]]
 
-    return dealt(cut(members), texts, block_rows, block_shingles).groupBy("gid", "lo", "hi").applyInPandas(run, "a long, b long")
+    return dealt(members, texts, block_rows, block_shingles).groupBy("gid", "lo", "hi").applyInPandas(run, "a long, b long")
 
 
 def class_links(members: DataFrame, texts: DataFrame, words: int, threshold: float, block_rows: int, block_shingles: int) -> DataFrame:
@@ -251,7 +262,7 @@ def class_links(members: DataFrame, texts: DataFrame, words: int, threshold: flo
             found = pd.concat([found, pd.DataFrame({"tid": tid[hi], "n": (copies[lo] @ hit).astype(np.int64)})])
         return found
 
-    counted = dealt(members, texts, block_rows, block_shingles).groupBy("gid", "lo", "hi").applyInPandas(run, "tid long, n long")
+    counted = dealt(members.withColumn("main", F.lit(False)), texts, block_rows, block_shingles).groupBy("gid", "lo", "hi").applyInPandas(run, "tid long, n long")
     return counted.groupBy("tid").agg(F.sum("n").alias("linked"))
 
 
