@@ -77,7 +77,8 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray,
         edges = np.flatnonzero(np.diff(leaf[by])) + 1
         for group in np.split(by, edges):
             q, rows = who[group], leaves[leaf[group[0]]]
-            d = np.maximum(0.0, 2.0 - 2.0 * (queries[q] @ points[rows].T))
+            # rounded, so that equal vectors tie whatever order the products are summed in
+            d = np.round(np.maximum(0.0, 2.0 - 2.0 * (queries[q] @ points[rows].T)), 12)
             d[query_ids[q][:, None] == ids[rows][None]] = np.inf
             d = np.concatenate([best_d[q], d], axis=1)
             i = np.concatenate([best_i[q], np.broadcast_to(ids[rows], (len(q), len(rows)))], axis=1)
