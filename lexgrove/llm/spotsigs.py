@@ -8,6 +8,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.ml.feature import Bucketizer
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrove.llm.common import column, cut, documents, slices
+from lexgrove.llm.jaccard import components, dealt
 
 #: Common words of English, German, French and Spanish that serve as anchors.
 ANCHORS = frozenset(
@@ -84,7 +86,7 @@ def fingerprint(signature: np.ndarray) -> str:
 
 def length_class(n: int, threshold: float) -> int:
     """Sets whose Jaccard can reach the threshold are in one class or in classes next to each other."""
-    return int(math.log(n) / -math.log(threshold)) if n and threshold < 1 else 0
+    return int(math.log(n) / -math.log(threshold) + 1e-9) if n and threshold < 1 else 0
 
 
 def pruned_jaccard(a: np.ndarray, b: np.ndarray, threshold: float = 0.0) -> float:
@@ -184,5 +186,59 @@ def fingerprints(docs: DataFrame, chain: int = 3, threshold: float = 0.0, key: s
     return in_order(body, key, text, 8 * partitions, partitions).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
+def alike(prints: DataFrame, threshold: float = 0.8, key: str = "doc_id", block_rows: int = 256, block_signatures: int = 500_000) -> DataFrame:
+    """key and class_id of each row of (key, fingerprint): classes of what likenesses of `threshold` or more connect.
+
+    Equal fingerprints are one set. Sets are partitioned by length class and meet, within their
+    class and with the one below, under the signatures of their prefixes alone: their rarest ones, as many as
+    a set of that likeness can't miss all of. What meets is compared by pruned_jaccard in blocks, so that
+    no signature, however many sets have it, is held by one task or gives all its pairs.
+    class_id is the least key of the class, or for null keys alone a hash of a fingerprint. A fingerprint without signatures (or null) equals
+    only others such. Repeated rows stay; other columns are left out; an empty table gives no rows.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold: over 0, at most 1")
+    rows = prints.select(F.col(key).alias("key"), F.coalesce("fingerprint", F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
+    sets = cut(rows.groupBy("tid").agg(F.min("key").alias("least"), F.min("text").alias("text")))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            own = [np.frombuffer(base64.b64decode(t), "<u4").astype(np.int64) for t in column(batch, "text").to_pylist()]
+            level = pa.array([length_class(len(x), threshold) for x in own], pa.int32())
+            yield pa.RecordBatch.from_arrays([column(batch, "tid"), pa.array([len(x) for x in own], pa.int64()), level, pa.array(own, pa.list_(pa.int64()))], ["tid", "n", "level", "signatures"])
+
+    each = sets.mapInArrow(spread, "tid long, n long, level int, signatures array<long>").where("n > 0").select("tid", "n", "level", F.explode("signatures").alias("h"))
+    each = cut(each)
+    rarity = each.groupBy("h").agg(F.count(F.lit(1)).alias("found_in"))
+    ordered = F.array_sort(F.collect_list(F.struct("found_in", "h")))
+    # a signature of one set alone stays in the order, as it takes a place of the prefix
+    prefix = each.join(rarity, "h").groupBy("tid", "n", "level").agg(F.slice(ordered, F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")).alias("first"))
+    met = prefix.select("tid", "n", "level", F.explode("first").alias("x")).where("x.found_in > 1").select("tid", "n", "level", "x.h")
+    # a group is a length class and a signature; its main members are those of the class below, which meet the class alone
+    below = F.explode(F.array(F.lit(0), F.lit(1))).alias("up")
+    members = met.select("tid", F.col("n").alias("n_shingles"), "level", "h", below).select("tid", "n_shingles", F.xxhash64(F.col("level") + F.col("up"), "h").alias("gid"), (F.col("up") == 1).alias("main"))
+    members = cut(members)
+    several = members.groupBy("gid").agg(F.count(F.lit(1)).alias("n"), F.bool_and("main").alias("bare")).where("n > 1 and not bare").select("gid")
+    members = members.join(several, "gid", "left_semi")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = [np.frombuffer(base64.b64decode(t), "<u4") for t in pdf["text"]]
+        size, tid = np.array([len(x) for x in own]), pdf["tid"].to_numpy()
+        lo, hi = (np.flatnonzero(pdf["block"] == pdf[c]) for c in ("lo", "hi"))
+        found = []
+        for i in lo:
+            near = hi[(size[hi] >= threshold * size[i] - 1e-9) & (size[i] >= threshold * size[hi] - 1e-9) & (tid[hi] != tid[i])]
+            found += [(tid[i], tid[j]) for j in near if pruned_jaccard(own[i], own[j], threshold)]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    pairs = dealt(members, sets.select("tid", "text"), block_rows, block_signatures).groupBy("gid", "lo", "hi").applyInPandas(compare, "a long, b long")
+    links = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = components(links).withColumnRenamed("node", "tid")
+    classed = sets.select("tid", "least").join(labels, "tid", "left").withColumn("label", F.coalesce("label", "tid"))
+    best = classed.groupBy("label").agg(F.min("least").alias("class_id"))
+    ids = classed.join(best, "label").select("tid", F.coalesce("class_id", "label").alias("class_id"))
+    return rows.select("key", "tid").join(ids, "tid").select(F.col("key").alias(key), "class_id")
+
+
 def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir).select("doc_id", "text"))

@@ -337,6 +337,43 @@ def test_signatures_and_pruning():
     assert abs(spotsigs.length_class(80, 0.8) - spotsigs.length_class(100, 0.8)) <= 1
 
 
+def test_alike_fingerprints(spark, docs, none):
+    """Classes of sets in one length class and in neighbouring ones, of a hot family too, equal brute force."""
+    rng = np.random.default_rng(6)
+    sets = [rng.choice(5000, int(n), replace=False) for n in rng.integers(3, 60, 40)]
+    for s in sets[:40:2]:
+        sets += [s[1:], s[: len(s) - len(s) // 5], np.append(s[len(s) // 4 :], [9001, 9002])]
+    hot = np.arange(6000, 6050)
+    sets += [np.concatenate([rng.choice(hot, int(n), replace=False), [7000]]) for n in rng.integers(38, 50, 60)] + [sets[0], sets[0], sets[1][:0], sets[1][:0]]
+    sets = [np.unique(s).astype("<u4") for s in sets]
+    top = list(range(len(sets)))
+
+    def root(i):
+        return i if top[i] == i else root(top[i])
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            x, y = set(a.tolist()), set(sets[j].tolist())
+            if x == y or (x and y and len(x & y) >= 0.8 * len(x | y)):
+                top[max(root(i), root(j))] = min(root(i), root(j))
+    df = spark.createDataFrame([(i, spotsigs.fingerprint(s)) for i, s in enumerate(sets)], "doc_id long, fingerprint string")
+    for block_rows in (256, 9):
+        assert sorted((r.doc_id, r.class_id) for r in spotsigs.alike(df, block_rows=block_rows).collect()) == [(i, root(i)) for i in range(len(sets))]
+    prints = spotsigs.fingerprints(docs)
+    assert spotsigs.alike(prints).count() == docs.count()
+    assert spotsigs.alike(df.limit(0)).count() == 0
+
+
+def test_equal_vectors_tie_by_id(spark):
+    """Forty copies of one vector, near but not equal to the query: the smallest ids come first."""
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((600, 48))
+    v[100:140] = v[0] + 0.01
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, lambda i: i == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [100, 101, 102, 103, 104] and len({r.score for r in got}) == 1
+
+
 def test_forward_sums_all_segmentations():
     pieces = language.Pieces(["a", "b", "ab", "▁", "▁a", "bab"])
     prob = np.array([[0.2], [0.1], [0.3], [0.05], [0.15], [0.19], [language.UNKNOWN]])
