@@ -39,7 +39,7 @@ class WordIds:
     `most` chunks are kept; when they are more, all are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 900_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
