@@ -27,6 +27,8 @@ ANCHORS = frozenset(
     el los las del una y es con se lo por para
     """.split()
 )
+#: Among so many next words a content word looks for a common one, and a common word for a content word.
+REACH = 8
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -52,11 +54,19 @@ def _chains(words: np.ndarray, owner: np.ndarray, anchor: np.ndarray, content: n
     return owner[at][real], h[real]
 
 
-def signatures(texts: list[str], chain: int = 3) -> list[np.ndarray]:
+def _ahead(mask: np.ndarray, ends: np.ndarray, reach: int) -> np.ndarray:
+    """Whether some of the next `reach` words of the same text is marked; `ends` is where each word's text ends."""
+    seen, after = np.concatenate(([0], np.cumsum(mask))), np.arange(1, len(mask) + 1)
+    return seen[np.minimum(after + reach, ends)] > seen[after]
+
+
+def signatures(texts: list[str], chain: int = 3, reach: int = REACH) -> list[np.ndarray]:
     """The set of chain hashes (sorted, 32 bits) of each whole text.
 
-    A text without any chain at an anchor, such as one without common words or of nothing else,
-    takes every word for an anchor and for content; one of a single word is that word. Without words the set is empty.
+    What starts a chain is settled by the next words alone, never by the whole text, so a passage gives the
+    same chains in any text, but for those near its end. A common word is an anchor if a word that is not common
+    is among the next `reach`, else it is content. A content word is an anchor too if there is no such common
+    word among the next `reach`. A single word is its own chain. Without words the set is empty.
     """
     own = [t.lower().split() for t in texts]
     flat = pa.array([w for words in own for w in words], pa.string()).dictionary_encode()
@@ -67,14 +77,11 @@ def signatures(texts: list[str], chain: int = 3) -> list[np.ndarray]:
     owner = np.repeat(np.arange(len(texts)), sizes)
     index = flat.indices.to_numpy()
     words, stop = (code[index], common[index]) if len(index) else (np.zeros(0, np.uint64), np.zeros(0, bool))
-    who, h = _chains(words, owner, stop, ~stop, chain)
-    bare = np.ones(len(texts), bool)
-    bare[who] = False
-    if (bare & (sizes > 0)).any():
-        mine = bare[owner]
-        w2, h2 = _chains(words[mine], owner[mine], np.ones(mine.sum(), bool), np.ones(mine.sum(), bool), chain)
-        lone = mine & (sizes[owner] == 1)
-        who, h = np.concatenate([who, w2, owner[lone]]), np.concatenate([h, h2, words[lone]])
+    ends = np.cumsum(sizes)[owner]
+    spot = stop & _ahead(~stop, ends, reach)
+    who, h = _chains(words, owner, spot | ~_ahead(spot, ends, reach), ~spot, chain)
+    lone = sizes[owner] == 1
+    who, h = np.concatenate([who, owner[lone]]), np.concatenate([h, words[lone]])
     key = np.unique((who.astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32)))
     cuts = np.searchsorted(key, np.arange(1, len(texts), dtype=np.uint64) << np.uint64(32))
     return np.split((key & np.uint64(0xFFFFFFFF)).astype("<u4"), cuts)

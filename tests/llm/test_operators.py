@@ -337,6 +337,20 @@ def test_signatures_and_pruning():
     assert abs(spotsigs.length_class(80, 0.8) - spotsigs.length_class(100, 0.8)) <= 1
 
 
+def test_anchors_are_local():
+    """A passage keeps its chains, but for those near its end, whatever common words the rest of the text holds."""
+    words = [f"w{i}" for i in range(120)]
+    free, after = " ".join(words), "the cat of this house is on a mat and it sleeps for an hour in the sun"
+    edited = " ".join(words[:80]) + " " + after
+    one = " ".join([*words[:60], "the", *words[60:]])
+    x, y, z = (set(s.tolist()) for s in spotsigs.signatures([free, edited, one]))
+    assert len(x) > 100 and len(x & y) >= 60 and len(x & y) / len(x | y) > 0.4
+    assert len(z) > 100 and len(x & z) / len(x | z) > 0.7
+    one_edited = set(spotsigs.signatures([" ".join([*words[:60], "the", *words[60:80]]) + " " + after])[0].tolist())
+    assert len(z & one_edited) / len(z | one_edited) > 0.4
+    assert all(len(s) for s in spotsigs.signatures(["hello to", "to", "hello", "the of and", "the " * 30 + "end", "end" + " the" * 30]))
+
+
 def test_alike_fingerprints(spark, docs, none):
     """Classes of sets in one length class and in neighbouring ones, of a hot family too, equal brute force."""
     rng = np.random.default_rng(6)
