@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from lexgrove.llm.common import column, cut, documents, fold, hash_below, slices
 
-#: A run of letters is cut each so many letters; a piece has at most LONGEST code points, its word mark included.
-RUN, LONGEST = 24, 9
+#: A run of letters is cut each so many letters.
+RUN = 24
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Probability of a code point that no piece covers, alike in all languages.
@@ -30,7 +30,7 @@ def vocabulary(path: str) -> list[str]:
 
     sp = SentencePieceProcessor(model_file=path)
     found = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size())}
-    return sorted(p for p in found if len(p) <= LONGEST and p.strip(MARK).isalpha() and p.rfind(MARK) <= 0)
+    return sorted(p for p in found if p.strip(MARK).isalpha() and p.rfind(MARK) <= 0)
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +46,7 @@ class Pieces:
     tables: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        by = [[] for _ in range(LONGEST)]
+        by = [[] for _ in range(self.longest)]
         for i, w in enumerate(self.words):
             by[len(w) - 1].append(i)
         for k, own in enumerate(by):
@@ -57,6 +57,11 @@ class Pieces:
             order = np.argsort(h)
             self.tables.append((h[order], np.array(own, np.int32)[order]))
 
+    @property
+    def longest(self) -> int:
+        """Code points of the longest piece, its word mark included."""
+        return max(map(len, self.words), default=1)
+
     @property
     def unknown(self) -> int:
         return len(self.words)
@@ -90,7 +95,7 @@ class Pieces:
         alpha[0] = 1.0
         for t in range(1, int(lengths[0]) + 1 if len(words) else 0):
             n = int(np.searchsorted(-lengths, -t, side="right"))
-            for k in range(1, min(t, LONGEST) + 1):
+            for k in range(1, min(t, len(ids)) + 1):
                 piece = ids[k - 1][starts[:n] + t - k]
                 at = np.flatnonzero(piece >= 0)
                 alpha[t, at] += alpha[t - k, at] * prob[piece[at]]
@@ -112,7 +117,7 @@ class Pieces:
         steps = []
         for t in range(1, longest + 1):
             n = int(np.searchsorted(-lengths, -t, side="right"))
-            for k in range(1, min(t, LONGEST) + 1):
+            for k in range(1, min(t, len(ids)) + 1):
                 piece = ids[k - 1][starts[:n] + t - k]
                 at = np.flatnonzero(piece >= 0)
                 p = prob[piece[at], lang[at]]

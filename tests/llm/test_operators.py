@@ -403,6 +403,22 @@ def test_forward_sums_all_segmentations():
     assert counts[2, 0] == pytest.approx(2 * 0.05 * 0.3 / z) and counts[4, 0] == pytest.approx(2 * 0.15 * 0.1 / z)
 
 
+def test_no_piece_is_too_long():
+    """All letter pieces of the vocabulary are in the sum, the longest too."""
+    import public_tokenizers
+    from sentencepiece import SentencePieceProcessor
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = SentencePieceProcessor(model_file=path)
+    found = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size())}
+    assert set(language.vocabulary(path)) == {p for p in found if p.strip("▁").isalpha() and "▁" not in p[1:]}
+    pieces = language.Pieces(["s", "▁", "section", "subsection", "▁subsection"])
+    prob = np.array([[0.1], [0.2], [0.05], [0.3], [0.15], [language.UNKNOWN]])
+    whole = 0.15 + 0.2 * 0.3 + 0.2 * 0.1 * language.UNKNOWN**2 * 0.05
+    assert pieces.forward(["▁subsection"], prob)[0, 0] == pytest.approx(np.log(whole), abs=1e-9)
+    assert pieces.expected(["▁subsection"], np.array([1.0]), np.array([0]), prob)[4, 0] == pytest.approx(0.15 / whole)
+
+
 def test_language_of_held_out_rows(spark, docs, none):
     docs2 = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.learn(language.training_rows(docs2), rows_per_language=60, rounds=2)
