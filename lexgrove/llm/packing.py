@@ -12,9 +12,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import column, cut, documents, slices
+from lexgrove.llm.common import column, cut, documents, slices, with_slots
 from lexgrove.llm.tokens import word_ids
 
+#: So many 64-bit hashes are broadcast (8 MB), more are shuffled.
+BROADCAST_ROWS = 1_000_000
+
 
 def fill_bins(items: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bin and place in its bin of each item (a row of sizes) under all limits at once.
@@ -65,18 +68,39 @@ def fill_bins(items: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.nda
     return bins, place
 
 
+def dealt_pieces(pieces: DataFrame, order: list[str], groups: int, many: int) -> DataFrame:
+    """`pieces` with _group: a hash of `order`, and for pieces of which more than `many` are alike in it, in turn from there on.
+
+    Only those are numbered, by the partitions in which they stand; as they are interchangeable,
+    a group gets the same pieces whatever the partitions are.
+    """
+    home = F.xxhash64(*order)
+    often = cut(pieces.groupBy(home.alias("_home")).agg(F.count(F.lit(1)).alias("_alike")).where(F.col("_alike") > many).select("_home"))
+    keyed = pieces.withColumn("_home", home)
+    if not often.take(1):
+        return keyed.withColumn("_group", F.pmod("_home", F.lit(groups)).cast("int")).drop("_home")
+    few = often.count() <= BROADCAST_ROWS
+    hot = F.broadcast(often) if few else often
+    placed = cut(keyed.join(hot, "_home", "left_semi").withColumn("_row", F.monotonically_increasing_id()))
+    buckets = 1 + placed.count() // (4 * many)
+    turned = with_slots(placed, ["_home"], [F.col("_row")], F.col("_row"), buckets, "_turn").drop("_row")
+    spread = turned.withColumn("_group", F.pmod(F.pmod("_home", F.lit(groups)) + F.col("_turn"), F.lit(groups)).cast("int")).drop("_turn")
+    rest = keyed.join(hot, "_home", "left_anti").withColumn("_group", F.pmod("_home", F.lit(groups)).cast("int"))
+    return rest.unionByName(spread).drop("_home")
+
+
 def pack(pieces: DataFrame, tokens: str, loss: str, order: list[str], max_tokens: int = 2048, max_segments: int = 512, max_loss: int | None = None, group_rows: int = 2048) -> DataFrame:
     """Columns of `pieces` with sequence_id and offset; sequences stay under three limits.
 
     tokens and loss are the columns of a piece's tokens and loss-bearing tokens; a sequence
     holds at most max_tokens, max_segments pieces and max_loss. Pieces are dealt to groups
-    of about `group_rows` by a hash of `order`, each packed by fill_bins in the order of size, then
+    of about `group_rows` by a hash of `order`, pieces repeated often in turn, each packed by fill_bins in the order of size, then
     `order`; a group leaves about one sequence unfilled. Pieces alike in `order` are
     interchangeable. An empty table gives no rows.
     """
     limits = np.array([max_tokens, max_segments, max_loss or max_tokens])
     groups = max(1, round(pieces.count() / group_rows))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(*order), F.lit(groups)).cast("int"))
+    dealt = dealt_pieces(pieces, order, groups, max(1, group_rows // 8))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([tokens, *order], ascending=[False, *[True] * len(order)], kind="stable").reset_index(drop=True)

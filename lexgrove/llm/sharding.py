@@ -34,7 +34,7 @@ def shard_documents(
     """Columns of `docs` with size, text_crc32, law, shard, slot and grown_shard.
 
     size is the text's UTF-8 bytes plus 1 (null text: 1). slot numbers a shard's rows from 0
-    by hash bucket of the key, then key and checksum; rows alike in both are interchangeable.
+    by hash bucket of key and checksum, then key and checksum, so rows of one key but other texts don't meet in one task; rows alike in both are interchangeable.
     grown_shard is the shard with one more shard of `grown_weight`. Repeated keys share a
     shard, an empty table gives no rows, and columns of docs named like a result are replaced.
     """
@@ -49,7 +49,7 @@ def shard_documents(
         rendezvous(F.col(key), [*weights, grown_weight], seed).alias("grown_shard"),
     )
     buckets = 1 + docs.count() // (rows_per_bucket * len(weights))
-    return with_slots(rows, ["shard"], [F.col(key), F.col("text_crc32"), F.col("size")], F.struct(F.lit(seed + 1), F.col(key)), buckets, "slot")
+    return with_slots(rows, ["shard"], [F.col(key), F.col("text_crc32"), F.col("size")], F.struct(F.lit(seed + 1), F.col(key), F.col("text_crc32")), buckets, "slot")
 
 
 def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,18 +122,36 @@ def pruned_jaccard(a: np.ndarray, b: np.ndarray, threshold: float = 0.0) -> floa
 def in_order(docs: DataFrame, key: str, text: str, ranges: int, partitions: int) -> DataFrame:
     """Rows (key, text, range, copy) sorted by key from large to small within ranges, several to a partition.
 
-    The keys' quantiles part the rows into ranges, which follow one another. The first row of a
+    The keys' quantiles, and the texts' hashes where one key holds more than a range's share, part the rows into
+    ranges, which follow one another. The first row of a
     range stands once more, as a copy, at the end of the range before it, that of the first at
     the end of the last: so each row's next stands behind it. Only a row a range goes to the driver.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     spot = F.coalesce(F.col("key").cast("double"), F.lit(-1e308))
     inner = rows.select(spot.alias("d")).stat.approxQuantile("d", [i / ranges for i in range(1, ranges)], 0.2 / ranges)
-    splits = [-math.inf, *sorted(set(inner) - {-1e308}), math.inf]
+    # a key that holds several quantiles is a range alone
+    often = {d for d in inner if inner.count(d) > 1}
+    cuts = set(inner) | {math.nextafter(d, math.inf) for d in often}
+    splits = [-math.inf, *sorted(cuts - {-1e308}), math.inf]
     if len(splits) < 3:
         splits = [-math.inf, 0.0, math.inf]
     bucket = Bucketizer(splits=splits, inputCol="_d", outputCol="_b")
-    placed = bucket.transform(rows.withColumn("_d", spot)).select("key", "text", (F.lit(len(splits) - 2) - F.col("_b")).cast("int").alias("range"), F.xxhash64("text").alias("tie"))
+    ranged = bucket.transform(rows.withColumn("_d", spot)).withColumn("range", (F.lit(len(splits) - 2) - F.col("_b")).cast("int"))
+    # a range of one key alone (or null alone) that holds more than its share is parted by the tie
+    held = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("_lo"), F.max("key").alias("_hi"), F.count("key").alias("_keys")).collect()
+    share = max(1, sum(r["_n"] for r in held) // ranges)
+    parts = {r["range"]: -(-r["_n"] // share) if r["_lo"] == r["_hi"] and r["_keys"] in (0, r["_n"]) else 1 for r in held}
+    places, at = [], 0
+    for r in sorted(parts):
+        places.append((r, parts[r], at))
+        at += parts[r]
+    table = docs.sparkSession.createDataFrame(places, "range int, _parts int, _first int")
+    part = F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * F.col("_parts"))
+    placed = (
+        ranged.withColumn("tie", F.xxhash64("text")).join(F.broadcast(table), "range")
+        .select("key", "text", (F.col("_first") + F.least(part, F.col("_parts") - 1)).cast("int").alias("range"), "tie")
+    )
     # nulls last, so least; of equal keys the smaller tie comes first
     first = placed.groupBy("range").agg(F.max(F.struct(F.col("key").isNotNull(), F.col("key"), (-F.col("tie")).alias("minus"))).alias("m"))
     heads = sorted((r["range"], r["m"]["key"], -r["m"]["minus"]) for r in first.select("range", "m").collect()) if rows.take(1) else []

@@ -56,6 +56,20 @@ def test_shards(docs, none):
         sharding.shard_documents(docs, [])
 
 
+def test_a_frequent_key_is_slotted_in_many_buckets(spark, monkeypatch):
+    most = []
+
+    def spy(df, groups, order, bucket_key, buckets, slot):
+        most.append(max(r["count"] for r in df.groupBy(F.pmod(F.xxhash64(bucket_key), F.lit(buckets))).count().collect()))
+        return with_slots(df, groups, order, bucket_key, buckets, slot)
+
+    with_slots = sharding.with_slots
+    monkeypatch.setattr(sharding, "with_slots", spy)
+    df = spark.createDataFrame([(None if i % 3 else i, f"text {i}") for i in range(900)], "doc_id long, text string")
+    got = sharding.shard_documents(df, [1.0], rows_per_bucket=50).collect()
+    assert sorted(r.slot for r in got) == list(range(900)) and most[0] < 150
+
+
 def test_shard_weights(spark):
     n = 20_000
     got = Counter(r[0] for r in spark.range(n).select(sharding.rendezvous(F.col("id"), [1.0, 2.0, 1.0])).collect())
@@ -159,6 +173,23 @@ def test_packing_round_trip(docs, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_repeated_pieces_go_to_all_groups(spark):
+    """Pieces repeated as a whole are dealt in turn, the same way whatever the partitions are."""
+    rows = [(None, 0, 9)] * 3000 + [(7, 0, 5)] * 1000 + [(i, 0, i % 11) for i in range(100, 2100)]
+    df = spark.createDataFrame(rows, "doc_id long, start long, ids_crc32 long")
+    order = ["doc_id", "start", "ids_crc32"]
+    got = [Counter(map(tuple, packing.dealt_pieces(packing.cut(df.repartition(n)), order, 20, 50).collect())) for n in (2, 7)]
+    assert got[0] == got[1] and Counter({k: v for k, v in Counter(rows).items()}) == Counter(x for (*k, _), v in got[0].items() for x in [tuple(k)] * v)
+    sizes = Counter()
+    for (*_, group), n in got[0].items():
+        sizes[group] += n
+    assert len(sizes) == 20 and max(sizes.values()) < 400
+    docs = spark.createDataFrame([(None, "one two three")] * 400 + [(1, "four")], "doc_id long, text string")
+    pieces = packing.token_pieces(docs)
+    packed = packing.pack(packing.cut(pieces), "length", "loss_tokens", order, 64, 8, group_rows=40).collect()
+    assert len(packed) == 401 and max(Counter(r.sequence_id >> 32 for r in packed).values()) < 80
+
+
 @pytest.mark.parametrize("seed", range(10))
 def test_fill_bins_takes_the_largest_dot_product(seed):
     rng = np.random.default_rng(seed)
@@ -351,6 +382,25 @@ def test_anchors_are_local():
     assert all(len(s) for s in spotsigs.signatures(["hello to", "to", "hello", "the of and", "the " * 30 + "end", "end" + " the" * 30]))
 
 
+@pytest.mark.parametrize("hot", [None, 500])
+def test_a_frequent_key_is_parted_in_order(spark, hot):
+    """A key (or null) of a third of the rows is dealt to many ranges, and each row's next stays the next."""
+    rows = [(i * 10, f"text {i}") for i in range(400)] + [(hot, f"other {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = spotsigs.in_order(df, "doc_id", "text", 32, 4).collect()
+    own = Counter(r.range for r in got if not r.copy and r.key == hot)
+    assert sum(own.values()) >= 200 and max(own.values()) < 60
+    tie = {r.text: r.tie for r in df.select("text", F.xxhash64("text").alias("tie")).collect()}
+    line = [(r.key, r.text) for r in sorted((r for r in got if not r.copy), key=lambda r: (r.range, r.key is None, -(r.key or 0), tie[r.text]))]
+    assert line == sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1]]))
+    follows = {x[1]: y[1] for x, y in zip(line, line[1:] + line[:1])}
+    by = defaultdict(list)
+    for r in got:
+        by[r.range].append(r)
+    seen = {x.text: y.text for own in by.values() for x, y in zip(own, own[1:]) if not x.copy}
+    assert seen == follows
+
+
 def test_alike_fingerprints(spark, docs, none):
     """Classes of sets in one length class and in neighbouring ones, of a hot family too, equal brute force."""
     rng = np.random.default_rng(6)
