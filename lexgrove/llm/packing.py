@@ -145,13 +145,17 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str | None = None, max_tokens: int = 2048, max_segments: int = 512) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str | None = None, max_tokens: int = 2048, max_segments: int = 512, max_loss: int | None = None) -> DataFrame:
     """Each text's pieces in sequences; the pieces' ids are encoded once and not moved.
 
+    max_loss, if given, is the most loss-bearing tokens of a sequence, and pieces are cut so that each is within it.
+    Without it that limit is max_tokens and never binds, as all tokens but end marks bear loss.
     Repeated rows are packed as often as they occur; a null or empty text is its end mark.
     """
-    pieces = cut(token_pieces(docs, vocabulary, max_tokens=max_tokens))
-    packed = pack(pieces, "length", "loss_tokens", ["doc_id", "start", "ids_crc32"], max_tokens, max_segments)
+    if max_loss is not None and max_loss < 1:
+        raise ValueError("max_loss: from 1")
+    pieces = cut(token_pieces(docs, vocabulary, max_tokens=min(max_tokens, max_loss or max_tokens)))
+    packed = pack(pieces, "length", "loss_tokens", ["doc_id", "start", "ids_crc32"], max_tokens, max_segments, max_loss)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 

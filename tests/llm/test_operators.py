@@ -173,6 +173,16 @@ def test_packing_round_trip(docs, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packing_under_a_loss_limit(spark):
+    """Where max_loss is under max_tokens it is the limit that binds: end marks bear no loss."""
+    df = spark.createDataFrame([(i, "one two three four five six"[: 3 + 4 * (i % 6)]) for i in range(60)] + [(99, "word " * 200)], "doc_id long, text string")
+    free, held = (packing.pack_documents(df, max_tokens=40, max_segments=39, **o).collect() for o in ({}, {"max_loss": 20}))
+    sums = lambda rows, c: Counter([x for r in rows for x in [r.sequence_id] * r[c]])
+    assert max(sums(free, "loss_tokens").values()) > 20 == max(sums(held, "loss_tokens").values())
+    assert 20 < max(sums(held, "length").values()) <= 40
+    assert sums(held, "length").total() == sums(free, "length").total() and sums(held, "loss_tokens").total() == sums(free, "loss_tokens").total()
+
+
 def test_repeated_pieces_go_to_all_groups(spark):
     """Pieces repeated as a whole are dealt in turn, the same way whatever the partitions are."""
     rows = [(None, 0, 9)] * 3000 + [(7, 0, 5)] * 1000 + [(i, 0, i % 11) for i in range(100, 2100)]
