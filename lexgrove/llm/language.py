@@ -265,7 +265,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def language_stage(docs: DataFrame, least: float = 0.6) -> DataFrame:
-    """Documents of a known language; `und` and those with a posterior under `least` go."""
+def language_stage(docs: DataFrame) -> DataFrame:
+    """Documents to which a language is given; `und` alone goes, whatever the posterior of the others."""
     known = identify(docs, learn(training_rows(docs)))
-    return known.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    return known.where(F.col("lang_pred") != "und").select(*docs.columns)

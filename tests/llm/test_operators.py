@@ -491,6 +491,18 @@ def test_language_of_held_out_rows(spark, docs, none):
     assert language.language_stage(docs2).columns == docs2.columns
 
 
+def test_language_stage_drops_only_und(spark):
+    """Short clean documents between near languages stay, whatever their posterior."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    short = [(-1 - i, a) for i, a in enumerate("a e i o u n de es en la un no si me so".split())] + [(-100, "12 !"), (-101, None), (-102, "")]
+    few = spark.createDataFrame(short, "doc_id long, text string")
+    both = docs.unionByName(few, allowMissingColumns=True)
+    scores = {r.doc_id: r.score for r in language.identify(few, language.learn(language.training_rows(both))).collect()}
+    assert any(0 < s < 0.6 for s in scores.values())
+    got = {r.doc_id for r in language.language_stage(both).where("doc_id < 0").collect()}
+    assert got == {i for i, t in short if i > -100}
+
+
 def test_quality_of_held_out_rows(spark, docs, none):
     got = {r.doc_id: r for r in quality.op3_pu_quality(spark, "/root/testdata/sf0.01").collect()}
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
