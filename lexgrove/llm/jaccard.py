@@ -92,8 +92,8 @@ def forest(texts: DataFrame, trees: int, depth: int, partitions: int) -> DataFra
 def forest_pairs(flat: DataFrame, depth: int, least: int, reach: int) -> DataFrame:
     """Candidate pairs a < b of texts: neighbours in some tree with a common prefix of `least` labels or more.
 
-    A text is paired with the `reach` texts before it as far as they share the prefix: the longest
-    shared prefixes first, then shorter ones down to `least`. Texts further apart are left to `far_links`.
+    A text is paired with the `reach` texts before it as far as they share the prefix. `least` is one constant
+    computed from the recall (forest_depth), not shortened step by step; deeper labels only order the rows. Texts further apart are left to `far_links`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
