@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +15,79 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: What is broadcast has at most so many bytes by its rows' width.
+BROADCAST_BYTES = 8 << 20
+#: glibc's names of two settings: from how many bytes on an allocation is given back when freed, and a heap's free top.
+_TRIM_THRESHOLD, _MMAP_THRESHOLD = -1, -3
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder of spark.checkpoint.dir; a temporary folder only where none is set."""
+    """Reliable checkpoint in the folder of spark.checkpoint.dir.
+
+    Where none is set a local session gets a temporary folder; on a cluster, whose machines don't share one, that is an error.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir: a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, row_bytes: int = 8) -> DataFrame:
+    """For a join: broadcast if its rows, counted, take at most BROADCAST_BYTES at `row_bytes` each; else as it is, so that the join shuffles."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def nested(docs: DataFrame) -> DataFrame:
+    """One column `row` with all columns of docs, so that no helper column has a name of theirs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def nested_columns(docs: DataFrame) -> list[Column]:
+    """The columns of docs from the column `row` of what came from nested(docs)."""
+    return [F.col("row").getField(c).alias(c) for c in docs.columns]
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of the column `row` of what came from nested(docs), maps and variants aside."""
+    names = [f.name for f in docs.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    return F.xxhash64(F.lit(len(names)), *[F.col("row").getField(c) for c in names])
+
+
+@functools.cache
+def _libc():
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(_MMAP_THRESHOLD, 4 << 20)
+        libc.mallopt(_TRIM_THRESHOLD, 8 << 20)
+        return libc
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def release() -> None:
+    """Give freed memory back to the system: Spark reuses a Python worker in later stages, which would else add what it keeps to theirs."""
+    pa.default_memory_pool().release_unused()
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A mapInArrow function that gives its memory back when its task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        _libc()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

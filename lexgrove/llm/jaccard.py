@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,12 +11,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lexgrove.llm.common import column, cut, documents, slices
+from lexgrove.llm.common import column, cut, documents, lean, nested, nested_columns, row_hash, slices, small
 
-#: Sets of at most so many 64-bit ids are broadcast (8 MB), larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -52,90 +50,112 @@ def forest_depth(threshold: float, trees: int, recall: float, deepest: int) -> i
     return 1
 
 
+def ask_depths(threshold: float, trees: int, recall: float, deepest: int, free: int) -> list[int]:
+    """For c = 0 to `trees`: the prefix length at which a text with company in c trees asks.
+
+    In a tree where nobody shares its first `free` labels a text's prefix is shortened to those at no cost, and a
+    similar text would have been there with probability threshold**free. In the c trees with company it starts at
+    the deepest label and shortens, a label at a time, until by all trees together a text of that
+    Jaccard has been met with probability `recall`.
+    """
+    depths = []
+    for c in range(trees + 1):
+        missed = (1 - threshold**free) ** (trees - c)
+        depths.append(next((d for d in range(deepest, free, -1) if missed * (1 - threshold**d) ** c <= 1 - recall), free))
+    return depths
+
+
+def least_agreement(threshold: float, bits: int, lost: float = 1e-7) -> int:
+    """Of `bits` one-bit minhashes, how many two texts of that Jaccard have in common at least, but for a share `lost` of such pairs."""
+    p, below, n = (1 + threshold) / 2, 0.0, 0
+    while (below := below + math.comb(bits, n) * p**n * (1 - p) ** (bits - n)) <= lost:
+        n += 1
+    return n
+
+
 def signed(docs: DataFrame, words: int, trees: int, depth: int, seed: int) -> DataFrame:
-    """tid, id, key (a hash of the text's words), n_shingles and labels (a byte for each of trees * depth hash functions)."""
+    """tid, id, key (a hash of the text's words), n_shingles, labels (a byte for each of trees * depth hash functions) and s0 to s2.
+
+    s0 to s2 hold one more bit of each of the first 192 functions' least values: two texts agree in a bit with
+    probability (1 + Jaccard) / 2, which tells most pairs that are far from alike without their texts.
+    """
     rng = np.random.default_rng(seed)
     factor = (rng.integers(0, 1 << 32, trees * depth, np.uint64) | np.uint64(1)).astype(np.uint32)
     shift = rng.integers(0, 1 << 32, trees * depth, np.uint64).astype(np.uint32)
+    names = ["tid", "id", "key", "n_shingles", "labels", "s0", "s1", "s2"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             n = batch.num_rows
             h, owner, keys = shingle_hashes([t or "" for t in column(batch, "text").to_pylist()], words)
             count = np.bincount(owner, minlength=n)
             have = np.flatnonzero(count)
-            labels = np.zeros((n, trees * depth), np.uint8)
+            labels, bits = np.zeros((n, trees * depth), np.uint8), np.zeros((n, 192), np.uint8)
             if len(have):
                 first, low = (np.cumsum(count) - count)[have], (h >> np.uint64(16)).astype(np.uint32)
                 for j in range(trees * depth):
-                    least = np.minimum.reduceat((low ^ shift[j]) * factor[j], first)
-                    labels[have, j] = ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+                    least = np.minimum.reduceat((low ^ shift[j]) * factor[j], first) * np.uint32(0x9E3779B1)
+                    labels[have, j] = (least >> np.uint32(24)).astype(np.uint8)
+                    if j < 192:
+                        bits[have, j] = (least >> np.uint32(23)).astype(np.uint8) & 1
             packed = pa.array([x.tobytes() for x in labels], pa.binary())
-            yield pa.RecordBatch.from_arrays([column(batch, "tid"), column(batch, "id"), pa.array(keys, pa.binary()), pa.array(count, pa.int64()), packed], ["tid", "id", "key", "n_shingles", "labels"])
+            sketch = np.packbits(bits, axis=1).view("<i8")
+            yield pa.RecordBatch.from_arrays([column(batch, "tid"), column(batch, "id"), pa.array(keys, pa.binary()), pa.array(count, pa.int64()), packed, *[pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(3)]], names)
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("tid", "id", "text").mapInArrow(run, f"tid long, id {kind}, key binary, n_shingles long, labels binary")
-
+    return docs.select("tid", "id", "text").mapInArrow(run, f"tid long, id {kind}, key binary, n_shingles long, labels binary, s0 long, s1 long, s2 long")
 
-def forest(texts: DataFrame, trees: int, depth: int, partitions: int) -> DataFrame:
-    """tid, tree, label and range of each text (tid, labels) in each tree.
 
-    A tree is its labels in sorted order, a prefix trie laid flat and dealt by ranges, so
-    that no prefix, however many texts share it, meets in one task.
-    """
-    label = F.array(*[F.struct(F.lit(t).alias("tree"), F.expr(f"substring(labels, {t * depth + 1}, {depth})").alias("label")) for t in range(trees)])
-    rows = texts.select("tid", F.explode(label).alias("x")).select("tid", "x.tree", "x.label")
-    flat = cut(rows.repartitionByRange(partitions, "tree", "label", "tid").sortWithinPartitions("tree", "label", "tid"))
-    return flat.withColumn("range", F.spark_partition_id())
+def _node(tree: Column, label: Column, depth: Column) -> Column:
+    return F.xxhash64(tree, depth, F.substring(label, F.lit(1), depth))
 
 
-def forest_pairs(flat: DataFrame, depth: int, least: int, reach: int) -> DataFrame:
-    """Candidate pairs a < b of texts: neighbours in some tree with a common prefix of `least` labels or more.
+def forest(texts: DataFrame, trees: int, depth: int, least: int, free: int, depths: list[int]) -> DataFrame:
+    """node, tid, ask and s0 to s2: the prefixes (nodes) of `least` to `depth` labels of texts (tid, labels, s0 to s2) with company.
 
-    A text is paired with the `reach` texts before it as far as they share the prefix. `least` is one constant
-    computed from the recall (forest_depth), not shortened step by step; deeper labels only order the rows. Texts further apart are left to `far_links`.
+    A text without company under its first `free` labels in any tree has no row. ask is true at the
+    length which `depths` has for the number of its trees with company: there it wants to meet all under its prefix.
+    Only prefixes under which some text asks, of two texts or more, are returned. Counts meet by aggregation, so no prefix, however many texts share it, is in one task.
     """
+    label = F.array(*[F.struct(F.lit(t).alias("tree"), F.expr(f"substring(labels, {t * depth + 1}, {depth})").alias("label")) for t in range(trees)])
+    rows = texts.select("tid", "s0", "s1", "s2", F.explode(label).alias("x")).select("tid", "s0", "s1", "s2", "x", _node(F.col("x.tree"), F.col("x.label"), F.lit(free)).alias("node"))
+    company = cut(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"))
+    met = rows.join(small(company), "node", "left_semi").groupBy("tid", "s0", "s1", "s2").agg(F.collect_list("x").alias("xs"))
+    asked = F.element_at(F.array(*[F.lit(d) for d in depths]), F.size("xs") + 1)
+    deep = F.explode(F.array(*[F.lit(d) for d in range(least, depth + 1)])).alias("d")
+    spread = met.select("tid", "s0", "s1", "s2", asked.alias("asked"), F.explode("xs").alias("x")).select("*", deep)
+    placed = cut(spread.select(_node(F.col("x.tree"), F.col("x.label"), F.col("d")).alias("node"), "tid", (F.col("d") == F.col("asked")).alias("ask"), "s0", "s1", "s2"))
+    live = cut(placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bool_or("ask").alias("asked")).where("n > 1 and asked").select("node"))
+    return placed.join(small(live), "node", "left_semi")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tid, tree, lab = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros((0, depth), np.uint8)
-        for batch in batches:
-            old, n = len(tid), batch.num_rows
-            raw = np.frombuffer(b"".join(column(batch, "label").to_pylist()), np.uint8).reshape(n, depth)
-            tid = np.concatenate([tid, column(batch, "tid").to_numpy()])
-            tree = np.concatenate([tree, column(batch, "tree").to_numpy()])
-            lab = np.concatenate([lab, raw])
-            a, b = [], []
-            for w in range(1, min(reach, len(tid) - 1) + 1):
-                meet = (tree[w:] == tree[:-w]) & (lab[w:, :least] == lab[:-w, :least]).all(axis=1)
-                meet[: max(0, old - w)] = False
-                at = np.flatnonzero(meet)
-                a.append(tid[at])
-                b.append(tid[at + w])
-            if a:
-                x, y = np.concatenate(a), np.concatenate(b)
-                pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[x != y], axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
-            tid, tree, lab = tid[-reach:], tree[-reach:], lab[-reach:]
-
-    return flat.mapInArrow(run, "a long, b long").distinct()
 
+def _agreement(a: str, b: str) -> Column:
+    """Bits in which two sketches agree, of 192."""
+    return F.lit(192) - sum((F.bit_count(F.col(f"{a}s{j}").bitwiseXOR(F.col(f"{b}s{j}"))) for j in range(3)), F.lit(0))
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
+def leader_pairs(placed: DataFrame, agree: int, leaders: int) -> DataFrame:
+    """Candidate pairs a, b: each text a with leaders b, the least texts, of the prefixes that it is under.
 
-def _semi(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    return df.join(_small(ids), on, "left_semi")
+    Of a text's leaders whose sketches agree in at least `agree` bits the nearest `leaders` are taken: copies of one text
+    share their leaders, so that few links tie them together. What isn't linked so is left to far_links.
+    """
+    lead = placed.groupBy("node").agg(F.min(F.struct("tid", "s0", "s1", "s2")).alias("m")).select("node", F.col("m.tid").alias("b"), *[F.col(f"m.s{j}").alias(f"_s{j}") for j in range(3)])
+    met = placed.join(small(cut(lead), 40), "node").where("tid <> b").withColumn("near", _agreement("", "_")).where(F.col("near") >= agree)
+    best = met.groupBy(F.col("tid").alias("a")).agg(F.collect_set(F.struct((-F.col("near")).alias("far"), "b")).alias("x"))
+    return best.select("a", F.explode(F.slice(F.array_sort("x"), 1, leaders)).alias("x")).select("a", "x.b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
     """The pairs whose sets of shingles have a Jaccard of `threshold` or more, from the whole texts (tid, text)."""
     involved = cut(pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct())
-    own = _semi(texts, involved, "tid")
+    own = texts.join(small(involved), "tid", "left_semi").dropDuplicates(["tid"])
     left = own.join(pairs.groupBy(F.col("a").alias("tid")).agg(F.collect_list("b").alias("bs")), "tid")
     left = left.select(F.col("tid").alias("a"), F.col("text").alias("text_a"), F.explode("bs").alias("tid"))
     both = left.join(own, "tid").select("a", F.col("tid").alias("b"), "text_a", "text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             mine = column(batch, "text_a").dictionary_encode()
@@ -167,16 +187,20 @@ def components(links: DataFrame) -> DataFrame:
 
     Labels fall to the least of the neighbours' labels and then to their label's label, until none changes.
     """
-    ends = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    back = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    ends = cut(links.select("a", "b").unionByName(back).unionByName(back.select("a", F.col("a").alias("b"))).unionByName(links.select("a", F.col("a").alias("b"))).distinct())
+    labels = cut(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")))
+    total = F.sum(F.col("label").cast("decimal(38,0)"))
+    before = labels.agg(total).first()[0]
     while True:
-        near = ends.join(labels, ends["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("low"))
-        fell = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("was"), F.least("label", "low").alias("label"))
-        over = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = cut(fell.join(over, "label").select("node", "was", F.least("label", "next").alias("label")))
-        if not labels.where("label <> was").take(1):
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")
+        near = ends.join(small(labels.withColumnRenamed("node", "b"), 16), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label"))
+        near = cut(near)
+        over = near.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        labels = cut(near.join(small(over, 16), "label").select("node", F.col("next").alias("label")))
+        after = labels.agg(total).first()[0]
+        if after == before:  # labels only fall
+            return labels
+        before = after
 
 
 def dealt(members: DataFrame, texts: DataFrame, block_rows: int, block_shingles: int) -> DataFrame:
@@ -195,9 +219,9 @@ def dealt(members: DataFrame, texts: DataFrame, block_rows: int, block_shingles:
     hashed = F.xxhash64(F.lit(5), "tid")
     block = F.when(F.col("main"), F.pmod(hashed, F.greatest("mains", F.lit(1)))).otherwise(F.col("mains") + F.pmod(hashed, F.greatest("others", F.lit(1)))).cast("int")
     meets = F.explode(F.expr("sequence(if(main, mains, 0), mains + others - 1)"))
-    placed = members.join(_small(many), "gid").withColumn("block", block).withColumn("other", meets)
+    placed = members.join(small(many, 16), "gid").withColumn("block", block).withColumn("other", meets)
     placed = placed.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "mains", "others", "main", "n_shingles")
-    own = _semi(texts, members.select("tid").distinct(), "tid").dropDuplicates(["tid"])
+    own = texts.join(small(members.select("tid").distinct()), "tid", "left_semi").dropDuplicates(["tid"])
     return placed.join(own, "tid")
 
 
@@ -219,35 +243,55 @@ def linked(texts: list[str], left: np.ndarray, right: np.ndarray, words: int, th
     return (both >= threshold * (size[left][:, None] + size[right][None] - both)) & (left[:, None] != right[None]) & (both > 0)
 
 
-def far_links(flat: DataFrame, labels: DataFrame, light: DataFrame, texts: DataFrame, least: int, reach: int, words: int, threshold: float, block_rows: int, block_shingles: int) -> DataFrame:
-    """Links (a, b) that join classes (labels: node, label) between texts under one prefix that were no neighbours.
+def suspects(members: DataFrame, agree: int, block_rows: int) -> DataFrame:
+    """gid, tid and label of members (gid, tid, label, s0 to s2) with another of the group that has another label and a sketch that agrees.
+
+    Blocks of about `block_rows` sketches meet each block of their group; a sketch is 24 bytes.
+    """
+    many = members.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64(F.lit(6), "tid"), F.col("blocks")).cast("int")
+    placed = members.join(small(cut(many), 12), "gid").withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    placed = placed.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "blocks")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = (np.flatnonzero(pdf["block"] == pdf[c]) for c in ("lo", "hi"))
+        label, bits = pdf["label"].to_numpy(), pdf[["s0", "s1", "s2"]].to_numpy(np.int64).view(np.uint64)
+        hit = np.zeros(len(pdf), bool)
+        for a in range(0, len(lo), 128):
+            part = lo[a : a + 128]
+            apart = sum(np.bitwise_count(bits[part, j][:, None] ^ bits[hi, j][None]) for j in range(3))
+            near = (apart <= 192 - agree) & (label[part][:, None] != label[hi][None])
+            hit[part] |= near.any(axis=1)
+            hit[hi] |= near.any(axis=0)
+        return pdf.loc[hit, ["gid", "tid", "label"]]
+
+    return placed.groupBy("gid", "lo", "hi").applyInPandas(run, "gid long, tid long, label long").distinct()
+
 
-    Prefixes of more than `reach` + 1 texts, or parted by a range's end, are looked at where their
-    texts are of several classes; all their pairs of different classes are verified in blocks, and a text's
-    first link into each class is returned. Texts of a prefix's largest class don't meet one another.
+def far_links(placed: DataFrame, labels: DataFrame, light: DataFrame, texts: DataFrame, agree: int, words: int, threshold: float, block_rows: int, block_shingles: int) -> DataFrame:
+    """Links (a, b) of classes (labels: node, label) between texts under one prefix (placed: node, tid, s0 to s2) that leaders left apart.
+
+    Prefixes whose texts are of several classes are looked at; their texts that may be alike by their sketches
+    are verified in blocks, all pairs of different classes. Texts of a prefix's largest class don't meet one another.
     """
-    keyed = flat.select("tid", "tree", F.expr(f"substring(label, 1, {least})").alias("prefix"), "range")
     size = F.count(F.lit(1))
-    wide = keyed.groupBy("tree", "prefix").agg(size.alias("n"), F.min("range").alias("low"), F.max("range").alias("high")).where(f"n > {reach + 1} or high > low")
-    wide = cut(wide.select("tree", "prefix"))
-    under = keyed.join(_small(wide), ["tree", "prefix"]).join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid")).drop("range")
+    under = placed.drop("ask").join(small(labels.withColumnRenamed("node", "tid"), 16), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
     # prefixes over the same texts, in several trees, are one group
-    mixed = under.groupBy("tree", "prefix").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.xxhash64(size, F.bit_xor(F.xxhash64("tid")), F.bit_xor(F.xxhash64(F.lit(1), "tid"))).alias("gid"))
-    mixed = cut(mixed.where("low < high").select("tree", "prefix", "gid"))
-    members = under.join(_small(mixed), ["tree", "prefix"]).select("gid", "tid", "label").distinct().join(light.select("tid", "n_shingles"), "tid")
-    members = cut(members)
+    mixed = under.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.xxhash64(size, F.bit_xor(F.xxhash64("tid")), F.bit_xor(F.xxhash64(F.lit(1), "tid"))).alias("gid"))
+    mixed = cut(mixed.where("low < high").groupBy("gid").agg(F.min("node").alias("node")))
+    members = cut(under.join(small(mixed, 16), "node").select("gid", "tid", "label", "s0", "s1", "s2"))
+    members = cut(suspects(members, agree, 8 * block_rows).join(light.select("tid", "n_shingles"), "tid"))
     largest = members.groupBy("gid", "label").agg(size.alias("n")).groupBy("gid").agg(F.max(F.struct("n", "label"))["label"].alias("top"))
-    members = members.join(_small(largest), "gid").withColumn("main", F.col("label") == F.col("top")).drop("top")
+    members = members.join(small(cut(largest), 16), "gid").withColumn("main", F.col("label") == F.col("top")).drop("top")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = (np.flatnonzero(pdf["block"] == pdf[c]) for c in ("lo", "hi"))
-        tid, label = pdf["tid"].to_numpy(), pdf["label"].to_numpy()
+        label = pdf["label"].to_numpy()
         hit = linked(pdf["text"].tolist(), lo, hi, words, threshold) & (label[lo][:, None] != label[hi][None])
         x, y = np.nonzero(hit)
-        found = pd.DataFrame({"a": tid[lo][x], "b": tid[hi][y], "into": label[hi][y]})
-        return found.drop_duplicates(["a", "into"])[["a", "b"]]
+        return pd.DataFrame({"a": label[lo][x], "b": label[hi][y]}).drop_duplicates()
 
-    return dealt(members, texts, block_rows, block_shingles).groupBy("gid", "lo", "hi").applyInPandas(run, "a long, b long")
+    return dealt(members, texts, block_rows, block_shingles).groupBy("gid", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
 
 
 def class_links(members: DataFrame, texts: DataFrame, words: int, threshold: float, block_rows: int, block_shingles: int) -> DataFrame:
@@ -266,8 +310,8 @@ def class_links(members: DataFrame, texts: DataFrame, words: int, threshold: flo
     return counted.groupBy("tid").agg(F.sum("n").alias("linked"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, trees: int = 20, depth: int = 9, recall: float = 0.99, reach: int = 3, seed: int = 1, key: str = "doc_id", text: str = "text", count_links: bool = True, block_rows: int = 256, block_shingles: int = 500_000) -> DataFrame:
-    """A row per document: tid, key, class_id, text_id, n_links and keep.
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, trees: int = 20, depth: int = 9, recall: float = 0.99, leaders: int = 3, seed: int = 1, key: str = "doc_id", text: str = "text", count_links: bool = True, block_rows: int = 256, block_shingles: int = 500_000) -> DataFrame:
+    """A row per document: tid, key, class_id, text_id, n_links, keep and alone.
 
     Documents of the same words (case and white space aside) are copies; of each such text
     one goes through the forest. Candidates are verified exactly: Jaccard of the sets of
@@ -275,34 +319,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tre
     class_id is its least key, text_id the least key of the document's copies. n_links is the number of other documents that are
     copies or whose text, of those of the class, has that Jaccard with this document's text, in classes of any size;
     without count_links it is 0. keep marks one document of each class. A text without words
-    (or null) is a class of its own, as is each such row; rows alike in key and text are copies. A class without a key has the hash tid as its id.
+    (or null) is a class of its own (alone), as is each such row; rows alike in key and text are copies. A class without a key has the hash tid as its id.
     """
     rows = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("tid"), F.col(key).alias("id"), F.col(text).alias("text"))
     signs = cut(signed(rows, words, trees, depth, seed))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("tid"))).alias("m")
-    texts = cut(signs.where("n_shingles > 0").groupBy("key").agg(least, F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels"), F.first("n_shingles").alias("n_shingles")).select("key", F.col("m.id").alias("text_id"), F.col("m.tid").alias("tid"), "copies", "labels", "n_shingles"))
-    partitions = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    shortest, bodies = forest_depth(threshold, trees, recall, depth), rows.select("tid", "text")
-    flat = forest(texts.select("tid", "labels"), trees, depth, partitions)
+    firsts = [F.first(c).alias(c) for c in ("labels", "n_shingles", "s0", "s1", "s2")]
+    texts = signs.where("n_shingles > 0").groupBy("key").agg(least, F.count(F.lit(1)).alias("copies"), *firsts)
+    texts = cut(texts.select("key", F.col("m.id").alias("text_id"), F.col("m.tid").alias("tid"), "copies", "labels", "n_shingles", "s0", "s1", "s2"))
+    shortest, agree, bodies = forest_depth(threshold, trees, recall, depth), least_agreement(threshold, min(192, trees * depth)) + max(0, 192 - trees * depth), rows.select("tid", "text")
+    free = max(1, shortest - 2)
+    placed = forest(texts, trees, depth, shortest, free, ask_depths(threshold, trees, recall, depth, free))
     light = texts.select("key", "tid", "text_id", "copies", "n_shingles")
-    links = cut(verified(cut(forest_pairs(flat, depth, shortest, reach)), bodies, words, threshold))
-    labels = components(links)
-    far = cut(far_links(flat, labels, light, bodies, shortest, reach, words, threshold, block_rows, block_shingles))
+    labels = components(verified(cut(leader_pairs(placed, agree, leaders)), bodies, words, threshold))
+    far = cut(far_links(placed, labels, light, bodies, agree, words, threshold, block_rows, block_shingles))
     if far.take(1):
-        links = links.unionByName(far)
-        labels = components(links)
-    classed = light.join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
+        joined = components(far).select(F.col("node").alias("label"), F.col("label").alias("root"))
+        lone = joined.join(labels, "label", "left_anti").select(F.col("label").alias("node"), F.col("root").alias("label"))
+        labels = cut(labels.join(small(joined, 16), "label", "left").select("node", F.coalesce("root", "label").alias("label")).unionByName(lone))
+    classed = cut(light.join(small(labels.withColumnRenamed("node", "tid"), 16), "tid", "left").withColumn("label", F.coalesce("label", "tid")))
+    best = classed.groupBy("label").agg(F.min(F.struct(F.col("text_id").isNull().alias("none"), F.col("text_id"), F.col("tid"))).alias("best"), F.count(F.lit(1)).alias("n_texts"))
+    best = cut(best.where("n_texts > 1").select("label", "best"))
     if count_links:
-        classed = cut(classed)
-        several = _small(cut(classed.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("label").alias("gid"))))
-        members = cut(classed.withColumnRenamed("label", "gid").join(several, "gid").select("gid", "tid", "copies", "n_shingles"))
+        members = cut(classed.withColumnRenamed("label", "gid").join(small(best.select(F.col("label").alias("gid"))), "gid", "left_semi").select("gid", "tid", "copies", "n_shingles"))
         weight = class_links(members, bodies, words, threshold, block_rows, block_shingles)
         classed = classed.join(weight, "tid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("linked", F.lit(0)))
     else:
         classed = classed.withColumn("n_links", F.lit(0))
-    best = classed.groupBy("label").agg(F.min(F.struct(F.col("text_id").isNull().alias("none"), F.col("text_id"), F.col("tid"))).alias("best"))
-    known = classed.join(best, "label").select("key", "text_id", F.coalesce(F.col("best.text_id"), F.col("best.tid")).alias("class_id"), F.col("best.tid").alias("kept"), "n_links")
-    found = signs.select("tid", "id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key")).alias("key")).join(known, "key", "left")
+    known = classed.join(small(best, 64), "label", "left").select("key", "text_id", F.coalesce(F.col("best.text_id"), F.col("best.tid"), F.col("text_id"), F.col("tid")).alias("class_id"), F.coalesce(F.col("best.tid"), F.col("tid")).alias("kept"), "n_links")
+    found = signs.select("tid", "id", F.when(F.col("n_shingles") > 0, F.col("key")).alias("key")).join(known, "key", "left")
     alone = F.col("kept").isNull()
     return found.select(
         "tid",
@@ -311,7 +356,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tre
         F.coalesce("text_id", "id").alias("text_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         (alone | (F.col("tid") == F.col("kept"))).alias("keep"),
-        alone.alias("_alone"),
+        alone.alias("alone"),
     )
 
 
@@ -320,8 +365,13 @@ def op1_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(docs: DataFrame) -> DataFrame:
-    """One document of each class stays; every row without words stays."""
-    kept = near_duplicates(docs, count_links=False).where("keep").groupBy(F.col("tid").alias("_tid")).agg(F.max("_alone").alias("_alone"))
-    turn = F.row_number().over(Window.partitionBy("_tid").orderBy("lang", "source"))
-    rows = docs.withColumn("_tid", F.xxhash64("doc_id", "text")).join(kept, "_tid").withColumn("_turn", turn)
-    return rows.where(F.col("_alone") | (F.col("_turn") == 1)).select(*docs.columns)
+    """One document of each class stays; every row without words stays.
+
+    Of rows alike in doc_id and text the one with the least hash of all its columns stays. All
+    columns come back as they were; only doc_id and text are needed.
+    """
+    kept = near_duplicates(docs.select("doc_id", "text"), count_links=False).where("keep").groupBy("tid").agg(F.max("alone").alias("alone"))
+    rows = nested(docs).withColumn("tid", F.xxhash64("row.doc_id", "row.text")).join(kept, "tid")
+    # rows without words are groups of their own, the others are reduced before they are dealt by tid
+    rows = rows.withColumn("apart", F.when(F.col("alone"), F.monotonically_increasing_id()))
+    return rows.groupBy("tid", "apart").agg(F.min_by("row", row_hash(docs)).alias("row")).select(*nested_columns(docs))
