@@ -65,7 +65,7 @@ def ask_depths(threshold: float, trees: int, recall: float, deepest: int, free:
     return depths
 
 
-def least_agreement(threshold: float, bits: int, lost: float = 1e-7) -> int:
+def least_agreement(threshold: float, bits: int, lost: float = 1e-4) -> int:
     """Of `bits` one-bit minhashes, how many two texts of that Jaccard have in common at least, but for a share `lost` of such pairs."""
     p, below, n = (1 + threshold) / 2, 0.0, 0
     while (below := below + math.comb(bits, n) * p**n * (1 - p) ** (bits - n)) <= lost:
@@ -112,11 +112,11 @@ def _node(tree: Column, label: Column, depth: Column) -> Column:
 
 
 def forest(texts: DataFrame, trees: int, depth: int, least: int, free: int, depths: list[int]) -> DataFrame:
-    """node, tid, ask and s0 to s2: the prefixes (nodes) of `least` to `depth` labels of texts (tid, labels, s0 to s2) with company.
+    """node, n, tid, company and s0 to s2: the prefixes (nodes) of `least` to `depth` labels of texts (tid, labels, s0 to s2) with company.
 
-    A text without company under its first `free` labels in any tree has no row. ask is true at the
+    A text without company under its first `free` labels in any tree has no row. A text asks at the
     length which `depths` has for the number of its trees with company: there it wants to meet all under its prefix.
-    Only prefixes under which some text asks, of two texts or more, are returned. Counts meet by aggregation, so no prefix, however many texts share it, is in one task.
+    Only prefixes under which some text asks, of n >= 2 texts, are returned; company is the sum of n over a text's prefixes. Counts meet by aggregation, so no prefix, however many texts share it, is in one task.
     """
     label = F.array(*[F.struct(F.lit(t).alias("tree"), F.expr(f"substring(labels, {t * depth + 1}, {depth})").alias("label")) for t in range(trees)])
     rows = texts.select("tid", "s0", "s1", "s2", F.explode(label).alias("x")).select("tid", "s0", "s1", "s2", "x", _node(F.col("x.tree"), F.col("x.label"), F.lit(free)).alias("node"))
@@ -126,25 +126,37 @@ def forest(texts: DataFrame, trees: int, depth: int, least: int, free: int, dept
     deep = F.explode(F.array(*[F.lit(d) for d in range(least, depth + 1)])).alias("d")
     spread = met.select("tid", "s0", "s1", "s2", asked.alias("asked"), F.explode("xs").alias("x")).select("*", deep)
     placed = cut(spread.select(_node(F.col("x.tree"), F.col("x.label"), F.col("d")).alias("node"), "tid", (F.col("d") == F.col("asked")).alias("ask"), "s0", "s1", "s2"))
-    live = cut(placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bool_or("ask").alias("asked")).where("n > 1 and asked").select("node"))
-    return placed.join(small(live), "node", "left_semi")
+    live = cut(placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bool_or("ask").alias("asked")).where("n > 1 and asked").select("node", "n"))
+    alive = cut(placed.drop("ask").join(small(live, 16), "node"))
+    company = cut(alive.groupBy("tid").agg(F.sum("n").alias("company")))
+    return alive.join(small(company, 16), "tid")
 
 
-def _agreement(a: str, b: str) -> Column:
+def _agreement(a: list[Column], b: list[Column]) -> Column:
     """Bits in which two sketches agree, of 192."""
-    return F.lit(192) - sum((F.bit_count(F.col(f"{a}s{j}").bitwiseXOR(F.col(f"{b}s{j}"))) for j in range(3)), F.lit(0))
+    return F.lit(192) - sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)), F.lit(0))
 
 
-def leader_pairs(placed: DataFrame, agree: int, leaders: int) -> DataFrame:
-    """Candidate pairs a, b: each text a with leaders b, the least texts, of the prefixes that it is under.
+def near_pairs(placed: DataFrame, agree: int, leaders: int, few: int) -> DataFrame:
+    """Candidate pairs a, b: texts under one prefix whose sketches agree in at least `agree` bits.
 
-    Of a text's leaders whose sketches agree in at least `agree` bits the nearest `leaders` are taken: copies of one text
-    share their leaders, so that few links tie them together. What isn't linked so is left to far_links.
+    Under a prefix of at most `few` texts they are all its pairs. Else each text is paired with its
+    prefixes' leaders, each the text with the most company, of which it takes the nearest `leaders`: near
+    copies share their leaders, so that few links tie many of them together. What that leaves apart is left to far_links.
     """
-    lead = placed.groupBy("node").agg(F.min(F.struct("tid", "s0", "s1", "s2")).alias("m")).select("node", F.col("m.tid").alias("b"), *[F.col(f"m.s{j}").alias(f"_s{j}") for j in range(3)])
-    met = placed.join(small(cut(lead), 40), "node").where("tid <> b").withColumn("near", _agreement("", "_")).where(F.col("near") >= agree)
+    sketch = ["s0", "s1", "s2"]
+    rank = F.struct((-F.col("company")).alias("minus"), "tid", *sketch)
+    lead = placed.groupBy("node").agg(F.min(rank).alias("m"), F.first("n").alias("n")).where(F.col("n") > few).select("node", F.col("m.tid").alias("b"), *[F.col(f"m.{c}").alias(f"_{c}") for c in sketch])
+    met = placed.join(small(cut(lead), 40), "node").where("tid <> b").withColumn("near", _agreement([F.col(c) for c in sketch], [F.col(f"_{c}") for c in sketch])).where(F.col("near") >= agree)
     best = met.groupBy(F.col("tid").alias("a")).agg(F.collect_set(F.struct((-F.col("near")).alias("far"), "b")).alias("x"))
-    return best.select("a", F.explode(F.slice(F.array_sort("x"), 1, leaders)).alias("x")).select("a", "x.b")
+    star = best.select("a", F.explode(F.slice(F.array_sort("x"), 1, leaders)).alias("x")).select("a", "x.b")
+    together = placed.where(F.col("n") <= few).groupBy("node").agg(F.collect_list(F.struct("tid", *sketch)).alias("xs"))
+
+    def partners(x: Column) -> Column:
+        near = F.filter("xs", lambda y: (y["tid"] < x["tid"]) & (_agreement([x[c] for c in sketch], [y[c] for c in sketch]) >= agree))
+        return F.transform(near, lambda y: F.struct(x["tid"].alias("a"), y["tid"].alias("b")))
+
+    return star.unionByName(together.select(F.explode(F.flatten(F.transform("xs", partners))).alias("x")).select("x.a", "x.b")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -268,16 +280,16 @@ def suspects(members: DataFrame, agree: int, block_rows: int) -> DataFrame:
     return placed.groupBy("gid", "lo", "hi").applyInPandas(run, "gid long, tid long, label long").distinct()
 
 
-def far_links(placed: DataFrame, labels: DataFrame, light: DataFrame, texts: DataFrame, agree: int, words: int, threshold: float, block_rows: int, block_shingles: int) -> DataFrame:
-    """Links (a, b) of classes (labels: node, label) between texts under one prefix (placed: node, tid, s0 to s2) that leaders left apart.
+def far_links(placed: DataFrame, labels: DataFrame, light: DataFrame, texts: DataFrame, agree: int, few: int, words: int, threshold: float, block_rows: int, block_shingles: int) -> DataFrame:
+    """Links (a, b) of classes (labels: node, label) between texts under one prefix (placed: node, n, tid, s0 to s2; n over `few`) that leaders left apart.
 
     Prefixes whose texts are of several classes are looked at; their texts that may be alike by their sketches
     are verified in blocks, all pairs of different classes. Texts of a prefix's largest class don't meet one another.
     """
     size = F.count(F.lit(1))
-    under = placed.drop("ask").join(small(labels.withColumnRenamed("node", "tid"), 16), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
+    under = placed.drop("company").join(small(labels.withColumnRenamed("node", "tid"), 16), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
     # prefixes over the same texts, in several trees, are one group
-    mixed = under.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.xxhash64(size, F.bit_xor(F.xxhash64("tid")), F.bit_xor(F.xxhash64(F.lit(1), "tid"))).alias("gid"))
+    mixed = under.where(F.col("n") > few).groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.xxhash64(size, F.bit_xor(F.xxhash64("tid")), F.bit_xor(F.xxhash64(F.lit(1), "tid"))).alias("gid"))
     mixed = cut(mixed.where("low < high").groupBy("gid").agg(F.min("node").alias("node")))
     members = cut(under.join(small(mixed, 16), "node").select("gid", "tid", "label", "s0", "s1", "s2"))
     members = cut(suspects(members, agree, 8 * block_rows).join(light.select("tid", "n_shingles"), "tid"))
@@ -310,7 +322,7 @@ def class_links(members: DataFrame, texts: DataFrame, words: int, threshold: flo
     return counted.groupBy("tid").agg(F.sum("n").alias("linked"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, trees: int = 20, depth: int = 9, recall: float = 0.99, leaders: int = 3, seed: int = 1, key: str = "doc_id", text: str = "text", count_links: bool = True, block_rows: int = 256, block_shingles: int = 500_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, trees: int = 20, depth: int = 9, recall: float = 0.99, leaders: int = 3, few: int = 8, seed: int = 1, key: str = "doc_id", text: str = "text", count_links: bool = True, block_rows: int = 256, block_shingles: int = 500_000) -> DataFrame:
     """A row per document: tid, key, class_id, text_id, n_links, keep and alone.
 
     Documents of the same words (case and white space aside) are copies; of each such text
@@ -331,8 +343,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tre
     free = max(1, shortest - 2)
     placed = forest(texts, trees, depth, shortest, free, ask_depths(threshold, trees, recall, depth, free))
     light = texts.select("key", "tid", "text_id", "copies", "n_shingles")
-    labels = components(verified(cut(leader_pairs(placed, agree, leaders)), bodies, words, threshold))
-    far = cut(far_links(placed, labels, light, bodies, agree, words, threshold, block_rows, block_shingles))
+    labels = components(verified(cut(near_pairs(placed, agree, leaders, few)), bodies, words, threshold))
+    far = cut(far_links(placed, labels, light, bodies, agree, few, words, threshold, block_rows, block_shingles))
     if far.take(1):
         joined = components(far).select(F.col("node").alias("label"), F.col("label").alias("root"))
         lone = joined.join(labels, "label", "left_anti").select(F.col("label").alias("node"), F.col("root").alias("label"))

@@ -341,7 +341,7 @@ def test_links_of_large_classes_are_whole(spark):
     rows.sort()
     top, links = brute_classes(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for options in ({}, {"leaders": 1, "block_rows": 7}, {"block_shingles": 600}):
+    for options in ({}, {"leaders": 1, "few": 2, "block_rows": 7}, {"block_shingles": 600}):
         got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.near_duplicates(df, **options).collect())
         assert got == sorted((i, rows[top[k]][0], links[k]) for k, (i, _) in enumerate(rows)), options
 
