@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,9 +21,15 @@ BROADCAST_BYTES = 8 << 20
 _TRIM_THRESHOLD, _MMAP_THRESHOLD = -1, -3
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder of spark.checkpoint.dir.
+#: A partition of a table of numbers holds so many rows or more, as far as there are as many partitions as cores.
+PARTITION_ROWS = 100_000
 
+
+def cut(df: DataFrame, rows: int | None = None, **metrics: Column) -> DataFrame:
+    """Reliable checkpoint in the folder of spark.checkpoint.dir, whose rows are counted as they are written (see seen()).
+
+    rows, the number of rows that it is made from, is given for tables of numbers: their partitions then follow it,
+    so that a small one isn't written as thousands of files, whatever the number of shuffle partitions is.
     Where none is set a local session gets a temporary folder; on a cluster, whose machines don't share one, that is an error.
     """
     spark = df.sparkSession
@@ -32,12 +38,24 @@ def cut(df: DataFrame) -> DataFrame:
         if not folder and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir: a folder that all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // PARTITION_ROWS)))
+    watch = Observation()
+    out = df.observe(watch, F.count(F.lit(1)).alias("rows"), *[c.alias(name) for name, c in metrics.items()]).checkpoint(eager=True)
+    out.__dict__["_seen"] = watch.get
+    return out
+
+
+def seen(df: DataFrame) -> dict:
+    """`rows` and the metrics of a table that cut() has written."""
+    return df.__dict__["_seen"]
 
 
 def small(df: DataFrame, row_bytes: int = 8) -> DataFrame:
     """For a join: broadcast if its rows, counted, take at most BROADCAST_BYTES at `row_bytes` each; else as it is, so that the join shuffles."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    if "_seen" not in df.__dict__:
+        return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df.coalesce(1)) if seen(df)["rows"] * row_bytes <= BROADCAST_BYTES else df
 
 
 def nested(docs: DataFrame) -> DataFrame:

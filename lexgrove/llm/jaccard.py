@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import column, cut, documents, lean, nested, nested_columns, row_hash, slices, small
+from lexgrove.llm.common import column, cut, documents, lean, nested, nested_columns, row_hash, seen, slices, small
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -120,16 +120,17 @@ def forest(texts: DataFrame, trees: int, depth: int, least: int, free: int, dept
     """
     label = F.array(*[F.struct(F.lit(t).alias("tree"), F.expr(f"substring(labels, {t * depth + 1}, {depth})").alias("label")) for t in range(trees)])
     rows = texts.select("tid", "s0", "s1", "s2", F.explode(label).alias("x")).select("tid", "s0", "s1", "s2", "x", _node(F.col("x.tree"), F.col("x.label"), F.lit(free)).alias("node"))
-    company = cut(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"))
+    n = trees * seen(texts)["rows"]
+    company = cut(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"), n)
     met = rows.join(small(company), "node", "left_semi").groupBy("tid", "s0", "s1", "s2").agg(F.collect_list("x").alias("xs"))
     asked = F.element_at(F.array(*[F.lit(d) for d in depths]), F.size("xs") + 1)
     deep = F.explode(F.array(*[F.lit(d) for d in range(least, depth + 1)])).alias("d")
     spread = met.select("tid", "s0", "s1", "s2", asked.alias("asked"), F.explode("xs").alias("x")).select("*", deep)
-    placed = cut(spread.select(_node(F.col("x.tree"), F.col("x.label"), F.col("d")).alias("node"), "tid", (F.col("d") == F.col("asked")).alias("ask"), "s0", "s1", "s2"))
-    live = cut(placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bool_or("ask").alias("asked")).where("n > 1 and asked").select("node", "n"))
-    alive = cut(placed.drop("ask").join(small(live, 16), "node"))
-    company = cut(alive.groupBy("tid").agg(F.sum("n").alias("company")))
-    return alive.join(small(company, 16), "tid")
+    placed = cut(spread.select(_node(F.col("x.tree"), F.col("x.label"), F.col("d")).alias("node"), "tid", (F.col("d") == F.col("asked")).alias("ask"), "s0", "s1", "s2"), n)
+    live = cut(placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bool_or("ask").alias("asked")).where("n > 1 and asked").select("node", "n"), seen(placed)["rows"])
+    alive = cut(placed.drop("ask").join(small(live, 16), "node"), seen(placed)["rows"])
+    company = cut(alive.groupBy("tid").agg(F.sum("n").alias("company")), seen(alive)["rows"])
+    return cut(alive.join(small(company, 16), "tid"), seen(alive)["rows"])
 
 
 def _agreement(a: list[Column], b: list[Column]) -> Column:
@@ -147,7 +148,7 @@ def near_pairs(placed: DataFrame, agree: int, leaders: int, few: int) -> DataFra
     sketch = ["s0", "s1", "s2"]
     rank = F.struct((-F.col("company")).alias("minus"), "tid", *sketch)
     lead = placed.groupBy("node").agg(F.min(rank).alias("m"), F.first("n").alias("n")).where(F.col("n") > few).select("node", F.col("m.tid").alias("b"), *[F.col(f"m.{c}").alias(f"_{c}") for c in sketch])
-    met = placed.join(small(cut(lead), 40), "node").where("tid <> b").withColumn("near", _agreement([F.col(c) for c in sketch], [F.col(f"_{c}") for c in sketch])).where(F.col("near") >= agree)
+    met = placed.join(small(cut(lead, seen(placed)["rows"]), 40), "node").where("tid <> b").withColumn("near", _agreement([F.col(c) for c in sketch], [F.col(f"_{c}") for c in sketch])).where(F.col("near") >= agree)
     best = met.groupBy(F.col("tid").alias("a")).agg(F.collect_set(F.struct((-F.col("near")).alias("far"), "b")).alias("x"))
     star = best.select("a", F.explode(F.slice(F.array_sort("x"), 1, leaders)).alias("x")).select("a", "x.b")
     together = placed.where(F.col("n") <= few).groupBy("node").agg(F.collect_list(F.struct("tid", *sketch)).alias("xs"))
@@ -161,7 +162,7 @@ def near_pairs(placed: DataFrame, agree: int, leaders: int, few: int) -> DataFra
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
     """The pairs whose sets of shingles have a Jaccard of `threshold` or more, from the whole texts (tid, text)."""
-    involved = cut(pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct())
+    involved = cut(pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct(), seen(pairs)["rows"])
     own = texts.join(small(involved), "tid", "left_semi").dropDuplicates(["tid"])
     left = own.join(pairs.groupBy(F.col("a").alias("tid")).agg(F.collect_list("b").alias("bs")), "tid")
     left = left.select(F.col("tid").alias("a"), F.col("text").alias("text_a"), F.explode("bs").alias("tid"))
@@ -199,20 +200,18 @@ def components(links: DataFrame) -> DataFrame:
 
     Labels fall to the least of the neighbours' labels and then to their label's label, until none changes.
     """
-    back = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    ends = cut(links.select("a", "b").unionByName(back).unionByName(back.select("a", F.col("a").alias("b"))).unionByName(links.select("a", F.col("a").alias("b"))).distinct())
-    labels = cut(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")))
+    both = F.explode(F.array(*[F.struct(x.alias("a"), y.alias("b")) for x in (F.col("a"), F.col("b")) for y in (F.col("a"), F.col("b"))])).alias("x")
+    ends = cut(links.select(both).select("x.a", "x.b").distinct(), seen(links)["rows"])
+    n = seen(ends)["rows"]
     total = F.sum(F.col("label").cast("decimal(38,0)"))
-    before = labels.agg(total).first()[0]
+    labels = cut(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")), n, total=total)
     while True:
-        near = ends.join(small(labels.withColumnRenamed("node", "b"), 16), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label"))
-        near = cut(near)
-        over = near.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = cut(near.join(small(over, 16), "label").select("node", F.col("next").alias("label")))
-        after = labels.agg(total).first()[0]
-        if after == before:  # labels only fall
+        known = small(labels, 16).select(F.col("node").alias("b"), "label")
+        near = cut(ends.join(known, "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label")), n)
+        over = small(near, 16).select(F.col("node").alias("label"), F.col("label").alias("next"))
+        before, labels = seen(labels)["total"], cut(near.join(over, "label").select("node", F.col("next").alias("label")), n, total=total)
+        if seen(labels)["total"] == before:  # labels only fall
             return labels
-        before = after
 
 
 def dealt(members: DataFrame, texts: DataFrame, block_rows: int, block_shingles: int) -> DataFrame:
@@ -231,9 +230,9 @@ def dealt(members: DataFrame, texts: DataFrame, block_rows: int, block_shingles:
     hashed = F.xxhash64(F.lit(5), "tid")
     block = F.when(F.col("main"), F.pmod(hashed, F.greatest("mains", F.lit(1)))).otherwise(F.col("mains") + F.pmod(hashed, F.greatest("others", F.lit(1)))).cast("int")
     meets = F.explode(F.expr("sequence(if(main, mains, 0), mains + others - 1)"))
-    placed = members.join(small(many, 16), "gid").withColumn("block", block).withColumn("other", meets)
+    placed = members.join(small(cut(many, seen(members)["rows"]), 16), "gid").withColumn("block", block).withColumn("other", meets)
     placed = placed.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "mains", "others", "main", "n_shingles")
-    own = texts.join(small(members.select("tid").distinct()), "tid", "left_semi").dropDuplicates(["tid"])
+    own = texts.join(small(cut(members.select("tid").distinct(), seen(members)["rows"])), "tid", "left_semi").dropDuplicates(["tid"])
     return placed.join(own, "tid")
 
 
@@ -262,7 +261,7 @@ def suspects(members: DataFrame, agree: int, block_rows: int) -> DataFrame:
     """
     many = members.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64(F.lit(6), "tid"), F.col("blocks")).cast("int")
-    placed = members.join(small(cut(many), 12), "gid").withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    placed = members.join(small(cut(many, seen(members)["rows"]), 12), "gid").withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     placed = placed.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "blocks")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -284,17 +283,22 @@ def far_links(placed: DataFrame, labels: DataFrame, light: DataFrame, texts: Dat
     """Links (a, b) of classes (labels: node, label) between texts under one prefix (placed: node, n, tid, s0 to s2; n over `few`) that leaders left apart.
 
     Prefixes whose texts are of several classes are looked at; their texts that may be alike by their sketches
-    are verified in blocks, all pairs of different classes. Texts of a prefix's largest class don't meet one another.
+    are verified in blocks, all pairs of different classes. A group is the largest class of a prefix with all texts that share such a prefix; its own texts don't meet one another.
     """
-    size = F.count(F.lit(1))
-    under = placed.drop("company").join(small(labels.withColumnRenamed("node", "tid"), 16), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
-    # prefixes over the same texts, in several trees, are one group
-    mixed = under.where(F.col("n") > few).groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.xxhash64(size, F.bit_xor(F.xxhash64("tid")), F.bit_xor(F.xxhash64(F.lit(1), "tid"))).alias("gid"))
-    mixed = cut(mixed.where("low < high").groupBy("gid").agg(F.min("node").alias("node")))
-    members = cut(under.join(small(mixed, 16), "node").select("gid", "tid", "label", "s0", "s1", "s2"))
-    members = cut(suspects(members, agree, 8 * block_rows).join(light.select("tid", "n_shingles"), "tid"))
-    largest = members.groupBy("gid", "label").agg(size.alias("n")).groupBy("gid").agg(F.max(F.struct("n", "label"))["label"].alias("top"))
-    members = members.join(small(cut(largest), 16), "gid").withColumn("main", F.col("label") == F.col("top")).drop("top")
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    n = seen(labels)["rows"]
+    known = cut(labels.join(small(cut(sizes, n), 16), "label").withColumnRenamed("node", "tid"), n)
+    under = placed.where(F.col("n") > few).drop("company").join(small(known, 24), "tid", "left")
+    under = under.withColumns({"label": F.coalesce("label", "tid"), "size": F.coalesce("size", F.lit(1))})
+    mixed = under.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("size", "label"))["label"].alias("gid")).where("low < high").select("node", "gid")
+    # prefixes with the same largest class are one group, so that what several trees bring together is compared once
+    members = under.join(small(cut(mixed, seen(placed)["rows"]), 16), "node").select("gid", "tid", "label", "s0", "s1", "s2").distinct()
+    members = suspects(cut(members, seen(placed)["rows"]), agree, 8 * block_rows).join(light.select("tid", "n_shingles"), "tid")
+    members = cut(members.withColumn("main", F.col("label") == F.col("gid")), seen(placed)["rows"])
+    # a group whose suspects are all of its largest class has nothing to compare
+    n = seen(members)["rows"]
+    compared = cut(members.groupBy("gid").agg(F.bool_and("main").alias("all")).where("not all").select("gid"), n)
+    members = cut(members.join(small(compared), "gid", "left_semi"), n)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = (np.flatnonzero(pdf["block"] == pdf[c]) for c in ("lo", "hi"))
@@ -318,7 +322,7 @@ def class_links(members: DataFrame, texts: DataFrame, words: int, threshold: flo
             found = pd.concat([found, pd.DataFrame({"tid": tid[hi], "n": (copies[lo] @ hit).astype(np.int64)})])
         return found
 
-    counted = dealt(members.withColumn("main", F.lit(False)), texts, block_rows, block_shingles).groupBy("gid", "lo", "hi").applyInPandas(run, "tid long, n long")
+    counted = dealt(members, texts, block_rows, block_shingles).groupBy("gid", "lo", "hi").applyInPandas(run, "tid long, n long")
     return counted.groupBy("tid").agg(F.sum("n").alias("linked"))
 
 
@@ -338,22 +342,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tre
     least = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("tid"))).alias("m")
     firsts = [F.first(c).alias(c) for c in ("labels", "n_shingles", "s0", "s1", "s2")]
     texts = signs.where("n_shingles > 0").groupBy("key").agg(least, F.count(F.lit(1)).alias("copies"), *firsts)
-    texts = cut(texts.select("key", F.col("m.id").alias("text_id"), F.col("m.tid").alias("tid"), "copies", "labels", "n_shingles", "s0", "s1", "s2"))
+    texts = cut(texts.select("key", F.col("m.id").alias("text_id"), F.col("m.tid").alias("tid"), "copies", "labels", "n_shingles", "s0", "s1", "s2"), seen(signs)["rows"])
+    n = seen(texts)["rows"]
     shortest, agree, bodies = forest_depth(threshold, trees, recall, depth), least_agreement(threshold, min(192, trees * depth)) + max(0, 192 - trees * depth), rows.select("tid", "text")
     free = max(1, shortest - 2)
     placed = forest(texts, trees, depth, shortest, free, ask_depths(threshold, trees, recall, depth, free))
     light = texts.select("key", "tid", "text_id", "copies", "n_shingles")
-    labels = components(verified(cut(near_pairs(placed, agree, leaders, few)), bodies, words, threshold))
-    far = cut(far_links(placed, labels, light, bodies, agree, few, words, threshold, block_rows, block_shingles))
-    if far.take(1):
-        joined = components(far).select(F.col("node").alias("label"), F.col("label").alias("root"))
+    labels = components(cut(verified(cut(near_pairs(placed, agree, leaders, few), seen(placed)["rows"]), bodies, words, threshold), n))
+    far = cut(far_links(placed, labels, light, bodies, agree, few, words, threshold, block_rows, block_shingles), n)
+    if seen(far)["rows"]:
+        joined = cut(components(far).select(F.col("node").alias("label"), F.col("label").alias("root")), n)
         lone = joined.join(labels, "label", "left_anti").select(F.col("label").alias("node"), F.col("root").alias("label"))
-        labels = cut(labels.join(small(joined, 16), "label", "left").select("node", F.coalesce("root", "label").alias("label")).unionByName(lone))
-    classed = cut(light.join(small(labels.withColumnRenamed("node", "tid"), 16), "tid", "left").withColumn("label", F.coalesce("label", "tid")))
+        labels = cut(labels.join(small(joined, 16), "label", "left").select("node", F.coalesce("root", "label").alias("label")).unionByName(lone), n)
+    classed = cut(light.join(small(labels, 16).withColumnRenamed("node", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid")), n)
     best = classed.groupBy("label").agg(F.min(F.struct(F.col("text_id").isNull().alias("none"), F.col("text_id"), F.col("tid"))).alias("best"), F.count(F.lit(1)).alias("n_texts"))
-    best = cut(best.where("n_texts > 1").select("label", "best"))
+    best = cut(best.where("n_texts > 1").select("label", "best"), n)
     if count_links:
-        members = cut(classed.withColumnRenamed("label", "gid").join(small(best.select(F.col("label").alias("gid"))), "gid", "left_semi").select("gid", "tid", "copies", "n_shingles"))
+        members = cut(classed.withColumnRenamed("label", "gid").join(small(best, 64).select(F.col("label").alias("gid")), "gid", "left_semi").select("gid", "tid", "copies", "n_shingles", F.lit(False).alias("main")), n)
         weight = class_links(members, bodies, words, threshold, block_rows, block_shingles)
         classed = classed.join(weight, "tid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("linked", F.lit(0)))
     else:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexgrove.llm import jaccard, language, lines, mixing, neighbours, packing, quality, sharding, spotsigs, tokens
+from lexgrove.llm import common, jaccard, language, lines, mixing, neighbours, packing, quality, sharding, spotsigs, tokens
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, score string, slot int, shard string, _k int, h int"
@@ -348,7 +348,7 @@ def test_links_of_large_classes_are_whole(spark):
 
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 150)], "a long, b long")
-    assert {r.node: r.label for r in jaccard.components(links).collect()} == {**{i: 1 for i in range(1, 41)}, 100: 100, 150: 100, 200: 100}
+    assert {r.node: r.label for r in jaccard.components(common.cut(links)).collect()} == {**{i: 1 for i in range(1, 41)}, 100: 100, 150: 100, 200: 100}
 
 
 def test_fingerprints(docs, none):
