@@ -523,7 +523,7 @@ def test_neighbours(spark):
     rows += [(2000, None, 1), (2050, [0.0] * 32, 1), (2100, [float("nan")] * 32, 1), (2150, [None] + [1.0] * 31, 1), (3000, [1.0, 2.0], 1), (3001, [2.0, 1.0], 1), (None, [1.0] * 32, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = defaultdict(dict)
-    for r in neighbours.nearest(df, lambda i: i % 50 == 0, block_rows=400).collect():
+    for r in neighbours.nearest(df, lambda i: i % 50 == 0, cell_rows=400).collect():
         got[r.query_id][r.rank] = (r.vec_id, r.score)
     w = np.array([r[1] for r in rows[:1500]])
     u = w / np.linalg.norm(w, axis=1, keepdims=True)
@@ -541,6 +541,33 @@ def test_neighbours(spark):
     assert neighbours.chi_square(neighbours.chi_square_quantile(0.9, 6), 6) == pytest.approx(0.9)
 
 
+@pytest.mark.parametrize("cell_rows", [16_384, 60])
+def test_neighbours_of_repeated_rows(spark, cell_rows):
+    """Repeated rows take one place, -1 is an id like any other, an id's several vectors give it its best score, nearly equal distances are not equal."""
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((400, 16))
+    v[7] = v[50] + 1e-9 * rng.standard_normal(16)
+    v[9] = v[50] * 3
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    near = int(np.argsort(-((v @ v[0]) / np.linalg.norm(v, axis=1)))[1])
+    rows += [rows[near]] * 30 + [rows[50]] * 4 + [(-1, (v[0] + 0.01).tolist()), (-1, v[3].tolist()), (-50, v[5].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, lambda i: i % 50 == 0, cell_rows=cell_rows, sure=0.9999999).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    unit = lambda x: np.asarray(x) / np.linalg.norm(x)
+    for q in {i for i, _ in rows if i % 50 == 0}:
+        mine = [unit(x) for i, x in rows if i == q]
+        score = {}
+        for i, x in rows:
+            if i != q:
+                score[i] = max([score.get(i, -2.0), *[float(unit(x) @ m) for m in mine]])
+        want = sorted(score.items(), key=lambda s: (-round(s[1], 13), s[0]))[:5]
+        assert [r for r, *_ in got[q]] == [1, 2, 3, 4, 5] and [i for _, i, _ in got[q]] == [i for i, _ in want]
+        assert np.allclose([s for *_, s in got[q]], [s for _, s in want], atol=1e-12)
+    assert got[0][0][1] == -1
+
+
 def test_line_query_equals_sql(spark):
     import duckdb
 
