@@ -58,6 +58,14 @@ def small(df: DataFrame, row_bytes: int = 8) -> DataFrame:
     return F.broadcast(df.coalesce(1)) if seen(df)["rows"] * row_bytes <= BROADCAST_BYTES else df
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """`name`, with as many underscores behind it as make it no column's name."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def nested(docs: DataFrame) -> DataFrame:
     """One column `row` with all columns of docs, so that no helper column has a name of theirs."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

@@ -13,10 +13,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import column, cut, documents, fold, hash_below, slices
+from lexgrove.llm.common import column, cut, documents, fold, lean, seen, slices, unused
 
-#: A run of letters is cut each so many letters.
-RUN = 24
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Probability of a code point that no piece covers, alike in all languages.
@@ -66,41 +64,68 @@ class Pieces:
     def unknown(self) -> int:
         return len(self.words)
 
-    def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Words' starts and lengths, and for each length the piece that begins at each place (-1: none)."""
+    def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words' starts and lengths, and for each piece length (row) the piece that begins at each place (-1: none)."""
         codes, lengths = _codes(words)
         starts = np.cumsum(lengths) - lengths
         room = np.repeat(starts + lengths, lengths) - np.arange(len(codes))
-        h, ids = np.zeros(len(codes), np.uint64), []
+        h, ids = np.zeros(len(codes), np.uint64), np.full((len(self.tables), len(codes)), -1, np.int32)
         for k, (keys, numbers) in enumerate(self.tables):
             if k:
                 h = h[: len(codes) - k] if len(codes) > k else h[:0]
             h = h * _BASE + codes[k : k + len(h)] + np.uint64(1)
-            found = np.full(len(codes), -1, np.int32)
             if len(keys) and len(h):
                 at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 hit = (keys[at] == h) & (room[: len(h)] > k)
-                found[: len(h)][hit] = numbers[at[hit]]
-            if not k:
-                found[found < 0] = self.unknown
-            ids.append(found)
+                ids[k, : len(h)][hit] = numbers[at[hit]]
+        ids[0][ids[0] < 0] = self.unknown
         return starts, lengths, ids
 
     def forward(self, words: list[str], prob: np.ndarray) -> np.ndarray:
-        """Log of each word's probability in each language (prob: pieces and the unknown one by languages)."""
-        starts, lengths, ids = self.lattice(words)
-        order = np.argsort(-lengths, kind="stable")
+        """Log of each word's probability in each language (prob: pieces and the unknown one by languages).
+
+        A word of any length keeps the sums of its last places alone, as many as the longest piece has, and
+        takes their size out every so often. Languages and words go in blocks, so that memory follows neither.
+        """
+        out = np.empty((len(words), prob.shape[1]))
+        width = max(1, min(prob.shape[1], 16))
+        most = max(1, (8 << 20) // (8 * width * (self.longest + 1)))
+        by = np.argsort([len(w) for w in words], kind="stable")
+        for part in np.split(by, np.arange(most, len(by), most)):
+            lattice = self.lattice([words[i] for i in part])
+            for a in range(0, prob.shape[1], width):
+                out[part, a : a + width] = self._forward(*lattice, np.ascontiguousarray(prob[:, a : a + width]))
+        return out
+
+    def _forward(self, starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray, prob: np.ndarray) -> np.ndarray:
+        order, longest = np.argsort(-lengths, kind="stable"), len(ids)
         starts, lengths = starts[order], lengths[order]
-        alpha = np.zeros((RUN + 2, len(words), prob.shape[1]))
+        # place t of a word stands at t modulo the window
+        window = longest + 1
+        alpha, scale = np.zeros((window, len(order), prob.shape[1])), np.zeros((len(order), prob.shape[1]))
         alpha[0] = 1.0
-        for t in range(1, int(lengths[0]) + 1 if len(words) else 0):
+        ended = np.empty((len(order), prob.shape[1]))
+        ended[lengths == 0] = 0.0
+        for t in range(1, int(lengths[0]) + 1 if len(order) else 0):
             n = int(np.searchsorted(-lengths, -t, side="right"))
-            for k in range(1, min(t, len(ids)) + 1):
-                piece = ids[k - 1][starts[:n] + t - k]
-                at = np.flatnonzero(piece >= 0)
-                alpha[t, at] += alpha[t - k, at] * prob[piece[at]]
-        out = np.empty((len(words), prob.shape[1]))
-        out[order] = np.log(alpha[lengths, np.arange(len(words))])
+            now, reach = alpha[t % window], np.arange(1, min(t, longest) + 1)
+            if n <= 16:
+                piece = ids[reach[None] - 1, starts[:n, None] + t - reach[None]]
+                now[:n] = (alpha[(t - reach) % window, :n].transpose(1, 0, 2) * np.where(piece[..., None] < 0, 0.0, prob[piece])).sum(axis=1)
+            else:
+                now[:n] = 0.0
+                for k in reach:
+                    piece = ids[k - 1][starts[:n] + t - k]
+                    at = np.flatnonzero(piece >= 0)
+                    now[at] += alpha[(t - k) % window, at] * prob[piece[at]]
+            if t % 16 == 0:  # no probability of a place is under UNKNOWN ** 16 of that 16 places before
+                size = now[:n].copy()
+                alpha[:, :n] /= size
+                scale[:n] += np.log(size)
+            done = slice(int(np.searchsorted(-lengths, -t, side="left")), n)
+            ended[done] = np.log(now[done]) + scale[done]
+        out = np.empty_like(ended)
+        out[order] = ended
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, lang: np.ndarray, prob: np.ndarray) -> np.ndarray:
@@ -111,7 +136,7 @@ class Pieces:
         starts, lengths, counts, lang = starts[order], lengths[order], counts[order], lang[order]
         n_all, longest = len(words), int(lengths.max(initial=0))
         rows = np.arange(n_all)
-        alpha, beta = np.zeros((RUN + 2, n_all)), np.zeros((RUN + 2, n_all))
+        alpha, beta = np.zeros((longest + 1, n_all)), np.zeros((longest + 1, n_all))
         alpha[0] = 1.0
         beta[lengths, rows] = 1.0
         steps = []
@@ -132,11 +157,8 @@ class Pieces:
 
 
 def runs(text: str) -> list[str]:
-    """Marked lower-case letter runs of a text, none longer than RUN letters."""
-    found = LETTERS.findall(text.lower())
-    if max(map(len, found), default=0) > RUN:
-        found = [w[i : i + RUN] for w in found for i in range(0, len(w), RUN)]
-    return [MARK + w for w in found]
+    """Marked lower-case letter runs of a text, of any length."""
+    return [MARK + w for w in LETTERS.findall(text.lower())]
 
 
 @dataclass
@@ -146,9 +168,11 @@ class LanguageModel:
     prob: np.ndarray
     prior: np.ndarray
 
-    def scorer(self, most: int = 200_000):
-        """A function of texts: a language (`und`: null, or no letter) and its posterior. Keeps `most` words' values."""
-        pieces, known, values = Pieces(self.pieces), {}, np.empty((most, len(self.languages)))
+    def scorer(self, most_bytes: int = 32 << 20):
+        """A function of texts: a language (`und`: null, or no letter) and its posterior. Keeps words' values up to about `most_bytes`."""
+        pieces, width = Pieces(self.pieces), len(self.languages)
+        most = max(1, most_bytes // (160 + 8 * width))
+        known, values = {}, np.empty((most, width))
 
         def score(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
             words = [runs(t) if t else [] for t in texts]
@@ -158,19 +182,20 @@ class LanguageModel:
             if len(known) + len(new) > most:
                 known.clear()
                 new = distinct
-            fresh = {}
-            for i in range(0, len(new), 20_000):
-                part = new[i : i + 20_000]
-                got = pieces.forward(part, self.prob)
-                room = min(len(part), most - len(known))
-                base = len(known)
-                values[base : base + room] = got[:room]
-                known.update(zip(part[:room], range(base, base + room)))
-                fresh.update(zip(part[room:], got[room:]))
-            table = np.array([fresh[w] if w in fresh else values[known[w]] for w in distinct]) if fresh else values[[known[w] for w in distinct]]
+            got = pieces.forward(new, self.prob)
+            table = np.empty((len(distinct), width))
+            if len(new) < len(distinct):
+                place = np.array([known.get(w, -1) for w in distinct])
+                table[place >= 0], table[place < 0] = values[place[place >= 0]], got
+            else:
+                table = got
+            short = [i for i, w in enumerate(new) if len(w) <= 64][: most - len(known)]
+            base = len(known)
+            values[base : base + len(short)] = got[short]
+            known.update((new[i], base + j) for j, i in enumerate(short))
             owner = np.repeat(np.arange(len(texts)), [len(w) for w in words])
-            each = table[flat.indices.to_numpy()] if len(flat) else np.zeros((0, len(self.languages)))
-            sums = np.stack([np.bincount(owner, each[:, k], len(texts)) for k in range(len(self.languages))], axis=1)
+            each = flat.indices.to_numpy()
+            sums = np.stack([np.bincount(owner, table[each, k], len(texts)) for k in range(width)], axis=1)
             sums = sums + np.log(self.prior)
             post = np.exp(sums - sums.max(axis=1, keepdims=True))
             post /= post.sum(axis=1, keepdims=True)
@@ -181,13 +206,17 @@ class LanguageModel:
         return score
 
 
-def learn(labelled: DataFrame, vocabulary_path: str | None = None, rows_per_language: int = 1200, rounds: int = 3, smoothing: float = 0.1, seed: int = 2) -> LanguageModel | None:
+def learn(labelled: DataFrame, vocabulary_path: str | None = None, rows_per_language: int = 1200, rounds: int = 3, smoothing: float = 0.1, seed: int = 2, longest_run: int = 32, most_languages: int = 2000) -> LanguageModel | None:
     """Piece probabilities of each language from columns doc_id, text and lang (none null), by expectation maximisation.
 
     About `rows_per_language` documents a language, picked by a hash of doc_id, give their
-    word counts; priors come from all rows. None if there is no labelled row.
+    word counts, of runs of up to `longest_run` letters (scoring takes runs of any length); priors come from all rows. None if there is no labelled row.
+    Repeated rows count as often as they stand. A model has a number for each piece and language, so more than `most_languages` are an error.
     """
-    have = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = cut(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    if seen(counts)["rows"] > most_languages:
+        raise ValueError("lang: more values than most_languages")
+    have = {r["lang"]: r["n"] for r in counts.collect()}
     languages = sorted(have)
     if not languages:
         return None
@@ -198,13 +227,15 @@ def learn(labelled: DataFrame, vocabulary_path: str | None = None, rows_per_lang
     picked = labelled.where(F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_000)) < (rate * 1_000_000).cast("long"))
     number = {name: i for i, name in enumerate(languages)}
 
+    @lean
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             own = {}
             for lang, text in zip(column(batch, "lang").to_pylist(), column(batch, "text").to_pylist()):
                 mine = own.setdefault(lang, {})
                 for w in runs(text or ""):
-                    mine[w] = mine.get(w, 0) + 1
+                    if len(w) <= longest_run + 1:
+                        mine[w] = mine.get(w, 0) + 1
             for lang, mine in own.items():
                 yield pa.RecordBatch.from_arrays([pa.array([number[lang]] * len(mine), pa.int32()), pa.array(list(mine), pa.string()), pa.array(list(mine.values()), pa.int64())], ["lang", "word", "n"])
 
@@ -213,6 +244,7 @@ def learn(labelled: DataFrame, vocabulary_path: str | None = None, rows_per_lang
     prob[-1] = UNKNOWN
     for _ in range(rounds):
 
+        @lean
         def expect(batches: Iterator[pa.RecordBatch], prob=prob) -> Iterator[pa.RecordBatch]:
             pieces, total = Pieces(names), np.zeros_like(prob)
             for batch in batches:
@@ -234,24 +266,26 @@ def learn(labelled: DataFrame, vocabulary_path: str | None = None, rows_per_lang
     return LanguageModel(languages, names, prob, prior / prior.sum())
 
 
-def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
-    """Columns of `docs` with lang_pred and score, from the text alone.
+def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns of `docs` with lang_pred and score (or as `names` calls them), from the text alone.
 
     lang_pred is `und` with score 0 for a null text, one without a letter, or without a
-    model; else score is the language's posterior. Columns of docs so named are replaced.
+    model; else score is the language's posterior, of equal ones the language that is first by name. Columns of docs so named are replaced.
+    Repeated rows give repeated results; an empty table gives no rows.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+        return docs.withColumns({names[0]: F.lit("und"), names[1]: F.lit(0.0)})
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for batch in slices(batches, text, 2 << 20):
             lang, value = score(column(batch, text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(value, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(value, pa.float64())], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -267,5 +301,6 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_stage(docs: DataFrame) -> DataFrame:
     """Documents to which a language is given; `und` alone goes, whatever the posterior of the others."""
-    known = identify(docs, learn(training_rows(docs)))
-    return known.where(F.col("lang_pred") != "und").select(*docs.columns)
+    names = (unused(docs, "lang_pred"), unused(docs, "score"))
+    known = identify(docs, learn(training_rows(docs)), names=names)
+    return known.where(F.col(names[0]) != "und").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -12,11 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import column, cut, documents, slices, with_slots
-from lexgrove.llm.tokens import word_ids
-
-#: So many 64-bit hashes are broadcast (8 MB), more are shuffled.
-BROADCAST_ROWS = 1_000_000
+from lexgrove.llm.common import column, cut, documents, lean, seen, slices, small, with_slots
+from lexgrove.llm.tokens import WordIds
 
 
 def fill_bins(items: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,21 +65,20 @@ def fill_bins(items: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.nda
     return bins, place
 
 
-def dealt_pieces(pieces: DataFrame, order: list[str], groups: int, many: int) -> DataFrame:
+def dealt_pieces(pieces: DataFrame, order: list[str], groups: int, many: int, rows: int) -> DataFrame:
     """`pieces` with _group: a hash of `order`, and for pieces of which more than `many` are alike in it, in turn from there on.
 
     Only those are numbered, by the partitions in which they stand; as they are interchangeable,
     a group gets the same pieces whatever the partitions are.
     """
     home = F.xxhash64(*order)
-    often = cut(pieces.groupBy(home.alias("_home")).agg(F.count(F.lit(1)).alias("_alike")).where(F.col("_alike") > many).select("_home"))
+    often = cut(pieces.groupBy(home.alias("_home")).agg(F.count(F.lit(1)).alias("_alike")).where(F.col("_alike") > many).select("_home"), rows)
     keyed = pieces.withColumn("_home", home)
-    if not often.take(1):
+    if not seen(often)["rows"]:
         return keyed.withColumn("_group", F.pmod("_home", F.lit(groups)).cast("int")).drop("_home")
-    few = often.count() <= BROADCAST_ROWS
-    hot = F.broadcast(often) if few else often
+    hot = small(often)
     placed = cut(keyed.join(hot, "_home", "left_semi").withColumn("_row", F.monotonically_increasing_id()))
-    buckets = 1 + placed.count() // (4 * many)
+    buckets = 1 + seen(placed)["rows"] // (4 * many)
     turned = with_slots(placed, ["_home"], [F.col("_row")], F.col("_row"), buckets, "_turn").drop("_row")
     spread = turned.withColumn("_group", F.pmod(F.pmod("_home", F.lit(groups)) + F.col("_turn"), F.lit(groups)).cast("int")).drop("_turn")
     rest = keyed.join(hot, "_home", "left_anti").withColumn("_group", F.pmod("_home", F.lit(groups)).cast("int"))
@@ -90,7 +86,7 @@ def dealt_pieces(pieces: DataFrame, order: list[str], groups: int, many: int) ->
 
 
 def pack(pieces: DataFrame, tokens: str, loss: str, order: list[str], max_tokens: int = 2048, max_segments: int = 512, max_loss: int | None = None, group_rows: int = 2048) -> DataFrame:
-    """Columns of `pieces` with sequence_id and offset; sequences stay under three limits.
+    """Columns of `pieces` (from cut()) with sequence_id and offset; sequences stay under three limits.
 
     tokens and loss are the columns of a piece's tokens and loss-bearing tokens; a sequence
     holds at most max_tokens, max_segments pieces and max_loss. Pieces are dealt to groups
@@ -99,8 +95,9 @@ def pack(pieces: DataFrame, tokens: str, loss: str, order: list[str], max_tokens
     interchangeable. An empty table gives no rows.
     """
     limits = np.array([max_tokens, max_segments, max_loss or max_tokens])
-    groups = max(1, round(pieces.count() / group_rows))
-    dealt = dealt_pieces(pieces, order, groups, max(1, group_rows // 8))
+    rows = seen(pieces)["rows"]
+    groups = max(1, round(rows / group_rows))
+    dealt = dealt_pieces(pieces, order, groups, max(1, group_rows // 8), rows)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([tokens, *order], ascending=[False, *[True] * len(order)], kind="stable").reset_index(drop=True)
@@ -124,8 +121,9 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1
     end = np.array([end_id], "<u4").tobytes()
     kind = docs.schema[key].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = word_ids(path)
+        coder = WordIds(path)
         for batch in slices(batches, "text", 1 << 20):
             rows, start, length, crc, total, loss = [], [], [], [], [], []
             for i, ids in enumerate(coder.of([t or "" for t in column(batch, "text").to_pylist()])):

@@ -15,12 +15,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import column, documents, slices
+from lexgrove.llm.common import column, documents, lean, slices
 
 #: Python takes the separators for white space, the vocabulary's patterns don't; special tokens begin with "<|".
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 _LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]{1,64}")
 _MARKS = ".,;:!?"
+#: What a kept chunk takes: its string, its ids and its place in the table, of chunks of up to 64 characters.
+CHUNK_BYTES = 240
 
 
 def _byte_letters() -> dict[int, int]:
@@ -29,22 +31,27 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(hidden)}
 
 
+@functools.lru_cache(4)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class WordIds:
     """Ids of texts by a lower-casing vocabulary that never merges across white space, kept by chunk.
 
     A chunk is what stands between white space. Its ids don't depend on its neighbours, so a
     text's ids are its chunks' ids one after another. Latin letters, with one mark after them or
     none, go straight to the merge model; other chunks, and texts whose lower case is not
-    settled (odd separators, final sigma, composition), to the whole tokenizer. At most
-    `most` chunks are kept; when they are more, all are forgotten.
+    settled (odd separators, final sigma, composition), to the whole tokenizer. Chunks are kept up to about
+    `most_bytes`, each at CHUNK_BYTES; when they are more, all are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str, most_bytes: int = 64 << 20) -> None:
+        self.tokenizer = _tokenizer(path)
         self.model = self.tokenizer.model
-        self.most = most
+        self.most = max(1, most_bytes // CHUNK_BYTES)
         self.known: dict[str, bytes] = {}
         self.letters = _byte_letters()
 
@@ -93,11 +100,6 @@ class WordIds:
             yield self._encode([text])[0] if own is None else b"".join(map(get, own))
 
 
-@functools.lru_cache(4)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
 @functools.lru_cache(4)
 def _ranks(path: str):
     """A byte-level vocabulary and each token's length in bytes."""
@@ -111,7 +113,7 @@ def _ranks(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
-def section_counts(raw: bytes, ends: np.ndarray, cuts: np.ndarray, rule: str) -> np.ndarray:
+def section_counts(ends: np.ndarray, cuts: np.ndarray, rule: str) -> np.ndarray:
     """Tokens of each section: `ends` are the tokens' byte ends, `cuts` the sections' byte ends, the last at the text's end.
 
     A token inside one section counts there. A token over several counts where its first byte
@@ -140,6 +142,7 @@ def count_by_section(docs: DataFrame, vocabulary: str | None = None, separator:
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     kind = docs.schema[key].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, lengths = _ranks(path)
         mark = separator.encode()
@@ -151,7 +154,7 @@ def count_by_section(docs: DataFrame, vocabulary: str | None = None, separator:
                 cuts = np.flatnonzero(raw == mark[0]) + 1
                 if not len(cuts) or cuts[-1] < len(raw):
                     cuts = np.append(cuts, len(raw))
-                n = section_counts(raw, np.cumsum(lengths[coder.encode_to_numpy(value, disallowed_special=())]), cuts, rule) if value else np.zeros(1, np.int64)
+                n = section_counts(np.cumsum(lengths[coder.encode_to_numpy(value, disallowed_special=())]), cuts, rule) if value else np.zeros(1, np.int64)
                 points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[np.concatenate(([0], cuts))]
                 rows.append(np.full(len(cuts), i))
                 which.append(np.arange(len(cuts)))

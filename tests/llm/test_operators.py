@@ -150,7 +150,7 @@ def encoder():
 def test_word_ids_equal_the_tokenizer():
     import public_tokenizers
 
-    full, mine = encoder(), tokens.WordIds(public_tokenizers.path("word_bpe_49k.json"), most=50)
+    full, mine = encoder(), tokens.WordIds(public_tokenizers.path("word_bpe_49k.json"), most_bytes=50 * tokens.CHUNK_BYTES)
     cases = [t or "" for t in texts()] + ["İstanbul it's we'll ΑΣ ΣΑΣ", "a\x1cb c\x85d", "<|endoftext|> x<|startoftext|>y", "123abc 4.5 don't. o'clock's", "été", "naïve—yes “q” foo_bar", "re. 's 'S THE'RE ﬁ ª µ ẞ Ǆ Ⅷ ½"]
     for _ in range(2):
         assert [np.frombuffer(x, "<u4").tolist() for x in mine.of(cases)] == [full.encode(t, add_special_tokens=False).ids for t in cases]
@@ -188,7 +188,7 @@ def test_repeated_pieces_go_to_all_groups(spark):
     rows = [(None, 0, 9)] * 3000 + [(7, 0, 5)] * 1000 + [(i, 0, i % 11) for i in range(100, 2100)]
     df = spark.createDataFrame(rows, "doc_id long, start long, ids_crc32 long")
     order = ["doc_id", "start", "ids_crc32"]
-    got = [Counter(map(tuple, packing.dealt_pieces(packing.cut(df.repartition(n)), order, 20, 50).collect())) for n in (2, 7)]
+    got = [Counter(map(tuple, packing.dealt_pieces(packing.cut(df.repartition(n)), order, 20, 50, df.count()).collect())) for n in (2, 7)]
     assert got[0] == got[1] and Counter({k: v for k, v in Counter(rows).items()}) == Counter(x for (*k, _), v in got[0].items() for x in [tuple(k)] * v)
     sizes = Counter()
     for (*_, group), n in got[0].items():
