@@ -7,14 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import cut, documents
-
-#: Tables of at most so many rows of three numbers are broadcast (under 8 MB), larger ones are shuffled.
-BROADCAST_ROWS = 200_000
-
-
-def _if_small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+from lexgrove.llm.common import cut, documents, nested, seen, small
 
 
 def _blank(line: Column) -> Column:
@@ -30,11 +23,34 @@ def widespread_lines(lines: DataFrame, min_sites: int, log2_registers: int = 12)
     band = max(1, math.ceil(4 * 1.04 / math.sqrt(2**log2_registers) * min_sites))
     spread = lines.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(log2_registers))).alias("sites"), F.min(F.struct("id", "pos")).alias("first"))
     likely = cut(spread.where(F.col("sites") >= min_sites - band))
-    near = likely.where(F.col("sites") <= min_sites + band).select("h")
-    exact = lines.join(_if_small(near), "h", "left_semi").groupBy("h").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites)
+    n = seen(likely)["rows"]
+    near = cut(likely.where(F.col("sites") <= min_sites + band).select("h"), n)
+    exact = lines.join(small(near), "h", "left_semi").groupBy("h").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites)
     sure = likely.where(F.col("sites") > min_sites + band)
     settled = likely.join(exact.select("h"), "h", "left_semi")
-    return cut(sure.unionByName(settled).select("h", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos")))
+    return cut(sure.unionByName(settled).select("h", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos")), n)
+
+
+def _deduplicated(docs: DataFrame, min_sites: int, log2_registers: int, key: str, text: str, site: str, keep_first: bool) -> DataFrame:
+    """row (all columns of docs but the text), text, n_lines and n_removed."""
+    keyed = nested(docs).select(
+        F.col("row").dropFields(text).alias("row"), F.col("row").getField(key).alias("id"), F.col("row").getField(site).alias("site"), F.col("row").getField(text).alias("text")
+    ).withColumn("_row", F.xxhash64("id", "text"))
+    lines = (
+        keyed.select("_row", "id", F.coalesce("site", F.lit("")).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        .where(~_blank(F.col("line")))
+        .select("_row", "id", "site", "pos", F.xxhash64(F.trim("line")).alias("h"))
+    )
+    common = widespread_lines(lines.select("id", "site", "pos", "h"), min_sites, log2_registers)
+    first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos"))
+    gone = lines.select("_row", "id", "pos", "h").join(small(common, 24), "h")
+    gone = (gone.where(~first) if keep_first else gone).groupBy("_row").agg(F.collect_set("pos").alias("gone"))
+    parts = F.col("parts")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone")), lambda i: F.get(parts, i))
+    body = F.array_join(F.when(F.col("gone").isNull(), parts).otherwise(kept), "\n").alias("text")
+    # the lines instead of the text go through the join, so that a text is split once
+    split = keyed.select("row", "_row", F.split("text", "\n").alias("parts")).join(gone, "_row", "left")
+    return split.select("row", body, F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = 10, log2_registers: int = 12, key: str = "doc_id", text: str = "text", site: str = "source", keep_first: bool = True) -> DataFrame:
@@ -47,21 +63,9 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10, log2_registers: int = 12,
     columns named like a result are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
-    keyed = docs.withColumn("_row", F.xxhash64(F.col(key), F.col(text)))
-    lines = (
-        keyed.select("_row", F.col(key).alias("id"), F.coalesce(F.col(site), F.lit("")).alias("site"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
-        .where(~_blank(F.col("line")))
-        .select("_row", "id", "site", "pos", F.xxhash64(F.trim("line")).alias("h"))
-    )
-    common = widespread_lines(lines.select("id", "site", "pos", "h"), min_sites, log2_registers)
-    first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos"))
-    gone = lines.select("_row", "id", "pos", "h").join(_if_small(common), "h")
-    gone = (gone.where(~first) if keep_first else gone).groupBy("_row").agg(F.collect_set("pos").alias("_gone"))
-    parts = F.col("_parts")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone")), lambda i: F.get(parts, i))
-    names = [F.array_join(F.when(F.col("_gone").isNull(), parts).otherwise(kept), "\n").alias(text) if c == text else F.col(c) for c in docs.columns]
-    # the lines instead of the text go through the join, so that a text is split once
-    return keyed.withColumn("_parts", F.split(F.col(text), "\n")).drop(text).join(gone, "_row", "left").select(*names, F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    done = _deduplicated(docs, min_sites, log2_registers, key, text, site, keep_first)
+    own = [F.col("text").alias(text) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return done.select(*own, "n_lines", "n_removed")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +91,7 @@ FROM documents d LEFT JOIN kept k USING (doc_id)
 
 
 def line_stage(docs: DataFrame) -> DataFrame:
-    """Documents without boilerplate lines; those of which nothing but blank lines is left go."""
-    done = dedup_lines(docs)
-    return done.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
+    """Documents without boilerplate lines; those of which nothing but blank lines is left go. All other columns come back as they were."""
+    done = _deduplicated(docs, 10, 12, "doc_id", "text", "source", True)
+    own = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return done.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")).select(*own)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexgrove.llm.common import cut, documents, with_slots
+from lexgrove.llm.common import cut, documents, nested, nested_columns, row_hash, seen, with_slots
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -52,10 +52,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
 
 
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: float, window: int = 16_384) -> np.ndarray:
-    """How many documents of each length to take so that their sum comes nearest to the budget.
+    """How many documents of each length to take so that their sum comes near the budget: nearer than the shortest length left, or as near as any sum.
 
-    Every length first gives its proportional share, rounded down, then longer lengths fill
-    up while more than `window` words are missing; the rest is a bounded knapsack, solved
+    Every length first gives its proportional share, rounded down, so that the mix keeps the lengths as they are. Longer lengths then fill
+    up while more than `window` words are missing: it bounds the table of sums, not what is taken. The rest is a bounded knapsack, solved
     exactly by a table of reachable sums (counts split into powers of two).
     """
     lengths = lengths.astype(np.int64)
@@ -113,7 +113,7 @@ def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), share: float = 1.0, most: float = 3.0, seed: int = 7, text: str = "text", source: str = "source", key: str = "doc_id", rows_per_bucket: int = 20_000) -> DataFrame:
-    """Columns of `docs` with size, source_size, target and taken.
+    """A row per document: key, source, h (its seeded hash), size, source_size, target and taken; other columns are left out.
 
     size counts the words of the text (null: 0). Each source takes its documents as often as
     its target holds its size whole, and once more for the documents that `fit_counts` picks;
@@ -123,16 +123,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), share: float = 1.
     """
     if most != math.floor(most) or most < 1:
         raise ValueError("most: a whole number from 1")
-    names = ["size", "source_size", "target", "taken"]
     light = docs.select(F.col(key).alias("k"), F.col(source).alias(source), word_count(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("h"))
     light = cut(light)
-    targets = cut(source_targets(light, weights, share, most, source).withColumn("source_key", F.xxhash64(F.col(source).isNull(), F.col(source))))
+    n = seen(light)["rows"]
+    targets = cut(source_targets(light, weights, share, most, source).withColumn("source_key", F.xxhash64(F.col(source).isNull(), F.col(source))), n)
     counts = light.groupBy(source, "size").agg(F.count(F.lit(1)).alias("n"))
     known = targets.select(F.col(source).alias("_s"), "source_key", "source_size", "target")
     histogram = counts.join(known, counts[source].eqNullSafe(known["_s"])).select("source_key", "size", "n", "source_size", "target")
-    plan = cut(histogram.groupBy("source_key").applyInPandas(_fit_source, "source_key long, size long, source_size long, target double, whole long, extra long"))
+    plan = cut(histogram.groupBy("source_key").applyInPandas(_fit_source, "source_key long, size long, source_size long, target double, whole long, extra long"), n)
     rows = light.withColumn("source_key", F.xxhash64(F.col(source).isNull(), F.col(source)))
-    buckets = 1 + light.count() // rows_per_bucket
+    buckets = 1 + n // rows_per_bucket
     # numbered before the plan is joined, so that no source and no length has to meet in one task
     placed = with_slots(rows, ["source_key", "size"], [F.col("h"), F.col("k")], F.struct(F.lit(seed), F.col("h")), buckets, "slot").join(plan, ["source_key", "size"])
     takes = F.col("whole") + F.when(F.col("slot") < F.col("extra"), 1).otherwise(0)
@@ -145,13 +145,20 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(docs: DataFrame, **options) -> DataFrame:
-    """The documents as often as the mix takes them; those it does not take go."""
-    taken = mix(docs, **options).where("taken > 0").select(F.col("h").alias("_th"), F.col("doc_id").alias("_id"), F.expr("cast(taken div size as int)").alias("_times"))
-    seed = options.get("seed", 7)
-    keyed = docs.withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")))
-    # rows alike in id and text share their takes out evenly
-    per = taken.groupBy("_th", "_id").agg(F.sum("_times").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
-    turn = Window.partitionBy("_h", "doc_id").orderBy(F.col("lang"), F.col("source"))
-    joined = keyed.withColumn("_turn", F.row_number().over(turn)).join(per, (F.col("_h") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    times = F.expr("cast(_sum div _rows + if(_turn <= _sum % _rows, 1, 0) as int)")
-    return joined.withColumn("_n", times).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    """The documents as often as the mix takes them; those it does not take go.
+
+    Rows alike in doc_id and text share their takes out evenly, what doesn't divide by the hash of all their
+    columns. All columns come back as they were; doc_id, text and source are needed.
+    """
+    taken = mix(docs.select("doc_id", "text", "source"), **options).select("h", "doc_id", F.expr("if(size > 0, taken div size, 0)").alias("times"))
+    per = taken.groupBy("h", "doc_id").agg(F.sum("times").alias("sum"), F.count(F.lit(1)).alias("rows")).where("sum > 0")
+    key = [F.xxhash64(F.lit(options.get("seed", 7)), "row.doc_id", "row.text").alias("h"), F.col("row.doc_id").alias("id")]
+    rows = nested(docs).select("row", *key)
+    each = per.select(F.col("h").alias("_h"), F.col("doc_id").alias("_id"), F.expr("sum div rows").alias("all"), F.expr("sum % rows").alias("rest"))
+    joined = rows.join(each, (F.col("h") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id")))
+    # only where takes don't divide do rows alike meet
+    apart = F.when(F.col("rest") == 0, F.monotonically_increasing_id())
+    turn = Window.partitionBy("h", "id", "apart").orderBy(row_hash(docs))
+    times = F.expr("cast(all + if(turn <= rest, 1, 0) as int)")
+    counted = joined.withColumn("apart", apart).withColumn("turn", F.row_number().over(turn)).withColumn("times", times).where("times > 0")
+    return counted.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select(*nested_columns(docs))
