@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexgrove.llm.common import cut
 from lexgrove.llm.jaccard import near_duplicate_stage
 from lexgrove.llm.language import language_stage
 from lexgrove.llm.lines import line_stage
@@ -53,7 +54,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another; what each but the last returns is checkpointed, so that no later stage works it out again and a lost executor costs one stage at most."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
