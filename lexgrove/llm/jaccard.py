@@ -293,7 +293,7 @@ def far_links(placed: DataFrame, labels: DataFrame, light: DataFrame, texts: Dat
     mixed = under.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("size", "label"))["label"].alias("gid")).where("low < high").select("node", "gid")
     # prefixes with the same largest class are one group, so that what several trees bring together is compared once
     members = under.join(small(cut(mixed, seen(placed)["rows"]), 16), "node").select("gid", "tid", "label", "s0", "s1", "s2").distinct()
-    members = suspects(cut(members, seen(placed)["rows"]), agree, 8 * block_rows).join(light.select("tid", "n_shingles"), "tid")
+    members = suspects(cut(members, seen(placed)["rows"]), agree, 2 * block_rows).join(light.select("tid", "n_shingles"), "tid")
     members = cut(members.withColumn("main", F.col("label") == F.col("gid")), seen(placed)["rows"])
     # a group whose suspects are all of its largest class has nothing to compare
     n = seen(members)["rows"]
