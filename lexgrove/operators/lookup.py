@@ -31,15 +31,25 @@ def scope_error(name: Column, owner: str) -> Column:
 def title_hits(wanted: DataFrame, laws: DataFrame, key: str, keyword: str) -> DataFrame:
     """wanted's key and the columns of laws whose law_title contains the keyword (not blank).
 
-    The keyword's first two characters must be among a title's character pairs: that is an equality, so
-    requests and laws meet by hash, and `contains` is left for what meets.
+    Of the runs of up to three characters of a keyword the one that the fewest titles have is looked up, so that
+    requests and titles meet by hash and a run that most titles share brings nothing together; `contains` is left for
+    what meets. Only law_id (one row each) and title are spread over runs; the other columns join what is found.
     """
-    title = F.col("law_title")
-    pairs = F.transform(F.sequence(F.lit(1), F.length(title)), lambda i: F.substring(title, i, F.lit(2)))
-    ones = F.transform(F.sequence(F.lit(1), F.length(title)), lambda i: F.substring(title, i, F.lit(1)))
-    keyed = laws.where(F.length(title) > 0).withColumn("_gram", F.explode(F.array_distinct(F.concat(pairs, ones))))
-    asked = wanted.where(F.col(keyword) != "").select(F.col(key).alias("_key"), F.col(keyword).alias("_kw"), F.substring(F.col(keyword), 1, 2).alias("_gram"))
-    return keyed.join(asked, "_gram").where(F.contains(title, F.col("_kw"))).drop("_gram").withColumnRenamed("_key", key)
+
+    def grams(x: Column, least: Column) -> Column:
+        long = F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.substring(x, i, F.lit(3)))
+        short = F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.substring(x, i, F.lit(2)))
+        ones = F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.substring(x, i, F.lit(1)))
+        return F.explode(F.array_distinct(F.filter(F.concat(long, short, ones), lambda g: F.length(g) >= least)))
+
+    keyed = laws.where(F.length("law_title") > 0).select("law_id", "law_title").select("law_id", F.col("law_title").alias("_title"), grams(F.col("law_title"), F.lit(1)).alias("_gram"))
+    asked = wanted.where(F.col(keyword) != "").select(F.col(key).alias("_key"), F.col(keyword).alias("_kw"))
+    spread = asked.select("_key", "_kw", grams(F.col("_kw"), F.least(F.lit(3), F.length("_kw"))).alias("_gram"))
+    held = keyed.groupBy("_gram").agg(F.count(F.lit(1)).alias("_held"))
+    # a run that no title has can't be a hit
+    rarest = spread.join(held, "_gram", "left").groupBy("_key", "_kw").agg(F.min(F.struct(F.coalesce("_held", F.lit(0)).alias("n"), "_gram")).alias("_r")).where("_r.n > 0").select("_key", "_kw", F.col("_r._gram").alias("_gram"))
+    met = keyed.join(rarest, "_gram").where(F.contains(F.col("_title"), F.col("_kw"))).select("law_id", "_key", "_kw")
+    return laws.join(met, "law_id").withColumnRenamed("_key", key)
 
 
 def resolve(names: DataFrame, laws: DataFrame, aliases: DataFrame, key: str = "req_id", name: str = "law_name", tried: int = 5, order: str = "src_ord") -> DataFrame:

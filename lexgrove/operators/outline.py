@@ -15,16 +15,18 @@ def extract(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, path, level, tag, num, title and caption of each outline row.
 
     Structural elements and articles outside articles are rows; level is the number of
-    structural elements above, so other elements are transparent. A structural element's title
-    is the text of its <tag>Title, an article's caption that of its ArticleCaption.
+    structural elements above, so other elements are transparent. An element's title
+    is the text of its <tag>Title (null for an article without one), an article's caption that of its ArticleCaption.
     """
     rows = nodes.where(F.col("tag").isin(*STRUCTURAL, "Article") & ~F.col("in_article")).select(key, "path", "level", "tag", "num")
-    wanted = F.when(F.col("tag") == "Article", F.lit("ArticleCaption")).otherwise(F.concat("tag", F.lit("Title")))
-    labels = nodes.where(F.col("content").isNotNull()).select(F.col(key).alias("_k"), F.slice("path", 1, F.size("path") - 1).alias("_p"), F.col("tag").alias("_t"), "path", "content")
-    labels = labels.groupBy("_k", "_p", "_t").agg(F.min_by("content", F.col("path")).alias("_label"))
-    joined = rows.withColumn("_want", wanted).join(labels, (F.col(key) == F.col("_k")) & (F.col("path") == F.col("_p")) & (F.col("_want") == F.col("_t")), "left")
-    article = F.col("tag") == "Article"
-    return joined.select(key, "path", "level", "tag", "num", F.when(~article, F.coalesce("_label", F.lit(""))).alias("title"), F.when(article, F.nullif(F.col("_label"), F.lit(""))).alias("caption"))
+    named = [f"{tag}Title" for tag in (*STRUCTURAL, "Article")] + ["ArticleCaption"]
+    labels = nodes.where(F.col("tag").isin(*named)).select(F.col(key).alias("_k"), F.slice("path", 1, F.size("path") - 1).alias("_p"), F.col("tag").alias("_t"), "path", "content")
+    first = labels.groupBy("_k", "_p", "_t").agg(F.min_by("content", F.col("path")).alias("_label"))
+    first = first.groupBy("_k", "_p").agg(F.map_from_entries(F.collect_list(F.struct("_t", "_label"))).alias("_labels"))
+    joined = rows.join(first, (F.col(key) == F.col("_k")) & (F.col("path") == F.col("_p")), "left")
+    article, title = F.col("tag") == "Article", F.try_element_at("_labels", F.concat("tag", F.lit("Title")))
+    caption = F.nullif(F.try_element_at("_labels", F.lit("ArticleCaption")), F.lit(""))
+    return joined.select(key, "path", "level", "tag", "num", F.when(article, F.nullif(title, F.lit(""))).otherwise(F.coalesce(title, F.lit(""))).alias("title"), F.when(article, caption).alias("caption"))
 
 
 def limit_depth(outline: DataFrame, depth: int | None) -> DataFrame:

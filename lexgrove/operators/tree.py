@@ -20,7 +20,7 @@ def node_text(nodes: DataFrame, anchors: DataFrame, key: str = "doc_id") -> Data
 
     Each text row meets its ancestors by equality of path prefixes, not by comparing all with all.
     """
-    parts = nodes.where(F.col("text").isNotNull()).select(F.col(key).alias("_k"), F.col("path").alias("_path"), "text", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("_n"))
+    parts = nodes.where(F.col("text").isNotNull()).join(anchors.select(key).distinct(), key, "left_semi").select(F.col(key).alias("_k"), F.col("path").alias("_path"), "text", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("_n"))
     parts = parts.select("_k", F.slice("_path", 1, F.col("_n")).alias("_top"), "_path", "text")
     wanted = anchors.select(F.col(key).alias("_ak"), F.col("path").alias("_ap")).distinct()
     found = wanted.join(parts, (F.col("_ak") == F.col("_k")) & (F.col("_ap") == F.col("_top"))).groupBy("_ak", "_ap").agg(ordered_text(F.col("_path"), F.col("text")).alias("_t"))
@@ -35,7 +35,7 @@ def children(nodes: DataFrame, parents: DataFrame, tag: str, num: str | None = N
     first child in document order, and parents without one keep a null; else those have no row.
     """
     own = nodes.where(F.col("tag") == tag)
-    found = own.select(F.col(key).alias("_k"), parent_path(F.col("path")).alias("_p"), F.struct("path", "num", "content", "json").alias("child"))
+    found = own.select(F.col(key).alias("_k"), parent_path(F.col("path")).alias("_p"), F.struct("path", "num", "content").alias("child"))
     on = (F.col(key) == F.col("_k")) & (F.col("path") == F.col("_p"))
     if num:
         on = on & (F.col(num).cast("string") == F.col("child.num"))
@@ -56,7 +56,7 @@ def children(nodes: DataFrame, parents: DataFrame, tag: str, num: str | None = N
 def find_articles(nodes: DataFrame, wanted: DataFrame, num: str = "article", key: str = "doc_id") -> DataFrame:
     """wanted (key, num, more) with `found`: the first Article of that number in document order, at any depth, or null."""
     own = nodes.where(F.col("tag") == "Article")
-    first = own.groupBy(F.col(key).alias("_k"), F.col("num").alias("_first")).agg(F.min_by(F.struct("path", "num", "content", "json"), F.col("path")).alias("found"))
+    first = own.groupBy(F.col(key).alias("_k"), F.col("num").alias("_first")).agg(F.min_by(F.struct("path", "num"), F.col("path")).alias("found"))
     return wanted.join(first, (F.col(key) == F.col("_k")) & (F.col(num) == F.col("_first")), "left").drop("_k", "_first")
 
 

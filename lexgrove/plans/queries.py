@@ -213,7 +213,7 @@ h AS (SELECT req_id, coalesce(lim, 10) AS lim, p_partkey, p_name, p_type, row_nu
 def search_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.search_titles(_requests(spark), standins.laws(spark, sf_dir), aliases(spark))
     hits = found.select(F.col("req_id").cast("long").alias("req_id"), F.posexplode("results").alias("hit", "x"))
-    return hits.select("req_id", (F.col("hit") + 1).cast("long").alias("hit"), "x.law_id", F.col("x.law_title").alias("title"), "x.law_type")
+    return hits.select("req_id", (F.col("hit") + 1).cast("long").alias("hit"), "x.law_id", "x.title", "x.law_type")
 
 
 @registered(
@@ -252,7 +252,7 @@ def fulltext_and(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("SELECT doc_id FROM documents WHERE contains(text, 'License') AND contains(text, 'the')")
 def fulltext_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return search.indexed_fulltext(docs, search.gram_index(docs), "License the").select("doc_id")
+    return search.indexed_fulltext(docs, search.gram_index(docs, only="License the"), "License the").select("doc_id")
 
 
 @registered(

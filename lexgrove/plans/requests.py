@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from lexgrove.functions.text import article_num, heading, iso_instant, law_url, trim_wide
 from lexgrove.operators import history, lookup, search, tree
 from lexgrove.operators import outline as toc
-from lexgrove.operators.errors import ERROR, first_error, make_error, try_alias, try_search, try_toc
+from lexgrove.operators.errors import ERROR, detail, first_error, make_error, try_alias, try_later, try_search, try_toc
+from lexgrove.session import cut
 from lexgrove.sources.aliases import OWNER
 
 #: The wording of the Markdown footers and of the outline's title.
@@ -19,6 +21,14 @@ SOURCE_LINE, AT_LABEL, TIME_LABEL, OUTLINE_LABEL = "出典：e-Gov法令検索
 TOOLS = ("search_law", "get_law", "get_toc", "search_fulltext", "resolve_abbreviation", "get_law_revisions", "explain_law_type")
 
 
+#: What is shown of a revision.
+REVISION_FIELDS = (
+    "law_revision_id", "amendment_promulgate_date", "amendment_enforcement_date", "amendment_enforcement_comment",
+    "amendment_law_num", "amendment_law_title", "amendment_law_id", "current_revision_status",
+)
+log = logging.getLogger("lexgrove")
+
+
 @dataclass
 class Corpus:
     """laws: law_id, law_title, law_num, law_type, promulgation_date, src_ord. revisions: law_id, law_revision_id,
@@ -52,6 +62,11 @@ def _versioned(rows: DataFrame, corpus: Corpus) -> DataFrame:
     return rows.join(best, F.col("req_id") == F.col("_r"), "left").drop("_r").withColumn("error", first_error(F.col("error"), none))
 
 
+def _of(nodes: DataFrame, rows: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """The nodes of the documents that rows ask for: a semi join, before anything is grouped."""
+    return nodes.join(rows.select(F.col(doc).alias("doc_id")).where("doc_id is not null").distinct(), "doc_id", "left_semi")
+
+
 def _meta(corpus: Corpus, now: Column) -> Column:
     law = F.col("law")
     return F.struct(law["law_id"].alias("law_id"), law["title"].alias("title"), law["law_num"].alias("law_num"), iso_instant(now).alias("retrieved_at"), law_url(law["law_id"], corpus.base_url).alias("url"), F.col("at").alias("at"))
@@ -64,8 +79,8 @@ def _footer(corpus: Corpus, now: Column) -> list[Column]:
 
 def _outlined(rows: DataFrame, corpus: Corpus, depth: Column, now: Column) -> DataFrame:
     """rows with markdown, node_count, full_count and toc (outline rows in order) of their documents."""
-    outline = toc.extract(corpus.nodes)
     wanted = rows.where("error is null").select("req_id", F.col("doc_id").alias("_d"), depth.alias("_depth"))
+    outline = toc.extract(_of(corpus.nodes, wanted, "_d"))
     met = wanted.join(outline, F.col("_d") == F.col("doc_id")).select("req_id", "_depth", "path", "level", "tag", "num", "title", "caption")
     inside = F.col("_depth").isNull() | (F.col("_depth") < 1) | (F.col("level") < F.col("_depth"))
     entry = F.struct("path", "level", "tag", "num", "title", "caption")
@@ -95,9 +110,11 @@ def get_law(requests: DataFrame, corpus: Corpus, now: Column | None = None) -> D
         F.when(~F.col("_toc") & given.isNull(), make_error("INVALID_ARGUMENT", "no article given", "Use format toc or get_toc for an outline.", [try_toc(name)])),
         F.when(~F.col("_toc") & F.col("_num").isNull(), make_error("INVALID_ARTICLE_NUM", F.concat(F.lit("kanji numerals are not read: "), given), "Write 30 or 30の2.")),
     ))
-    rows = tree.find_articles(corpus.nodes, rows, "_num").withColumn("path", F.col("found.path")).withColumn("_tried", F.col("error").isNull() & ~F.col("_toc"))
-    rows = tree.children(corpus.nodes, rows, "Paragraph", "paragraph", first=True).withColumnRenamed("child", "p").withColumn("path", F.col("p.path"))
-    rows = tree.children(corpus.nodes, rows, "Item", "item", first=True).withColumnRenamed("child", "i")
+    rows = cut(rows)
+    nodes = _of(corpus.nodes, rows.where(F.col("error").isNull() & ~F.col("_toc")))
+    rows = tree.find_articles(nodes, rows, "_num").withColumn("path", F.col("found.path")).withColumn("_tried", F.col("error").isNull() & ~F.col("_toc"))
+    rows = tree.children(nodes, rows, "Paragraph", "paragraph", first=True).withColumnRenamed("child", "p").withColumn("path", F.col("p.path"))
+    rows = tree.children(nodes, rows, "Item", "item", first=True).withColumnRenamed("child", "i")
     with_p = F.col("paragraph").isNotNull()
     with_i = with_p & F.col("item").isNotNull()
     absent = lambda what, value, more=None: make_error("ARTICLE_NOT_FOUND", F.concat(F.lit(f"no such {what}: "), value.cast("string")), "Numbers count from 1; check the outline.", more)
@@ -107,16 +124,24 @@ def get_law(requests: DataFrame, corpus: Corpus, now: Column | None = None) -> D
         F.when(F.col("_tried") & with_p & F.col("p").isNull(), absent("paragraph", F.col("paragraph"))),
         F.when(F.col("_tried") & with_i & F.col("i").isNull(), absent("item", F.col("item"))),
     ))
+    rows = cut(rows)
     anchors = rows.where("found is not null").select("doc_id", F.col("found.path").alias("path")).distinct()
-    bodies = toc.paragraphs(corpus.nodes, anchors).select(F.col("doc_id").alias("_d"), F.col("path").alias("_p"), "body", "blocks")
-    heads = tree.children(corpus.nodes, anchors, "ArticleCaption", first=True).select(F.col("doc_id").alias("_d2"), F.col("path").alias("_p2"), F.nullif(F.col("child.content"), F.lit("")).alias("_caption"))
+    bodies = toc.paragraphs(nodes, anchors).select(F.col("doc_id").alias("_d"), F.col("path").alias("_p"), "body", "blocks")
+    heads = tree.children(nodes, anchors, "ArticleCaption", first=True).select(F.col("doc_id").alias("_d2"), F.col("path").alias("_p2"), F.nullif(F.col("child.content"), F.lit("")).alias("_caption"))
     rows = rows.join(bodies, (F.col("doc_id") == F.col("_d")) & (F.col("found.path") == F.col("_p")), "left").join(heads, (F.col("doc_id") == F.col("_d2")) & (F.col("found.path") == F.col("_p2")), "left")
     block = F.get(F.filter("blocks", lambda b: b["path"] == F.col("p.path")), F.lit(0))["block"]
     body = F.when(with_i, trim_wide(F.col("i.content"))).when(with_p, block).otherwise(F.col("body"))
     top = heading(F.col("law.title"), F.col("found.num"), F.col("p.num"), F.when(with_i, F.col("i.num")))
     text = F.concat_ws("\n", top, F.col("_caption"), F.lit(""), F.coalesce(body, F.lit("")), F.lit(""), *_footer(corpus, now))
-    rows = rows.select(*requests.columns, "law", "doc_id", "error", "_toc", F.col("_num").alias("article_num"), text.alias("_text"), F.when(with_i, F.col("i.json")).when(with_p, F.col("p.json")).otherwise(F.col("found.json")).alias("_json"))
-    rows = _outlined(rows.withColumn("error", F.col("error")), corpus, F.lit(None).cast("int"), now)
+    rows = rows.select(*requests.columns, "law", "doc_id", "error", "_toc", F.col("_num").alias("article_num"), text.alias("_text"), F.when(with_i, F.col("i.path")).when(with_p, F.col("p.path")).otherwise(F.col("found.path")).alias("_at"))
+    rows = cut(rows)
+    # subtrees are read last, by path, for the requests that show them; outlines for those alone that show one
+    shown = rows.where((F.col("format") == "json") & F.col("error").isNull() & ~F.col("_toc")).select("req_id", F.col("doc_id").alias("_d"), "_at")
+    subtrees = _of(corpus.nodes, shown, "_d").where(F.col("json").isNotNull()).select("doc_id", "path", "json")
+    subtrees = shown.join(subtrees, (F.col("_d") == F.col("doc_id")) & (F.col("_at") == F.col("path"))).select("req_id", F.col("json").alias("_json"))
+    rows = rows.join(subtrees, "req_id", "left")
+    outlined = _outlined(rows.where(F.col("_toc") & F.col("error").isNull()), corpus, F.lit(None).cast("int"), now).select("req_id", "markdown")
+    rows = rows.join(outlined, "req_id", "left")
     ok, is_json = F.col("error").isNull(), ~F.col("_toc") & (F.col("format") == "json")
     return rows.select(
         "req_id",
@@ -134,7 +159,7 @@ def get_toc(requests: DataFrame, corpus: Corpus, now: Column | None = None) -> D
     truncated is true for any depth from 1 on; actually_cut only if rows are left out.
     """
     now = F.current_timestamp() if now is None else now
-    rows = _outlined(_versioned(_resolved(requests, corpus), corpus), corpus, F.col("depth"), now)
+    rows = _outlined(cut(_versioned(_resolved(requests, corpus), corpus)), corpus, F.col("depth"), now)
     ok = F.col("error").isNull()
     shown = {"markdown": F.col("markdown"), "toc": F.col("toc"), "meta": _meta(corpus, now), "node_count": F.col("node_count"), "truncated": F.coalesce(F.col("depth") >= 1, F.lit(False)), "actually_cut": F.col("node_count") < F.col("full_count")}
     return rows.select("req_id", *[F.when(ok, c).alias(n) for n, c in shown.items()], "error")
@@ -143,11 +168,11 @@ def get_toc(requests: DataFrame, corpus: Corpus, now: Column | None = None) -> D
 def get_law_revisions(requests: DataFrame, corpus: Corpus, now: Column | None = None) -> DataFrame:
     """req_id, meta, total, revisions and error of each request (req_id, law_name, latest): the first `latest` in the source's order."""
     now = F.current_timestamp() if now is None else now
-    rows = _resolved(requests.withColumn("at", F.lit(None).cast("string")), corpus)
+    rows = cut(_resolved(requests.withColumn("at", F.lit(None).cast("string")), corpus))
     wanted = rows.where("error is null").select("req_id", F.col("law.law_id").alias("_id"), "latest")
     met = wanted.join(corpus.revisions.withColumnRenamed("law_id", "_law"), F.col("_id") == F.col("_law"))
     kept = history.latest(met, F.col("latest"), "req_id", [F.col("api_ord")])
-    fields = [c for c in corpus.revisions.columns if c not in ("law_id", "api_ord")]
+    fields = [(F.col(c) if c in corpus.revisions.columns else F.lit(None).cast("string")).alias(c) for c in REVISION_FIELDS]
     got = kept.groupBy(F.col("req_id").alias("_r")).agg(F.max("total").alias("total"), F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*fields).alias("rev")))), lambda x: x["rev"]).alias("revisions"))
     ok = F.col("error").isNull()
     joined = rows.join(got, F.col("req_id") == F.col("_r"), "left")
@@ -155,9 +180,15 @@ def get_law_revisions(requests: DataFrame, corpus: Corpus, now: Column | None =
 
 
 def search_law(requests: DataFrame, corpus: Corpus) -> DataFrame:
-    """See operators.search.search_titles; requests: req_id, keyword, law_type, lim."""
+    """req_id, query (keyword, law_type, resolved), total_count, matched_count, results and error; see operators.search.search_titles.
+
+    requests: req_id, keyword, law_type, lim and, if wanted, domain, law_num and skip.
+    """
     laws = corpus.laws.withColumn("url", law_url(F.col("law_id"), corpus.base_url))
-    return search.search_titles(requests, laws, corpus.aliases)
+    found = search.search_titles(requests, laws, corpus.aliases)
+    ok = F.col("error").isNull()
+    shown = {"query": F.struct("keyword", "law_type", "resolved"), **{c: F.col(c) for c in ("total_count", "matched_count", "results")}}
+    return found.select("req_id", *[F.when(ok, c).alias(n) for n, c in shown.items()], "error")
 
 
 def search_fulltext(requests: DataFrame, corpus: Corpus) -> DataFrame:
@@ -182,24 +213,49 @@ def explain_law_type(requests: DataFrame, corpus: Corpus) -> DataFrame:
 
 #: Arguments of each tool, with their types.
 ARGUMENTS = {
-    "search_law": "keyword string, law_type string, lim int",
+    "search_law": "keyword string, law_type string, lim int, domain string",
     "get_law": "law_name string, article string, paragraph int, item int, format string, at string",
     "get_toc": "law_name string, at string, depth int",
-    "search_fulltext": "keyword string, law_type string, lim int",
+    "search_fulltext": "keyword string, law_type string, lim int, domain string",
     "resolve_abbreviation": "abbr string",
     "get_law_revisions": "law_name string, latest int",
     "explain_law_type": "name string",
 }
 
 
+def _nested(rows: list[dict]) -> list[dict]:
+    """Outline rows in document order as trees: an entry stands below the last one whose path begins its own."""
+    top: list[dict] = []
+    above: list[tuple[list[int], dict]] = []
+    for row in rows:
+        entry = {k: row[k] for k in ("tag", "num", "title", "caption") if k in row} | {"children": []}
+        while above and row["path"][: len(above[-1][0])] != above[-1][0]:
+            above.pop()
+        (above[-1][1]["children"] if above else top).append(entry)
+        above.append((row["path"], entry))
+    return top
+
+
 def call(spark: SparkSession, corpus: Corpus, tool: str, **arguments: object) -> tuple[str, bool]:
-    """One request's answer as text (Markdown as it is, else indented JSON without nulls), and whether it is an error."""
+    """One request's answer as indented JSON without nulls, and whether it is an error.
+
+    An outline is nested and a subtree is an object. What goes wrong beyond the answers' own errors is logged and an INTERNAL_ERROR.
+    """
     if tool not in TOOLS:
         return json.dumps({"error": f"unknown tool: {tool}", "code": "UNKNOWN_TOOL", "hint": ", ".join(TOOLS)}, indent=2), True
     names = [part.split()[0] for part in ARGUMENTS[tool].split(", ")]
-    asked = spark.createDataFrame([(0, *[arguments.get(n) for n in names])], f"req_id int, {ARGUMENTS[tool]}")
-    row = globals()[tool](asked, corpus).select(F.to_json(F.struct("*")).alias("j")).first()
-    answer = json.loads(row["j"])
+    try:
+        asked = spark.createDataFrame([(0, *[arguments.get(n) for n in names])], f"req_id int, {ARGUMENTS[tool]}")
+        row = globals()[tool](asked, corpus).select(F.to_json(F.struct("*")).alias("j")).first()
+        answer = json.loads(row["j"])
+    except Exception as e:  # whatever it is, the caller gets an error as a value
+        log.exception("tool %s failed", tool)
+        failed = spark.range(1).select(F.to_json(make_error("INTERNAL_ERROR", f"internal error: {e}", "This may be a bug; report how it came about.", [try_later()], True, detail(cause=F.lit(str(e))))).alias("j")).first()
+        return json.dumps(json.loads(failed["j"]), ensure_ascii=False, indent=2), True
     answer.pop("req_id", None)
     error = answer.pop("error", None)
+    if "toc" in answer:
+        answer["toc"] = _nested(answer["toc"])
+    if node := answer.get("data", {}).get("node"):
+        answer["data"]["node"] = json.loads(node)
     return json.dumps(error or answer, ensure_ascii=False, indent=2), error is not None

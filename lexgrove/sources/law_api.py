@@ -49,6 +49,14 @@ def list_url(base: str, **filters: object) -> str:
     return f"{base}/laws" + (f"?{query}" if query else "")
 
 
+def positive(setting: str | None, default: int) -> int:
+    """A setting as a number above 0; blank, malformed, 0 and below give the default (as functions.text.positive_int for columns)."""
+    try:
+        return value if (value := int(setting or "")) > 0 else default
+    except ValueError:
+        return default
+
+
 class _Urls(InputPartition):
     def __init__(self, urls: list[tuple[str, str]]) -> None:
         super().__init__(urls)
@@ -67,7 +75,7 @@ class _Reader(DataSourceReader):
         else:
             at = f"?asof={urllib.parse.quote(o['at'])}" if kind == "law_data" and o.get("at") else ""
             urls = [(i, f"{base}/{kind}/{urllib.parse.quote(i)}{at}") for i in json.loads(o["ids"])]
-        n = max(1, min(int(o.get("concurrency") or os.environ.get("LEXGROVE_CONCURRENCY") or CONCURRENCY), len(urls)))
+        n = max(1, min(positive(o.get("concurrency") or os.environ.get("LEXGROVE_CONCURRENCY"), CONCURRENCY), len(urls)))
         return [_Urls(urls[i::n]) for i in range(n)]
 
     def read(self, partition: _Urls) -> Iterator[tuple]:
