@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexgrove.functions.text import article_label, article_num, era_date, fold_width, heading, strip_item_marker, trim_wide
 from lexgrove.operators import history, lookup, search, tree
 from lexgrove.operators import outline as toc
-from lexgrove.operators.errors import first_error, is_error, make_error
-from lexgrove.plans import standins
+from lexgrove.operators.errors import is_error
+from lexgrove.plans import requests, standins
 from lexgrove.session import table
 from lexgrove.sources.aliases import OWNER, aliases
 from lexgrove.sources.law_types import law_types
@@ -48,9 +49,25 @@ def _shown(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", path.alias("path"), F.col("level").cast("long").alias("lvl"), "tag", "num", "title", "caption")
 
 
-@registered(f"WITH {OUTLINE} SELECT doc_id, path, CAST(lvl AS BIGINT) AS lvl, tag, num, title, caption FROM o")
+#: Rows of the outlines of standins.trees.
+TREE_OUTLINE = """
+a AS (SELECT o_custkey, o_orderstatus, o_orderkey, o_orderpriority, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) - 1 AS c, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS a FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)),
+o AS (
+  SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS doc_id, '0.1.' || c AS path, c, 0 AS a, 0 AS lvl, 'Chapter' AS tag, o_orderstatus AS num, o_orderstatus AS title, CAST(NULL AS VARCHAR) AS caption FROM a
+  UNION ALL
+  SELECT CAST(o_custkey AS VARCHAR), '0.1.' || c || '.' || a, c, a, 1, 'Article', CAST(o_orderkey AS VARCHAR), 'Order ' || o_orderkey, o_orderpriority FROM a)
+"""
+
+
+@registered(f"WITH {TREE_OUTLINE} SELECT doc_id, path, CAST(lvl AS BIGINT) AS lvl, tag, num, title, caption FROM o")
 def toc_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(standins.outline(spark, sf_dir))
+    rows = toc.extract(shred(standins.trees(spark, sf_dir)))
+    return _shown(rows).withColumn("path", F.array_join(F.transform(F.split("path", r"\."), lambda x: x.cast("int").cast("string")), "."))
+
+
+@registered(f"WITH {TREE_OUTLINE} SELECT doc_id, count(*) AS node_count FROM o GROUP BY doc_id")
+def toc_node_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toc.listing(toc.extract(shred(standins.trees(spark, sf_dir)))).select("doc_id", "node_count")
 
 
 @registered(
@@ -69,11 +86,6 @@ def toc_depth_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(toc.limit_depth(standins.outline(spark, sf_dir), 2))
 
 
-@registered(f"WITH {OUTLINE} SELECT doc_id, count(*) AS node_count FROM o GROUP BY doc_id")
-def toc_node_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return standins.outline(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("node_count"))
-
-
 @registered("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS whole FROM conversations GROUP BY conv_id")
 def extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
@@ -217,15 +229,14 @@ def search_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    f"""WITH {SEARCHED} SELECT CAST(r.req_id AS BIGINT) AS req_id, 'title search' AS note, count(h.rn) FILTER (WHERE rn <= h.lim) AS total_count, count(h.rn) AS matched_count,
+    f"""WITH {SEARCHED} SELECT CAST(r.req_id AS BIGINT) AS req_id, TRUE AS noted, count(h.rn) FILTER (WHERE rn <= h.lim) AS total_count, count(h.rn) AS matched_count,
       CASE WHEN trim(any_value(keyword)) = '' THEN 'INVALID_ARGUMENT' END AS code, FALSE AS is_error
     FROM r LEFT JOIN h USING (req_id) GROUP BY r.req_id"""
 )
 def search_fulltext_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.search_titles(_requests(spark), standins.laws(spark, sf_dir), aliases(spark))
-    # the error stays inside the fallback, so the answer itself is none
-    outer = found.select(F.col("req_id").cast("long").alias("req_id"), F.lit("title search").alias("note"), F.struct("total_count", "matched_count", "error").alias("fallback"), make_error("INTERNAL_ERROR", "").alias("e"))
-    return outer.select("req_id", "note", "fallback.total_count", "fallback.matched_count", F.col("fallback.error.code").alias("code"), is_error(F.when(F.lit(False), F.col("e"))).alias("is_error"))
+    found = requests.search_fulltext(_requests(spark), _parts(spark, sf_dir))
+    counts = [F.coalesce(f"fallback.{c}", F.lit(0)).cast("long").alias(c) for c in ("total_count", "matched_count")]
+    return found.select(F.col("req_id").cast("long").alias("req_id"), F.col("note").isNotNull().alias("noted"), *counts, F.col("fallback.error.code").alias("code"), is_error(F.col("error")).alias("is_error"))
 
 
 @registered(
@@ -256,21 +267,94 @@ def fulltext_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    """SELECT * FROM (VALUES (0, 'OUT_OF_SCOPE'), (1, 'LAW_NOT_FOUND'), (2, 'INVALID_ARGUMENT'), (3, 'INVALID_ARTICLE_NUM'), (4, 'ARTICLE_NOT_FOUND'), (5, CAST(NULL AS VARCHAR))) v(req_id, code)"""
+    """SELECT c_custkey AS req_id, CASE c_custkey % 6 WHEN 0 THEN 'OUT_OF_SCOPE' WHEN 1 THEN 'LAW_NOT_FOUND' WHEN 2 THEN 'INVALID_ARGUMENT' WHEN 3 THEN 'INVALID_ARTICLE_NUM' WHEN 4 THEN 'ARTICLE_NOT_FOUND' END AS code FROM customer"""
 )
 def error_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(0, "所基通", "三十", None), (1, "no such law", "三十", None), (2, "消法", None, "json"), (3, "消法", "三十", None), (4, "消法", "99", None), (5, "消法", "30", None)]
-    asked = spark.createDataFrame(rows, "req_id int, law_name string, article string, format string")
-    known = lookup.resolve(asked, standins.laws(spark, sf_dir), aliases(spark))
-    num = article_num(F.col("article"))
-    error = first_error(
-        lookup.scope_error(F.col("law_name"), OWNER),
-        F.when(F.col("law").isNull(), make_error("LAW_NOT_FOUND", "no such law")),
-        F.when(F.col("article").isNull() & (F.col("format") == "json"), make_error("INVALID_ARGUMENT", "no article")),
-        F.when(F.col("article").isNotNull() & num.isNull(), make_error("INVALID_ARTICLE_NUM", "bad number")),
-        F.when(num != "30", make_error("ARTICLE_NOT_FOUND", "no such article")),
-    )
-    return known.select("req_id", error["code"].alias("code"))
+    """A request per customer, each of the first five with all later faults as well."""
+    case = F.col("c_custkey") % 6
+    asked = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("req_id"), F.when(case == 0, "所基通").when(case == 1, F.concat(F.lit("no such law "), "c_custkey")).otherwise(F.col("c_name")).alias("law_name"),
+        F.when(case.isin(0, 1, 3), "三十").when(case == 4, "none").alias("article"), F.when(case < 5, 99).alias("paragraph"), F.lit(None).cast("int").alias("item"), F.when(case == 2, "json").alias("format"), F.lit(None).cast("string").alias("at"))
+    return requests.get_law(asked, standins.corpus(spark, sf_dir)).select("req_id", F.col("error.code").alias("code"))
+
+
+ARTICLES = """
+i AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS p FROM lineitem),
+b AS (SELECT l_orderkey, p, CASE WHEN p <> 1 THEN '**第' || p || '項**' || chr(10) ELSE '' END || 'part ' || l_partkey || CASE WHEN l_returnflag = 'R' THEN chr(10) || '1 supplier ' || l_suppkey ELSE '' END AS block FROM i),
+w AS (SELECT l_orderkey, string_agg(block, chr(10) || chr(10) ORDER BY p) AS whole FROM b GROUP BY l_orderkey),
+r AS (SELECT o_orderkey AS req_id, c_name, o_orderkey, o_orderpriority, CASE o_orderkey % 3 WHEN 1 THEN 1 WHEN 2 THEN 4 END AS par, o_orderkey % 2 = 1 AS is_json FROM orders JOIN customer ON o_custkey = c_custkey)
+"""
+
+
+@registered(
+    f"""WITH {ARTICLES} SELECT r.req_id, CASE WHEN par IS NOT NULL AND b.p IS NULL THEN 'ARTICLE_NOT_FOUND' END AS code,
+      CASE WHEN par IS NULL OR b.p IS NOT NULL THEN CASE WHEN is_json THEN CASE WHEN par IS NULL THEN 'Article' ELSE 'Paragraph' END END END AS node_tag,
+      CASE WHEN NOT is_json AND (par IS NULL OR b.p IS NOT NULL) THEN '# ' || c_name || ' 第' || o_orderkey || '条' || CASE WHEN par IS NULL THEN '' ELSE '第' || par || '項' END
+        || chr(10) || o_orderpriority || chr(10) || chr(10) || coalesce(CASE WHEN par IS NULL THEN w.whole ELSE b.block END, '') || chr(10) END AS shown
+    FROM r LEFT JOIN b ON b.l_orderkey = r.o_orderkey AND b.p = par LEFT JOIN w ON w.l_orderkey = r.o_orderkey"""
+)
+def get_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request per order: its article, whole or one paragraph, as Markdown or as a subtree."""
+    n = F.col("o_orderkey")
+    asked = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+        n.alias("req_id"), F.col("c_name").alias("law_name"), n.cast("string").alias("article"), F.when(n % 3 == 1, 1).when(n % 3 == 2, 4).alias("paragraph"), F.lit(None).cast("int").alias("item"), F.when(n % 2 == 1, "json").otherwise("markdown").alias("format"), F.lit(None).cast("string").alias("at"))
+    found = requests.get_law(asked, standins.corpus(spark, sf_dir))
+    return found.select("req_id", F.col("error.code").alias("code"), F.get_json_object("data.node", "$.tag").alias("node_tag"), F.substring_index("markdown", "\n---", 1).alias("shown"))
+
+
+@registered(
+    f"""WITH {TREE_OUTLINE}, l AS (SELECT o.*, c_custkey, CASE WHEN tag = 'Article' THEN '  - 第' || num || '条 ' || caption ELSE '- ' || title END AS line,
+      c_custkey % 3 = 0 OR lvl < c_custkey % 3 AS inside FROM o JOIN customer ON doc_id = CAST(c_custkey AS VARCHAR)),
+    g AS (SELECT c_custkey, count(*) FILTER (WHERE inside) AS node_count, count(*) AS full_count, string_agg(line, chr(10) ORDER BY c, a) FILTER (WHERE inside) AS lines FROM l GROUP BY c_custkey)
+    SELECT c.c_custkey AS req_id, coalesce(node_count, 0) AS node_count, c.c_custkey % 3 > 0 AS truncated, coalesce(node_count < full_count, FALSE) AS actually_cut,
+      '# ' || c_name || ' — 目次' || coalesce(chr(10) || chr(10) || lines, '') AS shown FROM customer c LEFT JOIN g USING (c_custkey)"""
+)
+def get_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request per customer, of depth 0 (all), 1 or 2."""
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("req_id"), F.col("c_name").alias("law_name"), F.lit(None).cast("string").alias("at"), (F.col("c_custkey") % 3).cast("int").alias("depth"))
+    found = requests.get_toc(asked, standins.corpus(spark, sf_dir))
+    return found.select("req_id", "node_count", "truncated", "actually_cut", F.rtrim(F.substring_index("markdown", "\n---", 1), F.lit("\n")).alias("shown"))
+
+
+@registered(
+    """SELECT c_custkey AS req_id, r.total, r.ord, CAST(o_orderkey AS VARCHAR) AS law_revision_id, o_orderpriority AS amendment_law_title, o_orderstatus AS current_revision_status FROM customer JOIN
+      (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS ord, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders) r ON o_custkey = c_custkey WHERE c_custkey % 4 = 0 OR r.ord <= c_custkey % 4"""
+)
+def get_law_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request per customer for the newest 1 to 3 revisions, or all (0)."""
+    known = standins.corpus(spark, sf_dir)
+    newest = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
+    known.revisions = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("law_id"), F.col("o_orderkey").cast("string").alias("law_revision_id"), F.col("o_orderpriority").alias("amendment_law_title"), F.col("o_orderstatus").alias("current_revision_status"), newest.alias("api_ord"))
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("req_id"), F.col("c_name").alias("law_name"), (F.col("c_custkey") % 4).cast("int").alias("latest"))
+    found = requests.get_law_revisions(asked, known).select("req_id", "total", F.posexplode("revisions").alias("i", "x"))
+    return found.select("req_id", "total", (F.col("i") + 1).cast("long").alias("ord"), "x.law_revision_id", "x.amendment_law_title", "x.current_revision_status")
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> requests.Corpus:
+    return requests.Corpus(standins.laws(spark, sf_dir), None, None, aliases(spark), law_types(spark))
+
+
+@registered(f"WITH {SEARCHED}, u AS (SELECT req_id, string_agg(CAST(p_partkey AS VARCHAR), ' ' ORDER BY rn) AS ids FROM h WHERE rn <= lim GROUP BY req_id) SELECT CAST(r.req_id AS BIGINT) AS req_id, CASE WHEN trim(keyword) <> '' THEN keyword END AS keyword, CASE WHEN trim(keyword) <> '' THEN coalesce(ids, '') END AS ids, CASE WHEN trim(keyword) = '' THEN 'INVALID_ARGUMENT' END AS code FROM r LEFT JOIN u USING (req_id)")
+def search_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = requests.search_law(_requests(spark), _parts(spark, sf_dir))
+    return found.select(F.col("req_id").cast("long").alias("req_id"), F.col("query.keyword").alias("keyword"), F.array_join(F.transform("results", lambda x: x["law_id"]), " ").alias("ids"), F.col("error.code").alias("code"))
+
+
+@registered("SELECT n_nationkey AS req_id, n_name AS abbr, CASE n_name WHEN 'NATION_1' THEN 'First Nation' WHEN 'NATION_2' THEN 'Second Nation' END AS formal, CASE WHEN n_name NOT IN ('NATION_1', 'NATION_2') THEN 'search_law' END AS next_action FROM nation")
+def resolve_abbreviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _parts(spark, sf_dir)
+    known.aliases = spark.createDataFrame([("NATION_1", "First Nation"), ("NATION_2", "Second Nation")], "abbr string, formal string")
+    found = requests.resolve_abbreviation(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("req_id"), F.col("n_name").alias("abbr")), known)
+    return found.select("req_id", "abbr", F.col("resolved.formal").alias("formal"), F.col("next_actions")[0]["action"].alias("next_action"))
+
+
+@registered("SELECT p_partkey AS req_id, p_partkey % 4 < 3 AS found, CASE p_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 4 WHEN 2 THEN 2 END AS hierarchy_rank, p_partkey % 4 = 3 AS listed FROM part")
+def explain_law_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request per part: a name, an alias, a code, or the part's type, which is none."""
+    case = F.col("p_partkey") % 4
+    asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("req_id"), F.when(case == 0, " 政令 ").when(case == 1, "施行規則").when(case == 2, "Act").otherwise(F.col("p_type")).alias("name"))
+    found = requests.explain_law_type(asked, _parts(spark, sf_dir))
+    return found.select("req_id", "found", F.col("info.hierarchy_rank").alias("hierarchy_rank"), F.col("known").isNotNull().alias("listed"))
 
 
 @registered("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'repealed' WHEN doc_id % 3 = 1 THEN 'not yet in force' ELSE 'in force' END AS label FROM documents")

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexgrove.plans.requests import Corpus
 from lexgrove.session import table
+from lexgrove.sources.aliases import aliases
+from lexgrove.sources.law_types import law_types
+from lexgrove.sources.nodes import shred
 
 
 def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,3 +50,43 @@ def laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as laws, in the order of name and key."""
     part = table(spark, sf_dir, "part")
     return part.select(F.col("p_partkey").cast("string").alias("law_id"), F.col("p_name").alias("law_title"), F.col("p_brand").alias("law_num"), F.col("p_type").alias("law_type"), F.struct("p_name", "p_partkey").alias("src_ord"))
+
+
+def _node(tag: str, children, num=None):
+    attr = F.concat(F.lit(',"attr":{"Num":"'), num.cast("string"), F.lit('"}')) if num is not None else F.lit("")
+    return F.concat(F.lit(f'{{"tag":"{tag}"'), attr, F.lit(',"children":['), children, F.lit("]}"))
+
+
+def _leaf(tag: str, text):
+    return _node(tag, F.to_json(F.array(text)).substr(F.lit(2), F.length(F.to_json(F.array(text))) - 2))
+
+
+def _joined(order, body):
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), body.alias("b")))), lambda x: x["b"]), ",")
+
+
+def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as laws in JSON: order states are chapters, orders articles, lines paragraphs; a returned line has an item."""
+    customer, orders, lineitem = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
+    lined = lineitem.withColumn("p", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
+    said = _node("ParagraphSentence", _leaf("Sentence", F.concat(F.lit("part "), F.col("l_partkey").cast("string"))))
+    item = _node("Item", F.concat_ws(",", _leaf("ItemTitle", F.lit("一")), _node("ItemSentence", _leaf("Sentence", F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string"))))), F.lit("1"))
+    paragraphs = lined.select("l_orderkey", "p", _node("Paragraph", F.concat_ws(",", said, F.when(F.col("l_returnflag") == "R", item)), F.col("p")).alias("j")).groupBy("l_orderkey").agg(_joined(F.col("p"), F.col("j")).alias("ps"))
+    held = orders.join(paragraphs, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    heads = [_leaf("ArticleCaption", F.col("o_orderpriority")), _leaf("ArticleTitle", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")))]
+    articles = held.select("o_custkey", "o_orderstatus", "o_orderkey", _node("Article", F.concat_ws(",", *heads, F.col("ps")), F.col("o_orderkey")).alias("j"))
+    chapters = articles.groupBy("o_custkey", "o_orderstatus").agg(_joined(F.col("o_orderkey"), F.col("j")).alias("as"))
+    chapters = chapters.select("o_custkey", "o_orderstatus", _node("Chapter", F.concat_ws(",", _leaf("ChapterTitle", F.col("o_orderstatus")), F.col("as")), F.col("o_orderstatus")).alias("j"))
+    bodies = chapters.groupBy("o_custkey").agg(_joined(F.col("o_orderstatus"), F.col("j")).alias("cs"))
+    law = customer.join(bodies, F.col("c_custkey") == F.col("o_custkey"), "left")
+    main = _node("MainProvision", F.coalesce("cs", F.lit("")))
+    return law.select(F.col("c_custkey").cast("string").alias("doc_id"), _node("Law", _node("LawBody", F.concat_ws(",", _leaf("LawTitle", F.col("c_name")), main))).alias("body"))
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    """Customers as laws with one revision each, whose nodes are shredded from `trees`."""
+    customer = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey").cast("string")
+    law = customer.select(key.alias("law_id"), F.col("c_name").alias("law_title"), F.concat(F.lit("No. "), key).alias("law_num"), F.lit("Act").alias("law_type"), F.col("c_custkey").alias("src_ord"))
+    revision = customer.select(key.alias("law_id"), key.alias("law_revision_id"), F.lit("1990-01-01").cast("date").alias("enforcement_date"), F.lit(0).alias("api_ord"))
+    return Corpus(law, revision, shred(trees(spark, sf_dir)), aliases(spark), law_types(spark))
