@@ -111,12 +111,13 @@ def pack(pieces: DataFrame, tokens: str, loss: str, order: list[str], max_tokens
     return dealt.groupBy("_group").applyInPandas(run, f"{schema}, sequence_id long, offset long")
 
 
-def token_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, max_tokens: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, max_tokens: int = 2048, max_loss: int | None = None, context: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of whole encoded texts: doc_id, start, length, ids_crc32, doc_tokens, loss_tokens.
 
-    A text's ids (null: none) and end_id are cut each max_tokens ids, so that only a text's last
-    piece is shorter. loss_tokens leaves the end mark out.
+    A text's ids (null: none) and end_id are cut into pieces as long as max_tokens and max_loss allow. All
+    ids bear loss but the end mark and a text's first `context` ids, which have too little before them to be told from. Repeated rows give repeated pieces.
     """
+    most = min(max_tokens, max_loss or max_tokens)
     path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
     end = np.array([end_id], "<u4").tobytes()
     kind = docs.schema[key].dataType.simpleString()
@@ -128,34 +129,38 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1
             rows, start, length, crc, total, loss = [], [], [], [], [], []
             for i, ids in enumerate(coder.of([t or "" for t in column(batch, "text").to_pylist()])):
                 ids += end
-                n = len(ids) // 4
-                for a in range(0, n, max_tokens):
-                    b = min(n, a + max_tokens)
+                n, b = len(ids) // 4, 0
+                while b < n:
+                    a, b = b, min(n, b + min(max_tokens, most + max(0, context - b)))
                     rows.append(i)
                     start.append(a)
                     length.append(b - a)
                     crc.append(zlib.crc32(ids[4 * a : 4 * b]))
                     total.append(n)
-                    loss.append(b - a - (b == n))
+                    loss.append(max(0, b - (b == n) - max(a, context)))
             keys = column(batch, "key").take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([keys, *[pa.array(x, pa.int64()) for x in (start, length, crc, total, loss)]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "loss_tokens"])
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str | None = None, max_tokens: int = 2048, max_segments: int = 512, max_loss: int | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str | None = None, max_tokens: int = 2048, max_segments: int = 512, max_loss: int | None = None, context: int = 0) -> DataFrame:
     """Each text's pieces in sequences; the pieces' ids are encoded once and not moved.
 
-    max_loss, if given, is the most loss-bearing tokens of a sequence, and pieces are cut so that each is within it.
+    max_loss, if given, is the most loss-bearing tokens of a sequence, and pieces are cut so that each is within it; context: see token_pieces.
     Without it that limit is max_tokens and never binds, as all tokens but end marks bear loss.
     Repeated rows are packed as often as they occur; a null or empty text is its end mark.
     """
     if max_loss is not None and max_loss < 1:
         raise ValueError("max_loss: from 1")
-    pieces = cut(token_pieces(docs, vocabulary, max_tokens=min(max_tokens, max_loss or max_tokens)))
+    pieces = cut(token_pieces(docs, vocabulary, max_tokens=max_tokens, max_loss=max_loss, context=context))
     packed = pack(pieces, "length", "loss_tokens", ["doc_id", "start", "ids_crc32"], max_tokens, max_segments, max_loss)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
+#: Limits of the query and of the pipeline: each binds on some of their sequences.
+LIMITS = {"max_tokens": 2048, "max_segments": 32, "max_loss": 2040, "context": 8}
+
+
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(documents(spark, sf_dir).select("doc_id", "text"))
+    return pack_documents(documents(spark, sf_dir).select("doc_id", "text"), **LIMITS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import column, documents, fold, hash_below, slices
+from lexgrove.llm.common import column, documents, fold, hash_below, lean, slices
 
 #: Characters counted one by one, as shares of the text.
 SIGNS = "!|#$%&*.,;:?\"'()-_/@=<>+"
@@ -53,10 +54,20 @@ class QualityModel:
         return 1.0 / (1.0 + np.exp(-z.astype(np.float64)))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, n_edges: int = 12, steps: int = 400, rate: float = 0.03, decay: float = 1e-3) -> QualityModel:
+def nnpu_gradient(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the non-negative risk by the logits of the positives and of the unlabelled rows, as fit_nnpu steps along it."""
+    sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
+    gp, gu = -prior * sp / len(zp), su / len(zu)
+    if np.logaddexp(0, zu).mean() >= prior * np.logaddexp(0, zp).mean():
+        return gp - prior * (1 - sp) / len(zp), gu
+    return -gp, -gu
+
+
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, n_edges: int = 12, steps: int = 400, rate: float = 0.03, decay: float = 1e-3, corrected: bool = True) -> QualityModel:
     """Minimise prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]) for the logistic loss l by Adam.
 
-    Where the part in max() is below 0, the step goes against that part alone.
+    Where the part in max() is below 0, the step goes against that part alone. Without `corrected` the
+    unlabelled rows count as negatives: what is minimised then tells positives from unlabelled rows.
     """
     if not len(positive) or not len(unlabelled):
         return QualityModel(prior)
@@ -68,12 +79,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, n_edges
     for t in range(1, steps + 1):
         zp, zu = p @ w + bias, u @ w + bias
         sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp, gu = -prior * sp / len(p), su / len(u)
-        if negative >= 0:
-            gp = gp - prior * (1 - sp) / len(p)
-        else:
-            gp, gu = -gp, -gu
+        gp, gu = nnpu_gradient(zp, zu, prior) if corrected else (-prior * (1 - sp) / len(p), (1 - prior) * su / len(u))
         grad = np.append(p.T @ gp.astype(np.float32) + u.T @ gu.astype(np.float32) + decay * w, gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -82,6 +88,32 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, n_edges
     return model
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least: int = 50) -> float:
+    """Share of positives among the unlabelled, from the scores of both by a classifier that tells them apart.
+
+    Above any score at which the classifier finds no negative, the unlabelled rows are the prior's share of the positives.
+    So the prior is the least ratio of the two shares above a score (best bin estimation), each with its sampling error added; scores that fewer than
+    `least` positives reach count for nothing. It is within 0.01 to 0.99.
+    """
+    cuts = np.sort(positive)[: max(1, len(positive) - least + 1)]
+    p = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
+    u = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
+    slack = np.sqrt(np.log(20) / 2) * (1 / math.sqrt(len(positive)) + 1 / math.sqrt(len(unlabelled)))
+    at = int(np.argmin((u + slack) / p))
+    return float(np.clip(u[at] / p[at], 0.01, 0.99))
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least: int = 50) -> float | None:
+    """class_prior by two classifiers, each fitted to one half of the rows and read on the other; the smaller, as such estimates err upward. None for too few rows."""
+    if len(positive) < 2 * least or len(unlabelled) < 2 * least:
+        return None
+    found = []
+    for i in (0, 1):
+        model = fit_nnpu(positive[i::2], unlabelled[i::2], 0.5, corrected=False)
+        found.append(class_prior(model.score(positive[1 - i :: 2]), model.score(unlabelled[1 - i :: 2]), least))
+    return min(found)
+
+
 def _featured(docs: DataFrame, keep: list[str]) -> DataFrame:
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
@@ -97,8 +129,10 @@ def learn_quality(docs: DataFrame, labels: DataFrame, rows: int = 12_000, seed:
     """Learn from docs (doc_id, text) and labels (doc_id, quality), both already the training rows.
 
     Trusted positives are documents with label 1, the unlabelled ones any documents, label
-    or none; about `rows` of each are picked by a hash of doc_id. The class prior is the share of 1 among the labels,
-    with one more of each. Null labels and labels without a document count for nothing.
+    or none; about `rows` of each are picked by a hash of doc_id, and rows repeated as a whole count once among them. The class prior is
+    estimated from those two alone (estimated_prior), and where it can't be it is the share of 1 among the labels,
+    with one more of each. Of a doc_id's several labels the greatest counts; null labels and labels without a document count for nothing.
+    Without documents or positives every score is that share.
     """
     known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = known.agg(F.sum((F.col("quality") == 1).cast("long")).alias("p"), F.count(F.lit(1)).alias("n")).first()
@@ -108,15 +142,21 @@ def learn_quality(docs: DataFrame, labels: DataFrame, rows: int = 12_000, seed:
         return QualityModel(prior)
     trusted = known.where((F.col("quality") == 1) & hash_below(F.col("doc_id"), rows / n["p"], seed)).select("doc_id", F.lit(True).alias("p"))
     sample = docs.join(F.broadcast(trusted), "doc_id", "left").withColumn("p", F.coalesce("p", F.lit(False))).withColumn("u", F.coalesce(hash_below(F.col("doc_id"), rows / total, seed + 1), F.lit(True)))
-    found = _featured(sample.where("p or u"), ["p", "u"]).toPandas()
+    found = _featured(sample.where("p or u").dropDuplicates(["doc_id", "text"]), ["p", "u"]).toPandas()
     x = np.array(found["x"].tolist()).reshape(len(found), N_FEATURES)
-    return fit_nnpu(x[found["p"].to_numpy(bool)], x[found["u"].to_numpy(bool)], prior)
+    order = np.lexsort(x.T)  # whatever order the rows came in
+    positive, unlabelled = (x[order][found[c].to_numpy(bool)[order]] for c in ("p", "u"))
+    return fit_nnpu(positive, unlabelled, estimated_prior(positive, unlabelled) or prior)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, score and predicted (1 from `threshold` on) of each row, from the whole text alone (null: empty)."""
+    """key, score and predicted (1 from `threshold` on) of each row, from the whole text alone (null: empty).
+
+    Equal texts have equal scores, repeated rows repeated results; other columns are left out; an empty table gives no rows.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x = np.array([features(t or "") for t in column(batch, "text").to_pylist()]).reshape(batch.num_rows, N_FEATURES)

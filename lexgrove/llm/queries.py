@@ -14,7 +14,7 @@ from lexgrove.llm.neighbours import op8_projected_neighbours
 from lexgrove.llm.packing import op4_vector_packing
 from lexgrove.llm.quality import op3_pu_quality
 from lexgrove.llm.sharding import op10_rendezvous_sharding
-from lexgrove.llm.spotsigs import op6_spotsigs
+from lexgrove.llm.spotsigs import op6_spotsigs, spotsigs_classes
 from lexgrove.llm.tokens import op9_section_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_projected_neighbours,
         op9_section_token_counts,
         op10_rendezvous_sharding,
+        spotsigs_classes,
     )
 }
 

@@ -14,8 +14,9 @@ import xxhash
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from lexgrove.llm.common import column, cut, documents, slices
+from lexgrove.llm.common import column, cut, documents, lean, slices
 from lexgrove.llm.jaccard import components, dealt
 
 #: Common words of English, German, French and Spanish that serve as anchors.
@@ -120,13 +121,15 @@ def pruned_jaccard(a: np.ndarray, b: np.ndarray, threshold: float = 0.0) -> floa
 
 
 def in_order(docs: DataFrame, key: str, text: str, ranges: int, partitions: int) -> DataFrame:
-    """Rows (key, text, range, copy) sorted by key from large to small within ranges, several to a partition.
+    """Rows (key, a number; text, range, copy) sorted by key from large to small within ranges, several to a partition.
 
     The keys' quantiles, and the texts' hashes where one key holds more than a range's share, part the rows into
     ranges, which follow one another. The first row of a
     range stands once more, as a copy, at the end of the range before it, that of the first at
     the end of the last: so each row's next stands behind it. Only a row a range goes to the driver.
     """
+    if not isinstance(docs.schema[key].dataType, NumericType):
+        raise ValueError("key: a number")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     spot = F.coalesce(F.col("key").cast("double"), F.lit(-1e308))
     inner = rows.select(spot.alias("d")).stat.approxQuantile("d", [i / ranges for i in range(1, ranges)], 0.2 / ranges)
@@ -180,6 +183,7 @@ def fingerprints(docs: DataFrame, chain: int = 3, threshold: float = 0.0, key: s
     body = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))
     partitions = max(8, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, texts, marks = [], [], []
         for batch in slices(batches, "text", 2 << 20):
@@ -256,6 +260,7 @@ def alike(prints: DataFrame, threshold: float = 0.8, key: str = "doc_id", block_
             found += [(tid[i], tid[j]) for j in near if pruned_jaccard(own[i], own[j], threshold)]
         return pd.DataFrame(found, columns=["a", "b"])
 
+    members = cut(members)
     pairs = dealt(members, sets.select("tid", "text"), block_rows, block_signatures).groupBy("gid", "lo", "hi").applyInPandas(compare, "a long, b long")
     links = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = components(links).withColumnRenamed("node", "tid")
@@ -265,5 +270,10 @@ def alike(prints: DataFrame, threshold: float = 0.8, key: str = "doc_id", block_
     return rows.select("key", "tid").join(ids, "tid").select(F.col("key").alias(key), "class_id")
 
 
+def spotsigs_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and class_id of every document: `alike` at 0.8 over the fingerprints of op6_spotsigs."""
+    return alike(cut(fingerprints(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "fingerprint")))
+
+
 def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir).select("doc_id", "text"))

@@ -183,6 +183,15 @@ def test_packing_under_a_loss_limit(spark):
     assert sums(held, "length").total() == sums(free, "length").total() and sums(held, "loss_tokens").total() == sums(free, "loss_tokens").total()
 
 
+def test_each_limit_of_the_query_binds(spark):
+    """On the query's own table some sequences are full by tokens, some by loss-bearing tokens, and with tiny texts by segments."""
+    tiny = spark.createDataFrame([(-i - 1, "a") for i in range(3000)], "doc_id long, text string")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(tiny)
+    rows = packing.pack_documents(docs, **packing.LIMITS).groupBy("sequence_id").agg(F.sum("length").alias("t"), F.count("*").alias("n"), F.sum("loss_tokens").alias("l")).collect()
+    most = packing.LIMITS
+    assert max(r.t for r in rows) == most["max_tokens"] and max(r.n for r in rows) == most["max_segments"] and max(r.l for r in rows) == most["max_loss"]
+
+
 def test_repeated_pieces_go_to_all_groups(spark):
     """Pieces repeated as a whole are dealt in turn, the same way whatever the partitions are."""
     rows = [(None, 0, 9)] * 3000 + [(7, 0, 5)] * 1000 + [(i, 0, i % 11) for i in range(100, 2100)]
@@ -346,6 +355,35 @@ def test_links_of_large_classes_are_whole(spark):
         assert got == sorted((i, rows[top[k]][0], links[k]) for k, (i, _) in enumerate(rows)), options
 
 
+def test_prefixes_shorten_until_the_recall_is_met():
+    """A text with company in more trees asks at shorter prefixes, and by its lengths meets a text at the threshold with the recall."""
+    for threshold, trees in ((0.8, 20), (0.7, 30), (0.9, 10)):
+        least = jaccard.forest_depth(threshold, trees, 0.99, 9)
+        free = max(1, least - 2)
+        depths = jaccard.ask_depths(threshold, trees, 0.99, 9, free)
+        assert depths == sorted(depths, reverse=True) and depths[0] >= depths[-1] == least
+        assert all((1 - threshold**free) ** (trees - c) * (1 - threshold**d) ** c <= 0.01 + 1e-12 for c, d in enumerate(depths))
+    n = jaccard.least_agreement(0.8, 180)
+    agree = np.random.default_rng(0).binomial(180, 0.9, 200_000)
+    assert (agree < n).mean() <= 3e-4 and n > 140
+
+
+def test_recall_near_the_threshold(spark):
+    """Of planted pairs with a Jaccard of 0.80 to 0.85 at least 0.97 are found (0.99 are expected), and no pair under 0.8 is linked."""
+    rng = np.random.default_rng(12)
+    rows, near, far = [], set(), set()
+    for i in range(400):
+        w = [f"v{x}" for x in rng.integers(0, 1 << 30, 304)]
+        k = int(rng.integers(24, 34)) if i % 4 else 36  # words replaced at the end take as many shingles and one in five more with them
+        other = w[: 304 - k] + [f"u{x}" for x in rng.integers(0, 1 << 30, k)]
+        both = 300 - k
+        (near if both >= 0.8 * (600 - both) else far).add(2 * i)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {i for i in range(0, 800, 2) if got[i] == (i, 1) and got[i + 1] == (i, 1)}
+    assert len(near) > 250 and len(far) > 50 and not found & far and len(found & near) >= 0.97 * len(near)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 150)], "a long, b long")
     assert {r.node: r.label for r in jaccard.components(common.cut(links)).collect()} == {**{i: 1 for i in range(1, 41)}, 100: 100, 150: 100, 200: 100}
@@ -463,6 +501,46 @@ def test_forward_sums_all_segmentations():
     assert counts[2, 0] == pytest.approx(2 * 0.05 * 0.3 / z) and counts[4, 0] == pytest.approx(2 * 0.15 * 0.1 / z)
 
 
+def test_words_of_any_length():
+    """The window's sums with their sizes taken out equal a plain sum in logarithms, for long words among short ones and in many languages."""
+    rng = np.random.default_rng(3)
+    names = ["a", "b", "c", "ab", "abc", "bcab", "cabcabca", "▁", "▁a"]
+    prob = rng.random((len(names) + 1, 20)) * 0.1
+    prob[-1] = language.UNKNOWN
+    pieces = language.Pieces(names)
+    table = {w: np.log(prob[i]) for i, w in enumerate(names)}
+
+    def plain(word):
+        at = [np.zeros(20)]
+        for t in range(1, len(word) + 1):
+            terms = [at[t - k] + (table[word[t - k : t]] if word[t - k : t] in table else np.log(prob[-1])) for k in range(1, min(8, t) + 1) if word[t - k : t] in table or k == 1]
+            at.append(np.logaddexp.reduce(terms, axis=0))
+        return at[-1]
+
+    for n in (3, 40):
+        words = ["▁" + "".join(rng.choice(list("abcx"), int(k))) for k in [*rng.integers(1, 30, n), 700, 2500]]
+        assert np.allclose(pieces.forward(words, prob), [plain(w) for w in words], rtol=1e-9)
+
+
+def test_posterior_and_cut_by_plain_sums():
+    """Language and score are prior times the product of all words' probabilities; no letter is und."""
+    names, prob = ["a", "b", "ab", "▁", "▁a"], np.array([[0.2, 0.1], [0.1, 0.3], [0.3, 0.05], [0.3, 0.3], [0.1, 0.25], [language.UNKNOWN] * 2])
+    model = language.LanguageModel(["x", "y"], names, prob, np.array([0.25, 0.75]))
+    table = [dict(zip(names, prob[:, k])) for k in (0, 1)]
+
+    def total(w, k):
+        return 1.0 if not w else sum(table[k].get(w[:j], language.UNKNOWN if j == 1 else 0) * total(w[j:], k) for j in range(1, len(w) + 1))
+
+    texts = ["AB ab, b", "b", "ba1abab ab", "12 !", "", None]
+    lang, score = model.scorer()(texts)
+    for t, name, s in zip(texts, lang, score):
+        words = ["▁" + w for w in "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()]
+        both = [p * np.prod([total(w, k) for w in words]) for k, p in enumerate((0.25, 0.75))]
+        assert (name, pytest.approx(s)) == ((["x", "y"][int(np.argmax(both))], max(both) / sum(both)) if words else ("und", 0.0))
+    small = model.scorer(most_bytes=500)
+    assert small(texts)[0] == lang and small(texts[::-1])[0] == lang[::-1]
+
+
 def test_no_piece_is_too_long():
     """All letter pieces of the vocabulary are in the sum, the longest too."""
     import public_tokenizers
@@ -503,6 +581,30 @@ def test_language_stage_drops_only_und(spark):
     assert got == {i for i, t in short if i > -100}
 
 
+def test_risk_gradient_and_its_flipped_sign():
+    """The step follows the numeric gradient of the risk, and where the part in max() is negative the opposite of that part's gradient."""
+    loss = lambda z: np.logaddexp(0, -z)
+    rng = np.random.default_rng(1)
+    for shift, prior in ((0.0, 0.3), (-6.0, 0.9)):
+        zp, zu = rng.standard_normal(7), rng.standard_normal(11) + shift
+        inner = lambda a, b: loss(-b).mean() - prior * loss(-a).mean()
+        risk = (lambda a, b: prior * loss(a).mean() + inner(a, b)) if inner(zp, zu) >= 0 else (lambda a, b: -inner(a, b))
+        assert (inner(zp, zu) < 0) == (shift < 0)
+        gp, gu = quality.nnpu_gradient(zp, zu, prior)
+        step = lambda x, i: np.where(np.arange(len(x)) == i, 1e-6, 0)
+        assert np.allclose(gp, [(risk(zp + step(zp, i), zu) - risk(zp - step(zp, i), zu)) / 2e-6 for i in range(7)], atol=1e-7)
+        assert np.allclose(gu, [(risk(zp, zu + step(zu, i)) - risk(zp, zu - step(zu, i))) / 2e-6 for i in range(11)], atol=1e-7)
+
+
+def test_prior_is_estimated_without_labels_of_0():
+    rng = np.random.default_rng(2)
+    draw = lambda n, mean: rng.standard_normal((n, 3)) + mean
+    for share in (0.2, 0.6):
+        unlabelled = np.concatenate([draw(int(4000 * share), 2.5), draw(4000 - int(4000 * share), -2.5)])[rng.permutation(4000)]
+        assert abs(quality.estimated_prior(draw(2000, 2.5), unlabelled) - share) < 0.06
+    assert quality.estimated_prior(draw(10, 1), draw(500, 0)) is None
+
+
 def test_quality_of_held_out_rows(spark, docs, none):
     got = {r.doc_id: r for r in quality.op3_pu_quality(spark, "/root/testdata/sf0.01").collect()}
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
@@ -577,6 +679,18 @@ def test_line_query_equals_sql(spark):
     assert sorted(map(tuple, lines.op5_line_dedup(spark, "/root/testdata/sf0.01").collect())) == want
 
 
+def test_stages_give_callers_their_columns_back(spark):
+    """Whatever extra columns are called, their values come back as they were."""
+    names = "lang_pred score n_lines n_removed tid keep row alone h taken size slot copy turn times _row _tid _h _n _turn parts gone text_".split()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    wide = docs.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in names])
+    for stage in (language.language_stage, lines.line_stage, jaccard.near_duplicate_stage, mixing.mix_stage):
+        got = stage(wide)
+        assert got.columns == wide.columns
+        rows = got.collect()
+        assert rows and all(r[c] == f"{c}:{r.doc_id}" for r in rows for c in names), stage
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
