@@ -11,7 +11,7 @@ from lexgrove.llm.jaccard import near_duplicate_stage
 from lexgrove.llm.language import language_stage
 from lexgrove.llm.lines import line_stage
 from lexgrove.llm.mixing import mix_stage
-from lexgrove.llm.packing import pack_documents
+from lexgrove.llm.packing import LIMITS, pack_documents
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -38,7 +38,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's token pieces in sequences of at most 2048 tokens."""
-    return pack_documents(docs)
+    return pack_documents(docs, **LIMITS)
 
 
 STAGES: list[tuple[str, Stage]] = [
