@@ -170,6 +170,37 @@ def test_index_agrees_with_scan(spark):
         assert sorted(r.doc_id for r in search.indexed_fulltext(docs, search.gram_index(docs), words).collect()) == a
 
 
+def test_written_index_reads_its_shelves(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i % 7} and more text {i}") for i in range(60)], "doc_id int, text string")
+    search.write_index(search.gram_index(docs), str(tmp_path / "index"), 8)
+    for words in ("word3 text", "more 11", "absent"):
+        part = search.read_index(spark, str(tmp_path / "index"), words, 8)
+        assert "PartitionFilters: [isnotnull(shelf" in part._jdf.queryExecution().toString() or "PartitionFilters: [shelf" in part._jdf.queryExecution().toString()
+        want = sorted(r.doc_id for r in search.fulltext(docs, words).collect())
+        assert sorted(r.doc_id for r in search.indexed_fulltext(docs, part, words).collect()) == want
+        assert sorted(r.doc_id for r in search.indexed_fulltext(docs, search.gram_index(docs, only=words), words).collect()) == want
+
+
+def test_search_by_domain_number_and_place(spark):
+    laws = spark.createDataFrame([(str(i), t, f"n{i}", "Act", i) for i, t in enumerate(["消費税法", "消費税法施行令", "所得税法", "税法", "税法二"])], "law_id string, law_title string, law_num string, law_type string, src_ord int")
+    rows = [(0, "税法", None, None, "tax", None, None), (1, "税法", None, 2, None, None, 1), (2, "税法", None, None, None, "n3", None), (3, "税法", None, None, "labor", None, 0), (4, "税法", None, 9, None, None, None)]
+    asked = spark.createDataFrame(rows, "req_id int, keyword string, law_type string, lim int, domain string, law_num string, skip int")
+    got = {r.req_id: ([x.law_id for x in r.results], r.matched_count) for r in search.search_titles(asked, laws, aliases(spark), max_limit=4).collect()}
+    assert got == {0: (["0", "2"], 2), 1: (["1", "2"], 5), 2: (["3"], 1), 3: ([], 0), 4: (["0", "1", "2", "3"], 5)}
+
+
+def test_answers_are_nested_and_failures_are_errors(spark, corpus):
+    toc = json.loads(R.call(spark, corpus, "get_toc", law_name="First Act")[0])["toc"]
+    assert [x["tag"] for x in toc] == ["Chapter", "Article"] and [x["num"] for x in toc[0]["children"]] == ["30", "30_2"]
+    assert toc[0]["children"][0]["title"] == "Art. 30" and "title" not in toc[1]
+    node = json.loads(R.call(spark, corpus, "get_law", law_name="First Act", article="30", format="json")[0])["data"]["node"]
+    assert node["tag"] == "Article" and node["children"][0]["children"] == ["(duty)"]
+    answer, bad = R.call(spark, R.Corpus(corpus.laws.drop("law_id"), None, None, corpus.aliases, corpus.law_types), "search_law", keyword="First")
+    assert bad and json.loads(answer)["code"] == "INTERNAL_ERROR" and json.loads(answer)["retryable"]
+    assert json.loads(R.call(spark, corpus, "search_law", keyword="First Act")[0])["query"] == {"keyword": "First Act"}
+    assert [law_api.positive(x, 4) for x in ("", None, "abc", "0", "-1", "7")] == [4, 4, 4, 4, 4, 7]
+
+
 def test_history_and_sync(spark, tmp_path):
     from lexgrove.streaming.sync import apply_increment
 
