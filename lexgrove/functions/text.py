@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Kanji digits by value from 1.
 KANJI_DIGITS = "一二三四五六七八九"
+#: Kanji units, the greatest first.
+KANJI_UNITS = {"千": 1000, "百": 100, "十": 10}
 #: Years before the first of each era.
 ERAS = {"明治": 1867, "大正": 1911, "昭和": 1925, "平成": 1988, "令和": 2018}
 
@@ -52,22 +54,51 @@ def has_all_terms(body: Column, words: Column) -> Column:
     return (F.size(terms) > 0) & F.forall(terms, lambda t: F.contains(fold_width(body), t))
 
 
-def _kanji_number(x: Column) -> Column:
-    """Kanji numerals up to 99, `元` as 1."""
-    digits = F.translate(F.replace(x, F.lit("元"), F.lit("一")), KANJI_DIGITS, "123456789")
-    part = lambda s, empty: F.when(s == "", F.lit(empty)).otherwise(F.try_to_number(s, F.lit("9")).cast("int"))
-    tens = part(F.split_part(digits, F.lit("十"), F.lit(1)), 1) * 10 + part(F.split_part(digits, F.lit("十"), F.lit(2)), 0)
-    return F.when(F.contains(digits, F.lit("十")), tens).otherwise(part(digits, 0))
+def kanji_number(x: Column) -> Column:
+    """Kanji numerals as an int: by units up to 千 (`千二百三`) or by places (`一二〇三`); `元` is 1. Null for null, an empty text and other characters."""
+    places = F.translate(x, "元〇" + KANJI_DIGITS, "10123456789")
+
+    def step(acc: Column, c: Column) -> Column:
+        unit = F.element_at(F.create_map(*[F.lit(v) for pair in KANJI_UNITS.items() for v in pair]), c)
+        digit = acc["digit"] * 10 + F.coalesce(c.try_cast("int"), F.lit(0))
+        # a unit without a digit before it counts once
+        return F.struct(
+            (acc["sum"] + F.coalesce(F.greatest(acc["digit"], F.lit(1)) * unit, F.lit(0))).alias("sum"),
+            F.when(unit.isNotNull(), 0).otherwise(digit).alias("digit"),
+        )
+
+    start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("digit"))
+    read = F.aggregate(F.split(places, ""), start, step, lambda acc: acc["sum"] + acc["digit"])
+    return F.when(x.rlike(f"^[元〇{KANJI_DIGITS}{''.join(KANJI_UNITS)}]{{1,9}}$"), read)
+
+
+def kanji_numeral(n: Column) -> Column:
+    """1 to 9999 by units (`千二百三`); null beyond."""
+    left, parts = n.cast("int"), []
+    for unit, size in KANJI_UNITS.items():
+        many = F.floor(left / size).cast("int")
+        parts.append(F.when(many == 0, "").when(many == 1, unit).otherwise(F.concat(F.substring(F.lit(KANJI_DIGITS), many, F.lit(1)), F.lit(unit))))
+        left = left % size
+    ones = F.when(left == 0, "").otherwise(F.substring(F.lit(KANJI_DIGITS), left, F.lit(1)))
+    return F.when(n.between(1, 9999), F.concat(*parts, ones))
+
+
+def article_num_kanji(x: Column) -> Column:
+    """As article_num, and with kanji numerals read: `第千二百三条の二` as `1203_2`; null where a part is neither digits nor kanji numerals."""
+    bare = F.replace(F.regexp_replace(trim_wide(x), "^第", ""), F.lit("条"), F.lit(""))
+    parts = F.transform(F.split(bare, "の"), lambda p: F.when(p.rlike("^[0-9０-９]+$"), fold_width(p)).otherwise(kanji_number(p).cast("string")))
+    return F.when(F.forall(parts, lambda p: p.isNotNull()), F.array_join(parts, "_"))
 
 
 def era_date(x: Column) -> Column:
     """`昭和二十二年四月七日` as a date; null where it is none."""
-    pattern = f"^({'|'.join(ERAS)})([元一二三四五六七八九十]+)年([一二三四五六七八九十]+)月([一二三四五六七八九十]+)日$"
+    below_100 = f"([{KANJI_DIGITS}]?十[{KANJI_DIGITS}]?|[{KANJI_DIGITS}])"
+    pattern = f"^({'|'.join(ERAS)})(元|{below_100})年{below_100}月{below_100}日$"
     piece = lambda i: F.regexp_extract(x, pattern, i)
     before = F.lit(None).cast("int")
     for era, years in ERAS.items():
         before = F.when(piece(1) == era, F.lit(years)).otherwise(before)
-    day = [_kanji_number(piece(i)) for i in (2, 3, 4)]
+    day = [kanji_number(piece(i)) for i in (2, 4, 5)]
     return F.when(x.rlike(pattern), F.try_to_date(F.format_string("%04d-%02d-%02d", before + day[0], day[1], day[2])))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexgrove.functions.text import article_label, article_num, era_date, fold_width, heading, strip_item_marker, trim_wide
+from lexgrove.functions.text import article_label, article_num, article_num_kanji, era_date, fold_width, heading, kanji_numeral, strip_item_marker, trim_wide
 from lexgrove.operators import history, lookup, search, tree
 from lexgrove.operators import outline as toc
 from lexgrove.operators.errors import is_error
@@ -17,6 +17,7 @@ from lexgrove.session import table
 from lexgrove.sources.aliases import OWNER, aliases
 from lexgrove.sources.law_types import law_types
 from lexgrove.sources.nodes import shred
+from lexgrove.streaming.sync import newest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -390,6 +391,30 @@ def era_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("raw", era_date(F.col("raw")).cast("string").alias("day"))
 
 
+@registered(
+    """WITH d AS (SELECT l_partkey % 9999 + 1 AS n FROM lineitem),
+    p AS (SELECT DISTINCT n, n // 1000 AS k, n // 100 % 10 AS h, n // 10 % 10 AS t, n % 10 AS o FROM d)
+    SELECT '第' || CASE k WHEN 0 THEN '' WHEN 1 THEN '千' ELSE substr('一二三四五六七八九', k, 1) || '千' END
+      || CASE h WHEN 0 THEN '' WHEN 1 THEN '百' ELSE substr('一二三四五六七八九', h, 1) || '百' END
+      || CASE t WHEN 0 THEN '' WHEN 1 THEN '十' ELSE substr('一二三四五六七八九', t, 1) || '十' END
+      || CASE o WHEN 0 THEN '' ELSE substr('一二三四五六七八九', o, 1) END || '条の二' AS label, CAST(n AS VARCHAR) || '_2' AS num FROM p"""
+)
+def article_num_from_kanji(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part numbers of all line items as labels in kanji, read again."""
+    spelled = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 9999 + 1).alias("n")).distinct()
+    return spelled.select(F.concat(F.lit("第"), kanji_numeral(F.col("n")), F.lit("条の二")).alias("label")).withColumn("num", article_num_kanji(F.col("label")))
+
+
+@registered(
+    """SELECT l_orderkey, l_shipdate, l_partkey FROM (SELECT l_orderkey, CAST(l_shipdate AS DATE) AS l_shipdate, l_partkey,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_partkey DESC) AS rn FROM lineitem) WHERE rn = 1"""
+)
+def newest_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest of each order's updates, its lines by ship date."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.col("l_shipdate").cast("date").alias("l_shipdate"))
+    return newest(lines, "l_orderkey", "l_shipdate")
+
+
 @registered("SELECT * FROM (VALUES ('Ａｂ１２！', 'Ab12!'), ('条　文', '条 文'), ('plain', 'plain')) v(raw, folded)")
 def width_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([("Ａｂ１２！",), ("条　文",), ("plain",)], "raw string")

@@ -10,12 +10,21 @@ import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Attempts after the first, the first delay in seconds, the time limit, and requests at a time.
 RETRIES, DELAY, TIMEOUT, CONCURRENCY = 3, 0.5, 30.0, 4
 
+#: The fields of the API's answers that become columns.
+LAW_INFO = "law_id string, law_type string, law_num string, promulgation_date string"
+REVISION = (
+    "law_revision_id string, law_title string, law_title_kana string, abbrev string, category string, updated string, "
+    "amendment_promulgate_date string, amendment_enforcement_date string, amendment_law_id string, amendment_law_title string, "
+    "amendment_law_num string, repeal_status string, remain_in_force boolean, current_revision_status string"
+)
+
 
 class HttpFailure(Exception):
     """status 0 is a time-out."""
@@ -109,3 +118,28 @@ class LawApi(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(LawApi)
+
+
+def _answered(answers: DataFrame, schema: str) -> DataFrame:
+    """The answers whose body is there, read by a schema; a body that isn't such JSON has null fields."""
+    return answers.where("body is not null").select(F.col("law_id").alias("_asked"), "body", F.from_json("body", schema).alias("a"))
+
+
+def as_laws(answers: DataFrame) -> DataFrame:
+    """A row per law of list answers, in their order: the law's and its revision's fields, src_ord from 1 and the answer's total_count."""
+    read = _answered(answers, f"total_count long, laws array<struct<law_info: struct<{LAW_INFO}>, revision_info: struct<{REVISION}>>>")
+    rows = read.select("a.total_count", F.posexplode("a.laws").alias("_n", "law"))
+    return rows.select("law.law_info.*", "law.revision_info.*", (F.col("_n") + 1).cast("long").alias("src_ord"), "total_count")
+
+
+def as_documents(answers: DataFrame) -> DataFrame:
+    """A row per document answer: law_id, the law's and its revision's other fields, and `body`, the tree as JSON, for `nodes.shred(..., "law_id")`."""
+    read = _answered(answers, f"law_info struct<{LAW_INFO}>, revision_info struct<{REVISION}>")
+    known = [F.col(f"a.law_info.{f.split()[0]}") for f in LAW_INFO.split(", ")[1:]]
+    return read.select(F.coalesce("a.law_info.law_id", "_asked").alias("law_id"), *known, "a.revision_info.*", F.get_json_object("body", "$.law_full_text").alias("body"))
+
+
+def as_revisions(answers: DataFrame) -> DataFrame:
+    """A row per revision of history answers, with its law's law_id and law_num."""
+    read = _answered(answers, f"law_info struct<{LAW_INFO}>, revisions array<struct<{REVISION}>>")
+    return read.select(F.coalesce("a.law_info.law_id", "_asked").alias("law_id"), F.col("a.law_info.law_num").alias("law_num"), F.explode("a.revisions").alias("r")).select("law_id", "law_num", "r.*")

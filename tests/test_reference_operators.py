@@ -240,3 +240,55 @@ def test_law_api_retries_and_reports(spark):
     server.shutdown()
     assert json.loads(got["a"].body) == {"ok": 1} and got["flaky"].body and got["gone"].status == 404 and seen.count("/law_data/flaky?asof=2020-01-01") == 3
     assert law_api.list_url("b", law_title="", limit=0, law_type=None) == "b/laws?limit=0"
+
+
+def test_kanji_numbers(spark):
+    from lexgrove.functions.text import article_num_kanji, era_date, kanji_number, kanji_numeral
+
+    n = F.col("id").cast("int")
+    wrong = spark.range(1, 10000).select(n.alias("n"), kanji_numeral(n).alias("k")).where(~kanji_number(F.col("k")).eqNullSafe(F.col("n")))
+    assert wrong.count() == 0
+    labels = ["第千二百三条の二", " 第三十条 ", "第一二〇条", "第３０条の2", "第条", "第三x条", "", None]
+    rows = spark.createDataFrame([(x,) for x in labels], "x string").select(article_num_kanji(F.col("x")).alias("n"))
+    assert [r.n for r in rows.collect()] == ["1203_2", "30", "120", "30_2", None, None, None, None]
+    assert spark.range(1).select(kanji_numeral(F.lit(0)).alias("a"), kanji_numeral(F.lit(10000)).alias("b")).first()[:] == (None, None)
+    days = spark.createDataFrame([("令和元年十二月十日",), ("昭和十五十年一月一日",), (None,)], "x string").select(era_date(F.col("x")).cast("string").alias("d"))
+    assert [r.d for r in days.collect()] == ["2019-12-10", None, None]
+
+
+def test_catching_up(spark, tmp_path):
+    import datetime as dt
+
+    from lexgrove.streaming.sync import catch_up, needs_full, sync_state
+
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    made = lambda rows: spark.createDataFrame(rows, "k int, body string, update_date date")
+    everything, asked = made([(1, "a", day(0)), (2, "b", day(0)), (None, "x", day(0))]), []
+
+    def since(first, last):
+        asked.append((first, last))
+        return made([(2, "B", day(1)), (2, "BB", day(3)), (2, "BB", day(3)), (3, "c", day(2))]).where(F.col("update_date").between(first, last))
+
+    path, held = str(tmp_path), lambda v: sorted((r.k, r.body) for r in spark.read.parquet(f"{tmp_path}/v{v}").collect())
+    assert sync_state(spark, path) is None and needs_full(None, day(0)) and needs_full(day(0), day(91)) and not needs_full(day(0), day(90))
+    run = lambda today: catch_up(spark, path, today, since, lambda: everything, "k", "body")
+    assert run(day(0))[:] == (1, day(0), 2, True) and held(1) == [(1, "a"), (2, "b")]
+    assert run(day(3))[:] == (2, day(3), 2, False) and held(2) == [(1, "a"), (2, "BB"), (3, "c")]
+    assert run(day(3))[:] == run(day(1))[:] == (2, day(3), 2, False) and asked == [(day(1), day(3))]
+    assert run(day(5))[:] == (2, day(5), 0, False)
+    assert run(day(200))[:] == (3, day(200), 2, True) and held(3) == [(1, "a"), (2, "b")]
+
+
+def test_api_answers_become_tables(spark):
+    from lexgrove.sources.nodes import shred as shredded
+
+    info, tree = {"law_id": "L1", "law_type": "Act", "law_num": "n1", "promulgation_date": "2000-01-01"}, {"tag": "Law", "children": [{"tag": "LawTitle", "children": ["T"]}]}
+    item = {"law_info": info, "revision_info": {"law_title": "T", "repeal_status": "None"}}
+    made = lambda *bodies: spark.createDataFrame([("L1", x if x is None or isinstance(x, str) else json.dumps(x)) for x in bodies], "law_id string, body string")
+    laws = law_api.as_laws(made({"total_count": 7, "laws": [item, {"law_info": {"law_id": "L2"}}]}, {"total_count": 0, "laws": []}, None)).collect()
+    assert [(r.law_id, r.law_title, r.src_ord, r.total_count) for r in laws] == [("L1", "T", 1, 7), ("L2", None, 2, 7)]
+    docs = law_api.as_documents(made({"law_info": info, "revision_info": {"law_title": "T"}, "law_full_text": tree}, "no json"))
+    assert [(r.law_id, r.law_num, r.law_title) for r in docs.orderBy("law_num").collect()] == [("L1", None, None), ("L1", "n1", "T")]
+    assert [r.tag for r in shredded(docs, "law_id").where("tag is not null").orderBy("path").collect()] == ["Law", "LawTitle"]
+    past = law_api.as_revisions(made({"law_info": info, "revisions": [{"law_revision_id": "r2", "remain_in_force": True}, {"law_revision_id": "r1"}]}, {"law_info": info, "revisions": []})).collect()
+    assert [(r.law_id, r.law_num, r.law_revision_id, r.remain_in_force) for r in past] == [("L1", "n1", "r2", True), ("L1", "n1", "r1", None)]
