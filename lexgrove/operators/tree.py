@@ -64,3 +64,21 @@ def titles(nodes: DataFrame, tag: str = "LawTitle", key: str = "doc_id") -> Data
     """key and title: text of LawBody/LawTitle; no row for a document without one."""
     bodies = nodes.where(F.col("tag") == "LawBody").groupBy(key).agg(F.min("path").alias("path"))
     return children(nodes, bodies, tag, first=True, key=key).where("child is not null").select(key, F.coalesce("child.content", F.lit("")).alias("title"))
+
+
+def sections(nodes: DataFrame, wanted: DataFrame, tag: str = "tag", num: str = "num", key: str = "doc_id") -> DataFrame:
+    """The nodes of a part of a document, of the element itself and of all below it, for each row of wanted (key, tag, num, more).
+
+    The element is the first of that tag and number in document order. Rows are wanted's columns with `section` (its path) and `node`
+    (a struct of path and the columns of nodes); a part that is not there, or a null, has none. Nodes meet their part by equality of path prefixes.
+    """
+    asked = wanted.select(key, F.col(tag).alias("_tag"), F.col(num).alias("_num")).distinct()
+    named = nodes.select(F.col(key).alias("_k"), F.col("tag").alias("_t"), F.col("num").alias("_n"), "path")
+    on = (F.col(key) == F.col("_k")) & (F.col("_tag") == F.col("_t")) & (F.col("_num").cast("string") == F.col("_n"))
+    found = asked.join(named, on).groupBy(key, "_tag", "_num").agg(F.min("path").alias("section"))
+    sizes = found.select(F.col(key).alias("_k"), F.size("section").alias("_size")).distinct()
+    own = nodes.select(F.col(key).alias("_d"), F.struct(*[c for c in nodes.columns if c != key]).alias("node"))
+    below = own.join(sizes, F.col("_d") == F.col("_k")).where(F.size("node.path") >= F.col("_size")).select("_d", F.slice("node.path", F.lit(1), F.col("_size")).alias("_top"), "node")
+    parts = found.select(F.col(key).alias("_key"), "_tag", "_num", "section")
+    rows = wanted.join(parts, (F.col(key) == F.col("_key")) & (F.col(tag) == F.col("_tag")) & (F.col(num) == F.col("_num")))
+    return rows.join(below, (F.col(key) == F.col("_d")) & (F.col("section") == F.col("_top"))).select(*wanted.columns, "section", "node")

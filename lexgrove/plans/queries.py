@@ -435,3 +435,15 @@ def shred_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("SELECT conv_id, turn, trim(text, ' 　' || chr(9) || chr(10) || chr(13)) AS text FROM conversations")
 def trimmed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", trim_wide(F.col("text")).alias("text"))
+
+
+@registered(
+    """SELECT CAST(o_custkey AS VARCHAR) AS doc_id, count(DISTINCT o_orderkey) AS articles, count(l_orderkey) AS paragraphs
+    FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY o_custkey"""
+)
+def section_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands in the chapter F of each customer's law."""
+    held = standins.corpus(spark, sf_dir)
+    wanted = held.laws.select(F.col("law_id").alias("doc_id"), F.lit("Chapter").alias("tag"), F.lit("F").alias("num"))
+    of = lambda tag: F.count(F.when(F.col("node.tag") == tag, 1))
+    return tree.sections(held.nodes, wanted).groupBy("doc_id").agg(of("Article").alias("articles"), of("Paragraph").alias("paragraphs"))

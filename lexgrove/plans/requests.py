@@ -26,7 +26,7 @@ REVISION_FIELDS = (
     "law_revision_id", "amendment_promulgate_date", "amendment_enforcement_date", "amendment_enforcement_comment",
     "amendment_law_num", "amendment_law_title", "amendment_law_id", "current_revision_status",
 )
-log = logging.getLogger("lexgrove")
+log = logging.getLogger("lexgrove.requests")
 
 
 @dataclass

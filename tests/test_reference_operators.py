@@ -292,3 +292,85 @@ def test_api_answers_become_tables(spark):
     assert [r.tag for r in shredded(docs, "law_id").where("tag is not null").orderBy("path").collect()] == ["Law", "LawTitle"]
     past = law_api.as_revisions(made({"law_info": info, "revisions": [{"law_revision_id": "r2", "remain_in_force": True}, {"law_revision_id": "r1"}]}, {"law_info": info, "revisions": []})).collect()
     assert [(r.law_id, r.law_num, r.law_revision_id, r.remain_in_force) for r in past] == [("L1", "n1", "r2", True), ("L1", "n1", "r1", None)]
+
+
+def test_bulk_archives(spark, tmp_path):
+    import datetime as dt
+    import zipfile
+
+    from lexgrove.sources import bulk
+    from lexgrove.sources.nodes import shred as shredded
+
+    law = '<?xml version="1.0"?>\n<Law>\n <LawBody>\n  <LawTitle>T　<Ruby>る</Ruby>び</LawTitle>\n <MainProvision><Article Num="1"/></MainProvision></LawBody>\n</Law>'
+    head = ",".join(bulk.LIST)
+    rows = ["法律,n1,T,て,,昭和二十二年四月七日,,,,明治五年十一月九日,,L1,u1,", '政令,n2,"A, B",び,,不明,改,n1,令和元年五月一日,,,L2,u2,未施行', "法律,n3"]
+    folder = tmp_path / "zips"
+    folder.mkdir()
+    with zipfile.ZipFile(folder / "27_xml.zip", "w") as z:
+        z.writestr("all_law_list.csv", "﻿" + "\r\n".join([head, *rows]) + "\r\n")
+        for i in range(5):
+            z.writestr(f"L{i}_20250601_{'0' * 15 if i else 'A9'}/L{i}_20250601_{'0' * 15 if i else 'A9'}.xml", law)
+    with zipfile.ZipFile(folder / "all_xml.zip", "w") as z:
+        z.writestr("bad.xml", "<Law>")
+    with zipfile.ZipFile(folder / "3_xml.zip", "w"):
+        pass
+    bulk.register(spark)
+    load = lambda path, **o: spark.read.format("law_bulk").options(path=str(path), **o).load()
+    laws = load(folder, members="2")
+    assert laws.rdd.getNumPartitions() == 4
+    got = {r.law_id: r for r in laws.collect()}
+    assert sorted(got) == ["L0", "L1", "L2", "L3", "L4", "bad"] and got["bad"].body is None and got["bad"].cause and got["bad"].category is None
+    assert got["L0"][1:4] == (dt.date(2025, 6, 1), "A9", 27) and got["L1"][1:4] == (dt.date(2025, 6, 1), None, 27)
+    nodes = shredded(laws.where("law_id = 'L1'"), "law_id")
+    assert [(r.tag, r.num, r.text) for r in nodes.orderBy("path").collect()] == [
+        ("Law", None, None), ("LawBody", None, None), ("LawTitle", None, None), (None, None, "T　"), ("Ruby", None, None), (None, None, "る"), (None, None, "び"), ("MainProvision", None, None), ("Article", "1", None),
+    ]
+    (tmp_path / "list.csv").write_bytes(("﻿" + "\r\n".join([head, *rows[:2]]) + "\r\n").encode())
+    for listed in (load(folder / "27_xml.zip", kind="list"), bulk.read_list(spark, str(tmp_path / "list.csv"))):
+        held = {r.law_id: r for r in bulk.as_laws(listed).collect()}
+        assert (held["L1"].promulgation_date, held["L1"].enforcement_date, held["L1"].old_title, held["L1"].pending) == (dt.date(1947, 4, 7), dt.date(1872, 11, 9), None, False)
+        assert (held["L2"].law_title, held["L2"].promulgation_date, held["L2"].amendment_promulgate_date, held["L2"].pending) == ("A, B", None, dt.date(2019, 5, 1), True)
+    assert load(folder / "all_xml.zip", kind="list").count() == load(folder / "3_xml.zip").count() == 0
+    bulk.write_by_category(laws, str(tmp_path / "laws"))
+    assert spark.read.parquet(f"{tmp_path}/laws").where("category = 27").count() == 5
+    assert bulk.categories(spark).where("category = 27").first().name == "都市計画" and len(bulk.CATEGORIES) == 42
+
+
+def test_sections(spark):
+    body = {"tag": "Law", "children": [
+        {"tag": "Chapter", "attr": {"Num": "1"}, "children": [{"tag": "Section", "attr": {"Num": "1"}, "children": [{"tag": "Article", "attr": {"Num": "1"}, "children": ["x"]}]}]},
+        {"tag": "Chapter", "attr": {"Num": "2"}, "children": [{"tag": "Section", "attr": {"Num": "1"}, "children": ["y"]}]},
+        {"tag": "Chapter", "attr": {"Num": "2"}, "children": ["z"]},
+    ]}
+    docs = spark.createDataFrame([(1, json.dumps(body)), (2, json.dumps(body))], "doc_id int, body string")
+    asked = [(0, 1, "Chapter", "2"), (1, 1, "Section", "1"), (2, 1, "Chapter", "3"), (3, None, "Chapter", "1"), (4, 1, "Chapter", "2"), (5, 2, None, "1"), (6, 2, "Chapter", None)]
+    got = tree.sections(shred(docs), spark.createDataFrame(asked, "req int, doc_id int, tag string, num string"))
+    shown = sorted((r.req, r.section, r.node.path, r.node.tag or r.node.text) for r in got.collect())
+    second = [([0, 1], [0, 1], "Chapter"), ([0, 1], [0, 1, 0], "Section"), ([0, 1], [0, 1, 0, 0], "y")]
+    first = [([0, 0, 0], [0, 0, 0], "Section"), ([0, 0, 0], [0, 0, 0, 0], "Article"), ([0, 0, 0], [0, 0, 0, 0, 0], "x")]
+    assert shown == [(0, *r) for r in second] + [(1, *r) for r in first] + [(4, *r) for r in second]
+
+
+def test_log():
+    import io
+    import logging
+
+    from lexgrove.log import setup
+
+    def said(debug):
+        out = io.StringIO()
+        setup(debug, out)
+        log = logging.getLogger("lexgrove.requests")
+        log.debug("small")
+        try:
+            raise ValueError("why")
+        except ValueError:
+            log.exception("failed %s", "x")
+        return out.getvalue()
+
+    try:
+        assert said(False) == "[requests] failed x\n"
+        assert said(True).startswith("[requests] small\n[requests] failed x\nTraceback") and "why" in said(True)
+    finally:
+        logging.getLogger("lexgrove").handlers.clear()
+        logging.getLogger("lexgrove").propagate = True
