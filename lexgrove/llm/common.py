@@ -123,9 +123,12 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)), F.lit(0)).cast("int")
 
 
-def hash_below(key: Column, rate: float, seed: int) -> Column:
-    """True for about `rate` of the keys, the same ones on every run."""
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) < F.lit(int(min(1.0, rate) * 1_000_000))
+def hash_below(key: Column, rate: float | Column, seed: int) -> Column:
+    """True for about `rate` of the keys, the same ones on every run; exact to 2**-53 of the rate, however small it is."""
+    rate = rate if isinstance(rate, Column) else F.lit(float(rate))
+    # 63 bits of a hash against the rate's share of them
+    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 1)
+    return (rate >= 1) | (bits.cast("double") < rate * F.lit(float(1 << 63)))
 
 
 def with_slots(df: DataFrame, groups: list[str], order: list[Column], bucket_key: Column, buckets: int, slot: str) -> DataFrame:

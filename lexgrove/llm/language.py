@@ -13,12 +13,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import column, cut, documents, fold, lean, seen, slices, unused
+from lexgrove.llm.common import column, cut, documents, fold, hash_below, lean, seen, slices, unused
 
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Probability of a code point that no piece covers, alike in all languages.
 UNKNOWN = 1e-7
+#: Runs of more letters are summed one by one, by logarithms.
+LONG_RUN = 33
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -129,8 +131,12 @@ class Pieces:
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, lang: np.ndarray, prob: np.ndarray) -> np.ndarray:
-        """Expected number of each piece in each language, of words with their language and count."""
+        """Expected number of each piece in each language, of words with their language and count; of words of any length."""
         total = np.zeros_like(prob)
+        long = np.array([len(w) > LONG_RUN for w in words], bool)
+        for i in np.flatnonzero(long):
+            self._expected_long(words[i], float(counts[i]), int(lang[i]), prob, total)
+        words, counts, lang = [w for w in words if len(w) <= LONG_RUN], counts[~long], lang[~long]
         starts, lengths, ids = self.lattice(words)
         order = np.argsort(-lengths, kind="stable")
         starts, lengths, counts, lang = starts[order], lengths[order], counts[order], lang[order]
@@ -156,6 +162,25 @@ class Pieces:
         return total
 
 
+    def _expected_long(self, word: str, count: float, lang: int, prob: np.ndarray, total: np.ndarray) -> None:
+        """Add a long word's share to `total`: sums over segmentations by logarithms, as its probability may be under any double."""
+        _, _, ids = self.lattice([word])
+        n, longest = ids.shape[1], len(ids)
+        with np.errstate(divide="ignore"):
+            log = np.where(ids < 0, -np.inf, np.log(prob[ids, lang]))
+        # row t holds what begins at t, by length, of which only the places that a word has are finite
+        alpha, beta, span = np.full(n + 1, -np.inf), np.full(n + 1 + longest, -np.inf), np.arange(1, longest + 1)
+        alpha[0] = beta[n] = 0.0
+        for t in range(1, n + 1):
+            k = span[: min(t, longest)]
+            alpha[t] = np.logaddexp.reduce(alpha[t - k] + log[k - 1, t - k])
+        for t in range(n - 1, -1, -1):
+            beta[t] = np.logaddexp.reduce(log[:, t] + beta[t + span])
+        for k in range(longest):
+            at = np.flatnonzero(ids[k] >= 0)
+            np.add.at(total, (ids[k, at], lang), np.exp(alpha[at] + log[k, at] + beta[at + k + 1] - alpha[n]) * count)
+
+
 def runs(text: str) -> list[str]:
     """Marked lower-case letter runs of a text, of any length."""
     return [MARK + w for w in LETTERS.findall(text.lower())]
@@ -206,11 +231,11 @@ class LanguageModel:
         return score
 
 
-def learn(labelled: DataFrame, vocabulary_path: str | None = None, rows_per_language: int = 1200, rounds: int = 3, smoothing: float = 0.1, seed: int = 2, longest_run: int = 32, most_languages: int = 2000) -> LanguageModel | None:
+def learn(labelled: DataFrame, vocabulary_path: str | None = None, rows_per_language: int = 1200, rounds: int = 3, smoothing: float = 0.1, seed: int = 2, most_languages: int = 2000) -> LanguageModel | None:
     """Piece probabilities of each language from columns doc_id, text and lang (none null), by expectation maximisation.
 
     About `rows_per_language` documents a language, picked by a hash of doc_id, give their
-    word counts, of runs of up to `longest_run` letters (scoring takes runs of any length); priors come from all rows. None if there is no labelled row.
+    word counts, of runs of any length; priors come from all rows. None if there is no labelled row.
     Repeated rows count as often as they stand. A model has a number for each piece and language, so more than `most_languages` are an error.
     """
     counts = cut(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
@@ -224,7 +249,7 @@ def learn(labelled: DataFrame, vocabulary_path: str | None = None, rows_per_lang
     rate = F.lit(0.0)
     for name in languages:
         rate = F.when(F.col("lang") == name, F.lit(min(1.0, rows_per_language / have[name]))).otherwise(rate)
-    picked = labelled.where(F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_000)) < (rate * 1_000_000).cast("long"))
+    picked = labelled.where(hash_below(F.col("doc_id"), rate, seed))
     number = {name: i for i, name in enumerate(languages)}
 
     @lean
@@ -234,8 +259,7 @@ def learn(labelled: DataFrame, vocabulary_path: str | None = None, rows_per_lang
             for lang, text in zip(column(batch, "lang").to_pylist(), column(batch, "text").to_pylist()):
                 mine = own.setdefault(lang, {})
                 for w in runs(text or ""):
-                    if len(w) <= longest_run + 1:
-                        mine[w] = mine.get(w, 0) + 1
+                    mine[w] = mine.get(w, 0) + 1
             for lang, mine in own.items():
                 yield pa.RecordBatch.from_arrays([pa.array([number[lang]] * len(mine), pa.int32()), pa.array(list(mine), pa.string()), pa.array(list(mine.values()), pa.int64())], ["lang", "word", "n"])
 

@@ -169,6 +169,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, dims: int = 12, sure: floa
     side, value = np.zeros(0, np.int64), np.zeros(0)
     if levels:
         picked = rows.where(hash_below(F.col("id"), sample_rows / total, seed)).toPandas()
+        if picked.empty:
+            raise ValueError("sample_rows: none of the vectors was picked")
         flat = [project(np.stack(own["v"].to_list())) for _, own in picked.groupby("n")]
         side, value = kd_splits(np.concatenate(flat) if flat else np.zeros((0, dims)), levels)
 

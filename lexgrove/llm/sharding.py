@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import documents, with_slots
+from lexgrove.llm.common import documents, nested, with_slots
 
 
 def rendezvous(key: Column, weights: Sequence[float], seed: int = 0) -> Column:
@@ -39,17 +39,19 @@ def shard_documents(
     shard, an empty table gives no rows, and columns of docs named like a result are replaced.
     """
     names = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.drop(*[n for n in names if n not in (key, text)]).select(
-        "*",
+    own, body = F.col("row").getField(key), F.coalesce(F.col("row").getField(text), F.lit(""))
+    rows = nested(docs).select(
+        "row",
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
-        rendezvous(F.col(key), weights, seed).alias("shard"),
-        rendezvous(F.col(key), [*weights, grown_weight], seed).alias("grown_shard"),
+        rendezvous(own, weights, seed).alias("shard"),
+        rendezvous(own, [*weights, grown_weight], seed).alias("grown_shard"),
     )
     buckets = 1 + docs.count() // (rows_per_bucket * len(weights))
-    return with_slots(rows, ["shard"], [F.col(key), F.col("text_crc32"), F.col("size")], F.struct(F.lit(seed + 1), F.col(key), F.col("text_crc32")), buckets, "slot")
+    placed = with_slots(rows, ["shard"], [own, F.col("text_crc32"), F.col("size")], F.struct(F.lit(seed + 1), own, F.col("text_crc32")), buckets, "slot")
+    kept = [c for c in docs.columns if c.lower() not in names or c in (key, text)]
+    return placed.select(*[F.col("row").getField(c).alias(c) for c in kept], *[F.col(n) for n in names if n not in kept])
 
 
 def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

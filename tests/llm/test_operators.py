@@ -54,6 +54,52 @@ def test_shards(docs, none):
     assert sharding.shard_documents(none, [1.0]).count() == 0
     with pytest.raises(ValueError):
         sharding.shard_documents(docs, [])
+    clashing = "_start _b2 _g0 _bucket _rn _n row slot grown_shard".split()
+    wide = docs.drop("slot", "shard").select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias(c) for c in clashing])
+    for r in sharding.shard_documents(wide, [1.0] * 4).collect():
+        assert all(r[c] == f"{c}:{'' if r.doc_id is None else r.doc_id}" for c in clashing[:-2]) and isinstance(r.slot, int) and r.shard in range(4)
+
+
+def plain_xxhash64(value: int, seed: int) -> int:
+    """xxHash64 of a number's 8 bytes, as the published algorithm has it."""
+    p1, p2, p3, p4, p5, most = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, (1 << 64) - 1
+    turn = lambda x, n: (x << n | x >> (64 - n)) & most
+    h = (seed + p5 + 8) & most
+    h ^= turn((value & most) * p2 & most, 31) * p1 & most
+    h = (turn(h, 27) * p1 + p4) & most
+    h = (h ^ h >> 33) * p2 & most
+    h = (h ^ h >> 29) * p3 & most
+    return h ^ h >> 32
+
+
+def test_rendezvous_in_plain_python(spark):
+    """Each shard bids weight / -ln(u), u from the hash of seed, shard and key; the highest bid wins."""
+    import math
+
+    import xxhash
+
+    number = lambda x, seed: xxhash.xxh64_intdigest(int(x).to_bytes(4, "little"), seed)
+    assert plain_xxhash64(77, 42) == xxhash.xxh64_intdigest((77).to_bytes(8, "little"), 42)
+    weights, seed = [1.0, 2.5, 0.0, 1.0], 3
+
+    def shard(key):
+        bids = []
+        for s, w in enumerate(weights):
+            h = plain_xxhash64(key, number(s, number(seed, 42)))
+            bids.append((w / -math.log(((h >> 11) + 0.5) / 2**53), -s))
+        return -max(bids)[1]
+
+    got = spark.range(3000).select("id", sharding.rendezvous(F.col("id"), weights, seed).alias("s")).collect()
+    assert [r.s for r in got] == [shard(r.id) for r in got] and 2 not in {r.s for r in got}
+
+
+def test_rates_of_any_size_pick_their_share(spark):
+    """A rate of one in a thousand millions is no rate of 0, nor one of the next millionth."""
+    h = lambda rate: common.hash_below(F.col("id"), rate, 5)
+    n, rates = 4_000_000, [0.0, 1e-9, 9e-7, 1.9e-6, 0.25, 1.0, 7.0]
+    got = spark.range(n).agg(*[F.sum(h(r).cast("long")) for r in rates], F.sum(h(F.lit(0.25)).cast("long"))).first()
+    assert got[0] == 0 and got[5] == got[6] == n and abs(got[4] - n / 4) < 5000 and got[7] == got[4]
+    assert 0 < got[2] < got[3] < 30
 
 
 def test_a_frequent_key_is_slotted_in_many_buckets(spark, monkeypatch):
@@ -522,6 +568,23 @@ def test_words_of_any_length():
         assert np.allclose(pieces.forward(words, prob), [plain(w) for w in words], rtol=1e-9)
 
 
+def test_expected_counts_of_long_runs():
+    """By logarithms as by plain sums where these hold, and whole where they don't."""
+    pieces = language.Pieces(["▁a", "a", "b", "ab", "aba"])
+    rng = np.random.default_rng(4)
+    prob = rng.dirichlet(np.ones(6), 2).T
+    prob[-1] = language.UNKNOWN
+    words = ["▁" + "".join(rng.choice(list("abc"), n, p=[0.5, 0.4, 0.1])) for n in (1, 5, 20, 30)]
+    counts, lang = np.array([1.0, 2.0, 3.0, 4.0]), np.array([0, 1, 0, 1])
+    plain, logs = pieces.expected(words, counts, lang, prob), np.zeros_like(prob)
+    for w, c, k in zip(words, counts, lang):
+        pieces._expected_long(w, c, k, prob, logs)
+    assert np.allclose(plain, logs)
+    far = pieces.expected(["▁" + "ab" * 2000, "▁a"], np.array([2.0, 1.0]), np.array([0, 0]), prob)
+    sizes = np.array([2, 1, 1, 2, 3, 1])
+    assert np.isclose((far[:, 0] * sizes).sum(), 2 * 4001 + 2) and not far[:, 1].any()
+
+
 def test_posterior_and_cut_by_plain_sums():
     """Language and score are prior times the product of all words' probabilities; no letter is und."""
     names, prob = ["a", "b", "ab", "▁", "▁a"], np.array([[0.2, 0.1], [0.1, 0.3], [0.3, 0.05], [0.3, 0.3], [0.1, 0.25], [language.UNKNOWN] * 2])
