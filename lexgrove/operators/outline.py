@@ -6,27 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexgrove.functions.text import article_label
-from lexgrove.operators.tree import children, ordered_text
+from lexgrove.functions.text import article_label, strip_item_marker, trim_wide
+from lexgrove.operators.tree import nested_json, ordered_text, spanned, within
 from lexgrove.sources.nodes import STRUCTURAL
 
 
 def extract(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, path, level, tag, num, title and caption of each outline row.
+    """key, path (if nodes have it), begin, end, level, tag, num, title and caption of each outline row.
 
     Structural elements and articles outside articles are rows; level is the number of
     structural elements above, so other elements are transparent. An element's title
     is the text of its <tag>Title (null for an article without one), an article's caption that of its ArticleCaption.
     """
-    rows = nodes.where(F.col("tag").isin(*STRUCTURAL, "Article") & ~F.col("in_article")).select(key, "path", "level", "tag", "num")
+    at = [c for c in ("path", "begin", "end") if c in nodes.columns]
+    rows = nodes.where(F.col("tag").isin(*STRUCTURAL, "Article") & ~F.col("in_article")).select(key, *at, "level", "tag", "num")
     named = [f"{tag}Title" for tag in (*STRUCTURAL, "Article")] + ["ArticleCaption"]
-    labels = nodes.where(F.col("tag").isin(*named)).select(F.col(key).alias("_k"), F.slice("path", 1, F.size("path") - 1).alias("_p"), F.col("tag").alias("_t"), "path", "content")
-    first = labels.groupBy("_k", "_p", "_t").agg(F.min_by("content", F.col("path")).alias("_label"))
-    first = first.groupBy("_k", "_p").agg(F.map_from_entries(F.collect_list(F.struct("_t", "_label"))).alias("_labels"))
-    joined = rows.join(first, (F.col(key) == F.col("_k")) & (F.col("path") == F.col("_p")), "left")
-    article, title = F.col("tag") == "Article", F.try_element_at("_labels", F.concat("tag", F.lit("Title")))
-    caption = F.nullif(F.try_element_at("_labels", F.lit("ArticleCaption")), F.lit(""))
-    return joined.select(key, "path", "level", "tag", "num", F.when(article, F.nullif(title, F.lit(""))).otherwise(F.coalesce(title, F.lit(""))).alias("title"), F.when(article, caption).alias("caption"))
+    labels = nodes.where(F.col("tag").isin(*named)).select(F.col(key).alias("_k"), F.col("parent").alias("_p"), F.col("tag").alias("_t"), F.struct("begin", "content").alias("_label"))
+    # the first label of each kind; of a row's kinds only its own title and the caption are looked at
+    first = labels.groupBy("_k", "_p").agg(*[F.min(F.when(F.col("_t") == t, F.col("_label"))).alias(t) for t in named])
+    joined = rows.join(first, (F.col(key) == F.col("_k")) & (F.col("begin") == F.col("_p")), "left")
+    title = F.coalesce(*[F.when(F.col("tag") == tag, F.col(f"{tag}Title.content")) for tag in (*STRUCTURAL, "Article")])
+    article, caption = F.col("tag") == "Article", F.nullif(F.col("ArticleCaption.content"), F.lit(""))
+    return joined.select(key, *at, "level", "tag", "num", F.when(article, F.nullif(title, F.lit(""))).otherwise(F.coalesce(title, F.lit(""))).alias("title"), F.when(article, caption).alias("caption"))
 
 
 def limit_depth(outline: DataFrame, depth: int | None) -> DataFrame:
@@ -43,34 +44,55 @@ def line(level: Column, tag: Column, num: Column, title: Column, caption: Column
 def listing(outline: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, node_count and lines (in document order) of each document's outline."""
     text = line(F.col("level"), F.col("tag"), F.col("num"), F.col("title"), F.col("caption"))
-    return outline.groupBy(key).agg(F.count(F.lit(1)).alias("node_count"), ordered_text(F.col("path"), text, "\n").alias("lines"))
+    return outline.groupBy(key).agg(F.count(F.lit(1)).alias("node_count"), ordered_text(F.col("begin" if "begin" in outline.columns else "path"), text, "\n").alias("lines"))
+
+
+def nested(outline: DataFrame, by: list[str]) -> DataFrame:
+    """by and `toc`: the outline rows (by, begin, level, tag, num, title, caption) of each group as nested JSON, a list of entries with children.
+
+    Nulls are left out. Rows outside articles have all elements above them in the outline, so that level tells how deep
+    an entry stands; an outline that is cut by level stays a whole one.
+    """
+    entry = F.to_json(F.struct("tag", "num", "title", "caption"))
+    piece = F.concat(F.substring(entry, F.lit(1), F.length(entry) - 1), F.lit(',"children":['))
+    rows = outline.select(*by, F.struct("begin", (F.col("level") + 1).alias("depth"), piece.alias("piece")).alias("_row"))
+    held = rows.groupBy(*by).agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
+    top = F.array(F.struct(F.lit(-1).cast("long").alias("begin"), F.lit(0).alias("depth"), F.lit("[").alias("piece")))
+    whole = held.select(*by, F.concat(top, "_rows").alias("_rows"))
+    # the list itself closes with a bracket alone
+    return whole.select(*by, F.regexp_replace(nested_json(F.col("_rows"), "piece", "depth"), r"\}$", "").alias("toc"))
 
 
 def chapter_paths(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, path, num, ord and chapter_path of each outline article: its structural titles from the top, joined by ' > '."""
     rows = extract(nodes, key)
-    articles = rows.where("tag = 'Article'").withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy("path")).cast("long"))
-    above = rows.where("tag <> 'Article'").select(F.col(key).alias("_k"), F.col("path").alias("_p"), "title")
-    steps = articles.select(key, "path", F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("_n")).select(key, "path", F.slice("path", 1, F.col("_n")).alias("_top"))
-    found = steps.join(above, (F.col(key) == F.col("_k")) & (F.col("_top") == F.col("_p"))).groupBy(F.col(key).alias("_k2"), F.col("path").alias("_p2")).agg(ordered_text(F.col("_top"), F.col("title"), " > ").alias("chapter_path"))
-    return articles.join(found, (F.col(key) == F.col("_k2")) & (F.col("path") == F.col("_p2")), "left").select(key, "path", "num", "ord", F.coalesce("chapter_path", F.lit("")).alias("chapter_path"))
+    own = [c for c in ("path", "begin") if c in rows.columns]
+    articles = rows.where("tag = 'Article'").withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy("begin")).cast("long"))
+    above = within(articles.select(key, "begin"), rows.where("tag <> 'Article'"), [], key).select(F.col(key).alias("_k"), F.col("begin").alias("_top"), F.explode("inside.begin").alias("_at"))
+    titled = above.join(rows.where("tag <> 'Article'").select(F.col(key).alias("_k3"), F.col("begin").alias("_b3"), "title"), (F.col("_k") == F.col("_k3")) & (F.col("_top") == F.col("_b3")))
+    found = titled.groupBy(F.col("_k").alias("_k2"), F.col("_at").alias("_p2")).agg(ordered_text(F.col("_top"), F.col("title"), " > ").alias("chapter_path"))
+    return articles.join(found, (F.col(key) == F.col("_k2")) & (F.col("begin") == F.col("_p2")), "left").select(key, *own[:1], "num", "ord", F.coalesce("chapter_path", F.lit("")).alias("chapter_path"))
 
 
-def paragraphs(nodes: DataFrame, articles: DataFrame, key: str = "doc_id") -> DataFrame:
-    """articles (key, path) with `body`: their paragraphs as Markdown, parted by blank lines.
+def blocks(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, begin, parent and `block` of each paragraph as Markdown.
 
     A paragraph is its number if that is neither missing nor 1, the text of its first
-    ParagraphSentence, and a line for each item. What is neither paragraph nor item is left out.
+    ParagraphSentence, and a line for each item. What is neither is left out.
     """
-    from lexgrove.functions.text import strip_item_marker, trim_wide
-
-    own = children(nodes, articles.select(key, "path").distinct(), "Paragraph", key=key)
-    own = own.select(key, F.col("path").alias("article"), F.col("child.path").alias("path"), F.col("child.num").alias("pnum"))
-    said = children(nodes, own.select(key, "path"), "ParagraphSentence", first=True, key=key).select(F.col(key).alias("_k1"), F.col("path").alias("_p1"), trim_wide(F.col("child.content")).alias("sentence"))
-    marks = children(nodes, own.select(key, "path"), "Item", key=key)
-    item = F.concat(F.coalesce("child.num", F.lit("")), F.lit(" "), strip_item_marker(trim_wide(F.coalesce("child.content", F.lit("")))))
-    marks = marks.groupBy(F.col(key).alias("_k2"), F.col("path").alias("_p2")).agg(ordered_text(F.col("child.path"), item, "\n").alias("items"))
-    joined = own.join(said, (F.col(key) == F.col("_k1")) & (F.col("path") == F.col("_p1")), "left").join(marks, (F.col(key) == F.col("_k2")) & (F.col("path") == F.col("_p2")), "left")
-    label = F.when((F.col("pnum") != "") & (F.col("pnum") != "1"), F.concat(F.lit("**第"), F.col("pnum"), F.lit("項**")))
-    blocks = joined.select(key, "article", "path", F.concat_ws("\n", label, F.nullif(F.col("sentence"), F.lit("")), F.col("items")).alias("block"))
-    return blocks.groupBy(key, F.col("article").alias("path")).agg(ordered_text(F.col("path"), F.col("block"), "\n\n").alias("body"), F.collect_list(F.struct(F.col("path").alias("path"), F.col("block").alias("block"))).alias("blocks"))
+    item = F.concat(F.coalesce("num", F.lit("")), F.lit(" "), strip_item_marker(trim_wide(F.coalesce("content", F.lit("")))))
+    inner = nodes.where(F.col("tag").isin("ParagraphSentence", "Item")).select(F.col(key).alias("_k"), F.col("parent").alias("_p"), "tag", "begin", item.alias("_item"), trim_wide(F.col("content")).alias("_said"))
+    said = F.min(F.when(F.col("tag") == "ParagraphSentence", F.struct("begin", "_said")))["_said"]
+    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("tag") == "Item", F.struct("begin", "_item")))), lambda x: x["_item"]), "\n")
+    held = inner.groupBy("_k", "_p").agg(said.alias("_sentence"), F.count(F.when(F.col("tag") == "Item", 1)).alias("_many"), items.alias("_items"))
+    own = nodes.where(F.col("tag") == "Paragraph").select(key, "begin", "parent", "num")
+    joined = own.join(held, (F.col(key) == F.col("_k")) & (F.col("begin") == F.col("_p")), "left")
+    label = F.when((F.col("num") != "") & (F.col("num") != "1"), F.concat(F.lit("**第"), F.col("num"), F.lit("項**")))
+    return joined.select(key, "begin", "parent", F.concat_ws("\n", label, F.nullif(F.col("_sentence"), F.lit("")), F.when(F.col("_many") > 0, F.col("_items"))).alias("block"))
+
+
+def paragraphs(nodes: DataFrame, articles: DataFrame, key: str = "doc_id") -> DataFrame:
+    """articles (key, begin and end or path, more) that have paragraphs with `body`: these as Markdown, parted by blank lines."""
+    placed = spanned(nodes, articles, key)
+    whole = blocks(nodes, key).groupBy(F.col(key).alias("_k"), F.col("parent").alias("_p")).agg(ordered_text(F.col("begin"), F.col("block"), "\n\n").alias("body"))
+    return placed.join(whole, (F.col(key) == F.col("_k")) & (F.col("begin") == F.col("_p"))).select(*articles.columns, "body")

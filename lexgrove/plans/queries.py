@@ -16,7 +16,8 @@ from lexgrove.plans import requests, standins
 from lexgrove.session import table
 from lexgrove.sources.aliases import OWNER, aliases
 from lexgrove.sources.law_types import law_types
-from lexgrove.sources.nodes import shred
+from lexgrove.sources.nodes import register as register_shredder
+from lexgrove.sources.nodes import shred, spread
 from lexgrove.streaming.sync import newest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,13 +63,13 @@ o AS (
 
 @registered(f"WITH {TREE_OUTLINE} SELECT doc_id, path, CAST(lvl AS BIGINT) AS lvl, tag, num, title, caption FROM o")
 def toc_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = toc.extract(shred(standins.trees(spark, sf_dir)))
+    rows = toc.extract(shred(spread(standins.trees(spark, sf_dir))))
     return _shown(rows).withColumn("path", F.array_join(F.transform(F.split("path", r"\."), lambda x: x.cast("int").cast("string")), "."))
 
 
 @registered(f"WITH {TREE_OUTLINE} SELECT doc_id, count(*) AS node_count FROM o GROUP BY doc_id")
 def toc_node_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toc.listing(toc.extract(shred(standins.trees(spark, sf_dir)))).select("doc_id", "node_count")
+    return toc.listing(toc.extract(shred(spread(standins.trees(spark, sf_dir))))).select("doc_id", "node_count")
 
 
 @registered(
@@ -90,8 +91,8 @@ def toc_depth_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS whole FROM conversations GROUP BY conv_id")
 def extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    rows = turns.select("conv_id", F.array(F.lit(0), F.col("turn").cast("int")).alias("path"), "text")
-    roots = turns.select("conv_id", F.array(F.lit(0)).alias("path")).distinct()
+    rows = turns.select("conv_id", (F.col("turn") + 1).cast("long").alias("begin"), "text")
+    roots = turns.select("conv_id", F.lit(0).cast("long").alias("begin"), F.lit((1 << 63) - 1).alias("end")).distinct()
     return tree.node_text(rows, roots, "conv_id").select("conv_id", "whole")
 
 
@@ -446,4 +447,5 @@ def section_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = standins.corpus(spark, sf_dir)
     wanted = held.laws.select(F.col("law_id").alias("doc_id"), F.lit("Chapter").alias("tag"), F.lit("F").alias("num"))
     of = lambda tag: F.count(F.when(F.col("node.tag") == tag, 1))
-    return tree.sections(held.nodes, wanted).groupBy("doc_id").agg(of("Article").alias("articles"), of("Paragraph").alias("paragraphs"))
+    nodes = shred(spread(held.bodies), columns=("begin", "end", "tag", "num"))
+    return tree.sections(nodes, wanted).groupBy("doc_id").agg(of("Article").alias("articles"), of("Paragraph").alias("paragraphs"))

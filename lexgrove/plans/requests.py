@@ -13,8 +13,9 @@ from lexgrove.functions.text import article_num, heading, iso_instant, law_url,
 from lexgrove.operators import history, lookup, search, tree
 from lexgrove.operators import outline as toc
 from lexgrove.operators.errors import ERROR, detail, first_error, make_error, try_alias, try_later, try_search, try_toc
-from lexgrove.session import cut
+from lexgrove.session import cut, stored
 from lexgrove.sources.aliases import OWNER
+from lexgrove.sources.nodes import REQUESTED, shred, spread
 
 #: The wording of the Markdown footers and of the outline's title.
 SOURCE_LINE, AT_LABEL, TIME_LABEL, OUTLINE_LABEL = "出典：e-Gov法令検索（デジタル庁）", "時点: ", "取得日時: ", " — 目次"
@@ -32,15 +33,17 @@ log = logging.getLogger("lexgrove.requests")
 @dataclass
 class Corpus:
     """laws: law_id, law_title, law_num, law_type, promulgation_date, src_ord. revisions: law_id, law_revision_id,
-    enforcement_date, api_ord and more. nodes: shredded bodies keyed by law_revision_id. aliases and law_types: see sources."""
+    enforcement_date, api_ord and more. bodies: doc_id (a law_revision_id) and body (JSON trees), of which a request reads those it asks for;
+    or nodes: all of them shredded (REQUESTED columns at least). aliases and law_types: see sources."""
 
     laws: DataFrame
     revisions: DataFrame
-    nodes: DataFrame
+    nodes: DataFrame | None
     aliases: DataFrame
     law_types: DataFrame
     base_url: str = "https://laws.e-gov.go.jp/law/"
     owner: str = OWNER
+    bodies: DataFrame | None = None
 
 
 def _resolved(requests: DataFrame, corpus: Corpus) -> DataFrame:
@@ -62,9 +65,12 @@ def _versioned(rows: DataFrame, corpus: Corpus) -> DataFrame:
     return rows.join(best, F.col("req_id") == F.col("_r"), "left").drop("_r").withColumn("error", first_error(F.col("error"), none))
 
 
-def _of(nodes: DataFrame, rows: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """The nodes of the documents that rows ask for: a semi join, before anything is grouped."""
-    return nodes.join(rows.select(F.col(doc).alias("doc_id")).where("doc_id is not null").distinct(), "doc_id", "left_semi")
+def _nodes(rows: DataFrame, corpus: Corpus) -> DataFrame:
+    """The nodes of the documents that rows without an error ask for. Bodies are cut down to those before they are parsed, spread over all tasks, parsed once and stored."""
+    asked = rows.where(F.col("error").isNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    if corpus.bodies is None:
+        return corpus.nodes.join(asked, "doc_id", "left_semi")
+    return stored(shred(spread(corpus.bodies.join(asked, "doc_id", "left_semi")), columns=REQUESTED))
 
 
 def _meta(corpus: Corpus, now: Column) -> Column:
@@ -77,19 +83,23 @@ def _footer(corpus: Corpus, now: Column) -> list[Column]:
     return [F.lit("---"), F.lit(SOURCE_LINE), url, F.concat(F.lit(AT_LABEL), F.col("at")), F.concat(F.lit(TIME_LABEL), iso_instant(now))]
 
 
-def _outlined(rows: DataFrame, corpus: Corpus, depth: Column, now: Column) -> DataFrame:
-    """rows with markdown, node_count, full_count and toc (outline rows in order) of their documents."""
+def _outlined(rows: DataFrame, nodes: DataFrame, corpus: Corpus, depth: Column, now: Column) -> DataFrame:
+    """rows with markdown, node_count, full_count and toc (the outline nested, as JSON) of their documents."""
     wanted = rows.where("error is null").select("req_id", F.col("doc_id").alias("_d"), depth.alias("_depth"))
-    outline = toc.extract(_of(corpus.nodes, wanted, "_d"))
-    met = wanted.join(outline, F.col("_d") == F.col("doc_id")).select("req_id", "_depth", "path", "level", "tag", "num", "title", "caption")
-    inside = F.col("_depth").isNull() | (F.col("_depth") < 1) | (F.col("level") < F.col("_depth"))
-    entry = F.struct("path", "level", "tag", "num", "title", "caption")
-    line = toc.line(F.col("level"), F.col("tag"), F.col("num"), F.col("title"), F.col("caption"))
-    got = met.groupBy(F.col("req_id").alias("_r")).agg(
-        F.count(F.lit(1)).alias("full_count"), F.array_sort(F.collect_list(F.when(inside, entry))).alias("toc"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(inside, F.struct("path", line.alias("line"))))), lambda x: x["line"]), "\n").alias("_lines"))
+    outline = toc.extract(nodes.join(wanted.select(F.col("_d").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    sizes = outline.groupBy("doc_id").agg(F.count(F.lit(1)).alias("full_count"))
+    # a document's outline is made once for each depth that is asked of it, not for each request
+    cuts = wanted.select("_d", F.when(F.col("_depth") >= 1, F.col("_depth")).otherwise(-1).alias("_cut")).distinct()
+    held = cuts.join(outline, F.col("_d") == F.col("doc_id")).where((F.col("_cut") < 0) | (F.col("level") < F.col("_cut"))).drop("_d")
+    lines = toc.line(F.col("level"), F.col("tag"), F.col("num"), F.col("title"), F.col("caption"))
+    shown = held.groupBy("doc_id", "_cut").agg(F.count(F.lit(1)).alias("node_count"), tree.ordered_text(F.col("begin"), lines, "\n").alias("_lines"))
+    found = shown.join(toc.nested(held, ["doc_id", "_cut"]), ["doc_id", "_cut"]).join(sizes, "doc_id").withColumnsRenamed({"doc_id": "_d2", "_cut": "_cut2"})
+    rows = rows.withColumn("_cut", F.when(F.col("error").isNull(), F.when(depth >= 1, depth).otherwise(-1)))
+    rows = rows.join(found, (F.col("doc_id") == F.col("_d2")) & (F.col("_cut") == F.col("_cut2")), "left")
     top = F.concat(F.lit("# "), F.col("law.title"), F.lit(OUTLINE_LABEL))
     text = F.concat_ws("\n", top, F.lit(""), F.nullif(F.col("_lines"), F.lit("")), F.lit(""), *_footer(corpus, now))
-    return rows.join(got, F.col("req_id") == F.col("_r"), "left").withColumn("markdown", text).withColumn("node_count", F.coalesce(F.size("toc"), F.lit(0)).cast("long")).withColumn("full_count", F.coalesce("full_count", F.lit(0)))
+    counts = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("node_count", "full_count")}
+    return rows.withColumns({"markdown": text, "toc": F.coalesce("toc", F.lit("[]")), **counts}).drop("_d2", "_cut", "_cut2", "_lines")
 
 
 def get_law(requests: DataFrame, corpus: Corpus, now: Column | None = None) -> DataFrame:
@@ -111,42 +121,44 @@ def get_law(requests: DataFrame, corpus: Corpus, now: Column | None = None) -> D
         F.when(~F.col("_toc") & F.col("_num").isNull(), make_error("INVALID_ARTICLE_NUM", F.concat(F.lit("kanji numerals are not read: "), given), "Write 30 or 30の2.")),
     ))
     rows = cut(rows)
-    nodes = _of(corpus.nodes, rows.where(F.col("error").isNull() & ~F.col("_toc")))
-    rows = tree.find_articles(nodes, rows, "_num").withColumn("path", F.col("found.path")).withColumn("_tried", F.col("error").isNull() & ~F.col("_toc"))
-    rows = tree.children(nodes, rows, "Paragraph", "paragraph", first=True).withColumnRenamed("child", "p").withColumn("path", F.col("p.path"))
+    nodes = _nodes(rows, corpus)
+    rows = tree.find_articles(nodes, rows.withColumn("_wanted", F.when(F.col("error").isNull() & ~F.col("_toc"), F.col("_num"))), "_wanted").withColumn("begin", F.col("found.begin")).withColumn("_tried", F.col("error").isNull() & ~F.col("_toc"))
+    rows = tree.children(nodes, rows, "Paragraph", "paragraph", first=True).withColumnRenamed("child", "p").withColumn("begin", F.col("p.begin"))
     rows = tree.children(nodes, rows, "Item", "item", first=True).withColumnRenamed("child", "i")
     with_p = F.col("paragraph").isNotNull()
     with_i = with_p & F.col("item").isNotNull()
     absent = lambda what, value, more=None: make_error("ARTICLE_NOT_FOUND", F.concat(F.lit(f"no such {what}: "), value.cast("string")), "Numbers count from 1; check the outline.", more)
-    rows = rows.withColumn("error", first_error(
+    at = F.when(with_i, F.struct("i.begin", "i.end")).when(with_p, F.struct("p.begin", "p.end")).otherwise(F.struct("found.begin", "found.end"))
+    rows = cut(rows.withColumns({"_at": at, "error": first_error(
         F.col("error"),
         F.when(F.col("_tried") & F.col("found").isNull(), absent("article", given, [try_toc(name)])),
         F.when(F.col("_tried") & with_p & F.col("p").isNull(), absent("paragraph", F.col("paragraph"))),
         F.when(F.col("_tried") & with_i & F.col("i").isNull(), absent("item", F.col("item"))),
-    ))
-    rows = cut(rows)
-    anchors = rows.where("found is not null").select("doc_id", F.col("found.path").alias("path")).distinct()
-    bodies = toc.paragraphs(nodes, anchors).select(F.col("doc_id").alias("_d"), F.col("path").alias("_p"), "body", "blocks")
-    heads = tree.children(nodes, anchors, "ArticleCaption", first=True).select(F.col("doc_id").alias("_d2"), F.col("path").alias("_p2"), F.nullif(F.col("child.content"), F.lit("")).alias("_caption"))
-    rows = rows.join(bodies, (F.col("doc_id") == F.col("_d")) & (F.col("found.path") == F.col("_p")), "left").join(heads, (F.col("doc_id") == F.col("_d2")) & (F.col("found.path") == F.col("_p2")), "left")
-    block = F.get(F.filter("blocks", lambda b: b["path"] == F.col("p.path")), F.lit(0))["block"]
-    body = F.when(with_i, trim_wide(F.col("i.content"))).when(with_p, block).otherwise(F.col("body"))
+    )}))
+    ok = F.col("error").isNull() & ~F.col("_toc")
+    is_json = F.col("format") == "json"
+    # each form is made of what the requests that show it ask for
+    said = rows.where(ok & ~F.coalesce(is_json, F.lit(False)))
+    anchors = said.select("doc_id", F.col("found.begin").alias("begin")).distinct()
+    parts = toc.blocks(nodes.join(anchors.select("doc_id").distinct(), "doc_id", "left_semi"))
+    bodies = parts.join(said.where(~with_p).select(F.col("doc_id").alias("_d"), F.col("found.begin").alias("_b")).distinct(), (F.col("doc_id") == F.col("_d")) & (F.col("parent") == F.col("_b"))).groupBy("_d", "_b").agg(tree.ordered_text(F.col("begin"), F.col("block"), "\n\n").alias("_body"))
+    single = parts.select(F.col("doc_id").alias("_d3"), F.col("begin").alias("_b3"), F.col("block").alias("_block"))
+    heads = tree.children(nodes, anchors, "ArticleCaption", first=True).select(F.col("doc_id").alias("_d2"), F.col("begin").alias("_b2"), F.nullif(F.col("child.content"), F.lit("")).alias("_caption"))
+    said = said.join(bodies, (F.col("doc_id") == F.col("_d")) & (F.col("found.begin") == F.col("_b")), "left").join(heads, (F.col("doc_id") == F.col("_d2")) & (F.col("found.begin") == F.col("_b2")), "left")
+    said = said.join(single, (F.col("doc_id") == F.col("_d3")) & (F.col("p.begin") == F.col("_b3")), "left")
+    body = F.when(with_i, trim_wide(F.col("i.content"))).when(with_p, F.col("_block")).otherwise(F.col("_body"))
     top = heading(F.col("law.title"), F.col("found.num"), F.col("p.num"), F.when(with_i, F.col("i.num")))
-    text = F.concat_ws("\n", top, F.col("_caption"), F.lit(""), F.coalesce(body, F.lit("")), F.lit(""), *_footer(corpus, now))
-    rows = rows.select(*requests.columns, "law", "doc_id", "error", "_toc", F.col("_num").alias("article_num"), text.alias("_text"), F.when(with_i, F.col("i.path")).when(with_p, F.col("p.path")).otherwise(F.col("found.path")).alias("_at"))
-    rows = cut(rows)
-    # subtrees are read last, by path, for the requests that show them; outlines for those alone that show one
-    shown = rows.where((F.col("format") == "json") & F.col("error").isNull() & ~F.col("_toc")).select("req_id", F.col("doc_id").alias("_d"), "_at")
-    subtrees = _of(corpus.nodes, shown, "_d").where(F.col("json").isNotNull()).select("doc_id", "path", "json")
-    subtrees = shown.join(subtrees, (F.col("_d") == F.col("doc_id")) & (F.col("_at") == F.col("path"))).select("req_id", F.col("json").alias("_json"))
-    rows = rows.join(subtrees, "req_id", "left")
-    outlined = _outlined(rows.where(F.col("_toc") & F.col("error").isNull()), corpus, F.lit(None).cast("int"), now).select("req_id", "markdown")
-    rows = rows.join(outlined, "req_id", "left")
+    said = said.select("req_id", F.concat_ws("\n", top, F.col("_caption"), F.lit(""), F.coalesce(body, F.lit("")), F.lit(""), *_footer(corpus, now)).alias("_text"))
+    shown = rows.where(ok & is_json).select("req_id", F.col("doc_id").alias("_d"), F.col("_at.begin").alias("_b"), F.col("_at.end").alias("_e"))
+    subtrees = tree.subtrees(nodes, shown.select(F.col("_d").alias("doc_id"), F.col("_b").alias("begin"), F.col("_e").alias("end")))
+    subtrees = shown.join(subtrees, (F.col("_d") == F.col("doc_id")) & (F.col("_b") == F.col("begin")) & (F.col("_e") == F.col("end"))).select("req_id", F.col("json").alias("_json"))
+    outlined = _outlined(rows.where(F.col("_toc") & F.col("error").isNull()), nodes, corpus, F.lit(None).cast("int"), now).select("req_id", "markdown")
+    rows = rows.withColumnRenamed("_num", "article_num").join(said.unionByName(outlined.withColumnRenamed("markdown", "_text")), "req_id", "left").join(subtrees, "req_id", "left")
     ok, is_json = F.col("error").isNull(), ~F.col("_toc") & (F.col("format") == "json")
     return rows.select(
         "req_id",
         F.when(ok, F.when(F.col("_toc"), "toc").when(is_json, "json").otherwise("markdown")).alias("format"),
-        F.when(ok, F.when(F.col("_toc"), F.col("markdown")).when(~F.coalesce(is_json, F.lit(False)), F.col("_text"))).alias("markdown"),
+        F.when(ok, F.col("_text")).alias("markdown"),
         F.when(ok & is_json, F.struct("article_num", F.col("paragraph").alias("paragraph_num"), F.col("item").alias("item_num"), F.col("_json").alias("node"))).alias("data"),
         F.when(ok, _meta(corpus, now)).alias("meta"),
         "error",
@@ -156,12 +168,13 @@ def get_law(requests: DataFrame, corpus: Corpus, now: Column | None = None) -> D
 def get_toc(requests: DataFrame, corpus: Corpus, now: Column | None = None) -> DataFrame:
     """req_id, markdown, toc, meta, node_count, truncated, actually_cut and error of each request (req_id, law_name, at, depth).
 
-    truncated is true for any depth from 1 on; actually_cut only if rows are left out.
+    toc is the outline as a VARIANT, entries with their children in lists, down to the depth. truncated is true for any depth from 1 on; actually_cut only if rows are left out.
     """
     now = F.current_timestamp() if now is None else now
-    rows = _outlined(cut(_versioned(_resolved(requests, corpus), corpus)), corpus, F.col("depth"), now)
+    rows = cut(_versioned(_resolved(requests, corpus), corpus))
+    rows = _outlined(rows, _nodes(rows, corpus), corpus, F.col("depth"), now)
     ok = F.col("error").isNull()
-    shown = {"markdown": F.col("markdown"), "toc": F.col("toc"), "meta": _meta(corpus, now), "node_count": F.col("node_count"), "truncated": F.coalesce(F.col("depth") >= 1, F.lit(False)), "actually_cut": F.col("node_count") < F.col("full_count")}
+    shown = {"markdown": F.col("markdown"), "toc": F.parse_json("toc"), "meta": _meta(corpus, now), "node_count": F.col("node_count"), "truncated": F.coalesce(F.col("depth") >= 1, F.lit(False)), "actually_cut": F.col("node_count") < F.col("full_count")}
     return rows.select("req_id", *[F.when(ok, c).alias(n) for n, c in shown.items()], "error")
 
 
@@ -223,23 +236,10 @@ ARGUMENTS = {
 }
 
 
-def _nested(rows: list[dict]) -> list[dict]:
-    """Outline rows in document order as trees: an entry stands below the last one whose path begins its own."""
-    top: list[dict] = []
-    above: list[tuple[list[int], dict]] = []
-    for row in rows:
-        entry = {k: row[k] for k in ("tag", "num", "title", "caption") if k in row} | {"children": []}
-        while above and row["path"][: len(above[-1][0])] != above[-1][0]:
-            above.pop()
-        (above[-1][1]["children"] if above else top).append(entry)
-        above.append((row["path"], entry))
-    return top
-
-
 def call(spark: SparkSession, corpus: Corpus, tool: str, **arguments: object) -> tuple[str, bool]:
     """One request's answer as indented JSON without nulls, and whether it is an error.
 
-    An outline is nested and a subtree is an object. What goes wrong beyond the answers' own errors is logged and an INTERNAL_ERROR.
+    A subtree is an object. What goes wrong beyond the answers' own errors is logged and an INTERNAL_ERROR.
     """
     if tool not in TOOLS:
         return json.dumps({"error": f"unknown tool: {tool}", "code": "UNKNOWN_TOOL", "hint": ", ".join(TOOLS)}, indent=2), True
@@ -254,8 +254,6 @@ def call(spark: SparkSession, corpus: Corpus, tool: str, **arguments: object) ->
         return json.dumps(json.loads(failed["j"]), ensure_ascii=False, indent=2), True
     answer.pop("req_id", None)
     error = answer.pop("error", None)
-    if "toc" in answer:
-        answer["toc"] = _nested(answer["toc"])
     if node := answer.get("data", {}).get("node"):
         answer["data"]["node"] = json.loads(node)
     return json.dumps(error or answer, ensure_ascii=False, indent=2), error is not None

@@ -10,7 +10,6 @@ from lexgrove.plans.requests import Corpus
 from lexgrove.session import table
 from lexgrove.sources.aliases import aliases
 from lexgrove.sources.law_types import law_types
-from lexgrove.sources.nodes import shred
 
 
 def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +38,13 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     below = held.join(lined, F.col("o_orderkey") == F.col("l_orderkey"))
 
     def rows(df: DataFrame, path: list, tag: str, num, content) -> DataFrame:
-        return df.select(F.col("c_nationkey").cast("long").alias("doc_id"), F.array(F.lit(0), *[F.col(c).cast("int") for c in path]).alias("path"), F.lit(tag).alias("tag"), num.cast("string").alias("num"), F.lit(None).cast("string").alias("text"), F.lit(0).alias("level"), F.lit(tag != "Article").alias("in_article"), content.cast("string").alias("content"), F.lit(None).cast("string").alias("json"))
+        # begin leaves room for a million paragraphs and items each
+        room = [40, 20, 0]
+        steps = [F.shiftleft(F.col(c).cast("long"), n) for c, n in zip(path, room)]
+        begin, parent = sum(steps[1:], steps[0]), sum(steps[1:-1], steps[0]) if len(path) > 1 else F.lit(-1).cast("long")
+        return df.select(
+            F.col("c_nationkey").cast("long").alias("doc_id"), F.array(F.lit(0), *[F.col(c).cast("int") for c in path]).alias("path"), begin.alias("begin"), (begin + (1 << room[len(path) - 1])).alias("end"), parent.alias("parent"),
+            F.lit(tag).alias("tag"), num.cast("string").alias("num"), F.lit(None).cast("string").alias("text"), F.lit(0).alias("level"), F.lit(tag != "Article").alias("in_article"), content.cast("string").alias("content"))
 
     return rows(customer, ["c_custkey"], "Article", F.col("c_custkey"), F.lit(None)).unionByName(rows(held, ["c_custkey", "p"], "Paragraph", F.col("p"), F.col("o_orderkey"))).unionByName(
         rows(below, ["c_custkey", "p", "i"], "Item", F.col("i"), F.col("l_partkey"))
@@ -84,9 +89,9 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    """Customers as laws with one revision each, whose nodes are shredded from `trees`."""
+    """Customers as laws with one revision each, whose bodies are `trees`."""
     customer = table(spark, sf_dir, "customer")
     key = F.col("c_custkey").cast("string")
     law = customer.select(key.alias("law_id"), F.col("c_name").alias("law_title"), F.concat(F.lit("No. "), key).alias("law_num"), F.lit("Act").alias("law_type"), F.col("c_custkey").alias("src_ord"))
     revision = customer.select(key.alias("law_id"), key.alias("law_revision_id"), F.lit("1990-01-01").cast("date").alias("enforcement_date"), F.lit(0).alias("api_ord"))
-    return Corpus(law, revision, shred(trees(spark, sf_dir)), aliases(spark), law_types(spark))
+    return Corpus(law, revision, None, aliases(spark), law_types(spark), bodies=trees(spark, sf_dir))

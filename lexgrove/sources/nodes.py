@@ -1,19 +1,35 @@
-"""Document trees as rows: one for each element and each text child, keyed by document and path."""
+"""Document trees as rows: one for each element and each text child, numbered in document order."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
-#: Tags that make an outline, and tags whose subtree is kept as JSON.
+#: Tags that make an outline.
 STRUCTURAL = ("Part", "Chapter", "Section", "Subsection", "Division")
-KEPT_JSON = ("Article", "Paragraph", "Item")
 
-COLUMNS = "path array<int>, tag string, num string, text string, level int, in_article boolean, content string, json string"
+#: What a row can hold. A caller names the columns it needs; no other is made.
+#: begin numbers a tree's rows from 0 in document order and end is the number after its last descendant, so that a subtree is
+#: the stretch from begin to end and an ancestor one that contains it; parent is the parent's begin (-1: none), depth the number of elements above.
+#: path holds child positions from the root. level is the number of structural tags above, in_article whether an Article stands above: an outline is a filter.
+#: content is the whole text of titles, captions, paragraph sentences and items; head an element's JSON up to its children.
+COLUMNS = {
+    "path": "array<int>", "begin": "long", "end": "long", "parent": "long", "depth": "int", "tag": "string", "num": "string", "text": "string",
+    "level": "int", "in_article": "boolean", "content": "string", "head": "string",
+}
+DEFAULT = tuple(c for c in COLUMNS if c not in ("depth", "head"))
+#: What the requests read.
+REQUESTED = ("begin", "end", "parent", "depth", "tag", "num", "text", "level", "in_article", "content", "head")
+
+_ARROW = {"array<int>": pa.list_(pa.int32()), "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+#: Rows of a batch, whole trees.
+BATCH_ROWS = 20_000
 
 
 def is_content(tag: str) -> bool:
@@ -33,65 +49,141 @@ def tree_text(node: object) -> str:
     return "".join(out)
 
 
-def tree_rows(body: str | None) -> Iterator[tuple]:
-    """Rows of one tree in document order; none if the text is no JSON object."""
+def _head(node: dict) -> str:
+    """The JSON of an element without its children: open, up to the bracket of the list, or whole if it has no such list."""
+    rest = json.dumps({k: v for k, v in node.items() if k != "children"}, ensure_ascii=False, separators=(",", ":"))
+    if not isinstance(node.get("children"), list):
+        return rest
+    return f'{rest[:-1]}{"," if len(rest) > 2 else ""}"children":['
+
+
+def tree_columns(body: str | None, wanted: Sequence[str], into: dict[str, list]) -> int:
+    """Append one tree's rows to the lists of the wanted columns; their number, 0 if the text is no JSON object."""
     try:
         root = json.loads(body) if body else None
     except ValueError:
-        return
+        return 0
     if not isinstance(root, dict):
-        return
-    todo: list[tuple[object, list[int], int, bool]] = [(root, [0], 0, False)]
+        return 0
+    made: dict[str, list] = {c: [] for c in COLUMNS}
+    begin, tags, texts, ends = 0, made["tag"], [], made["end"]
+    with_path, with_head = "path" in wanted, "head" in wanted
+    # open elements with the number of texts before them
+    above: list[tuple[int, int]] = []
+
+    def close(depth: int) -> None:
+        while len(above) > depth:
+            at, before = above.pop()
+            ends[at] = begin
+            if made["content"][at] is not None:
+                made["content"][at] = "".join(texts[before:])
+
+    todo: list[tuple[object, list[int] | None, int, bool, int, int]] = [(root, [0] if with_path else None, 0, False, -1, 0)]
     while todo:
-        node, path, level, inside = todo.pop()
-        if isinstance(node, str):
-            yield path, None, None, node, level, inside, None, None
-        elif isinstance(node, dict):
-            tag, attr = node.get("tag"), node.get("attr") or {}
-            num = attr.get("Num")
-            content = tree_text(node) if isinstance(tag, str) and is_content(tag) else None
-            kept = json.dumps(node, ensure_ascii=False, separators=(",", ":")) if tag in KEPT_JSON else None
-            yield path, tag, None if num is None else str(num), None, level, inside, content, kept
-            below, within = level + (tag in STRUCTURAL), inside or tag == "Article"
-            children = node.get("children") or []
-            todo.extend((c, [*path, i], below, within) for i, c in reversed(list(enumerate(children))))
-
-
-def shred(docs: DataFrame, key: str = "doc_id", body: str = "body") -> DataFrame:
-    """key and COLUMNS of each tree given as JSON text.
-
-    path holds child positions from the root, so ordering by it is document order. level is
-    the number of structural tags above a node, in_article whether an Article stands above
-    it: an outline is then a filter, not a join. Bad JSON and null give no rows.
+        node, path, level, inside, parent, depth = todo.pop()
+        is_text = isinstance(node, str)
+        if not is_text and not isinstance(node, dict):
+            continue
+        close(depth)
+        tag = num = None
+        if is_text:
+            texts.append(node)
+        else:
+            tag, num = node.get("tag"), (node.get("attr") or {}).get("Num")
+            above.append((begin, len(texts)))
+            below, within, children = level + (tag in STRUCTURAL), inside or tag == "Article", node.get("children") or []
+            for i in range(len(children) - 1, -1, -1):
+                todo.append((children[i], [*path, i] if with_path else None, below, within, begin, depth + 1))
+        for name, value in (("path", path), ("parent", parent), ("depth", depth), ("text", node if is_text else None), ("level", level), ("in_article", inside)):
+            made[name].append(value)
+        tags.append(tag)
+        made["num"].append(None if num is None else str(num))
+        made["content"].append("" if isinstance(tag, str) and is_content(tag) else None)
+        if with_head:
+            made["head"].append(None if is_text else _head(node))
+        ends.append(begin + 1)
+        begin += 1
+    close(0)
+    made["begin"] = list(range(begin))
+    for c in wanted:
+        into[c] += made[c]
+    return begin
+
+
+def _checked(columns: Sequence[str]) -> list[str]:
+    if unknown := set(columns) - set(COLUMNS):
+        raise ValueError(f"no such columns: {sorted(unknown)}")
+    return list(columns)
+
+
+def spread(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The trees dealt by key to as many partitions as the session shuffles into, however few tasks they come from: parsing is what costs."""
+    return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def shred(docs: DataFrame, key: str = "doc_id", body: str = "body", columns: Sequence[str] = DEFAULT) -> DataFrame:
+    """key and the columns (see COLUMNS) of each tree given as JSON text. Bad JSON, null and what is no object give no rows.
+
+    A task holds one tree at a time and gives rows on in batches of about BATCH_ROWS.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    types = [pa.list_(pa.int32()), *[pa.string()] * 3, pa.int32(), pa.bool_(), pa.string(), pa.string()]
-    names = [c.split()[0] for c in COLUMNS.split(", ")]
+    wanted, kind = _checked(columns), docs.schema[key].dataType.simpleString()
+    types = [_ARROW[COLUMNS[c]] for c in wanted]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, values = batch.column(0), batch.column(1)
+            rows: dict[str, list] = {c: [] for c in wanted}
+            of: list[int] = []
+
+            def flush() -> pa.RecordBatch:
+                out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *[pa.array(rows[c], t) for c, t in zip(wanted, types)]], ["key", *wanted])
+                of.clear()
+                for values in rows.values():
+                    values.clear()
+                return out
+
             for i in range(batch.num_rows):
-                rows = list(tree_rows(values[i].as_py()))
-                for a in range(0, len(rows), 20_000):
-                    part = rows[a : a + 20_000]
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array([i] * len(part), pa.int64())), *[pa.array(c, t) for c, t in zip(zip(*part), types)]], ["key", *names])
+                of += [i] * tree_columns(batch.column(1)[i].as_py(), wanted, rows)
+                if len(of) >= BATCH_ROWS:
+                    yield flush()
+            yield flush()
+
+    made = docs.select(F.col(key).alias("key"), F.col(body).alias("body")).mapInArrow(run, f"key {kind}, " + ", ".join(f"{c} {COLUMNS[c]}" for c in wanted))
+    return made.withColumnRenamed("key", key)
+
+
+class TreeRows:
+    """Table function of a tree: SELECT d.id, t.* FROM docs d, LATERAL shred_tree(d.body, 'begin end tag text') t. The second argument, a constant, names the columns."""
+
+    @staticmethod
+    def analyze(body: AnalyzeArgument, columns: AnalyzeArgument) -> AnalyzeResult:
+        if not isinstance(columns.value, str):
+            raise ValueError("columns: a constant with names parted by spaces")
+        return AnalyzeResult(StructType.fromDDL(", ".join(f"`{c}` {COLUMNS[c]}" for c in _checked(columns.value.split()))))
+
+    def eval(self, body: str, columns: str) -> Iterator[tuple]:
+        wanted = columns.split()
+        rows: dict[str, list] = {c: [] for c in wanted}
+        tree_columns(body, wanted, rows)
+        yield from zip(*rows.values())
+
 
-    return docs.select(F.col(key).alias("key"), F.col(body).alias("body")).mapInArrow(run, f"key {kind}, {COLUMNS}").withColumnRenamed("key", key)
+def register(spark: SparkSession) -> None:
+    """shred_tree for this session's SQL."""
+    spark.udtf.register("shred_tree", F.udtf(TreeRows, useArrow=True))
 
 
 def shred_variant(docs: DataFrame, key: str = "doc_id", body: str = "body") -> DataFrame:
     """key, path, tag, num and text by a recursive query over VARIANT; for trees of up to 100 levels and a million rows."""
-    docs.select(F.col(key).alias("k"), F.try_parse_json(F.col(body)).alias("v")).createOrReplaceTempView("_trees")
     return docs.sparkSession.sql(
         f"""
         WITH RECURSIVE t(k, path, v) AS (
-          SELECT k, array(0), v FROM _trees WHERE schema_of_variant(v) LIKE 'OBJECT%'
+          SELECT k, array(0), v FROM {{trees}} WHERE schema_of_variant(v) LIKE 'OBJECT%'
           UNION ALL
           SELECT t.k, concat(t.path, array(c.pos)), c.value
           FROM t, LATERAL variant_explode(try_variant_get(t.v, '$.children', 'variant')) c)
         SELECT k AS `{key}`, path, try_variant_get(v, '$.tag', 'string') AS tag, try_variant_get(v, '$.attr.Num', 'string') AS num,
           CASE WHEN schema_of_variant(v) = 'STRING' THEN CAST(v AS STRING) END AS text
         FROM t
-        """
+        """,
+        trees=docs.select(F.col(key).alias("k"), F.try_parse_json(F.col(body)).alias("v")),
     )

@@ -35,11 +35,11 @@ def nodes(docs):
 
 
 @pytest.fixture(scope="module")
-def corpus(spark, nodes):
+def corpus(spark, docs):
     laws = spark.createDataFrame([("L1", "First Act", "no 1", "Act", "1990-01-01", 0), ("L2", "Deep Act", "no 2", "Act", "1991-01-01", 1), ("L3", "First Act Order", "no 3", "CabinetOrder", None, 2)], "law_id string, law_title string, law_num string, law_type string, promulgation_date string, src_ord int")
     d = datetime.date
     revisions = spark.createDataFrame([("L1", "f1", d(2020, 1, 1), 0), ("L1", "f2", d(2010, 1, 1), 1), ("L2", "f2", d(2015, 1, 1), 0)], "law_id string, law_revision_id string, enforcement_date date, api_ord int")
-    return R.Corpus(laws, revisions, nodes, aliases(spark), law_types.law_types(spark))
+    return R.Corpus(laws, revisions, None, aliases(spark), law_types.law_types(spark), bodies=docs)
 
 
 def test_shred_agrees_with_variant_query(docs, nodes):
