@@ -20,6 +20,21 @@ def as_of(revisions: DataFrame, at: Column, key: str, date: str, tie: str) -> Da
     return revisions.where(F.col(date) <= at).groupBy(key).agg(F.max_by(F.struct(*[c for c in revisions.columns if c != key]), F.struct(date, tie)).alias("revision"))
 
 
+def as_of_each(requests: DataFrame, revisions: DataFrame, key: str, at: str, date: str, order: list[Column], value: Column) -> DataFrame:
+    """Different pairs (key, at) of requests with `revision`: value of the key's last revision not after `at`, the last in `order` of equal dates; null if there is none.
+
+    Both sides are put in one sequence by key and date, and the last value is carried forward: a sort, not a meeting of every request with every
+    revision of its key. A key has at most as many rows here as there are dates, however many requests name it. Null keys and dates have no row.
+    """
+    pairs = requests.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("_k"), F.col(at).alias("_at")).distinct()
+    known = revisions.where(F.col(date).isNotNull()).select(F.col(key).alias("_k"), F.col(date).alias("_at"), F.lit(0).alias("_side"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("_o"), F.struct(value.alias("v")).alias("_v"))
+    none = {c: F.lit(None).cast(known.schema[c].dataType) for c in ("_o", "_v")}
+    merged = known.unionByName(pairs.withColumns({"_side": F.lit(1), **none}))
+    before = Window.partitionBy("_k").orderBy("_at", "_side", "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = merged.withColumn("_last", F.last("_v", ignorenulls=True).over(before))
+    return carried.where("_side = 1").select(F.col("_k").alias(key), F.col("_at").alias(at), F.col("_last.v").alias("revision"))
+
+
 def changed(old: DataFrame, new: DataFrame, key: str, body: str) -> DataFrame:
     """Rows of new whose key and body digest are not in old: nothing to do for the others."""
     digest = lambda df: df.withColumn("_digest", F.sha2(F.coalesce(F.col(body), F.lit("")).cast("binary"), 256))

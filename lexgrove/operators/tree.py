@@ -73,11 +73,13 @@ def nested_json(rows: Column, piece: str, depth: str) -> Column:
 
 
 def subtrees(nodes: DataFrame, anchors: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, begin, end and json of each different anchor: its subtree as it was, rebuilt from the rows of its stretch (with head and depth)."""
-    quoted = F.to_json(F.array("text"))
-    pieces = nodes.select(key, "begin", "depth", F.coalesce("head", F.substring(quoted, F.lit(2), F.length(quoted) - 2)).alias("piece"))
-    found = within(pieces, anchors, ["depth", "piece"], key)
-    return found.where(F.size("inside") > 0).select(key, "begin", "end", nested_json(F.col("inside"), "piece", "depth").alias("json"))
+    """key, begin, end and json of each different anchor: its subtree as it was, joined from the rows of its stretch (with head, closes and shut)."""
+    pieces = nodes.select(key, "begin", "shut", F.concat("head", F.repeat(F.lit("]}"), F.col("closes"))).alias("piece"))
+    found = within(pieces, anchors, ["shut", "piece"], key).where(F.size("inside") > 0)
+    whole = found.select(key, "begin", "end", F.array_join("inside.piece", "").alias("_j"), F.col("inside")[0]["shut"].alias("_shut"))
+    # without the comma before the first and the ends of what is around it
+    first = F.startswith("_j", F.lit(",")).cast("int")
+    return whole.select(key, "begin", "end", F.substring("_j", first + 1, F.length("_j") - first - 2 * F.col("_shut")).alias("json"))
 
 
 def children(nodes: DataFrame, parents: DataFrame, tag: str, num: str | None = None, first: bool = False, key: str = "doc_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +14,12 @@ from lexgrove.operators import history, lookup, search, tree
 from lexgrove.operators import outline as toc
 from lexgrove.operators.errors import is_error
 from lexgrove.plans import requests, standins
-from lexgrove.session import table
+from lexgrove.session import checkpoint_dir, table
+from lexgrove.sources import postings
 from lexgrove.sources.aliases import OWNER, aliases
 from lexgrove.sources.law_types import law_types
+from lexgrove.sources.nodes import OUTLINED, shred, spread
 from lexgrove.sources.nodes import register as register_shredder
-from lexgrove.sources.nodes import shred, spread
 from lexgrove.streaming.sync import newest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,13 +65,13 @@ o AS (
 
 @registered(f"WITH {TREE_OUTLINE} SELECT doc_id, path, CAST(lvl AS BIGINT) AS lvl, tag, num, title, caption FROM o")
 def toc_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = toc.extract(shred(spread(standins.trees(spark, sf_dir))))
+    rows = toc.extract(shred(spread(standins.trees(spark, sf_dir)), columns=("path", *OUTLINED)))
     return _shown(rows).withColumn("path", F.array_join(F.transform(F.split("path", r"\."), lambda x: x.cast("int").cast("string")), "."))
 
 
 @registered(f"WITH {TREE_OUTLINE} SELECT doc_id, count(*) AS node_count FROM o GROUP BY doc_id")
 def toc_node_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toc.listing(toc.extract(shred(spread(standins.trees(spark, sf_dir))))).select("doc_id", "node_count")
+    return toc.listing(toc.extract(shred(spread(standins.trees(spark, sf_dir)), columns=OUTLINED))).select("doc_id", "node_count")
 
 
 @registered(
@@ -264,8 +266,42 @@ def fulltext_and(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("SELECT doc_id FROM documents WHERE contains(text, 'License') AND contains(text, 'the')")
 def fulltext_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return search.indexed_fulltext(docs, search.gram_index(docs, only="License the"), "License the").select("doc_id")
+    """A search of the stored index of all documents, which the application's first such search writes."""
+    path = _index(spark, sf_dir, "documents", lambda docs, path: postings.add(docs, path))
+    return postings.search(spark, path, "License the").select(F.col("id").alias("doc_id"))
+
+
+@registered("SELECT page_id, level FROM (SELECT page_id, CASE WHEN contains(url, 'example') AND contains(url, 'http') THEN 1 WHEN contains(html, 'example') AND contains(html, 'http') THEN 2 END AS level FROM pages) WHERE level IS NOT NULL")
+def fulltext_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with both terms in their address, and those with both in their source."""
+    path = _index(spark, sf_dir, "pages", lambda pages, path: postings.add(pages, path, "page_id", "url", "html"))
+    return postings.search(spark, path, "example http").select(F.col("id").alias("page_id"), "level")
+
+
+#: Indexes that this application has written, by application, folder of tables and table.
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str, name: str, add: Callable[[DataFrame, str], object]) -> str:
+    held = (spark.sparkContext.applicationId, sf_dir, name)
+    if held not in _INDEXES:
+        path = f"{checkpoint_dir(spark)}/indexes/{uuid.uuid4().hex}"
+        add(table(spark, sf_dir, name), path)
+        _INDEXES[held] = path
+    return _INDEXES[held]
+
+
+@registered(
+    """WITH r AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d, max(o_orderkey) AS revision FROM orders GROUP BY ALL),
+    q AS (SELECT l_orderkey, l_linenumber, o_custkey, CAST(l_shipdate AS DATE) - 200 AS day FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+    SELECT l_orderkey, l_linenumber, CAST(day AS VARCHAR) AS day, revision FROM q ASOF LEFT JOIN r ON q.o_custkey = r.o_custkey AND q.day >= r.d"""
+)
+def as_of_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request per line: its customer's newest order 200 days before the line was shipped."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    asked = table(spark, sf_dir, "lineitem").join(orders.select("o_custkey", "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey", F.date_sub(F.col("l_shipdate").cast("date"), 200).alias("day"))
+    found = history.as_of_each(asked, orders, "o_custkey", "day", "d", [F.col("o_orderkey")], F.col("o_orderkey"))
+    return asked.join(found, ["o_custkey", "day"]).select("l_orderkey", "l_linenumber", F.col("day").cast("string").alias("day"), "revision")
 
 
 @registered(
@@ -332,6 +368,70 @@ def get_law_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("req_id", "total", (F.col("i") + 1).cast("long").alias("ord"), "x.law_revision_id", "x.amendment_law_title", "x.current_revision_status")
 
 
+@registered(
+    f"""WITH {ARTICLES}, q AS (SELECT o_orderkey AS req_id, c_custkey, c_name, o_orderkey, o_orderpriority, o_orderkey % 7 AS f, CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN '1995-06-01' WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN '1989-12-31' END AS day
+      FROM orders JOIN customer ON o_custkey = c_custkey),
+    x AS (SELECT q.*, f = 3 AS toc, i.l_returnflag = 'R' AS has_item, i.l_suppkey, i.l_partkey, i.p FROM q LEFT JOIN i ON i.l_orderkey = q.o_orderkey AND i.p = 1)
+    SELECT req_id, CASE WHEN day = '1989-12-31' THEN 'SOURCE_API_ERROR' WHEN NOT toc AND p IS NULL AND f <> 6 THEN 'ARTICLE_NOT_FOUND' WHEN NOT toc AND f < 3 AND NOT has_item THEN 'ARTICLE_NOT_FOUND' END AS code,
+      CASE WHEN coalesce(day, '') <> '1989-12-31' THEN CASE WHEN toc THEN 'toc' WHEN f IN (0, 4) AND p IS NOT NULL AND (f = 4 OR has_item) THEN 'json' WHEN (f < 3 AND has_item) OR f = 6 OR (f = 5 AND p IS NOT NULL) THEN 'markdown' END END AS format,
+      CASE WHEN coalesce(day, '') <> '1989-12-31' AND f IN (0, 4) AND p IS NOT NULL AND (f = 4 OR has_item) THEN CASE f WHEN 0 THEN '1' END || '' END AS item_num,
+      CASE WHEN coalesce(day, '') <> '1989-12-31' THEN CASE WHEN f = 0 AND has_item THEN '{{"tag":"Item","attr":{{"Num":"1"}},"children":[{{"tag":"ItemTitle","children":["一"]}},{{"tag":"ItemSentence","children":[{{"tag":"Sentence","children":["supplier ' || l_suppkey || '"]}}]}}]}}'
+        WHEN f = 4 AND p IS NOT NULL THEN '{{"tag":"Paragraph","attr":{{"Num":"1"}},"children":[{{"tag":"ParagraphSentence","children":[{{"tag":"Sentence","children":["part ' || l_partkey || '"]}}]}}'
+          || CASE WHEN has_item THEN ',{{"tag":"Item","attr":{{"Num":"1"}},"children":[{{"tag":"ItemTitle","children":["一"]}},{{"tag":"ItemSentence","children":[{{"tag":"Sentence","children":["supplier ' || l_suppkey || '"]}}]}}]}}' ELSE '' END || ']}}' END END AS node,
+      CASE WHEN coalesce(day, '') <> '1989-12-31' AND (toc OR f = 6 OR (p IS NOT NULL AND (f IN (4, 5) OR has_item))) THEN CAST(c_custkey AS VARCHAR) || '|' || c_name || '|No. ' || c_custkey || '|2024-01-02T03:04:05.000Z|https://laws.e-gov.go.jp/law/' || c_custkey || '|' || coalesce(day, '-') END AS meta
+    FROM x"""
+)
+def get_law_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request per order by the form that its key falls to: an item as JSON (0) or Markdown (1, 2), an outline (3), a paragraph as JSON (4) or Markdown (5), an article (6), as of a day."""
+    n, form = F.col("o_orderkey"), F.col("o_orderkey") % 7
+    at = F.when(F.col("o_orderdate") < "1996-01-01", "1995-06-01").when(F.col("o_orderdate") < "1998-01-01", "1989-12-31")
+    asked = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+        n.alias("req_id"), F.col("c_name").alias("law_name"), n.cast("string").alias("article"), F.when(form < 6, 1).alias("paragraph"), F.when(form < 3, 1).alias("item"),
+        F.when(form.isin(0, 4), "json").when(form == 3, "toc").when(form != 5, "markdown").alias("format"), at.alias("at"))
+    found = requests.get_law(asked, standins.corpus(spark, sf_dir), F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    meta = F.when(F.col("meta").isNotNull(), F.concat_ws("|", *[f"meta.{c}" for c in ("law_id", "title", "law_num", "retrieved_at", "url")], F.coalesce("meta.at", F.lit("-"))))
+    return found.select("req_id", F.col("error.code").alias("code"), "format", F.col("data.item_num").cast("string").alias("item_num"), F.col("data.node").alias("node"), meta.alias("meta"))
+
+
+@registered(
+    """WITH a AS (SELECT o_custkey, o_orderstatus, o_orderkey, to_json(struct_pack(tag := 'Article', num := CAST(o_orderkey AS VARCHAR), title := 'Order ' || o_orderkey, caption := o_orderpriority)) AS j FROM orders),
+    c AS (SELECT o_custkey, o_orderstatus, '{"tag":"Chapter","num":"' || o_orderstatus || '","title":"' || o_orderstatus || '","children":[' AS j, string_agg(left(j, -1) || ',"children":[]}', ',' ORDER BY o_orderkey) AS below FROM a GROUP BY ALL),
+    t AS (SELECT o_custkey, string_agg(j || below || ']}', ',' ORDER BY o_orderstatus) AS whole, string_agg(j || ']}', ',' ORDER BY o_orderstatus) AS chapters FROM c GROUP BY ALL)
+    SELECT c_custkey AS req_id, '[' || coalesce(CASE WHEN c_custkey % 2 = 0 THEN whole ELSE chapters END, '') || ']' AS toc FROM customer LEFT JOIN t ON o_custkey = c_custkey"""
+)
+def get_toc_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of all customers' laws as nested values, every other one cut to its first level."""
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("req_id"), F.col("c_name").alias("law_name"), F.lit(None).cast("string").alias("at"), F.when(F.col("c_custkey") % 2 == 1, 1).alias("depth"))
+    found = requests.get_toc(asked, standins.corpus(spark, sf_dir))
+    # a VARIANT has its keys in order; they are read out in that of the SQL
+    entry = "tag string, num string, title string, caption string, children array<struct<tag string, num string, title string, caption string, children array<string>>>"
+    return found.select("req_id", F.to_json(F.from_json(F.to_json("toc"), f"array<struct<{entry}>>")).alias("toc"))
+
+
+BATCH_TOOLS = (*requests.TOOLS, "no_tool")
+
+
+@registered(
+    """WITH o AS (SELECT o_custkey, count(*) AS orders, count(DISTINCT o_orderstatus) AS chapters, min(o_orderkey) AS first FROM orders GROUP BY ALL)
+    SELECT c_custkey AS req_id, CASE c_custkey % 8 WHEN 0 THEN 'search_law' WHEN 1 THEN 'get_law' WHEN 2 THEN 'get_toc' WHEN 3 THEN 'search_fulltext' WHEN 4 THEN 'resolve_abbreviation' WHEN 5 THEN 'get_law_revisions' WHEN 6 THEN 'explain_law_type' ELSE 'no_tool' END AS tool,
+      c_custkey % 8 = 7 OR (c_custkey % 8 = 1 AND first IS NULL) AS is_error,
+      CASE c_custkey % 8 WHEN 0 THEN CAST(s.n AS VARCHAR) WHEN 1 THEN CASE WHEN first IS NULL THEN 'INVALID_ARGUMENT' ELSE '{"tag":"Article","num":"' || first || '"}' END WHEN 2 THEN CAST(coalesce(orders + chapters, 0) AS VARCHAR) WHEN 3 THEN CAST(s.n AS VARCHAR)
+        WHEN 4 THEN 'search_law' WHEN 5 THEN '1' WHEN 6 THEN '3' ELSE 'UNKNOWN_TOOL' END AS shown
+    FROM customer c LEFT JOIN o ON o_custkey = c_custkey LEFT JOIN (SELECT a.c_custkey AS k, least(count(*), 10) AS n FROM customer a JOIN customer b ON a.c_custkey % 8 IN (0, 3) AND contains(b.c_name, a.c_name) GROUP BY 1) s ON k = c_custkey"""
+)
+def batch_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request per customer to one of the seven tools or to none, in one table."""
+    first = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("_k")).agg(F.min("o_orderkey").cast("string").alias("article"))
+    which = F.col("c_custkey") % len(BATCH_TOOLS)
+    given = F.to_json(F.struct(F.col("c_name").alias("law_name"), F.col("c_name").alias("keyword"), F.col("c_name").alias("abbr"), "article", F.lit("json").alias("format"), F.lit(" 政令 ").alias("name"), F.lit(3).alias("latest")))
+    asked = table(spark, sf_dir, "customer").join(first, F.col("c_custkey") == F.col("_k"), "left").select(F.col("c_custkey").alias("req_id"), F.get(F.array(*map(F.lit, BATCH_TOOLS)), which.cast("int")).alias("tool"), given.alias("arguments"))
+    found = requests.answers(asked, standins.corpus(spark, sf_dir))
+    of = lambda p: F.get_json_object("answer", p)
+    node = F.to_json(F.struct(of("$.data.node.tag").alias("tag"), of("$.data.node.attr.Num").alias("num")))
+    shown = F.coalesce(of("$.code"), F.when(F.col("tool") == "get_law", node), of("$.node_count"), of("$.total_count"), of("$.fallback.total_count"), of("$.total"), of("$.info.hierarchy_rank"), of("$.next_actions[0].action"))
+    return found.select("req_id", "tool", "is_error", shown.alias("shown"))
+
+
 def _parts(spark: SparkSession, sf_dir: str) -> requests.Corpus:
     return requests.Corpus(standins.laws(spark, sf_dir), None, None, aliases(spark), law_types(spark))
 
@@ -433,6 +533,22 @@ def shred_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.count(F.when(F.col("tag") == "Paragraph", 1)).alias("paragraphs"), F.sum(F.length("text")).alias("n_chars"))
 
 
+@registered(
+    """WITH a AS (SELECT o_custkey, count(*) AS articles, count(DISTINCT o_orderstatus) AS chapters FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) GROUP BY o_custkey),
+    l AS (SELECT o_custkey, count(*) AS paragraphs, count(*) FILTER (WHERE l_returnflag = 'R') AS items FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey)
+    SELECT CAST(c_custkey AS VARCHAR) AS doc_id, 5 + 3 * coalesce(chapters, 0) + 5 * coalesce(articles, 0) + 4 * coalesce(paragraphs, 0) + 6 * coalesce(items, 0) AS n_rows, coalesce(articles, 0) AS articles,
+      coalesce(paragraphs, 0) AS paragraphs, coalesce(items, 0) AS items FROM customer LEFT JOIN a ON a.o_custkey = c_custkey LEFT JOIN l ON l.o_custkey = c_custkey"""
+)
+def shred_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Laws of all customers by the table function, of whose columns the query names three."""
+    register_shredder(spark)
+    of = lambda tag: f"count_if(tag = '{tag}') AS {tag.lower()}s"
+    return spark.sql(
+        f"SELECT doc_id, max(end) AS n_rows, {of('Article')}, {of('Paragraph')}, {of('Item')} FROM {{docs}}, LATERAL shred_tree(body, 'begin end tag') GROUP BY doc_id",
+        docs=spread(standins.trees(spark, sf_dir)),
+    )
+
+
 @registered("SELECT conv_id, turn, trim(text, ' 　' || chr(9) || chr(10) || chr(13)) AS text FROM conversations")
 def trimmed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", trim_wide(F.col("text")).alias("text"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import logging
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from lexgrove.operators import outline as toc
 from lexgrove.operators.errors import ERROR, detail, first_error, make_error, try_alias, try_later, try_search, try_toc
 from lexgrove.session import cut, stored
 from lexgrove.sources.aliases import OWNER
-from lexgrove.sources.nodes import REQUESTED, shred, spread
+from lexgrove.sources.nodes import OUTLINED, REQUESTED, shred, spread
 
 #: The wording of the Markdown footers and of the outline's title.
 SOURCE_LINE, AT_LABEL, TIME_LABEL, OUTLINE_LABEL = "出典：e-Gov法令検索（デジタル庁）", "時点: ", "取得日時: ", " — 目次"
@@ -44,33 +45,53 @@ class Corpus:
     base_url: str = "https://laws.e-gov.go.jp/law/"
     owner: str = OWNER
     bodies: DataFrame | None = None
+    #: Bodies that are fetched for the pairs (law_id, at) asked for, in place of revisions and bodies: law_id, at, doc_id, body and error (see plans.remote).
+    fetch: Callable[[DataFrame], DataFrame] | None = None
+    #: Names that are resolved already: law_name, alias and law.
+    known: DataFrame | None = None
+
+
+def resolved_names(requests: DataFrame, corpus: Corpus) -> DataFrame:
+    return lookup.resolve(requests.select("law_name").distinct(), corpus.laws, corpus.aliases, key="law_name")
 
 
 def _resolved(requests: DataFrame, corpus: Corpus) -> DataFrame:
-    """requests with law and error: out of scope, then not found."""
-    known = lookup.resolve(requests, corpus.laws, corpus.aliases)
+    """requests with law and error: out of scope, then not found. A name is looked up once, however many requests have it."""
+    names = resolved_names(requests, corpus) if corpus.known is None else corpus.known
+    known = requests.join(names.select(F.col("law_name").alias("_name"), "alias", "law"), F.col("law_name").eqNullSafe(F.col("_name")), "left").drop("_name")
     name = F.col("law_name")
     missing = F.when(F.col("law").isNull(), make_error("LAW_NOT_FOUND", F.concat(F.lit("no such law: "), F.coalesce(name, F.lit(""))), "Neither the aliases nor the titles have it; check the spelling.", [try_alias(name), try_search(name)]))
     return known.withColumn("error", first_error(lookup.scope_error(name, corpus.owner), missing)).drop("alias")
 
 
-def _versioned(rows: DataFrame, corpus: Corpus) -> DataFrame:
-    """rows with doc_id: the law's revision at `at`, or its newest by api_ord; an error if there is none."""
-    versions = corpus.revisions.select(F.col("law_id").alias("_law"), "law_revision_id", "enforcement_date", "api_ord")
-    asked = rows.where("error is null").select("req_id", F.col("law.law_id").alias("_id"), F.expr("try_to_date(at)").alias("_at"), F.col("at").isNotNull().alias("_dated"))
-    met = asked.join(versions, F.col("_id") == F.col("_law")).where(~F.col("_dated") | (F.col("enforcement_date") <= F.col("_at")))
-    dated = F.struct(F.when(F.col("_dated"), F.col("enforcement_date")), -F.col("api_ord"), F.col("law_revision_id"))
-    best = met.groupBy(F.col("req_id").alias("_r")).agg(F.max_by("law_revision_id", dated).alias("doc_id"))
-    none = F.when(F.col("doc_id").isNull(), make_error("SOURCE_API_ERROR", "no revision of the law at that time", retryable=False))
-    return rows.join(best, F.col("req_id") == F.col("_r"), "left").drop("_r").withColumn("error", first_error(F.col("error"), none))
-
-
-def _nodes(rows: DataFrame, corpus: Corpus) -> DataFrame:
+def _versioned(rows: DataFrame, corpus: Corpus) -> tuple[DataFrame, Corpus]:
+    """rows with doc_id: the law's revision at `at`, or its newest by api_ord; an error if there is none. And the corpus that has these documents."""
+    asked = rows.where("error is null").select(F.col("law.law_id").alias("law_id"), "at")
+    if corpus.fetch is not None:
+        got = stored(corpus.fetch(asked))
+        corpus = replace(corpus, bodies=got.where("body is not null").select("doc_id", "body").dropDuplicates(["doc_id"]))
+        best = got.select(F.col("law_id").alias("_l"), F.col("at").alias("_a"), "doc_id", F.col("error").alias("_failed"))
+        met = rows.join(best, (F.col("law.law_id") == F.col("_l")) & F.col("at").eqNullSafe(F.col("_a")), "left").drop("_l", "_a")
+        none = F.col("_failed")
+    else:
+        versions = corpus.revisions.select("law_id", "law_revision_id", "enforcement_date", "api_ord")
+        tie = [-F.col("api_ord"), F.col("law_revision_id")]
+        days = asked.withColumn("_day", F.expr("try_to_date(at)"))
+        dated = history.as_of_each(days, versions, "law_id", "_day", "enforcement_date", tie, F.col("law_revision_id")).select(F.col("law_id").alias("_l"), F.col("_day").alias("_a"), F.col("revision").alias("_dated"))
+        newest = versions.groupBy(F.col("law_id").alias("_n")).agg(F.max_by("law_revision_id", F.struct(*tie)).alias("_newest"))
+        met = rows.join(dated, (F.col("law.law_id") == F.col("_l")) & (F.expr("try_to_date(at)") == F.col("_a")), "left").join(newest, F.col("law.law_id") == F.col("_n"), "left")
+        wanted = F.col("error").isNull()
+        met = met.withColumn("doc_id", F.when(wanted, F.when(F.col("at").isNull(), F.col("_newest")).otherwise(F.col("_dated")))).drop("_l", "_a", "_n", "_dated", "_newest")
+        none = F.when(F.col("doc_id").isNull(), make_error("SOURCE_API_ERROR", "no revision of the law at that time", retryable=False))
+    return met.withColumn("error", first_error(F.col("error"), none)).drop("_failed"), corpus
+
+
+def _nodes(rows: DataFrame, corpus: Corpus, columns: tuple[str, ...] = REQUESTED) -> DataFrame:
     """The nodes of the documents that rows without an error ask for. Bodies are cut down to those before they are parsed, spread over all tasks, parsed once and stored."""
     asked = rows.where(F.col("error").isNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     if corpus.bodies is None:
         return corpus.nodes.join(asked, "doc_id", "left_semi")
-    return stored(shred(spread(corpus.bodies.join(asked, "doc_id", "left_semi")), columns=REQUESTED))
+    return stored(shred(spread(corpus.bodies.join(asked, "doc_id", "left_semi")), columns=columns))
 
 
 def _meta(corpus: Corpus, now: Column) -> Column:
@@ -110,7 +131,7 @@ def get_law(requests: DataFrame, corpus: Corpus, now: Column | None = None) -> D
     without a paragraph is left aside, though `data` still names it.
     """
     now = F.current_timestamp() if now is None else now
-    rows = _versioned(_resolved(requests, corpus), corpus)
+    rows, corpus = _versioned(_resolved(requests, corpus), corpus)
     given = F.nullif(F.col("article"), F.lit(""))
     as_toc = F.coalesce(F.col("format") == "toc", F.lit(False)) | (given.isNull() & (F.coalesce("format", F.lit("markdown")) != "json"))
     rows = rows.withColumn("_toc", as_toc).withColumn("_num", article_num(given))
@@ -171,8 +192,9 @@ def get_toc(requests: DataFrame, corpus: Corpus, now: Column | None = None) -> D
     toc is the outline as a VARIANT, entries with their children in lists, down to the depth. truncated is true for any depth from 1 on; actually_cut only if rows are left out.
     """
     now = F.current_timestamp() if now is None else now
-    rows = cut(_versioned(_resolved(requests, corpus), corpus))
-    rows = _outlined(rows, _nodes(rows, corpus), corpus, F.col("depth"), now)
+    rows, corpus = _versioned(_resolved(requests, corpus), corpus)
+    rows = cut(rows)
+    rows = _outlined(rows, _nodes(rows, corpus, OUTLINED), corpus, F.col("depth"), now)
     ok = F.col("error").isNull()
     shown = {"markdown": F.col("markdown"), "toc": F.parse_json("toc"), "meta": _meta(corpus, now), "node_count": F.col("node_count"), "truncated": F.coalesce(F.col("depth") >= 1, F.lit(False)), "actually_cut": F.col("node_count") < F.col("full_count")}
     return rows.select("req_id", *[F.when(ok, c).alias(n) for n, c in shown.items()], "error")
@@ -236,6 +258,37 @@ ARGUMENTS = {
 }
 
 
+def answers(batch: DataFrame, corpus: Corpus, now: Column | None = None) -> DataFrame:
+    """req_id, tool, answer (JSON without nulls) and is_error of each request of any tool (req_id, tool, arguments: a VARIANT or JSON text).
+
+    Requests are routed by tool and answered in one plan each tool; names that several tools ask for are resolved once for all. An unknown tool is an UNKNOWN_TOOL, arguments
+    that a tool does not know are left aside, and those of another type are null.
+    """
+    now = F.current_timestamp() if now is None else now
+    given = F.col("arguments") if batch.schema["arguments"].dataType.simpleString() == "variant" else F.try_parse_json("arguments")
+    asked = cut(batch.select("req_id", "tool", given.alias("_arguments")))
+    names = asked.where(F.col("tool").isin("get_law", "get_toc", "get_law_revisions")).select(F.try_variant_get("_arguments", "$.law_name", "string").alias("law_name"))
+    corpus = replace(corpus, known=cut(resolved_names(names, corpus)))
+    unknown = make_error("UNKNOWN_TOOL", F.concat(F.lit("unknown tool: "), F.coalesce("tool", F.lit(""))), ", ".join(TOOLS))
+    found = asked.where(~F.coalesce(F.col("tool").isin(*TOOLS), F.lit(False))).select("req_id", "tool", F.to_json(unknown).alias("answer"), F.lit(True).alias("is_error"))
+    for tool in TOOLS:
+        own = asked.where(F.col("tool") == tool)
+        arguments = [part.split() for part in ARGUMENTS[tool].split(", ")]
+        rows = own.select("req_id", *[F.try_variant_get("_arguments", f"$.{name}", kind).alias(name) for name, kind in arguments])
+        answer = globals()[tool](rows, corpus, now) if tool in ("get_law", "get_toc", "get_law_revisions") else globals()[tool](rows, corpus)
+        shown = _objects(answer)
+        fields = F.struct(*[c for c in shown.columns if c not in ("req_id", "error")])
+        found = found.unionByName(shown.select("req_id", F.lit(tool).alias("tool"), F.when(F.col("error").isNotNull(), F.to_json("error")).otherwise(F.to_json(fields)).alias("answer"), F.col("error").isNotNull().alias("is_error")))
+    return found
+
+
+def _objects(answer: DataFrame) -> DataFrame:
+    """An answer whose subtree is an object, not its JSON as text."""
+    if "data" not in answer.columns:
+        return answer
+    return answer.withColumn("data", F.when(F.col("data").isNotNull(), F.col("data").withField("node", F.try_parse_json("data.node"))))
+
+
 def call(spark: SparkSession, corpus: Corpus, tool: str, **arguments: object) -> tuple[str, bool]:
     """One request's answer as indented JSON without nulls, and whether it is an error.
 
@@ -246,7 +299,7 @@ def call(spark: SparkSession, corpus: Corpus, tool: str, **arguments: object) ->
     names = [part.split()[0] for part in ARGUMENTS[tool].split(", ")]
     try:
         asked = spark.createDataFrame([(0, *[arguments.get(n) for n in names])], f"req_id int, {ARGUMENTS[tool]}")
-        row = globals()[tool](asked, corpus).select(F.to_json(F.struct("*")).alias("j")).first()
+        row = _objects(globals()[tool](asked, corpus)).select(F.to_json(F.struct("*")).alias("j")).first()
         answer = json.loads(row["j"])
     except Exception as e:  # whatever it is, the caller gets an error as a value
         log.exception("tool %s failed", tool)
@@ -254,6 +307,4 @@ def call(spark: SparkSession, corpus: Corpus, tool: str, **arguments: object) ->
         return json.dumps(json.loads(failed["j"]), ensure_ascii=False, indent=2), True
     answer.pop("req_id", None)
     error = answer.pop("error", None)
-    if node := answer.get("data", {}).get("node"):
-        answer["data"]["node"] = json.loads(node)
     return json.dumps(error or answer, ensure_ascii=False, indent=2), error is not None

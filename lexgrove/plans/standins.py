@@ -66,6 +66,11 @@ def _leaf(tag: str, text):
     return _node(tag, F.to_json(F.array(text)).substr(F.lit(2), F.length(F.to_json(F.array(text))) - 2))
 
 
+def _plain(tag: str, text):
+    """As _leaf, of a text that needs no escapes."""
+    return _node(tag, F.concat(F.lit('"'), text, F.lit('"')))
+
+
 def _joined(order, body):
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), body.alias("b")))), lambda x: x["b"]), ",")
 
@@ -74,11 +79,11 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as laws in JSON: order states are chapters, orders articles, lines paragraphs; a returned line has an item."""
     customer, orders, lineitem = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
     lined = lineitem.withColumn("p", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
-    said = _node("ParagraphSentence", _leaf("Sentence", F.concat(F.lit("part "), F.col("l_partkey").cast("string"))))
-    item = _node("Item", F.concat_ws(",", _leaf("ItemTitle", F.lit("一")), _node("ItemSentence", _leaf("Sentence", F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string"))))), F.lit("1"))
+    said = _node("ParagraphSentence", _plain("Sentence", F.concat(F.lit("part "), F.col("l_partkey").cast("string"))))
+    item = _node("Item", F.concat_ws(",", _plain("ItemTitle", F.lit("一")), _node("ItemSentence", _plain("Sentence", F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string"))))), F.lit("1"))
     paragraphs = lined.select("l_orderkey", "p", _node("Paragraph", F.concat_ws(",", said, F.when(F.col("l_returnflag") == "R", item)), F.col("p")).alias("j")).groupBy("l_orderkey").agg(_joined(F.col("p"), F.col("j")).alias("ps"))
     held = orders.join(paragraphs, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    heads = [_leaf("ArticleCaption", F.col("o_orderpriority")), _leaf("ArticleTitle", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")))]
+    heads = [_leaf("ArticleCaption", F.col("o_orderpriority")), _plain("ArticleTitle", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")))]
     articles = held.select("o_custkey", "o_orderstatus", "o_orderkey", _node("Article", F.concat_ws(",", *heads, F.col("ps")), F.col("o_orderkey")).alias("j"))
     chapters = articles.groupBy("o_custkey", "o_orderstatus").agg(_joined(F.col("o_orderkey"), F.col("j")).alias("as"))
     chapters = chapters.select("o_custkey", "o_orderstatus", _node("Chapter", F.concat_ws(",", _leaf("ChapterTitle", F.col("o_orderstatus")), F.col("as")), F.col("o_orderstatus")).alias("j"))

@@ -10,9 +10,10 @@ import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, IsNotNull, StringContains
 
 #: Attempts after the first, the first delay in seconds, the time limit, and requests at a time.
 RETRIES, DELAY, TIMEOUT, CONCURRENCY = 3, 0.5, 30.0, 4
@@ -98,6 +99,63 @@ class _Reader(DataSourceReader):
                 yield law_id, None, None, url, str(e)
 
 
+class _ListReader(DataSourceReader):
+    """Pages of the list as law rows; filters that the API can answer become its parameters."""
+
+    def __init__(self, options: dict[str, str], columns: list[str]) -> None:
+        self.options, self.columns, self.asked = {k.lower(): v for k, v in options.items()}, columns, {}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """A part of the title and the type are left to the API; a number is asked for and looked at again, as the API finds parts of it; the rest is Spark's."""
+        for one in filters:
+            name = one.attribute[0] if len(getattr(one, "attribute", ())) == 1 else None
+            value = getattr(one, "value", None)
+            free = isinstance(value, str) and value != "" and name not in self.asked
+            if free and ((isinstance(one, StringContains) and name == "law_title") or (isinstance(one, EqualTo) and name == "law_type")):
+                self.asked[name] = value
+                continue
+            if free and isinstance(one, EqualTo) and name == "law_num":
+                self.asked[name] = value
+            if not (isinstance(one, IsNotNull) and name in ("law_title", "law_type")):
+                yield one
+
+    def url(self, offset: int) -> str:
+        o = self.options
+        limit = positive(o.get("page"), 100)
+        return list_url(o["base"].rstrip("/"), **{c: self.asked.get(c, o.get(c)) for c in ("law_title", "law_type", "law_num")}, limit=limit, offset=offset or None)
+
+    def partitions(self) -> list[_Urls]:
+        return [_Urls([("", self.url(0))])]
+
+    def read(self, partition: _Urls) -> Iterator[tuple]:
+        # pages follow one another: only an answer says how many there are
+        delay, seen = float(self.options.get("delay", DELAY)), 0
+        while True:
+            answer = fetch_json(self.url(seen), delay=delay)
+            laws = answer.get("laws") or []
+            for law in laws:
+                seen += 1
+                known = {**(law.get("revision_info") or {}), **(law.get("law_info") or {}), "src_ord": seen}
+                yield tuple(known.get(c) for c in self.columns)
+            if not laws or seen >= (answer.get("total_count") or 0):
+                return
+
+
+class LawList(DataSource):
+    """The list as law rows, page by page. Options: base, page, and the filters' law_title, law_type, law_num where they aren't pushed down
+    (spark.sql.python.filterPushdown.enabled)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "law_list"
+
+    def schema(self) -> str:
+        return f"{LAW_INFO}, {REVISION}, src_ord long"
+
+    def reader(self, schema) -> _ListReader:
+        return _ListReader(self.options, schema.fieldNames())
+
+
 class LawApi(DataSource):
     """Options: base, kind (laws, law_data, law_revisions), filters or ids (a JSON list), at, concurrency.
 
@@ -118,6 +176,7 @@ class LawApi(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(LawApi)
+    spark.dataSource.register(LawList)
 
 
 def _answered(answers: DataFrame, schema: str) -> DataFrame:
@@ -143,3 +202,33 @@ def as_revisions(answers: DataFrame) -> DataFrame:
     """A row per revision of history answers, with its law's law_id and law_num."""
     read = _answered(answers, f"law_info struct<{LAW_INFO}>, revisions array<struct<{REVISION}>>")
     return read.select(F.coalesce("a.law_info.law_id", "_asked").alias("law_id"), F.col("a.law_info.law_num").alias("law_num"), F.explode("a.revisions").alias("r")).select("law_id", "law_num", "r.*")
+
+
+def fetched(asked: DataFrame, base: str, kind: str = "law_data", concurrency: int | None = None, delay: float = DELAY) -> DataFrame:
+    """law_id, at, body, status, url and cause of each different pair of asked (law_id, at: null for now; kind laws: law_id is a title's part).
+
+    A lookup that depends on rows: they may come from any plan. Each pair is asked for once, in tasks, of which there are as many as
+    requests may run at a time; a failure is a row. Null ids are left out.
+    """
+    base = base.rstrip("/")
+    tasks = concurrency or positive(os.environ.get("LEXGROVE_CONCURRENCY"), CONCURRENCY)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for law_id, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if kind == "laws":
+                    url = list_url(base, law_title=law_id, limit=5)
+                else:
+                    url = f"{base}/{kind}/{urllib.parse.quote(law_id)}" + (f"?asof={urllib.parse.quote(at)}" if at and kind == "law_data" else "")
+                try:
+                    rows.append((law_id, at, json.dumps(fetch_json(url, delay=delay), ensure_ascii=False), None, url, None))
+                except HttpFailure as e:
+                    rows.append((law_id, at, None, e.status, url, str(e)))
+                except OSError as e:
+                    rows.append((law_id, at, None, None, url, str(e)))
+            names, types = ["law_id", "at", "body", "status", "url", "cause"], [pa.string()] * 3 + [pa.int32()] + [pa.string()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*rows)) or [[]] * 6, types)], names)
+
+    pairs = asked.where(F.col("law_id").isNotNull()).select("law_id", "at").distinct().repartition(tasks)
+    return pairs.mapInArrow(run, "law_id string, at string, body string, status int, url string, cause string")

@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 #: Tags that make an outline.
@@ -16,18 +16,24 @@ STRUCTURAL = ("Part", "Chapter", "Section", "Subsection", "Division")
 
 #: What a row can hold. A caller names the columns it needs; no other is made.
 #: begin numbers a tree's rows from 0 in document order and end is the number after its last descendant, so that a subtree is
-#: the stretch from begin to end and an ancestor one that contains it; parent is the parent's begin (-1: none), depth the number of elements above.
+#: the stretch from begin to end and an ancestor one that contains it; parent is the parent's begin (-1: none).
 #: path holds child positions from the root. level is the number of structural tags above, in_article whether an Article stands above: an outline is a filter.
-#: content is the whole text of titles, captions, paragraph sentences and items; head an element's JSON up to its children.
+#: content is the whole text of titles, captions, paragraph sentences and items.
+#: A tree's JSON is, row by row, head (a comma after a sibling, an element up to its children or a text) and closes times the end of an
+#: element; shut says how many elements around an element end with it.
 COLUMNS = {
-    "path": "array<int>", "begin": "long", "end": "long", "parent": "long", "depth": "int", "tag": "string", "num": "string", "text": "string",
-    "level": "int", "in_article": "boolean", "content": "string", "head": "string",
+    "path": "array<int>", "begin": "long", "end": "long", "parent": "long", "tag": "string", "num": "string", "text": "string",
+    "level": "int", "in_article": "boolean", "content": "string", "head": "string", "closes": "int", "shut": "int",
 }
-DEFAULT = tuple(c for c in COLUMNS if c not in ("depth", "head"))
-#: What the requests read.
-REQUESTED = ("begin", "end", "parent", "depth", "tag", "num", "text", "level", "in_article", "content", "head")
+DEFAULT = tuple(c for c in COLUMNS if c not in ("head", "closes", "shut"))
+#: What outlines are made of, and what the requests read.
+OUTLINED = ("begin", "end", "parent", "tag", "num", "level", "in_article", "content")
+REQUESTED = (*OUTLINED, "head", "closes", "shut")
 
 _ARROW = {"array<int>": pa.list_(pa.int32()), "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+_quoted = json.encoder.encode_basestring
+#: Stands behind a tree's last node.
+_END = object()
 #: Rows of a batch, whole trees.
 BATCH_ROWS = 20_000
 
@@ -51,7 +57,7 @@ def tree_text(node: object) -> str:
 
 def _head(node: dict) -> str:
     """The JSON of an element without its children: open, up to the bracket of the list, or whole if it has no such list."""
-    rest = json.dumps({k: v for k, v in node.items() if k != "children"}, ensure_ascii=False, separators=(",", ":"))
+    rest = json.dumps({k: v for k, v in node.items() if k != "children" or not isinstance(v, list)}, ensure_ascii=False, separators=(",", ":"))
     if not isinstance(node.get("children"), list):
         return rest
     return f'{rest[:-1]}{"," if len(rest) > 2 else ""}"children":['
@@ -66,44 +72,64 @@ def tree_columns(body: str | None, wanted: Sequence[str], into: dict[str, list])
     if not isinstance(root, dict):
         return 0
     made: dict[str, list] = {c: [] for c in COLUMNS}
-    begin, tags, texts, ends = 0, made["tag"], [], made["end"]
-    with_path, with_head = "path" in wanted, "head" in wanted
+    paths, ends, parents, tags, nums, said, levels, insides, contents, heads, closes, shuts = (made[c] for c in COLUMNS if c != "begin")
+    begin, texts = 0, []
+    with_path, with_json, with_content = "path" in wanted, "head" in wanted or "closes" in wanted or "shut" in wanted, "content" in wanted
+    known: dict[str, str] = {}
     # open elements with the number of texts before them
     above: list[tuple[int, int]] = []
-
-    def close(depth: int) -> None:
-        while len(above) > depth:
-            at, before = above.pop()
-            ends[at] = begin
-            if made["content"][at] is not None:
-                made["content"][at] = "".join(texts[before:])
-
-    todo: list[tuple[object, list[int] | None, int, bool, int, int]] = [(root, [0] if with_path else None, 0, False, -1, 0)]
-    while todo:
-        node, path, level, inside, parent, depth = todo.pop()
-        is_text = isinstance(node, str)
-        if not is_text and not isinstance(node, dict):
+    todo: list[tuple] = [(root, [0] if with_path else None, 0, False, -1, 0)]
+    while True:
+        node, path, level, inside, parent, depth = todo.pop() if todo else (_END, None, 0, False, -1, 0)
+        if node is not _END and not isinstance(node, (str, dict)):
             continue
-        close(depth)
-        tag = num = None
-        if is_text:
+        if len(above) > depth:
+            if with_json:
+                # elements with a list of children close by its bracket
+                closes[-1] += len(above) - depth - (not heads[above[-1][0]].endswith("["))
+            while len(above) > depth:
+                at, before = above.pop()
+                ends[at] = begin
+                shuts[at] = len(above) - depth
+                if contents[at] is not None:
+                    contents[at] = "".join(texts[before:])
+        if node is _END:
+            break
+        sibling = begin > parent + 1
+        if isinstance(node, str):
             texts.append(node)
+            tags.append(None)
+            nums.append(None)
+            said.append(node)
+            contents.append(None)
+            if with_json:
+                heads.append("," + _quoted(node) if sibling else _quoted(node))
         else:
-            tag, num = node.get("tag"), (node.get("attr") or {}).get("Num")
+            tag, attr, children = node.get("tag"), node.get("attr"), node.get("children")
+            num = attr.get("Num") if isinstance(attr, dict) else None
             above.append((begin, len(texts)))
-            below, within, children = level + (tag in STRUCTURAL), inside or tag == "Article", node.get("children") or []
-            for i in range(len(children) - 1, -1, -1):
-                todo.append((children[i], [*path, i] if with_path else None, below, within, begin, depth + 1))
-        for name, value in (("path", path), ("parent", parent), ("depth", depth), ("text", node if is_text else None), ("level", level), ("in_article", inside)):
-            made[name].append(value)
-        tags.append(tag)
-        made["num"].append(None if num is None else str(num))
-        made["content"].append("" if isinstance(tag, str) and is_content(tag) else None)
-        if with_head:
-            made["head"].append(None if is_text else _head(node))
+            tags.append(tag)
+            nums.append(num if num is None else str(num))
+            said.append(None)
+            contents.append("" if with_content and isinstance(tag, str) and is_content(tag) else None)
+            if with_json:
+                if attr is None and len(node) == 2 and isinstance(children, list) and isinstance(tag, str):
+                    head = known.get(tag) or known.setdefault(tag, _head(node))
+                else:
+                    head = _head(node)
+                heads.append("," + head if sibling else head)
+            if children and isinstance(children, list):
+                below, within, next_depth = level + (tag in STRUCTURAL), inside or tag == "Article", depth + 1
+                for i in range(len(children) - 1, -1, -1):
+                    todo.append((children[i], [*path, i] if with_path else None, below, within, begin, next_depth))
+        paths.append(path)
+        parents.append(parent)
+        levels.append(level)
+        insides.append(inside)
         ends.append(begin + 1)
+        closes.append(0)
+        shuts.append(0)
         begin += 1
-    close(0)
     made["begin"] = list(range(begin))
     for c in wanted:
         into[c] += made[c]
@@ -158,7 +184,8 @@ class TreeRows:
     def analyze(body: AnalyzeArgument, columns: AnalyzeArgument) -> AnalyzeResult:
         if not isinstance(columns.value, str):
             raise ValueError("columns: a constant with names parted by spaces")
-        return AnalyzeResult(StructType.fromDDL(", ".join(f"`{c}` {COLUMNS[c]}" for c in _checked(columns.value.split()))))
+        kinds = {"array<int>": T.ArrayType(T.IntegerType()), "long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType()}
+        return AnalyzeResult(T.StructType([T.StructField(c, kinds[COLUMNS[c]]) for c in _checked(columns.value.split())]))
 
     def eval(self, body: str, columns: str) -> Iterator[tuple]:
         wanted = columns.split()
