@@ -143,8 +143,11 @@ def _checked(columns: Sequence[str]) -> list[str]:
 
 
 def spread(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The trees dealt by key to as many partitions as the session shuffles into, however few tasks they come from: parsing is what costs."""
-    return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    """The trees dealt by key to as many partitions as the session shuffles into, however few tasks they come from: parsing is what costs.
+
+    By a hash of its own: a repartitioning by the key itself is left out where a join before it has shuffled by that key, also where that join then becomes a broadcast.
+    """
+    return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(key))
 
 
 def shred(docs: DataFrame, key: str = "doc_id", body: str = "body", columns: Sequence[str] = DEFAULT) -> DataFrame:
