@@ -13,6 +13,9 @@ KANJI_UNITS = {"千": 1000, "百": 100, "十": 10}
 ERAS = {"明治": 1867, "大正": 1911, "昭和": 1925, "平成": 1988, "令和": 2018}
 
 
+#: The white space, marks and numerals of the patterns below, up to strip_item_marker.
+
+
 def trim_wide(x: Column) -> Column:
     """Without white space at the ends, the ideographic space and the byte order mark included."""
     return F.regexp_replace(x, r"(?U)^[\s﻿]+|[\s﻿]+$", "")
@@ -42,12 +45,34 @@ def heading(title: Column, article: Column, paragraph: Column, item: Column) ->
     return F.concat(base, F.coalesce(p, F.lit("")), F.coalesce(F.when(paragraph.isNotNull(), i), F.lit("")))
 
 
+#: Half-width katakana and marks in the order of their code points from U+FF61, and their full-width forms.
+HALF_KANA = "｡｢｣､･ｦｧｨｩｪｫｬｭｮｯｰｱｲｳｴｵｶｷｸｹｺｻｼｽｾｿﾀﾁﾂﾃﾄﾅﾆﾇﾈﾉﾊﾋﾌﾍﾎﾏﾐﾑﾒﾓﾔﾕﾖﾗﾘﾙﾚﾛﾜﾝﾞﾟ"
+FULL_KANA = "。「」、・ヲァィゥェォャュョッーアイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワン゛゜"
+#: Full-width katakana that a voicing mark follows in half width, and what the two are in full width.
+VOICED = {"ﾞ": ("カキクケコサシスセソタチツテトハヒフヘホウワヲ", "ガギグゲゴザジズゼゾダヂヅデドバビブベボヴヷヺ"), "ﾟ": ("ハヒフヘホ", "パピプペポ")}
+
+
 def fold_width(x: Column) -> Column:
     """Full-width ASCII and the ideographic space as their half-width forms."""
     wide = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)) + "　"
     return F.translate(x, wide, "".join(map(chr, range(0x21, 0x7F))) + " ")
 
 
+def fold_kana(x: Column) -> Column:
+    """Half-width katakana as full-width ones, a kana and the voicing mark after it as one code point; other marks stand alone.
+
+    Kana are widened first but for the marks; then each mark's pairs are one pattern's matches, of which the kana is looked up. Texts without half-width kana pass as they are.
+    """
+    wide = F.translate(x, HALF_KANA[:-2], FULL_KANA[:-2])
+    for mark, (plain, voiced) in VOICED.items():
+        # a kana before its mark is marked by being followed by it: split there, and turn the last kana of each piece but the last
+        pieces = F.split(wide, f"(?<=[{plain}]){mark}")
+        turned = F.transform(pieces, lambda p, i: F.when(i < F.size(pieces) - 1, F.concat(F.substring(p, F.lit(1), F.length(p) - 1), F.translate(F.right(p, F.lit(1)), plain, voiced))).otherwise(p))
+        wide = F.array_join(turned, "")
+    wide = F.translate(wide, HALF_KANA[-2:], FULL_KANA[-2:])
+    return F.when(x.rlike("[｡-ﾟ]"), wide).otherwise(x)
+
+
 def has_all_terms(body: Column, words: Column) -> Column:
     """True if every space-separated term stands in the body, widths folded on both sides; false without terms."""
     terms = F.filter(F.split(trim_wide(fold_width(words)), r"(?U)\s+"), lambda t: t != "")

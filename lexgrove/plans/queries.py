@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexgrove.functions.text import article_label, article_num, article_num_kanji, era_date, fold_width, heading, kanji_numeral, strip_item_marker, trim_wide
+from lexgrove.functions.text import article_label, article_num, article_num_kanji, era_date, fold_kana, fold_width, heading, kanji_numeral, strip_item_marker, trim_wide
 from lexgrove.operators import history, lookup, search, tree
 from lexgrove.operators import outline as toc
 from lexgrove.operators.errors import is_error
@@ -143,20 +143,22 @@ def article_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    """SELECT raw, CASE WHEN NOT regexp_matches(t, '[一二三四五六七八九十百千]') THEN replace(t, 'の', '_') END AS num,
-      replace(CASE WHEN NOT regexp_matches(t, '[一二三四五六七八九十百千]') THEN replace(t, 'の', '_') END, '_', 'の') AS label
-    FROM (SELECT raw, replace(regexp_replace(trim(raw, ' 　'), '^第', ''), '条', '') AS t FROM (VALUES ('30'), ('30の2'), ('第30条の2'), ('三十'), ('  57の4  '), ('　第７条　'), ('第三十条')) v(raw))"""
+    """SELECT p_partkey, CASE WHEN p_partkey % 5 < 4 THEN CAST(p_size AS VARCHAR) || CASE WHEN p_partkey % 5 IN (1, 2) THEN '_' || (p_partkey % 5) ELSE '' END END AS num,
+      CASE WHEN p_partkey % 5 < 4 THEN CAST(p_size AS VARCHAR) || CASE WHEN p_partkey % 5 IN (1, 2) THEN 'の' || (p_partkey % 5) ELSE '' END END AS label FROM part"""
 )
 def article_num_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("30", "30の2", "第30条の2", "三十", "  57の4  ", "　第７条　", "第三十条")], "raw string")
-    num = article_num(F.col("raw"))
-    return rows.select("raw", num.alias("num"), article_label(num).alias("label"))
+    """Sizes of parts written as article numbers in five ways, the last with kanji numerals."""
+    n, case = F.col("p_size").cast("string"), F.col("p_partkey") % 5
+    raw = F.when(case == 0, n).when(case == 1, F.concat(n, F.lit("の1"))).when(case == 2, F.concat(F.lit("　第"), n, F.lit("条の2　"))).when(case == 3, F.concat(F.lit(" 第"), n, F.lit("条"))).otherwise(F.concat(F.lit("第"), kanji_numeral(F.col("p_size")), F.lit("条")))
+    num = article_num(raw)
+    return table(spark, sf_dir, "part").select("p_partkey", num.alias("num"), article_label(num).alias("label"))
 
 
-@registered("SELECT raw, regexp_replace(raw, '^[一二三四五六七八九十百0-9]+[ 　]*', '') AS bare FROM (VALUES ('一　次の者'), ('12 text'), ('一二以上の者'), ('３課'), ('none')) v(raw)")
+@registered("SELECT p_partkey, p_name AS bare FROM part")
 def item_marker_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("一　次の者", "12 text", "一二以上の者", "３課", "none")], "raw string")
-    return rows.select("raw", strip_item_marker(F.col("raw")).alias("bare"))
+    """Names of parts behind their size as an item's marker, in kanji or digits."""
+    marker = F.when(F.col("p_partkey") % 2 == 0, kanji_numeral(F.col("p_size"))).otherwise(F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", strip_item_marker(F.concat(marker, F.lit("　"), "p_name")).alias("bare"))
 
 
 @registered(
@@ -190,27 +192,35 @@ def alias_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.with_alias(rows, known, "padded").select("name", lookup.searched_title(F.col("padded")).alias("title"))
 
 
-@registered("SELECT * FROM (VALUES ('消法', CAST(NULL AS VARCHAR)), ('所基通', 'OUT_OF_SCOPE'), (' ', NULL), ('民法', NULL)) v(name, code)")
+@registered("SELECT c_custkey, CASE WHEN c_mktsegment = (SELECT min(c_mktsegment) FROM customer) THEN 'OUT_OF_SCOPE' END AS code FROM customer")
 def scope_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([("消法",), ("所基通",), (" ",), ("民法",)], "name string")
-    return lookup.with_alias(names, aliases(spark)).select("name", lookup.scope_error(F.col("name"), OWNER)["code"].alias("code"))
+    """Customers whose segments are abbreviations, of which the first is another owner's."""
+    customer = table(spark, sf_dir, "customer")
+    first = F.broadcast(customer.agg(F.min("c_mktsegment").alias("_first")))
+    known = customer.select("c_mktsegment").distinct().crossJoin(first).select(F.col("c_mktsegment").alias("abbr"), F.lit("formal").alias("formal"), F.when(F.col("c_mktsegment") == F.col("_first"), "others").otherwise(OWNER).alias("owner"))
+    asked = customer.select("c_custkey", F.concat(F.lit("　"), "c_mktsegment").alias("name"))
+    return lookup.with_alias(asked, known).select("c_custkey", lookup.scope_error(F.col("name"), OWNER)["code"].alias("code"))
 
 
 @registered(
     """WITH t(ord, name, code) AS (VALUES (0,'憲法',NULL),(1,'法律','Act'),(2,'政令','CabinetOrder'),(3,'省令','MinisterialOrdinance'),(4,'規則',NULL),(5,'条例',NULL),(6,'告示',NULL),(7,'訓令',NULL),(8,'通達',NULL),(9,'通知',NULL)),
     a(name, k) AS (VALUES ('憲法','日本国憲法'),('政令','施行令'),('政令','CabinetOrder'),('省令','府令'),('省令','内閣府令'),('省令','施行規則'),('省令','MinisterialOrdinance'),('通達','通知'),('通達','基本通達'),('通達','取扱通達')),
     ks AS (SELECT name AS k, 0 AS p, ord, name FROM t UNION ALL SELECT a.k, 1, t.ord, t.name FROM a JOIN t USING (name) UNION ALL SELECT code, 2, ord, name FROM t WHERE code IS NOT NULL),
-    w(asked) AS (VALUES ('政令'),('施行令'),('Act'),('  通達  '),('通知'),('Rule'),('日本国憲法'))
-    SELECT asked, (SELECT name FROM ks WHERE k = trim(asked) ORDER BY p, ord LIMIT 1) AS name FROM w"""
+    w(s_suppkey, asked) AS (SELECT s_suppkey, CASE s_suppkey % 8 WHEN 0 THEN '政令' WHEN 1 THEN '施行令' WHEN 2 THEN 'Act' WHEN 3 THEN '  通達  ' WHEN 4 THEN '通知' WHEN 5 THEN 'Rule' WHEN 6 THEN '日本国憲法' ELSE s_name END FROM supplier)
+    SELECT s_suppkey, (SELECT name FROM ks WHERE k = trim(asked) ORDER BY p, ord LIMIT 1) AS name FROM w"""
 )
 def law_type_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([(x,) for x in ("政令", "施行令", "Act", "  通達  ", "通知", "Rule", "日本国憲法")], "asked string")
-    return lookup.find_law_types(asked, law_types(spark), "asked").select("asked", F.col("entry.name").alias("name"))
+    """A name per supplier: a type's, an alias, a code, or the supplier's own, which is none."""
+    names = F.array(*map(F.lit, ("政令", "施行令", "Act", "  通達  ", "通知", "Rule", "日本国憲法")), F.col("s_name"))
+    asked = table(spark, sf_dir, "supplier").select("s_suppkey", F.get(names, (F.col("s_suppkey") % 8).cast("int")).alias("asked"))
+    return lookup.find_law_types(asked, law_types(spark), "asked").select("s_suppkey", F.col("entry.name").alias("name"))
 
 
-@registered("SELECT '憲法, 法律, 政令, 省令, 規則, 条例, 告示, 訓令, 通達, 通知' AS names")
+@registered("SELECT n_nationkey, '憲法, 法律, 政令, 省令, 規則, 条例, 告示, 訓令, 通達, 通知' AS names FROM nation")
 def law_type_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.type_names(law_types(spark))
+    """What a nation's name, which is no law type, is answered with."""
+    asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("req_id"), F.col("n_name").alias("name"))
+    return requests.explain_law_type(asked, _parts(spark, sf_dir)).select(F.col("req_id").alias("n_nationkey"), F.col("known").alias("names"))
 
 
 def _requests(spark: SparkSession) -> DataFrame:
@@ -486,10 +496,12 @@ def sync_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", history.staleness(F.col("o_orderdate"), F.lit("2001-08-02").cast("date")).alias("label"))
 
 
-@registered("SELECT raw, CAST(CAST(d AS DATE) AS VARCHAR) AS day FROM (VALUES ('明治二十九年四月二十七日', '1896-04-27'), ('昭和六十三年十二月三十日', '1988-12-30'), ('令和元年五月一日', '2019-05-01'), ('平成十年二月三十日', NULL), ('西暦十年', NULL)) v(raw, d)")
+@registered("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders")
 def era_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("明治二十九年四月二十七日", "昭和六十三年十二月三十日", "令和元年五月一日", "平成十年二月三十日", "西暦十年")], "raw string")
-    return rows.select("raw", era_date(F.col("raw")).cast("string").alias("day"))
+    """Order dates written by era and in kanji, read again."""
+    day = F.col("o_orderdate").cast("date")
+    spelled = F.concat(F.lit("平成"), kanji_numeral(F.year(day) - 1988), F.lit("年"), kanji_numeral(F.month(day)), F.lit("月"), kanji_numeral(F.dayofmonth(day)), F.lit("日"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", era_date(spelled).cast("string").alias("day"))
 
 
 @registered(
@@ -516,10 +528,22 @@ def newest_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest(lines, "l_orderkey", "l_shipdate")
 
 
-@registered("SELECT * FROM (VALUES ('Ａｂ１２！', 'Ab12!'), ('条　文', '条 文'), ('plain', 'plain')) v(raw, folded)")
+@registered("SELECT p_partkey, p_name AS folded FROM part")
 def width_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("Ａｂ１２！",), ("条　文",), ("plain",)], "raw string")
-    return rows.select("raw", fold_width(F.col("raw")).alias("folded"))
+    """Names of parts in full width, folded again."""
+    ascii_ = "".join(map(chr, range(0x21, 0x7F))) + " "
+    wide = F.translate("p_name", ascii_, "".join(chr(ord(c) + 0xFEE0) for c in ascii_[:-1]) + "　")
+    return table(spark, sf_dir, "part").select("p_partkey", fold_width(wide).alias("folded"))
+
+
+@registered(
+    """SELECT p_partkey, replace(replace(replace(replace(translate(p_name, 'abcdefghijklmnopqrstuvwxyz', 'アイウエオカキクケコサシスセソタチツテトナニヌネノハ'), ' ', 'ガ'), 'カ゛', 'ガ'), '_', '゜'), '#', 'パ') AS folded
+    FROM part"""
+)
+def kana_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts with their letters as half-width katakana and their spaces as a voiced one, in full width."""
+    kana = F.translate("p_name", "abcdefghijklmnopqrstuvwxyz_", "ｱｲｳｴｵｶｷｸｹｺｻｼｽｾｿﾀﾁﾂﾃﾄﾅﾆﾇﾈﾉﾊﾟ")
+    return table(spark, sf_dir, "part").select("p_partkey", fold_kana(F.replace(F.replace(kana, F.lit(" "), F.lit("ｶﾞ")), F.lit("#"), F.lit("ﾊﾟ"))).alias("folded"))
 
 
 @registered("SELECT conv_id, count(*) AS paragraphs, sum(length(text)) AS n_chars FROM conversations GROUP BY conv_id")
