@@ -11,7 +11,7 @@ from urllib.parse import parse_qs, unquote, urlsplit
 import pytest
 from pyspark.sql import functions as F
 
-from lexgrove.functions.text import has_all_terms
+from lexgrove.functions.text import fold_kana, has_all_terms
 from lexgrove.operators import history, outline, tree
 from lexgrove.plans import remote, standins
 from lexgrove.plans import requests as R
@@ -19,6 +19,7 @@ from lexgrove.session import stored
 from lexgrove.sources import law_api, nodes, postings
 from lexgrove.sources.aliases import aliases
 from lexgrove.sources.law_types import law_types
+from lexgrove.streaming import buckets
 
 SF = "/root/testdata/sf0.001"
 random.seed(7)
@@ -295,3 +296,48 @@ def test_batches_of_any_tool(spark):
         assert got[0][1]["data"]["node"] == body["children"][0] and got[1][1]["toc"] == [{"tag": "Article", "num": "1", "caption": "(c)", "children": []}]
         assert got[2][1]["total"] == 1 and got[3][1]["total_count"] == 1 and got[4][1]["fallback"]["error"]["code"] == "INVALID_ARGUMENT"
         assert got[5][1]["resolved"]["domain"] == "tax" and got[6][1]["found"] and got[7][1]["code"] == got[8][1]["code"] == "UNKNOWN_TOOL" and got[10][1]["code"] == "LAW_NOT_FOUND"
+
+
+def test_an_increment_writes_the_buckets_of_its_changed_keys(spark, tmp_path):
+    path, shape = str(tmp_path / "table"), "doc_id int, body string, more int"
+    held = {i: (f"body {i}", i) for i in range(200)}
+    rows = lambda d: spark.createDataFrame([(k, *v) for k, v in d.items()], shape)
+    table = lambda: {r.doc_id: (r.body, r.more) for r in buckets.read(spark, path, shape).collect()}
+    assert buckets.version(spark, path) == 0 and table() == {}
+    assert buckets.merge(spark, path, rows(held), "doc_id", "body", 16) == 1 and table() == held
+    before = {str(f) for f in tmp_path.rglob("*.parquet") if "data" in str(f)}
+    assert buckets.merge(spark, path, rows({5: held[5], 7: held[7]}), "doc_id", "body") == 1
+    assert buckets.merge(spark, path, rows({5: ("other", 5), 7: held[7]}), "doc_id", "body") == 2
+    held[5] = ("other", 5)
+    written = {str(f) for f in tmp_path.rglob("*.parquet") if "data" in str(f)} - before
+    assert len({f.split("_bucket=")[1].split("/")[0] for f in written}) == 1 and table() == held
+    more = {300: (None, 1), 301: ("", 2), 0: (None, 0)}
+    assert buckets.merge(spark, path, rows(more).union(spark.createDataFrame([(None, "x", 1)], shape)), "doc_id", "body") == 3
+    held |= more
+    assert table() == held and buckets.merge(spark, path, rows(more), "doc_id", "body") == 3
+    assert buckets.merge(spark, path, rows({300: ("", 1)}), "doc_id", "body") == 4 and table() == held | {300: ("", 1)}
+    near = buckets.read(spark, path, shape, rows({5: ("", 0)}).select("doc_id"))
+    assert 5 in {r.doc_id for r in near.collect()} and near.count() < 60
+
+
+def test_a_lost_run_leaves_the_old_version_whole(spark, tmp_path):
+    path, shape = str(tmp_path / "table"), "doc_id int, body string"
+    one = lambda text: spark.createDataFrame([(i, f"{text} {i}") for i in range(20)], shape)
+    buckets.merge(spark, path, one("a"), "doc_id", "body", 4)
+    failing = one("b").withColumn("body", F.when(F.col("doc_id") == 13, F.raise_error(F.lit("lost"))).otherwise(F.col("body")))
+    with pytest.raises(Exception, match="lost"):
+        buckets.merge(spark, path, failing, "doc_id", "body")
+    assert {r.body for r in buckets.read(spark, path, shape).collect()} == {f"a {i}" for i in range(20)}
+    assert buckets.merge(spark, path, one("b"), "doc_id", "body") == 2 and buckets.read(spark, path, shape).where("body like 'b %'").count() == 20
+
+
+def test_half_width_katakana(spark):
+    cases = {"ｶﾞｷﾞｸ": "ガギク", "ﾊﾟﾊﾞﾊ": "パバハ", "ｳﾞｧｲｵﾘﾝ": "ヴァイオリン", "ﾞｱﾞﾟ": "゛ア゛゜", "ﾊﾞﾟ": "バ゜", "ﾎﾟｹﾂﾄ ﾓﾝｽﾀｰ｡": "ポケツト モンスター。", "カﾞ": "ガ", "plain": "plain", "": "", "ﾊﾊﾟﾊﾟﾊ": "ハパパハ", None: None}
+    df = spark.createDataFrame([(x,) for x in cases], "x string")
+    assert {r.x: r.y for r in df.select("x", fold_kana(F.col("x")).alias("y")).collect()} == cases
+    import unicodedata
+
+    marks = [b + m for b in "ｦｱｲｳｴｵｶｷｸｹｺｻｼｽｾｿﾀﾁﾂﾃﾄﾅﾆﾇﾈﾉﾊﾋﾌﾍﾎﾏﾐﾑﾒﾓﾔﾕﾖﾗﾘﾙﾚﾛﾜﾝ" for m in ("", "ﾞ", "ﾟ")]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(marks)], "i int, x string").orderBy("i").select(fold_kana(F.col("x"))).collect()]
+    plain = lambda x: unicodedata.normalize("NFKC", x).replace("\u3099", "゛").replace("\u309a", "゜")
+    assert got == [plain(x) for x in marks]
