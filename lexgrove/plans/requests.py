@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import logging
 from collections.abc import Callable
@@ -169,21 +170,20 @@ def get_law(requests: DataFrame, corpus: Corpus, now: Column | None = None) -> D
     said = said.join(single, (F.col("doc_id") == F.col("_d3")) & (F.col("p.begin") == F.col("_b3")), "left")
     body = F.when(with_i, trim_wide(F.col("i.content"))).when(with_p, F.col("_block")).otherwise(F.col("_body"))
     top = heading(F.col("law.title"), F.col("found.num"), F.col("p.num"), F.when(with_i, F.col("i.num")))
-    said = said.select("req_id", F.concat_ws("\n", top, F.col("_caption"), F.lit(""), F.coalesce(body, F.lit("")), F.lit(""), *_footer(corpus, now)).alias("_text"))
-    shown = rows.where(ok & is_json).select("req_id", F.col("doc_id").alias("_d"), F.col("_at.begin").alias("_b"), F.col("_at.end").alias("_e"))
-    subtrees = tree.subtrees(nodes, shown.select(F.col("_d").alias("doc_id"), F.col("_b").alias("begin"), F.col("_e").alias("end")))
-    subtrees = shown.join(subtrees, (F.col("_d") == F.col("doc_id")) & (F.col("_b") == F.col("begin")) & (F.col("_e") == F.col("end"))).select("req_id", F.col("json").alias("_json"))
-    outlined = _outlined(rows.where(F.col("_toc") & F.col("error").isNull()), nodes, corpus, F.lit(None).cast("int"), now).select("req_id", "markdown")
-    rows = rows.withColumnRenamed("_num", "article_num").join(said.unionByName(outlined.withColumnRenamed("markdown", "_text")), "req_id", "left").join(subtrees, "req_id", "left")
-    ok, is_json = F.col("error").isNull(), ~F.col("_toc") & (F.col("format") == "json")
-    return rows.select(
-        "req_id",
-        F.when(ok, F.when(F.col("_toc"), "toc").when(is_json, "json").otherwise("markdown")).alias("format"),
-        F.when(ok, F.col("_text")).alias("markdown"),
-        F.when(ok & is_json, F.struct("article_num", F.col("paragraph").alias("paragraph_num"), F.col("item").alias("item_num"), F.col("_json").alias("node"))).alias("data"),
-        F.when(ok, _meta(corpus, now)).alias("meta"),
-        "error",
-    )
+    said = said.withColumn("_text", F.concat_ws("\n", top, F.col("_caption"), F.lit(""), F.coalesce(body, F.lit("")), F.lit(""), *_footer(corpus, now)))
+    shown = rows.where(ok & is_json)
+    subtrees = tree.subtrees(nodes, shown.select("doc_id", "_at.begin", "_at.end")).withColumnsRenamed({"doc_id": "_d", "begin": "_b", "end": "_e", "json": "_json"})
+    shown = shown.join(subtrees, (F.col("doc_id") == F.col("_d")) & (F.col("_at.begin") == F.col("_b")) & (F.col("_at.end") == F.col("_e")), "left")
+    outlined = _outlined(rows.where(F.col("_toc") & F.col("error").isNull()), nodes, corpus, F.lit(None).cast("int"), now)
+    none = F.lit(None).cast("string")
+    # every request is of one of the forms, or an error
+    forms = [(rows.where(F.col("error").isNotNull()), "", none, none), (outlined, "toc", F.col("markdown"), none), (shown, "json", none, F.col("_json")), (said, "markdown", F.col("_text"), none)]
+    found = []
+    for df, form, text, subtree in forms:
+        data = F.struct(F.col("_num").alias("article_num"), F.col("paragraph").alias("paragraph_num"), F.col("item").alias("item_num"), subtree.alias("node"))
+        is_error = F.col("error").isNotNull()
+        found.append(df.select("req_id", F.lit(form or None).cast("string").alias("format"), text.alias("markdown"), F.when(F.lit(form == "json"), data).alias("data"), F.when(~is_error, _meta(corpus, now)).alias("meta"), "error"))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def get_toc(requests: DataFrame, corpus: Corpus, now: Column | None = None) -> DataFrame:
