@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,7 +135,7 @@ def in_order(docs: DataFrame, key: str, text: str, ranges: int, partitions: int)
     spot = F.coalesce(F.col("key").cast("double"), F.lit(-1e308))
     inner = rows.select(spot.alias("d")).stat.approxQuantile("d", [i / ranges for i in range(1, ranges)], 0.2 / ranges)
     # a key that holds several quantiles is a range alone
-    often = {d for d in inner if inner.count(d) > 1}
+    often = {d for d, n in Counter(inner).items() if n > 1}
     cuts = set(inner) | {math.nextafter(d, math.inf) for d in often}
     splits = [-math.inf, *sorted(cuts - {-1e308}), math.inf]
     if len(splits) < 3:
