@@ -20,6 +20,7 @@ from lexgrove.sources.aliases import OWNER, aliases
 from lexgrove.sources.law_types import law_types
 from lexgrove.sources.nodes import OUTLINED, shred, spread
 from lexgrove.sources.nodes import register as register_shredder
+from lexgrove.streaming import buckets
 from lexgrove.streaming.sync import newest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -469,24 +470,44 @@ def explain_law_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("req_id", "found", F.col("info.hierarchy_rank").alias("hierarchy_rank"), F.col("known").isNotNull().alias("listed"))
 
 
-@registered("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'repealed' WHEN doc_id % 3 = 1 THEN 'not yet in force' ELSE 'in force' END AS label FROM documents")
+@registered(
+    """SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN CASE WHEN n > 0 THEN 'repealed, still in force' ELSE 'repealed' END
+      WHEN o_orderstatus = 'O' THEN 'not yet in force' WHEN o_orderstatus = 'P' THEN 'superseded' ELSE 'in force' END AS label
+    FROM orders LEFT JOIN (SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'R') AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"""
+)
 def status_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    third = F.col("doc_id") % 3
-    label = history.status_label(F.when(third == 1, "UnEnforced").otherwise("CurrentEnforced"), F.when(third == 0, "Repeal").otherwise("None"), F.lit(False))
-    return table(spark, sf_dir, "documents").select("doc_id", label.alias("label"))
+    """Orders as revisions: by status not yet in force, superseded or current, repealed by priority, and still in force with a returned line."""
+    returned = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("n"))
+    rows = table(spark, sf_dir, "orders").join(returned, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    current = F.when(F.col("o_orderstatus") == "O", "UnEnforced").when(F.col("o_orderstatus") == "P", "PreviousEnforced").otherwise("CurrentEnforced")
+    repeal = F.when(F.substring("o_orderpriority", 1, 1).isin("1", "2"), "Repeal").otherwise("None")
+    return rows.select("o_orderkey", history.status_label(current, repeal, F.coalesce(F.col("n") > 0, F.lit(False))).alias("label"))
 
 
-@registered("SELECT doc_id FROM documents WHERE doc_id % 4 = 0")
+@registered("SELECT doc_id FROM documents WHERE contains(text, 'License')")
 def changed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that an increment with a word spelled otherwise changes."""
     old = table(spark, sf_dir, "documents").select("doc_id", "text")
-    new = old.withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("."))).otherwise(F.col("text")))
-    return history.changed(old, new, "doc_id", "text").select("doc_id")
+    return history.changed(old, old.withColumn("text", F.replace("text", F.lit("License"), F.lit("Licence"))), "doc_id", "text").select("doc_id")
 
 
-@registered("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+@registered("SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 'R' ELSE o_orderstatus END AS o_orderstatus FROM orders")
 def upsert_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders after an increment of those with a returned line."""
+    old = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    return history.upsert(old, old.join(returned, "o_orderkey", "left_semi").withColumn("o_orderstatus", F.lit("R")), "o_orderkey")
+
+
+@registered("SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 'R' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def merge_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As upsert_orders, in a table of buckets."""
     old = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    return history.upsert(old, old.where("o_orderkey % 10 = 0").withColumn("o_orderstatus", F.lit("X")), "o_orderkey")
+    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    path = f"{checkpoint_dir(spark)}/buckets/{uuid.uuid4().hex}"
+    buckets.merge(spark, path, old, "o_orderkey", "o_orderstatus", 16)
+    buckets.merge(spark, path, old.join(returned, "o_orderkey", "left_semi").withColumn("o_orderstatus", F.lit("R")), "o_orderkey", "o_orderstatus")
+    return buckets.read(spark, path, "o_orderkey long, o_orderstatus string")
 
 
 @registered(

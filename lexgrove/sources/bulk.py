@@ -11,8 +11,11 @@ import os
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Iterator
+from typing import IO
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -60,6 +63,29 @@ def _named(member: str) -> tuple[str, dt.date | None, str | None]:
     return parts[0], enforced, None if amendment in ("", UNAMENDED) else amendment
 
 
+def _is_list(member: str) -> bool:
+    return member.rpartition("/")[2] == LIST_NAME
+
+
+def _list_rows(file: IO[bytes]) -> Iterator[tuple]:
+    rows = csv.reader(io.TextIOWrapper(file, "utf-8-sig", newline=""))
+    next(rows, None)
+    yield from (tuple((row + [""] * len(LIST))[: len(LIST)]) for row in rows if row)
+
+
+def _law_row(archive: str, member: str, file: IO[bytes]) -> tuple:
+    category = re.fullmatch(r"(\d+)_xml\.zip", archive.rpartition("/")[2])
+    try:
+        body, cause = json.dumps(xml_tree(ET.parse(file).getroot()), ensure_ascii=False), None
+    except ET.ParseError as e:
+        body, cause = None, str(e)
+    return *_named(member), int(category[1]) if category else None, member, body, cause
+
+
+LIST_ROWS = ", ".join(f"{c} string" for c in LIST)
+LAW_ROWS = "law_id string, enforcement_date date, amendment_law_id string, category int, member string, body string, cause string"
+
+
 class _Members(InputPartition):
     def __init__(self, archive: str, first: int, last: int) -> None:
         super().__init__((archive, first, last))
@@ -72,7 +98,7 @@ class _Reader(DataSourceReader):
         self.list = self.options.get("kind") == "list"
 
     def _of_kind(self, archive: zipfile.ZipFile) -> list[str]:
-        return sorted(n for n in archive.namelist() if (n.rpartition("/")[2] == LIST_NAME if self.list else n.endswith(".xml")))
+        return sorted(n for n in archive.namelist() if (_is_list(n) if self.list else n.endswith(".xml")))
 
     def partitions(self) -> list[_Members]:
         path, step = self.options["path"], max(1, int(self.options.get("members", 200)))
@@ -87,20 +113,10 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Members) -> Iterator[tuple]:
         if not partition.archive:
             return
-        category = re.fullmatch(r"(\d+)_xml\.zip", os.path.basename(partition.archive))
         with zipfile.ZipFile(partition.archive) as archive:
             for member in self._of_kind(archive)[partition.first : partition.last]:
                 with archive.open(member) as file:
-                    if self.list:
-                        rows = csv.reader(io.TextIOWrapper(file, "utf-8-sig", newline=""))
-                        next(rows, None)
-                        yield from (tuple((row + [""] * len(LIST))[: len(LIST)]) for row in rows if row)
-                        continue
-                    try:
-                        body, cause = json.dumps(xml_tree(ET.parse(file).getroot()), ensure_ascii=False), None
-                    except ET.ParseError as e:
-                        body, cause = None, str(e)
-                yield *_named(member), int(category[1]) if category else None, member, body, cause
+                    yield from _list_rows(file) if self.list else [_law_row(partition.archive, member, file)]
 
 
 class LawBulk(DataSource):
@@ -116,9 +132,7 @@ class LawBulk(DataSource):
         return "law_bulk"
 
     def schema(self) -> str:
-        if self.options.get("kind") == "list":
-            return ", ".join(f"{c} string" for c in LIST)
-        return "law_id string, enforcement_date date, amendment_law_id string, category int, member string, body string, cause string"
+        return LIST_ROWS if self.options.get("kind") == "list" else LAW_ROWS
 
     def reader(self, schema) -> _Reader:
         return _Reader(dict(self.options))
@@ -128,6 +142,52 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(LawBulk)
 
 
+def read_archives(spark: SparkSession, path: str, kind: str = "laws", glob_filter: str = "*.zip") -> DataFrame:
+    """As the law_bulk source, from archives on any file system that Spark reads: a zip, a folder of them or a pattern.
+
+    An archive (of up to 2 GB, what Spark's binary files hold) is cut into its members by its directory without being unpacked, in one task; the members, still packed, are
+    dealt to all tasks, which unpack and parse them. An archive that is no zip, or a member packed in another way than stored or deflated, is a row with its cause.
+    """
+    listed = kind == "list"
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["archive", "member", "method", "packed"]
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1)):
+                data, rows = content.as_buffer(), []
+                try:
+                    with zipfile.ZipFile(pa.BufferReader(data)) as archive:
+                        held = sorted((i for i in archive.infolist() if (_is_list(i.filename) if listed else i.filename.endswith(".xml"))), key=lambda i: i.filename)
+                except zipfile.BadZipFile as e:
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([str(e)]), pa.array([-1], pa.int32()), pa.array([b""])], names)
+                    continue
+                view = memoryview(data)
+                for info in held:
+                    # a local header: 30 bytes, the lengths of name and further fields among its last four
+                    at = info.header_offset + 30 + int.from_bytes(view[info.header_offset + 26 : info.header_offset + 28], "little") + int.from_bytes(view[info.header_offset + 28 : info.header_offset + 30], "little")
+                    rows.append((name.as_py(), info.filename, info.compress_type, bytes(view[at : at + info.compress_size])))
+                for a in range(0, len(rows), 200):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 200]), (pa.string(), pa.string(), pa.int32(), pa.binary()))], names)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in (LIST_ROWS if listed else LAW_ROWS).split(", ")]
+        kinds = [pa.string()] * len(names) if listed else [pa.string(), pa.date32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+        for batch in batches:
+            for archive, member, method, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if method not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+                    rows = [] if listed else [(None, None, None, None, None if method < 0 else member, None, member if method < 0 else f"packed by method {method}")]
+                else:
+                    file = io.BytesIO(packed if method == zipfile.ZIP_STORED else zlib.decompress(packed, -15))
+                    rows = list(_list_rows(file)) if listed else [_law_row(archive, member, file)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob_filter).load(path).select("path", "content")
+    packed = files.mapInArrow(members, "archive string, member string, method int, packed binary")
+    dealt = packed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("archive", "member"))
+    return dealt.mapInArrow(parse, LIST_ROWS if listed else LAW_ROWS)
+
+
 def read_list(spark: SparkSession, path: str) -> DataFrame:
     """The list from a CSV file that stands by itself (byte order mark, CRLF): LIST as text, null for what is empty."""
     return spark.read.csv(path, schema=", ".join(f"{c} string" for c in LIST), header=True, encoding="UTF-8", escape='"')

@@ -16,7 +16,7 @@ from lexgrove.operators import history, outline, tree
 from lexgrove.plans import remote, standins
 from lexgrove.plans import requests as R
 from lexgrove.session import stored
-from lexgrove.sources import law_api, nodes, postings
+from lexgrove.sources import bulk, law_api, nodes, postings
 from lexgrove.sources.aliases import aliases
 from lexgrove.sources.law_types import law_types
 from lexgrove.streaming import buckets
@@ -341,3 +341,30 @@ def test_half_width_katakana(spark):
     got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(marks)], "i int, x string").orderBy("i").select(fold_kana(F.col("x"))).collect()]
     plain = lambda x: unicodedata.normalize("NFKC", x).replace("\u3099", "゛").replace("\u309a", "゜")
     assert got == [plain(x) for x in marks]
+
+
+def test_archives_on_any_file_system(spark, tmp_path):
+    """As the reader that opens files itself, member by member, in many tasks; a broken archive and an odd packing are rows with a cause."""
+    import zipfile
+
+    folder = tmp_path / "zips"
+    folder.mkdir()
+    law = '<Law><LawBody><LawTitle>T é {}</LawTitle></LawBody></Law>'
+    with zipfile.ZipFile(folder / "27_xml.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("all_law_list.csv", "\ufeff" + ",".join(bulk.LIST) + '\r\n法律,n1,"T, x"\r\n')
+        for i in range(450):
+            z.writestr(f"L{i}_20250601_{'0' * 15}/L{i}_20250601_{'0' * 15}.xml", law.format(i))
+    with zipfile.ZipFile(folder / "all_xml.zip", "w") as z:
+        z.writestr("bad.xml", "<Law>")
+        z.writestr(zipfile.ZipInfo("L9_20250601_A1/L9_20250601_A1.xml"), law.format("stored"))
+    bulk.register(spark)
+    for kind in ("laws", "list"):
+        want = [tuple(r) for p in ("27_xml.zip", "all_xml.zip") for r in spark.read.format("law_bulk").options(path=str(folder / p), kind=kind).load().collect()]
+        got = bulk.read_archives(spark, f"file://{folder}", kind)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and want
+    assert sum(n > 0 for n in bulk.read_archives(spark, str(folder)).groupBy(F.spark_partition_id()).count().toPandas()["count"]) > 1
+    (folder / "broken.zip").write_bytes(b"no zip")
+    with zipfile.ZipFile(folder / "odd.zip", "w", zipfile.ZIP_BZIP2) as z:
+        z.writestr("a.xml", law)
+    causes = {r.cause for r in bulk.read_archives(spark, str(folder)).where("body is null").collect()}
+    assert len(causes) == 3 and "packed by method 12" in causes and bulk.read_archives(spark, str(folder), glob_filter="none*").count() == 0
