@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from lexgrove.functions.text import article_label, article_num, article_num_kanji, era_date, fold_kana, fold_width, heading, kanji_numeral, strip_item_marker, trim_wide
 from lexgrove.operators import history, lookup, search, tree
 from lexgrove.operators import outline as toc
-from lexgrove.operators.errors import is_error
+from lexgrove.operators.errors import http_error, is_error
 from lexgrove.plans import requests, standins
 from lexgrove.session import checkpoint_dir, table
 from lexgrove.sources import postings
@@ -351,6 +351,34 @@ def get_law(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("req_id", F.col("error.code").alias("code"), F.get_json_object("data.node", "$.tag").alias("node_tag"), F.substring_index("markdown", "\n---", 1).alias("shown"))
 
 
+@registered("SELECT CAST(c_custkey AS VARCHAR) AS doc_id, c_name AS title FROM customer")
+def law_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.titles(shred(spread(standins.trees(spark, sf_dir)), columns=("begin", "end", "parent", "tag", "num", "content")))
+
+
+@registered(
+    """SELECT CAST(o_custkey AS VARCHAR) AS doc_id, CAST(o_orderkey AS VARCHAR) AS num, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus, o_orderkey) AS ord, o_orderstatus AS chapter_path
+    FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)"""
+)
+def chapter_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of all laws with the titles above them."""
+    return toc.chapter_paths(shred(spread(standins.trees(spark, sf_dir)), columns=OUTLINED)).select("doc_id", "num", "ord", "chapter_path")
+
+
+@registered(
+    """SELECT l_orderkey, l_linenumber, CASE WHEN q = 0 THEN 'SOURCE_TIMEOUT' WHEN q = 429 THEN 'SOURCE_RATE_LIMITED' WHEN q IS NOT NULL THEN 'SOURCE_API_ERROR' WHEN l_returnflag = 'R' THEN 'SOURCE_UNAVAILABLE' ELSE 'SOURCE_API_ERROR' END AS code,
+      coalesce(q = 0 OR q = 429 OR q >= 500, TRUE) AS retryable
+    FROM (SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN l_quantity < 10 THEN 0 WHEN l_quantity < 20 THEN 429 WHEN l_quantity < 40 THEN 480 + CAST(l_quantity AS INTEGER) END AS q FROM lineitem)"""
+)
+def failed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as failed requests: by quantity timed out, refused for their rate, answered with a status, or without an answer for a cause."""
+    q = F.col("l_quantity")
+    status = F.when(q < 10, 0).when(q < 20, 429).when(q < 40, 480 + q.cast("int"))
+    cause = F.when(F.col("l_returnflag") == "R", "connect ECONNREFUSED").otherwise("broken")
+    error = http_error(status, F.lit("http://localhost/laws"), F.when(status.isNull(), cause))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", error["code"].alias("code"), error["retryable"].alias("retryable"))
+
+
 @registered(
     f"""WITH {TREE_OUTLINE}, l AS (SELECT o.*, c_custkey, CASE WHEN tag = 'Article' THEN '  - 第' || num || '条 ' || caption ELSE '- ' || title END AS line,
       c_custkey % 3 = 0 OR lvl < c_custkey % 3 AS inside FROM o JOIN customer ON doc_id = CAST(c_custkey AS VARCHAR)),
