@@ -16,7 +16,7 @@ from lexgrove.operators import history, outline, tree
 from lexgrove.plans import remote, standins
 from lexgrove.plans import requests as R
 from lexgrove.session import stored
-from lexgrove.sources import bulk, law_api, nodes, postings
+from lexgrove.sources import answer_files, bulk, law_api, nodes, postings
 from lexgrove.sources.aliases import aliases
 from lexgrove.sources.law_types import law_types
 from lexgrove.streaming import buckets
@@ -368,3 +368,30 @@ def test_archives_on_any_file_system(spark, tmp_path):
         z.writestr("a.xml", law)
     causes = {r.cause for r in bulk.read_archives(spark, str(folder)).where("body is null").collect()}
     assert len(causes) == 3 and "packed by method 12" in causes and bulk.read_archives(spark, str(folder), glob_filter="none*").count() == 0
+
+
+def test_answers_as_files_are_all_there_or_none(spark, tmp_path):
+    path = tmp_path / "answers"
+    answer_files.register(spark)
+    law = spark.read.parquet(f"{SF}/customer.parquet").where("c_custkey < 12")
+    asked = law.select(F.col("c_custkey").alias("req_id"), F.when(F.col("c_custkey") % 4 == 3, "zzz").otherwise(F.col("c_name")).alias("law_name"), F.lit(None).cast("string").alias("at"), F.lit(1).alias("depth"))
+    found = R.get_toc(asked, standins.corpus(spark, SF)).repartition(4)
+    save = lambda df, mode: df.write.format("answer_files").option("path", str(path)).mode(mode).save()
+    held = lambda: sorted(f.name for f in path.rglob("*") if f.is_file())
+    save(answer_files.files(found), "append")
+    want = sorted(f"{i}.{'json' if i % 4 == 3 else 'md'}" for i in range(12))
+    assert held() == want
+    by = {f.name: f.read_text() for f in path.rglob("*") if f.is_file()}
+    assert by["4.md"].startswith("# Customer#") and json.loads(by["3.json"])["code"] == "LAW_NOT_FOUND"
+    assert {r.value.split("\n")[0] for r in spark.read.text(f"{path}/*/*/4.md", wholetext=True).collect()} == {by["4.md"].split("\n")[0]}
+    # a task that fails after others have written leaves nothing behind
+    bad = spark.range(0, 40, 1, 4).select(F.when(F.col("id") == 39, "a/b").otherwise(F.col("id").cast("string")).alias("name"), F.lit("x").alias("text"))
+    with pytest.raises(Exception, match="no name for a file"):
+        save(bad, "append")
+    assert held() == want and not [p for p in path.iterdir() if p.name.startswith(".")]
+    save(bad.where("name <> 'a/b'"), "append")
+    assert len(held()) == len(want) + 39
+    save(bad.where("name = '7'"), "overwrite")
+    assert held() == ["7"]
+    with pytest.raises(Exception, match="name and text"):
+        save(bad.withColumnRenamed("text", "t"), "append")
