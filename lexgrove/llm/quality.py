@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import column, documents, fold, hash_below, lean, slices
+from lexgrove.llm.common import column, cut, documents, fold, hash_below, lean, slices
 
 #: Characters counted one by one, as shares of the text.
 SIGNS = "!|#$%&*.,;:?\"'()-_/@=<>+"
@@ -125,12 +125,57 @@ def _featured(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.mapInArrow(run, ", ".join([*[f"`{c}` {fields[c]}" for c in keep], "x array<double>"]))
 
 
+def refined(model: QualityModel, positive: np.ndarray, unlabelled: DataFrame, steps: int = 8, rate: float = 0.01, decay: float = 1e-3) -> QualityModel:
+    """The model after a few more steps of fit_nnpu whose unlabelled part is summed by Spark over all rows of `unlabelled` (x).
+
+    A step is a pass over the features, of which each task gives one sum a weight; summed by weight they are as many numbers as the model has.
+    """
+    if model.weights is None:
+        return model
+    w, bias, p = model.weights, model.bias, model.design(positive)
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    for t in range(1, steps + 1):
+        now = QualityModel(model.prior, model.edges, w, bias)
+
+        @lean
+        def sums(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(now.weights) + 3)
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, N_FEATURES)
+                for a in range(0, len(x), 4096):
+                    u = now.design(x[a : a + 4096])
+                    z = (u @ now.weights + now.bias).astype(np.float64)
+                    su = 1 / (1 + np.exp(-z))
+                    total += np.concatenate([u.T @ su.astype(np.float32), [su.sum(), np.logaddexp(0, z).sum(), len(u)]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["place", "n"])
+
+        rows = unlabelled.select("x").mapInArrow(sums, "place int, n double").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+        total = np.zeros(len(w) + 3)
+        total[rows["place"]] = rows["n"]
+        n = total[-1]
+        if not n:
+            return model
+        zp = p @ w + bias
+        sp = 1 / (1 + np.exp(-zp))
+        gp, gu = -model.prior * sp / len(p), total[: len(w) + 1] / n
+        if total[-2] / n >= model.prior * np.logaddexp(0, zp).mean():
+            gp = gp - model.prior * (1 - sp) / len(p)
+        else:
+            gp, gu = -gp, -gu
+        grad = np.append(p.T @ gp.astype(np.float32), gp.sum()) + gu + np.append(decay * w, 0.0)
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w, bias = (w - step[:-1]).astype(np.float32), float(bias - step[-1])
+    return QualityModel(model.prior, model.edges, w, bias)
+
+
 def learn_quality(docs: DataFrame, labels: DataFrame, rows: int = 12_000, seed: int = 3) -> QualityModel:
     """Learn from docs (doc_id, text) and labels (doc_id, quality), both already the training rows.
 
     Trusted positives are documents with label 1, the unlabelled ones any documents, label
-    or none; about `rows` of each are picked by a hash of doc_id, and rows repeated as a whole count once among them. The class prior is
-    estimated from those two alone (estimated_prior), and where it can't be it is the share of 1 among the labels,
+    or none; about `rows` of each are picked by a hash of doc_id, and rows repeated as a whole count once among them. A model of those two is where
+    the fit over all unlabelled rows begins (refined), whose features are worked out once. The class prior is
+    estimated from the two samples alone (estimated_prior), and where it can't be it is the share of 1 among the labels,
     with one more of each. Of a doc_id's several labels the greatest counts; null labels and labels without a document count for nothing.
     Without documents or positives every score is that share.
     """
@@ -142,11 +187,12 @@ def learn_quality(docs: DataFrame, labels: DataFrame, rows: int = 12_000, seed:
         return QualityModel(prior)
     trusted = known.where((F.col("quality") == 1) & hash_below(F.col("doc_id"), rows / n["p"], seed)).select("doc_id", F.lit(True).alias("p"))
     sample = docs.join(F.broadcast(trusted), "doc_id", "left").withColumn("p", F.coalesce("p", F.lit(False))).withColumn("u", F.coalesce(hash_below(F.col("doc_id"), rows / total, seed + 1), F.lit(True)))
-    found = _featured(sample.where("p or u").dropDuplicates(["doc_id", "text"]), ["p", "u"]).toPandas()
+    every = cut(_featured(sample.withColumn("h", F.xxhash64("text")), ["doc_id", "h", "p", "u"]))
+    found = every.where("p or u").dropDuplicates(["doc_id", "h"]).toPandas()
     x = np.array(found["x"].tolist()).reshape(len(found), N_FEATURES)
     order = np.lexsort(x.T)  # whatever order the rows came in
     positive, unlabelled = (x[order][found[c].to_numpy(bool)[order]] for c in ("p", "u"))
-    return fit_nnpu(positive, unlabelled, estimated_prior(positive, unlabelled) or prior)
+    return refined(fit_nnpu(positive, unlabelled, estimated_prior(positive, unlabelled) or prior), positive, every)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -668,6 +668,33 @@ def test_prior_is_estimated_without_labels_of_0():
     assert quality.estimated_prior(draw(10, 1), draw(500, 0)) is None
 
 
+def test_steps_over_all_unlabelled_rows(spark):
+    """Spark's sums are those of the whole array: the same steps in plain numpy, and a lower risk on all rows than the sample's model has."""
+    rng = np.random.default_rng(2)
+    n, d = 3000, quality.N_FEATURES
+    good, bad = rng.normal(1, 1, (n, d)), rng.normal(-1, 1, (n, d))
+    positive, every = good[:300], np.concatenate([good[:1500], bad[:1500]])
+    model = quality.fit_nnpu(positive, every[rng.choice(len(every), 60, replace=False)], 0.5, n_edges=3, steps=5)
+    rows = spark.createDataFrame([(x.tolist(),) for x in every], "x array<double>").repartition(7)
+    got = quality.refined(model, positive, rows, steps=4, rate=0.05)
+    w, bias, p, u = model.weights, model.bias, model.design(positive), model.design(every)
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    for t in range(1, 5):
+        gp, gu = quality.nnpu_gradient(p @ w + bias, u @ w + bias, 0.5)
+        grad = np.append(p.T @ gp + u.T @ gu + 1e-3 * w, gp.sum() + gu.sum())
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w, bias = w - step[:-1], bias - step[-1]
+    assert np.allclose(got.weights, w, atol=1e-4) and abs(got.bias - bias) < 1e-4
+
+    def risk(model):
+        zp, zu = p @ model.weights + model.bias, u @ model.weights + model.bias
+        return 0.5 * np.logaddexp(0, -zp).mean() + max(0, np.logaddexp(0, zu).mean() - 0.5 * np.logaddexp(0, zp).mean())
+
+    assert risk(got) < risk(model)
+    assert quality.refined(model, positive, rows.limit(0)) is model and quality.refined(quality.QualityModel(0.5), positive, rows).weights is None
+
+
 def test_quality_of_held_out_rows(spark, docs, none):
     got = {r.doc_id: r for r in quality.op3_pu_quality(spark, "/root/testdata/sf0.01").collect()}
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
