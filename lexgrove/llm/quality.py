@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import column, cut, documents, fold, hash_below, lean, slices
+from lexgrove.llm.common import column, cut, documents, fold, hash_below, lean, slices, small
 
 #: Characters counted one by one, as shares of the text.
 SIGNS = "!|#$%&*.,;:?\"'()-_/@=<>+"
@@ -173,7 +173,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame, rows: int = 12_000, seed:
     """Learn from docs (doc_id, text) and labels (doc_id, quality), both already the training rows.
 
     Trusted positives are documents with label 1, the unlabelled ones any documents, label
-    or none; about `rows` of each are picked by a hash of doc_id, and rows repeated as a whole count once among them. A model of those two is where
+    or none. About `rows` of each come to the driver: trusted doc_ids by a hash, of whose several texts one counts, and unlabelled rows by a hash of
+    doc_id and text, of which those repeated as a whole count once. A model of those two is where
     the fit over all unlabelled rows begins (refined), whose features are worked out once. The class prior is
     estimated from the two samples alone (estimated_prior), and where it can't be it is the share of 1 among the labels,
     with one more of each. Of a doc_id's several labels the greatest counts; null labels and labels without a document count for nothing.
@@ -186,12 +187,13 @@ def learn_quality(docs: DataFrame, labels: DataFrame, rows: int = 12_000, seed:
     if not n["p"] or not total:
         return QualityModel(prior)
     trusted = known.where((F.col("quality") == 1) & hash_below(F.col("doc_id"), rows / n["p"], seed)).select("doc_id", F.lit(True).alias("p"))
-    sample = docs.join(F.broadcast(trusted), "doc_id", "left").withColumn("p", F.coalesce("p", F.lit(False))).withColumn("u", F.coalesce(hash_below(F.col("doc_id"), rows / total, seed + 1), F.lit(True)))
-    every = cut(_featured(sample.withColumn("h", F.xxhash64("text")), ["doc_id", "h", "p", "u"]))
-    found = every.where("p or u").dropDuplicates(["doc_id", "h"]).toPandas()
-    x = np.array(found["x"].tolist()).reshape(len(found), N_FEATURES)
-    order = np.lexsort(x.T)  # whatever order the rows came in
-    positive, unlabelled = (x[order][found[c].to_numpy(bool)[order]] for c in ("p", "u"))
+    hashed = docs.withColumn("h", F.xxhash64("text"))
+    sample = hashed.join(small(trusted, 16), "doc_id", "left").withColumn("p", F.coalesce("p", F.lit(False))).withColumn("u", hash_below(F.struct("doc_id", "h"), rows / total, seed + 1))
+    every = cut(_featured(sample, ["doc_id", "h", "p", "u"]))
+    # a row a trusted doc_id and one a picked text, however many rows share a doc_id or a text
+    chosen = every.where("p").groupBy("doc_id").agg(F.min_by("x", "h").alias("x")), every.where("u").dropDuplicates(["doc_id", "h"])
+    found = [np.array(df.select("x").toPandas()["x"].tolist()).reshape(-1, N_FEATURES) for df in chosen]
+    positive, unlabelled = (x[np.lexsort(x.T)] for x in found)  # whatever order the rows came in
     return refined(fit_nnpu(positive, unlabelled, estimated_prior(positive, unlabelled) or prior), positive, every)
 
 

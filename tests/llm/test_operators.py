@@ -695,6 +695,22 @@ def test_steps_over_all_unlabelled_rows(spark):
     assert quality.refined(model, positive, rows.limit(0)) is model and quality.refined(quality.QualityModel(0.5), positive, rows).weights is None
 
 
+def test_quality_learns_from_bounded_samples(spark, monkeypatch):
+    """One doc_id, null or trusted, that a third of all rows share brings no more rows to the driver than others do; rows repeated as a whole count once."""
+    rows = [(i, f"word {i} " * (i % 7 + 1)) for i in range(900)] + [(None, f"none {i}") for i in range(900)] + [(7, f"hot {i} " * (i % 5)) for i in range(900)]
+    docs = spark.createDataFrame(rows + rows[:300] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0 or i == 7)) for i in range(900)], "doc_id long, quality int")
+    sizes, fit = [], quality.fit_nnpu
+    monkeypatch.setattr(quality, "fit_nnpu", lambda p, u, *args, **more: (sizes.append((len(p), len(u))), fit(p, u, *args, **more))[1])
+    model = quality.learn_quality(docs, labels, rows=200)
+    assert max(n for n, _ in sizes) < 260 and max(n for _, n in sizes) < 260 and min(sizes[-1]) > 120, sizes
+    assert model.weights is not None and len(quality.score_quality(docs, model).collect()) == docs.count()
+    sizes.clear()
+    quality.learn_quality(docs, labels, rows=100_000)
+    # every trusted id once, and every different row
+    assert sizes[-1] == (len({i for i in range(900) if i % 3 > 0 or i == 7}), len(set(rows))), sizes
+
+
 def test_quality_of_held_out_rows(spark, docs, none):
     got = {r.doc_id: r for r in quality.op3_pu_quality(spark, "/root/testdata/sf0.01").collect()}
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
