@@ -11,13 +11,16 @@ from lexgrove.operators.errors import make_error
 from lexgrove.operators.lookup import searched_title, title_hits, with_alias
 
 
-def search_titles(requests: DataFrame, laws: DataFrame, aliases: DataFrame, default_limit: int = 10, order: tuple[str, ...] = ("src_ord",), max_limit: int | None = None) -> DataFrame:
+def search_titles(requests: DataFrame, laws: DataFrame, aliases: DataFrame, default_limit: int = 10, order: tuple[str, ...] = ("src_ord",), max_limit: int | None = None, parts: int = 64) -> DataFrame:
     """A row per request (req_id, keyword, law_type, lim): resolved, total_count, matched_count, results and error.
 
     Titles contain the alias's formal name or the trimmed keyword; law_type is matched if set, and so are law_num and
     domain (that of an alias whose formal name is the title) where requests have such columns.
     results holds the first `lim` (null: default_limit; at most max_limit, if set) hits in source order, after `skip` of them where requests have such a column, total_count
-    their number, matched_count that of all. A blank or null keyword is INVALID_ARGUMENT.
+    their number, matched_count that of all. Hits alike in `order` come by law_id. A blank or null keyword is INVALID_ARGUMENT.
+
+    A keyword may be in most titles: a request's hits are counted and cut to the first that it can show in `parts` parts each by itself, and only what is left of
+    them meets in one place.
     """
     given = lambda name, kind: (F.col(name) if name in requests.columns else F.lit(None)).cast(kind)
     asked = with_alias(requests, aliases, "keyword").withColumn("_kw", searched_title(F.col("keyword")))
@@ -30,12 +33,16 @@ def search_titles(requests: DataFrame, laws: DataFrame, aliases: DataFrame, defa
     if "domain" in requests.columns:
         domains = aliases.select(F.col("formal").alias("_formal"), F.col("domain").alias("_in")).distinct()
         hits = hits.join(domains, (F.col("law_title") == F.col("_formal")) & (F.col("_domain") == F.col("_in")), "left").where(F.col("_domain").isNull() | F.col("_in").isNotNull())
-    by = Window.partitionBy("req_id")
-    ranked = hits.withColumn("_rn", F.row_number().over(by.orderBy(*order))).withColumn("_all", F.count(F.lit(1)).over(by))
+    first = [*order, "law_id"]
+    own_part = Window.partitionBy("req_id", F.pmod(F.xxhash64("law_id"), F.lit(parts)))
+    counted = hits.withColumn("_rn", F.row_number().over(own_part.orderBy(*first))).withColumn("_all", F.when(F.col("_rn") == 1, F.count(F.lit(1)).over(own_part)))
+    # the first of each part stays for its count
+    kept = counted.where((F.col("_rn") == 1) | (F.col("_rn") <= F.col("_skip") + F.col("_lim")))
+    ranked = kept.withColumn("_rn", F.row_number().over(Window.partitionBy("req_id").orderBy(*first)))
     fields = [F.col(c).alias("title" if c == "law_title" else c) for c in ("law_id", "law_title", "law_num", "law_type", "promulgation_date", "url") if c in laws.columns]
     shown = (F.col("_rn") > F.col("_skip")) & (F.col("_rn") <= F.col("_skip") + F.col("_lim"))
     best = ranked.groupBy(F.col("req_id").alias("_r")).agg(
-        F.transform(F.array_sort(F.collect_list(F.when(shown, F.struct("_rn", F.struct(*fields).alias("hit"))))), lambda x: x["hit"]).alias("results"), F.max("_all").alias("matched_count"))
+        F.transform(F.array_sort(F.collect_list(F.when(shown, F.struct("_rn", F.struct(*fields).alias("hit"))))), lambda x: x["hit"]).alias("results"), F.sum("_all").alias("matched_count"))
     blank = F.coalesce(trim_wide(F.col("keyword")), F.lit("")) == ""
     error = F.when(blank, make_error("INVALID_ARGUMENT", "keyword is blank", "Give a title, an abbreviation or a part of one."))
     joined = asked.join(best, F.col("req_id") == F.col("_r"), "left")

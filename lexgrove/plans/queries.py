@@ -481,6 +481,32 @@ def search_law(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("req_id").cast("long").alias("req_id"), F.col("query.keyword").alias("keyword"), F.array_join(F.transform("results", lambda x: x["law_id"]), " ").alias("ids"), F.col("error.code").alias("code"))
 
 
+@registered(
+    """WITH r AS (SELECT c_custkey AS req_id, c_custkey % 50 = 49 AS blank, c_custkey % 6 = 5 AS by_alias, c_name,
+        CASE WHEN c_custkey % 3 = 1 THEN c_mktsegment END AS kind, CASE WHEN c_custkey % 10 = 4 THEN c_custkey END AS num, CASE WHEN c_custkey % 4 = 3 THEN 0 END AS parity,
+        c_custkey % 4 AS skip, least(6, CASE WHEN c_custkey % 5 = 0 THEN 10 ELSE c_custkey % 5 END) AS lim FROM customer),
+      w AS (SELECT *, CASE WHEN blank THEN '' WHEN by_alias THEN c_name WHEN req_id = 0 THEN 'Customer#' ELSE left(c_name, length(c_name) - 1) END AS kw FROM r),
+      h AS (SELECT w.req_id, skip, lim, c.c_custkey AS law, c.c_acctbal AS sum, row_number() OVER (PARTITION BY w.req_id ORDER BY c.c_acctbal, CAST(c.c_custkey AS VARCHAR)) AS rn FROM w JOIN customer c ON kw <> '' AND contains(c.c_name, kw)
+        AND (kind IS NULL OR kind = c.c_mktsegment) AND (num IS NULL OR num = c.c_custkey) AND (parity IS NULL OR parity = c.c_custkey % 2)),
+      s AS (SELECT req_id, count(*) AS matched, count(*) FILTER (WHERE rn > skip AND rn <= skip + lim) AS total, string_agg(CAST(law AS VARCHAR), ' ' ORDER BY rn) FILTER (WHERE rn > skip AND rn <= skip + lim) AS ids FROM h GROUP BY ALL)
+    SELECT req_id, CASE WHEN by_alias AND NOT blank THEN c_name END AS resolved, coalesce(total, 0) AS total_count, coalesce(matched, 0) AS matched_count, coalesce(ids, '') AS ids, CASE WHEN blank THEN 'INVALID_ARGUMENT' END AS code
+    FROM w LEFT JOIN s USING (req_id)"""
+)
+def search_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A title search per customer by an abbreviation, a part of its name or, once, what all names share: by type, number and domain, some hits skipped, at most six shown, by balance."""
+    customer, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    key = k.cast("string")
+    laws = customer.select(key.alias("law_id"), F.col("c_name").alias("law_title"), F.concat(F.lit("No. "), key).alias("law_num"), F.col("c_mktsegment").alias("law_type"), F.col("c_acctbal").alias("src_ord"))
+    named = customer.select(F.concat(F.lit("abbr "), key).alias("abbr"), F.col("c_name").alias("formal"), F.when(k % 2 == 0, "even").otherwise("odd").alias("domain"))
+    part = F.concat(F.lit(" "), F.left("c_name", F.length("c_name") - 1), F.lit("\u3000"))
+    keyword = F.when(k % 50 == 49, " ").when(k % 6 == 5, F.concat(F.lit("abbr "), key)).when(k == 0, "Customer#").otherwise(part)
+    asked = customer.select(
+        k.alias("req_id"), keyword.alias("keyword"), F.when(k % 3 == 1, F.col("c_mktsegment")).alias("law_type"), F.when(k % 10 == 4, F.concat(F.lit("No. "), key)).otherwise("").alias("law_num"),
+        F.when(k % 4 == 3, "even").alias("domain"), (k % 4).cast("int").alias("skip"), F.nullif((k % 5).cast("int"), F.lit(0)).alias("lim"))
+    found = search.search_titles(asked, laws, named, max_limit=6)
+    return found.select("req_id", "resolved", "total_count", "matched_count", F.array_join(F.transform("results", lambda x: x["law_id"]), " ").alias("ids"), F.col("error.code").alias("code"))
+
+
 @registered("SELECT n_nationkey AS req_id, n_name AS abbr, CASE n_name WHEN 'NATION_1' THEN 'First Nation' WHEN 'NATION_2' THEN 'Second Nation' END AS formal, CASE WHEN n_name NOT IN ('NATION_1', 'NATION_2') THEN 'search_law' END AS next_action FROM nation")
 def resolve_abbreviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = _parts(spark, sf_dir)

@@ -100,6 +100,14 @@ def test_law_types(spark):
     assert got == {"政令": "政令", "施行令": "政令", "施行規則": "省令", "日本国憲法": "憲法", "Act": "法律", "通達": "通達", "通知": "通知", "無い": None, "constructor": None, "Rule": None}
 
 
+def test_law_types_name_their_sources(spark, corpus):
+    """Every kind names where its texts are found; an answer carries labels and addresses."""
+    assert all(r.sources and all(x.label for x in r.sources) for r in law_types.law_types(spark).collect())
+    text, failed = R.call(spark, corpus, "explain_law_type", name="基本通達")
+    found = json.loads(text)["info"]
+    assert not failed and found["name"] == "通達" and [x["url"].split("/")[2] for x in found["sources"]] == ["www.nta.go.jp", "www.mhlw.go.jp", "www.jaish.gr.jp"]
+
+
 def test_errors(spark):
     row = spark.range(1).select(errors.make_error("LAW_NOT_FOUND", "m", "", []).alias("e"), errors.make_error("OUT_OF_SCOPE", "m", "h", [errors.try_owner("x")], True).alias("f")).first()
     assert row.e.hint is None and row.e.next_actions is None and row.e.retryable is None
@@ -189,6 +197,24 @@ def test_search_by_domain_number_and_place(spark):
     assert got == {0: (["0", "2"], 2), 1: (["1", "2"], 5), 2: (["3"], 1), 3: ([], 0), 4: (["0", "1", "2", "3"], 5)}
 
 
+@pytest.mark.parametrize("parts", [1, 3, 64])
+def test_search_of_frequent_names_equals_brute_force(spark, parts):
+    """Names that all titles share, ties in the order, skips beyond the end and limits of 0: as by sorting all hits, however many parts they are cut in."""
+    laws = [(f"{i:03d}", f"{'common ' * (i % 3 > 0)}law {i}", f"n{i % 40}", "ABC"[i % 3], i % 7) for i in range(200)]
+    asked = [(i, k, t, n, d, s, lim) for i, (k, t, n, d, s, lim) in enumerate(
+        [("law", None, None, None, None, None), ("law", "A", None, None, 60, 20), ("common", "", "n5", None, None, 3), ("law 1", "B", None, None, 2, 0), ("law", None, None, None, 195, 9), ("none", None, None, None, None, 5), (" ", None, None, None, 1, 5), ("law", None, "", "few", 1, 2), (None, "A", None, None, None, None)])]
+    known = [("w", f"law {i}", None, None, "few", None, None) for i in range(0, 200, 3)]
+    named = spark.createDataFrame([(f"w{i}", *x[1:]) for i, x in enumerate(known)], "abbr string, formal string, law_id string, law_num string, domain string, category string, owner string")
+    rows = spark.createDataFrame(asked, "req_id int, keyword string, law_type string, law_num string, domain string, skip int, lim int")
+    got = {r.req_id: (r.total_count, r.matched_count, [x.law_id for x in r.results], r.error is not None) for r in search.search_titles(rows, spark.createDataFrame(laws, "law_id string, law_title string, law_num string, law_type string, src_ord int"), named, max_limit=15, parts=parts).collect()}
+    few = {x[1] for x in known}
+    for i, k, t, n, d, s, lim in asked:
+        k, s = (k or "").strip(), s or 0
+        hits = sorted((w for w in laws if k and k in w[1] and (not t or w[3] == t) and (not n or w[2] == n) and (not d or w[1] in few)), key=lambda w: (w[4], w[0]))
+        shown = [w[0] for w in hits[s : s + min(15, 10 if lim is None else lim)]]
+        assert got[i] == (len(shown), len(hits), shown, not k), i
+
+
 def test_answers_are_nested_and_failures_are_errors(spark, corpus):
     toc = json.loads(R.call(spark, corpus, "get_toc", law_name="First Act")[0])["toc"]
     assert [x["tag"] for x in toc] == ["Chapter", "Article"] and [x["num"] for x in toc[0]["children"]] == ["30", "30_2"]
