@@ -24,10 +24,10 @@ def search_titles(requests: DataFrame, laws: DataFrame, aliases: DataFrame, defa
     """
     given = lambda name, kind: (F.col(name) if name in requests.columns else F.lit(None)).cast(kind)
     asked = with_alias(requests, aliases, "keyword").withColumn("_kw", searched_title(F.col("keyword")))
-    hits = title_hits(asked.where(F.col("_kw").isNotNull()), laws, "req_id", "_kw")
     most = F.least(F.coalesce("lim", F.lit(default_limit)), F.lit(max_limit))
-    limits = requests.select(F.col("req_id").alias("_r"), F.col("law_type").alias("_type"), given("law_num", "string").alias("_num"), F.nullif(given("domain", "string"), F.lit("")).alias("_domain"), F.coalesce(given("skip", "int"), F.lit(0)).alias("_skip"), most.alias("_lim"))
-    hits = hits.join(limits, F.col("req_id") == F.col("_r"))
+    # what a request asks for goes with its hits, which so need not meet it again by its id
+    ask = F.struct("req_id", F.col("law_type").alias("_type"), given("law_num", "string").alias("_num"), F.nullif(given("domain", "string"), F.lit("")).alias("_domain"), F.coalesce(given("skip", "int"), F.lit(0)).alias("_skip"), most.alias("_lim"))
+    hits = title_hits(asked.where(F.col("_kw").isNotNull()).withColumn("_ask", ask), laws, "_ask", "_kw").select("_ask.*", *laws.columns)
     for asked_for, own in (("_type", "law_type"), ("_num", "law_num")):
         hits = hits.where(F.col(asked_for).isNull() | (F.col(asked_for) == "") | (F.col(asked_for) == F.col(own)))
     if "domain" in requests.columns:
