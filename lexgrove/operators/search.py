@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from lexgrove.functions.text import fold_width, has_all_terms, trim_wide
 from lexgrove.operators.errors import make_error
 from lexgrove.operators.lookup import searched_title, title_hits, with_alias
+from lexgrove.session import merging
 
 
 def search_titles(requests: DataFrame, laws: DataFrame, aliases: DataFrame, default_limit: int = 10, order: tuple[str, ...] = ("src_ord",), max_limit: int | None = None, parts: int = 64) -> DataFrame:
@@ -19,33 +20,35 @@ def search_titles(requests: DataFrame, laws: DataFrame, aliases: DataFrame, defa
     results holds the first `lim` (null: default_limit; at most max_limit, if set) hits in source order, after `skip` of them where requests have such a column, total_count
     their number, matched_count that of all. Hits alike in `order` come by law_id. A blank or null keyword is INVALID_ARGUMENT.
 
-    A keyword may be in most titles: a request's hits are counted and cut to the first that it can show in `parts` parts each by itself, and only what is left of
+    Requests that ask for the same are answered once. A keyword may be in most titles: a request's hits are counted and cut to the first that it can show in `parts` parts each by itself, and only what is left of
     them meets in one place.
     """
     given = lambda name, kind: (F.col(name) if name in requests.columns else F.lit(None)).cast(kind)
     asked = with_alias(requests, aliases, "keyword").withColumn("_kw", searched_title(F.col("keyword")))
     most = F.least(F.coalesce("lim", F.lit(default_limit)), F.lit(max_limit))
-    # what a request asks for goes with its hits, which so need not meet it again by its id
-    ask = F.struct("req_id", F.col("law_type").alias("_type"), given("law_num", "string").alias("_num"), F.nullif(given("domain", "string"), F.lit("")).alias("_domain"), F.coalesce(given("skip", "int"), F.lit(0)).alias("_skip"), most.alias("_lim"))
-    hits = title_hits(asked.where(F.col("_kw").isNotNull()).withColumn("_ask", ask), laws, "_ask", "_kw").select("_ask.*", *laws.columns)
+    # what is asked for goes with its hits; a null or blank filter is none
+    set_ = lambda name: F.nullif(given(name, "string"), F.lit(""))
+    ask = F.struct(F.col("_kw").alias("_word"), set_("law_type").alias("_type"), set_("law_num").alias("_num"), set_("domain").alias("_domain"), F.coalesce(given("skip", "int"), F.lit(0)).alias("_skip"), most.alias("_lim"))
+    asked = asked.withColumn("_ask", ask)
+    hits = title_hits(asked.where(F.col("_kw").isNotNull()).select("_ask", "_kw").distinct(), laws, "_ask", "_kw").select("_ask", "_ask.*", *laws.columns)
     for asked_for, own in (("_type", "law_type"), ("_num", "law_num")):
-        hits = hits.where(F.col(asked_for).isNull() | (F.col(asked_for) == "") | (F.col(asked_for) == F.col(own)))
+        hits = hits.where(F.col(asked_for).isNull() | (F.col(asked_for) == F.col(own)))
     if "domain" in requests.columns:
         domains = aliases.select(F.col("formal").alias("_formal"), F.col("domain").alias("_in")).distinct()
         hits = hits.join(domains, (F.col("law_title") == F.col("_formal")) & (F.col("_domain") == F.col("_in")), "left").where(F.col("_domain").isNull() | F.col("_in").isNotNull())
     first = [*order, "law_id"]
-    own_part = Window.partitionBy("req_id", F.pmod(F.xxhash64("law_id"), F.lit(parts)))
+    own_part = Window.partitionBy("_ask", F.pmod(F.xxhash64("law_id"), F.lit(parts)))
     counted = hits.withColumn("_rn", F.row_number().over(own_part.orderBy(*first))).withColumn("_all", F.when(F.col("_rn") == 1, F.count(F.lit(1)).over(own_part)))
     # the first of each part stays for its count
     kept = counted.where((F.col("_rn") == 1) | (F.col("_rn") <= F.col("_skip") + F.col("_lim")))
-    ranked = kept.withColumn("_rn", F.row_number().over(Window.partitionBy("req_id").orderBy(*first)))
+    ranked = kept.withColumn("_rn", F.row_number().over(Window.partitionBy("_ask").orderBy(*first)))
     fields = [F.col(c).alias("title" if c == "law_title" else c) for c in ("law_id", "law_title", "law_num", "law_type", "promulgation_date", "url") if c in laws.columns]
     shown = (F.col("_rn") > F.col("_skip")) & (F.col("_rn") <= F.col("_skip") + F.col("_lim"))
-    best = ranked.groupBy(F.col("req_id").alias("_r")).agg(
+    best = ranked.groupBy(F.col("_ask").alias("_r")).agg(
         F.transform(F.array_sort(F.collect_list(F.when(shown, F.struct("_rn", F.struct(*fields).alias("hit"))))), lambda x: x["hit"]).alias("results"), F.sum("_all").alias("matched_count"))
     blank = F.coalesce(trim_wide(F.col("keyword")), F.lit("")) == ""
     error = F.when(blank, make_error("INVALID_ARGUMENT", "keyword is blank", "Give a title, an abbreviation or a part of one."))
-    joined = asked.join(best, F.col("req_id") == F.col("_r"), "left")
+    joined = asked.join(merging(best), F.col("_ask") == F.col("_r"), "left")
     empty = F.array().cast(best.schema["results"].dataType)
     return joined.select("req_id", "keyword", "law_type", F.col("alias.formal").alias("resolved"), F.size(F.coalesce("results", empty)).cast("long").alias("total_count"), F.coalesce("matched_count", F.lit(0)).cast("long").alias("matched_count"), F.coalesce("results", empty).alias("results"), error.alias("error"))
 
@@ -99,4 +102,4 @@ def indexed_fulltext(documents: DataFrame, index: DataFrame, words: str, key: st
     if not grams:
         return fulltext(documents, words, key, text)
     keys = index.where(F.col("gram").isin(*grams)).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(grams)).select(key)
-    return fulltext(documents.join(keys, key, "left_semi"), words, key, text)
+    return fulltext(documents.join(merging(keys), key, "left_semi"), words, key, text)

@@ -38,6 +38,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def merging(df: DataFrame) -> DataFrame:
+    """df, a side of a join that grows with the input: the join sorts and merges. What is small when shuffled, as alike rows compress well, would else be broadcast through the driver, where it is many times as large."""
+    return df.hint("merge")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, for rows that later steps meet several times."""
     checkpoint_dir(df.sparkSession)

@@ -400,3 +400,40 @@ def test_log():
     finally:
         logging.getLogger("lexgrove").handlers.clear()
         logging.getLogger("lexgrove").propagate = True
+
+
+def test_title_hits_equal_brute_force_and_broadcast_nothing_that_grows(spark):
+    """Keywords of all run sizes, in titles of up to 90 characters; only the bounded tables of run sizes and run classes may be broadcast, however small the others are."""
+    import random
+
+    from lexgrove.operators.lookup import resolve, title_hits
+
+    rng = random.Random(7)
+    titles = ["".join(rng.choice("ab法") for _ in range(rng.randint(0, 90))) for _ in range(60)] + [None, "a"]
+    keywords = sorted({t[i : i + n] for t in titles if t for i, n in [(rng.randint(0, 9), rng.randint(1, 80)) for _ in range(4)]} | {"", "abc", "x" * 70})
+    laws = spark.createDataFrame([(str(i), t, "", i) for i, t in enumerate(titles)], "law_id string, law_title string, law_num string, src_ord int").cache()
+    wanted = spark.createDataFrame(list(enumerate(keywords)), "req_id int, law_name string")
+    got = title_hits(wanted, laws, "req_id", "law_name")
+    want = sorted((i, str(j)) for i, k in enumerate(keywords) for j, t in enumerate(titles) if k and t and k in t)
+    assert sorted((r.req_id, r.law_id) for r in got.collect()) == want
+    none = spark.createDataFrame([], "abbr string, formal string, law_id string, law_num string, owner string")
+    answers = resolve(wanted, laws, none)
+    plans = []
+    for df in (got, answers):
+        df.collect()
+        plans += df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    joins = [p for p in plans if "BroadcastHashJoin" in p]
+    assert all("_class" in p or "abbr" in p for p in joins), joins
+
+
+def test_title_search_answers_alike_requests_alike(spark):
+    """Requests for the same, nulls and blanks among their filters, each have their answer."""
+    from lexgrove.operators.search import search_titles
+
+    laws = spark.createDataFrame([(str(i), f"law {i % 10}", f"n{i}", "A" if i % 2 else "B", i) for i in range(40)], "law_id string, law_title string, law_num string, law_type string, src_ord int")
+    none = spark.createDataFrame([], "abbr string, formal string, domain string")
+    rows = [(i, "law 3", t, 2) for i, t in enumerate([None, "", "A", "B", None, "A"])] + [(6, "law 3", None, None), (7, " ", None, 2)]
+    asked = spark.createDataFrame(rows, "req_id int, keyword string, law_type string, lim int")
+    got = {r.req_id: ([x.law_id for x in r.results], r.matched_count) for r in search_titles(asked, laws, none).collect()}
+    two = (["3", "13"], 4)
+    assert got == {0: two, 1: two, 2: two, 3: ([], 0), 4: two, 5: two, 6: (["3", "13", "23", "33"], 4), 7: ([], 0)}
