@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lexgrove.functions.text import article_label, strip_item_marker, trim_wide
 from lexgrove.operators.tree import nested_json, ordered_text, spanned, within
+from lexgrove.session import merging
 from lexgrove.sources.nodes import STRUCTURAL
 
 
@@ -24,7 +25,7 @@ def extract(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     labels = nodes.where(F.col("tag").isin(*named)).select(F.col(key).alias("_k"), F.col("parent").alias("_p"), F.col("tag").alias("_t"), F.struct("begin", "content").alias("_label"))
     # the first label of each kind; of a row's kinds only its own title and the caption are looked at
     first = labels.groupBy("_k", "_p").agg(*[F.min(F.when(F.col("_t") == t, F.col("_label"))).alias(t) for t in named])
-    joined = rows.join(first, (F.col(key) == F.col("_k")) & (F.col("begin") == F.col("_p")), "left")
+    joined = rows.join(merging(first), (F.col(key) == F.col("_k")) & (F.col("begin") == F.col("_p")), "left")
     title = F.coalesce(*[F.when(F.col("tag") == tag, F.col(f"{tag}Title.content")) for tag in (*STRUCTURAL, "Article")])
     article, caption = F.col("tag") == "Article", F.nullif(F.col("ArticleCaption.content"), F.lit(""))
     return joined.select(key, *at, "level", "tag", "num", F.when(article, F.nullif(title, F.lit(""))).otherwise(F.coalesce(title, F.lit(""))).alias("title"), F.when(article, caption).alias("caption"))
@@ -69,9 +70,9 @@ def chapter_paths(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     own = [c for c in ("path", "begin") if c in rows.columns]
     articles = rows.where("tag = 'Article'").withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy("begin")).cast("long"))
     above = within(articles.select(key, "begin"), rows.where("tag <> 'Article'"), [], key).select(F.col(key).alias("_k"), F.col("begin").alias("_top"), F.explode("inside.begin").alias("_at"))
-    titled = above.join(rows.where("tag <> 'Article'").select(F.col(key).alias("_k3"), F.col("begin").alias("_b3"), "title"), (F.col("_k") == F.col("_k3")) & (F.col("_top") == F.col("_b3")))
+    titled = above.join(merging(rows.where("tag <> 'Article'").select(F.col(key).alias("_k3"), F.col("begin").alias("_b3"), "title")), (F.col("_k") == F.col("_k3")) & (F.col("_top") == F.col("_b3")))
     found = titled.groupBy(F.col("_k").alias("_k2"), F.col("_at").alias("_p2")).agg(ordered_text(F.col("_top"), F.col("title"), " > ").alias("chapter_path"))
-    return articles.join(found, (F.col(key) == F.col("_k2")) & (F.col("begin") == F.col("_p2")), "left").select(key, *own[:1], "num", "ord", F.coalesce("chapter_path", F.lit("")).alias("chapter_path"))
+    return articles.join(merging(found), (F.col(key) == F.col("_k2")) & (F.col("begin") == F.col("_p2")), "left").select(key, *own[:1], "num", "ord", F.coalesce("chapter_path", F.lit("")).alias("chapter_path"))
 
 
 def blocks(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -86,7 +87,7 @@ def blocks(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     items = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("tag") == "Item", F.struct("begin", "_item")))), lambda x: x["_item"]), "\n")
     held = inner.groupBy("_k", "_p").agg(said.alias("_sentence"), F.count(F.when(F.col("tag") == "Item", 1)).alias("_many"), items.alias("_items"))
     own = nodes.where(F.col("tag") == "Paragraph").select(key, "begin", "parent", "num")
-    joined = own.join(held, (F.col(key) == F.col("_k")) & (F.col("begin") == F.col("_p")), "left")
+    joined = own.join(merging(held), (F.col(key) == F.col("_k")) & (F.col("begin") == F.col("_p")), "left")
     label = F.when((F.col("num") != "") & (F.col("num") != "1"), F.concat(F.lit("**第"), F.col("num"), F.lit("項**")))
     return joined.select(key, "begin", "parent", F.concat_ws("\n", label, F.nullif(F.col("_sentence"), F.lit("")), F.when(F.col("_many") > 0, F.col("_items"))).alias("block"))
 
@@ -95,4 +96,4 @@ def paragraphs(nodes: DataFrame, articles: DataFrame, key: str = "doc_id") -> Da
     """articles (key, begin and end or path, more) that have paragraphs with `body`: these as Markdown, parted by blank lines."""
     placed = spanned(nodes, articles, key)
     whole = blocks(nodes, key).groupBy(F.col(key).alias("_k"), F.col("parent").alias("_p")).agg(ordered_text(F.col("begin"), F.col("block"), "\n\n").alias("body"))
-    return placed.join(whole, (F.col(key) == F.col("_k")) & (F.col("begin") == F.col("_p"))).select(*articles.columns, "body")
+    return placed.join(merging(whole), (F.col(key) == F.col("_k")) & (F.col("begin") == F.col("_p"))).select(*articles.columns, "body")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexgrove.session import merging
+
 
 def ordered_text(order: Column, text: Column, separator: str = "") -> Column:
     """Aggregate: texts joined in order."""
@@ -21,7 +23,7 @@ def spanned(nodes: DataFrame, anchors: DataFrame, key: str = "doc_id") -> DataFr
     if "begin" in anchors.columns:
         return anchors
     spans = nodes.select(F.col(key).alias("_k"), F.col("path").alias("_p"), "begin", "end")
-    return anchors.join(spans, (F.col(key) == F.col("_k")) & (F.col("path") == F.col("_p")), "left").drop("_k", "_p")
+    return anchors.join(merging(spans), (F.col(key) == F.col("_k")) & (F.col("path") == F.col("_p")), "left").drop("_k", "_p")
 
 
 def within(rows: DataFrame, anchors: DataFrame, fields: list[str], key: str = "doc_id") -> DataFrame:
@@ -32,7 +34,7 @@ def within(rows: DataFrame, anchors: DataFrame, fields: list[str], key: str = "d
     however deep anchors are nested. A document's rows are together once, as in its JSON text.
     """
     spans = anchors.where("begin is not null and end is not null").select(F.col(key).alias("_k"), "begin", "end").distinct()
-    asked = rows.join(spans.select(F.col("_k").alias(key)).distinct(), key, "left_semi")
+    asked = rows.join(merging(spans.select(F.col("_k").alias(key)).distinct()), key, "left_semi")
     item = F.struct("begin", *[F.col(f) for f in fields if f != "begin"])
     mark = F.struct("begin", "end")
     none = lambda df, e: F.lit(None).cast(df.select(e).schema[0].dataType)
@@ -57,7 +59,7 @@ def node_text(nodes: DataFrame, anchors: DataFrame, key: str = "doc_id") -> Data
     placed = spanned(nodes, anchors, key)
     found = within(nodes.where(F.col("text").isNotNull()).select(key, "begin", "text"), placed, ["text"], key)
     texts = found.select(F.col(key).alias("_k"), F.col("begin").alias("_b"), F.col("end").alias("_e"), F.array_join("inside.text", "").alias("_t"))
-    joined = placed.join(texts, (F.col(key) == F.col("_k")) & (F.col("begin") == F.col("_b")) & (F.col("end") == F.col("_e")), "left")
+    joined = placed.join(merging(texts), (F.col(key) == F.col("_k")) & (F.col("begin") == F.col("_b")) & (F.col("end") == F.col("_e")), "left")
     return joined.select(*anchors.columns, F.coalesce("_t", F.lit("")).alias("whole"))
 
 
@@ -96,10 +98,10 @@ def children(nodes: DataFrame, parents: DataFrame, tag: str, num: str | None = N
     if num:
         on = on & (F.col(num).cast("string") == F.col("child.num"))
     if not first:
-        return parents.join(found, on).drop("_k", "_p")
+        return parents.join(merging(found), on).drop("_k", "_p")
     # a parent's first child of each number is one row before parents meet it
     held = found.groupBy("_k", "_p", *([F.col("child.num").alias("_n")] if num else [])).agg(F.min_by("child", F.col("child")[fields[0]]).alias("child"))
-    return parents.join(held, on, "left").select(*parents.columns, "child")
+    return parents.join(merging(held), on, "left").select(*parents.columns, "child")
 
 
 def find_articles(nodes: DataFrame, wanted: DataFrame, num: str = "article", key: str = "doc_id") -> DataFrame:
@@ -107,7 +109,7 @@ def find_articles(nodes: DataFrame, wanted: DataFrame, num: str = "article", key
     fields = [c for c in ("begin", "end", "path", "num") if c in nodes.columns]
     own = nodes.where(F.col("tag") == "Article")
     first = own.groupBy(F.col(key).alias("_k"), F.col("num").alias("_first")).agg(F.min_by(F.struct(*fields), F.col(fields[0])).alias("found"))
-    return wanted.join(first, (F.col(key) == F.col("_k")) & (F.col(num) == F.col("_first")), "left").drop("_k", "_first")
+    return wanted.join(merging(first), (F.col(key) == F.col("_k")) & (F.col(num) == F.col("_first")), "left").drop("_k", "_first")
 
 
 def titles(nodes: DataFrame, tag: str = "LawTitle", key: str = "doc_id") -> DataFrame:
@@ -126,11 +128,11 @@ def sections(nodes: DataFrame, wanted: DataFrame, tag: str = "tag", num: str = "
     at = "path" if "path" in nodes.columns else "begin"
     named = nodes.select(F.col(key).alias("_k"), F.col("tag").alias("_t"), F.col("num").alias("_n"), "begin", F.struct(*dict.fromkeys(["begin", "end", at])).alias("_span"))
     on = (F.col(key) == F.col("_k")) & (F.col("_tag") == F.col("_t")) & (F.col("_num").cast("string") == F.col("_n"))
-    found = asked.join(named, on).groupBy(F.col(key).alias("_key"), "_tag", "_num").agg(F.min_by("_span", "begin").alias("_span"))
+    found = merging(asked).join(named, on).groupBy(F.col(key).alias("_key"), "_tag", "_num").agg(F.min_by("_span", "begin").alias("_span"))
     found = found.select("_key", "_tag", "_num", F.col("_span.begin").alias("_b"), F.col("_span.end").alias("_e"), F.col(f"_span.{at}").alias("section"))
     fields = [c for c in nodes.columns if c != key]
     parts = within(nodes, found.select(F.col("_key").alias(key), F.col("_b").alias("begin"), F.col("_e").alias("end")), fields, key)
     parts = parts.select(F.col(key).alias("_d"), F.col("begin").alias("_db"), F.col("end").alias("_de"), "inside")
-    rows = wanted.join(found, (F.col(key) == F.col("_key")) & (F.col(tag) == F.col("_tag")) & (F.col(num) == F.col("_num")))
-    met = rows.join(parts, (F.col(key) == F.col("_d")) & (F.col("_b") == F.col("_db")) & (F.col("_e") == F.col("_de")))
+    rows = wanted.join(merging(found), (F.col(key) == F.col("_key")) & (F.col(tag) == F.col("_tag")) & (F.col(num) == F.col("_num")))
+    met = rows.join(merging(parts), (F.col(key) == F.col("_d")) & (F.col("_b") == F.col("_db")) & (F.col("_e") == F.col("_de")))
     return met.select(*wanted.columns, "section", F.explode("inside").alias("node"))

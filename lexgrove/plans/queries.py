@@ -14,7 +14,7 @@ from lexgrove.operators import history, lookup, search, tree
 from lexgrove.operators import outline as toc
 from lexgrove.operators.errors import http_error, is_error
 from lexgrove.plans import requests, standins
-from lexgrove.session import checkpoint_dir, table
+from lexgrove.session import checkpoint_dir, merging, table
 from lexgrove.sources import postings
 from lexgrove.sources.aliases import OWNER, aliases
 from lexgrove.sources.law_types import law_types
@@ -345,7 +345,7 @@ r AS (SELECT o_orderkey AS req_id, c_name, o_orderkey, o_orderpriority, CASE o_o
 def get_law(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request per order: its article, whole or one paragraph, as Markdown or as a subtree."""
     n = F.col("o_orderkey")
-    asked = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+    asked = table(spark, sf_dir, "orders").join(merging(table(spark, sf_dir, "customer")), F.col("o_custkey") == F.col("c_custkey")).select(
         n.alias("req_id"), F.col("c_name").alias("law_name"), n.cast("string").alias("article"), F.when(n % 3 == 1, 1).when(n % 3 == 2, 4).alias("paragraph"), F.lit(None).cast("int").alias("item"), F.when(n % 2 == 1, "json").otherwise("markdown").alias("format"), F.lit(None).cast("string").alias("at"))
     found = requests.get_law(asked, standins.corpus(spark, sf_dir))
     return found.select("req_id", F.col("error.code").alias("code"), F.get_json_object("data.node", "$.tag").alias("node_tag"), F.substring_index("markdown", "\n---", 1).alias("shown"))
@@ -424,7 +424,7 @@ def get_law_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request per order by the form that its key falls to: an item as JSON (0) or Markdown (1, 2), an outline (3), a paragraph as JSON (4) or Markdown (5), an article (6), as of a day."""
     n, form = F.col("o_orderkey"), F.col("o_orderkey") % 7
     at = F.when(F.col("o_orderdate") < "1996-01-01", "1995-06-01").when(F.col("o_orderdate") < "1998-01-01", "1989-12-31")
-    asked = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+    asked = table(spark, sf_dir, "orders").join(merging(table(spark, sf_dir, "customer")), F.col("o_custkey") == F.col("c_custkey")).select(
         n.alias("req_id"), F.col("c_name").alias("law_name"), n.cast("string").alias("article"), F.when(form < 6, 1).alias("paragraph"), F.when(form < 3, 1).alias("item"),
         F.when(form.isin(0, 4), "json").when(form == 3, "toc").when(form != 5, "markdown").alias("format"), at.alias("at"))
     found = requests.get_law(asked, standins.corpus(spark, sf_dir), F.lit("2024-01-02 03:04:05").cast("timestamp"))
@@ -463,7 +463,7 @@ def batch_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("_k")).agg(F.min("o_orderkey").cast("string").alias("article"))
     which = F.col("c_custkey") % len(BATCH_TOOLS)
     given = F.to_json(F.struct(F.col("c_name").alias("law_name"), F.col("c_name").alias("keyword"), F.col("c_name").alias("abbr"), "article", F.lit("json").alias("format"), F.lit(" 政令 ").alias("name"), F.lit(3).alias("latest")))
-    asked = table(spark, sf_dir, "customer").join(first, F.col("c_custkey") == F.col("_k"), "left").select(F.col("c_custkey").alias("req_id"), F.get(F.array(*map(F.lit, BATCH_TOOLS)), which.cast("int")).alias("tool"), given.alias("arguments"))
+    asked = table(spark, sf_dir, "customer").join(merging(first), F.col("c_custkey") == F.col("_k"), "left").select(F.col("c_custkey").alias("req_id"), F.get(F.array(*map(F.lit, BATCH_TOOLS)), which.cast("int")).alias("tool"), given.alias("arguments"))
     found = requests.answers(asked, standins.corpus(spark, sf_dir))
     of = lambda p: F.get_json_object("answer", p)
     node = F.to_json(F.struct(of("$.data.node.tag").alias("tag"), of("$.data.node.attr.Num").alias("num")))
@@ -503,7 +503,7 @@ def search_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = customer.select(
         k.alias("req_id"), keyword.alias("keyword"), F.when(k % 3 == 1, F.col("c_mktsegment")).alias("law_type"), F.when(k % 10 == 4, F.concat(F.lit("No. "), key)).otherwise("").alias("law_num"),
         F.when(k % 4 == 3, "even").alias("domain"), (k % 4).cast("int").alias("skip"), F.nullif((k % 5).cast("int"), F.lit(0)).alias("lim"))
-    found = search.search_titles(asked, laws, named, max_limit=6)
+    found = search.search_titles(asked, laws, merging(named), max_limit=6)
     return found.select("req_id", "resolved", "total_count", "matched_count", F.array_join(F.transform("results", lambda x: x["law_id"]), " ").alias("ids"), F.col("error.code").alias("code"))
 
 

@@ -15,7 +15,7 @@ from lexgrove.functions.text import article_num, heading, iso_instant, law_url,
 from lexgrove.operators import history, lookup, search, tree
 from lexgrove.operators import outline as toc
 from lexgrove.operators.errors import ERROR, detail, first_error, make_error, try_alias, try_later, try_search, try_toc
-from lexgrove.session import cut, stored
+from lexgrove.session import cut, merging, stored
 from lexgrove.sources.aliases import OWNER
 from lexgrove.sources.nodes import OUTLINED, REQUESTED, shred, spread
 
@@ -59,7 +59,7 @@ def resolved_names(requests: DataFrame, corpus: Corpus) -> DataFrame:
 def _resolved(requests: DataFrame, corpus: Corpus) -> DataFrame:
     """requests with law and error: out of scope, then not found. A name is looked up once, however many requests have it."""
     names = resolved_names(requests, corpus) if corpus.known is None else corpus.known
-    known = requests.join(names.select(F.col("law_name").alias("_name"), "alias", "law"), F.col("law_name").eqNullSafe(F.col("_name")), "left").drop("_name")
+    known = requests.join(merging(names.select(F.col("law_name").alias("_name"), "alias", "law")), F.col("law_name").eqNullSafe(F.col("_name")), "left").drop("_name")
     name = F.col("law_name")
     missing = F.when(F.col("law").isNull(), make_error("LAW_NOT_FOUND", F.concat(F.lit("no such law: "), F.coalesce(name, F.lit(""))), "Neither the aliases nor the titles have it; check the spelling.", [try_alias(name), try_search(name)]))
     return known.withColumn("error", first_error(lookup.scope_error(name, corpus.owner), missing)).drop("alias")
@@ -72,7 +72,7 @@ def _versioned(rows: DataFrame, corpus: Corpus) -> tuple[DataFrame, Corpus]:
         got = stored(corpus.fetch(asked))
         corpus = replace(corpus, bodies=got.where("body is not null").select("doc_id", "body").dropDuplicates(["doc_id"]))
         best = got.select(F.col("law_id").alias("_l"), F.col("at").alias("_a"), "doc_id", F.col("error").alias("_failed"))
-        met = rows.join(best, (F.col("law.law_id") == F.col("_l")) & F.col("at").eqNullSafe(F.col("_a")), "left").drop("_l", "_a")
+        met = rows.join(merging(best), (F.col("law.law_id") == F.col("_l")) & F.col("at").eqNullSafe(F.col("_a")), "left").drop("_l", "_a")
         none = F.col("_failed")
     else:
         versions = corpus.revisions.select("law_id", "law_revision_id", "enforcement_date", "api_ord")
@@ -80,7 +80,7 @@ def _versioned(rows: DataFrame, corpus: Corpus) -> tuple[DataFrame, Corpus]:
         days = asked.withColumn("_day", F.expr("try_to_date(at)"))
         dated = history.as_of_each(days, versions, "law_id", "_day", "enforcement_date", tie, F.col("law_revision_id")).select(F.col("law_id").alias("_l"), F.col("_day").alias("_a"), F.col("revision").alias("_dated"))
         newest = versions.groupBy(F.col("law_id").alias("_n")).agg(F.max_by("law_revision_id", F.struct(*tie)).alias("_newest"))
-        met = rows.join(dated, (F.col("law.law_id") == F.col("_l")) & (F.expr("try_to_date(at)") == F.col("_a")), "left").join(newest, F.col("law.law_id") == F.col("_n"), "left")
+        met = rows.join(merging(dated), (F.col("law.law_id") == F.col("_l")) & (F.expr("try_to_date(at)") == F.col("_a")), "left").join(merging(newest), F.col("law.law_id") == F.col("_n"), "left")
         wanted = F.col("error").isNull()
         met = met.withColumn("doc_id", F.when(wanted, F.when(F.col("at").isNull(), F.col("_newest")).otherwise(F.col("_dated")))).drop("_l", "_a", "_n", "_dated", "_newest")
         none = F.when(F.col("doc_id").isNull(), make_error("SOURCE_API_ERROR", "no revision of the law at that time", retryable=False))
@@ -91,8 +91,8 @@ def _nodes(rows: DataFrame, corpus: Corpus, columns: tuple[str, ...] = REQUESTED
     """The nodes of the documents that rows without an error ask for. Bodies are cut down to those before they are parsed, spread over all tasks, parsed once and stored."""
     asked = rows.where(F.col("error").isNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     if corpus.bodies is None:
-        return corpus.nodes.join(asked, "doc_id", "left_semi")
-    return stored(shred(spread(corpus.bodies.join(asked, "doc_id", "left_semi")), columns=columns))
+        return corpus.nodes.join(merging(asked), "doc_id", "left_semi")
+    return stored(shred(spread(corpus.bodies.join(merging(asked), "doc_id", "left_semi")), columns=columns))
 
 
 def _meta(corpus: Corpus, now: Column) -> Column:
@@ -108,16 +108,16 @@ def _footer(corpus: Corpus, now: Column) -> list[Column]:
 def _outlined(rows: DataFrame, nodes: DataFrame, corpus: Corpus, depth: Column, now: Column) -> DataFrame:
     """rows with markdown, node_count, full_count and toc (the outline nested, as JSON) of their documents."""
     wanted = rows.where("error is null").select("req_id", F.col("doc_id").alias("_d"), depth.alias("_depth"))
-    outline = toc.extract(nodes.join(wanted.select(F.col("_d").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    outline = toc.extract(nodes.join(merging(wanted.select(F.col("_d").alias("doc_id")).distinct()), "doc_id", "left_semi"))
     sizes = outline.groupBy("doc_id").agg(F.count(F.lit(1)).alias("full_count"))
     # a document's outline is made once for each depth that is asked of it, not for each request
     cuts = wanted.select("_d", F.when(F.col("_depth") >= 1, F.col("_depth")).otherwise(-1).alias("_cut")).distinct()
-    held = cuts.join(outline, F.col("_d") == F.col("doc_id")).where((F.col("_cut") < 0) | (F.col("level") < F.col("_cut"))).drop("_d")
+    held = merging(cuts).join(outline, F.col("_d") == F.col("doc_id")).where((F.col("_cut") < 0) | (F.col("level") < F.col("_cut"))).drop("_d")
     lines = toc.line(F.col("level"), F.col("tag"), F.col("num"), F.col("title"), F.col("caption"))
     shown = held.groupBy("doc_id", "_cut").agg(F.count(F.lit(1)).alias("node_count"), tree.ordered_text(F.col("begin"), lines, "\n").alias("_lines"))
-    found = shown.join(toc.nested(held, ["doc_id", "_cut"]), ["doc_id", "_cut"]).join(sizes, "doc_id").withColumnsRenamed({"doc_id": "_d2", "_cut": "_cut2"})
+    found = shown.join(merging(toc.nested(held, ["doc_id", "_cut"])), ["doc_id", "_cut"]).join(merging(sizes), "doc_id").withColumnsRenamed({"doc_id": "_d2", "_cut": "_cut2"})
     rows = rows.withColumn("_cut", F.when(F.col("error").isNull(), F.when(depth >= 1, depth).otherwise(-1)))
-    rows = rows.join(found, (F.col("doc_id") == F.col("_d2")) & (F.col("_cut") == F.col("_cut2")), "left")
+    rows = rows.join(merging(found), (F.col("doc_id") == F.col("_d2")) & (F.col("_cut") == F.col("_cut2")), "left")
     top = F.concat(F.lit("# "), F.col("law.title"), F.lit(OUTLINE_LABEL))
     text = F.concat_ws("\n", top, F.lit(""), F.nullif(F.col("_lines"), F.lit("")), F.lit(""), *_footer(corpus, now))
     counts = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("node_count", "full_count")}
@@ -162,18 +162,18 @@ def get_law(requests: DataFrame, corpus: Corpus, now: Column | None = None) -> D
     # each form is made of what the requests that show it ask for
     said = rows.where(ok & ~F.coalesce(is_json, F.lit(False)))
     anchors = said.select("doc_id", F.col("found.begin").alias("begin")).distinct()
-    parts = toc.blocks(nodes.join(anchors.select("doc_id").distinct(), "doc_id", "left_semi"))
-    bodies = parts.join(said.where(~with_p).select(F.col("doc_id").alias("_d"), F.col("found.begin").alias("_b")).distinct(), (F.col("doc_id") == F.col("_d")) & (F.col("parent") == F.col("_b"))).groupBy("_d", "_b").agg(tree.ordered_text(F.col("begin"), F.col("block"), "\n\n").alias("_body"))
+    parts = toc.blocks(nodes.join(merging(anchors.select("doc_id").distinct()), "doc_id", "left_semi"))
+    bodies = parts.join(merging(said.where(~with_p).select(F.col("doc_id").alias("_d"), F.col("found.begin").alias("_b")).distinct()), (F.col("doc_id") == F.col("_d")) & (F.col("parent") == F.col("_b"))).groupBy("_d", "_b").agg(tree.ordered_text(F.col("begin"), F.col("block"), "\n\n").alias("_body"))
     single = parts.select(F.col("doc_id").alias("_d3"), F.col("begin").alias("_b3"), F.col("block").alias("_block"))
     heads = tree.children(nodes, anchors, "ArticleCaption", first=True).select(F.col("doc_id").alias("_d2"), F.col("begin").alias("_b2"), F.nullif(F.col("child.content"), F.lit("")).alias("_caption"))
-    said = said.join(bodies, (F.col("doc_id") == F.col("_d")) & (F.col("found.begin") == F.col("_b")), "left").join(heads, (F.col("doc_id") == F.col("_d2")) & (F.col("found.begin") == F.col("_b2")), "left")
-    said = said.join(single, (F.col("doc_id") == F.col("_d3")) & (F.col("p.begin") == F.col("_b3")), "left")
+    said = said.join(merging(bodies), (F.col("doc_id") == F.col("_d")) & (F.col("found.begin") == F.col("_b")), "left").join(merging(heads), (F.col("doc_id") == F.col("_d2")) & (F.col("found.begin") == F.col("_b2")), "left")
+    said = said.join(merging(single), (F.col("doc_id") == F.col("_d3")) & (F.col("p.begin") == F.col("_b3")), "left")
     body = F.when(with_i, trim_wide(F.col("i.content"))).when(with_p, F.col("_block")).otherwise(F.col("_body"))
     top = heading(F.col("law.title"), F.col("found.num"), F.col("p.num"), F.when(with_i, F.col("i.num")))
     said = said.withColumn("_text", F.concat_ws("\n", top, F.col("_caption"), F.lit(""), F.coalesce(body, F.lit("")), F.lit(""), *_footer(corpus, now)))
     shown = rows.where(ok & is_json)
     subtrees = tree.subtrees(nodes, shown.select("doc_id", "_at.begin", "_at.end")).withColumnsRenamed({"doc_id": "_d", "begin": "_b", "end": "_e", "json": "_json"})
-    shown = shown.join(subtrees, (F.col("doc_id") == F.col("_d")) & (F.col("_at.begin") == F.col("_b")) & (F.col("_at.end") == F.col("_e")), "left")
+    shown = shown.join(merging(subtrees), (F.col("doc_id") == F.col("_d")) & (F.col("_at.begin") == F.col("_b")) & (F.col("_at.end") == F.col("_e")), "left")
     outlined = _outlined(rows.where(F.col("_toc") & F.col("error").isNull()), nodes, corpus, F.lit(None).cast("int"), now)
     none = F.lit(None).cast("string")
     # every request is of one of the forms, or an error
@@ -205,12 +205,12 @@ def get_law_revisions(requests: DataFrame, corpus: Corpus, now: Column | None =
     now = F.current_timestamp() if now is None else now
     rows = cut(_resolved(requests.withColumn("at", F.lit(None).cast("string")), corpus))
     wanted = rows.where("error is null").select("req_id", F.col("law.law_id").alias("_id"), "latest")
-    met = wanted.join(corpus.revisions.withColumnRenamed("law_id", "_law"), F.col("_id") == F.col("_law"))
+    met = merging(wanted).join(corpus.revisions.withColumnRenamed("law_id", "_law"), F.col("_id") == F.col("_law"))
     kept = history.latest(met, F.col("latest"), "req_id", [F.col("api_ord")])
     fields = [(F.col(c) if c in corpus.revisions.columns else F.lit(None).cast("string")).alias(c) for c in REVISION_FIELDS]
     got = kept.groupBy(F.col("req_id").alias("_r")).agg(F.max("total").alias("total"), F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*fields).alias("rev")))), lambda x: x["rev"]).alias("revisions"))
     ok = F.col("error").isNull()
-    joined = rows.join(got, F.col("req_id") == F.col("_r"), "left")
+    joined = rows.join(merging(got), F.col("req_id") == F.col("_r"), "left")
     return joined.select("req_id", F.when(ok, _meta(corpus, now)).alias("meta"), F.when(ok, F.coalesce("total", F.lit(0)).cast("long")).alias("total"), F.when(ok, F.coalesce("revisions", F.array().cast(got.schema["revisions"].dataType))).alias("revisions"), "error")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexgrove.plans.requests import Corpus
-from lexgrove.session import table
+from lexgrove.session import merging, table
 from lexgrove.sources.aliases import aliases
 from lexgrove.sources.law_types import law_types
 
@@ -34,8 +34,8 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer, orders, lineitem = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
     ranked = orders.withColumn("p", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")))
     lined = lineitem.withColumn("i", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
-    held = customer.join(ranked, F.col("c_custkey") == F.col("o_custkey"))
-    below = held.join(lined, F.col("o_orderkey") == F.col("l_orderkey"))
+    held = customer.join(merging(ranked), F.col("c_custkey") == F.col("o_custkey"))
+    below = held.join(merging(lined), F.col("o_orderkey") == F.col("l_orderkey"))
 
     def rows(df: DataFrame, path: list, tag: str, num, content) -> DataFrame:
         # begin leaves room for a million paragraphs and items each
@@ -82,13 +82,13 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = _node("ParagraphSentence", _plain("Sentence", F.concat(F.lit("part "), F.col("l_partkey").cast("string"))))
     item = _node("Item", F.concat_ws(",", _plain("ItemTitle", F.lit("一")), _node("ItemSentence", _plain("Sentence", F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string"))))), F.lit("1"))
     paragraphs = lined.select("l_orderkey", "p", _node("Paragraph", F.concat_ws(",", said, F.when(F.col("l_returnflag") == "R", item)), F.col("p")).alias("j")).groupBy("l_orderkey").agg(_joined(F.col("p"), F.col("j")).alias("ps"))
-    held = orders.join(paragraphs, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    held = orders.join(merging(paragraphs), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     heads = [_leaf("ArticleCaption", F.col("o_orderpriority")), _plain("ArticleTitle", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")))]
     articles = held.select("o_custkey", "o_orderstatus", "o_orderkey", _node("Article", F.concat_ws(",", *heads, F.col("ps")), F.col("o_orderkey")).alias("j"))
     chapters = articles.groupBy("o_custkey", "o_orderstatus").agg(_joined(F.col("o_orderkey"), F.col("j")).alias("as"))
     chapters = chapters.select("o_custkey", "o_orderstatus", _node("Chapter", F.concat_ws(",", _leaf("ChapterTitle", F.col("o_orderstatus")), F.col("as")), F.col("o_orderstatus")).alias("j"))
     bodies = chapters.groupBy("o_custkey").agg(_joined(F.col("o_orderstatus"), F.col("j")).alias("cs"))
-    law = customer.join(bodies, F.col("c_custkey") == F.col("o_custkey"), "left")
+    law = customer.join(merging(bodies), F.col("c_custkey") == F.col("o_custkey"), "left")
     main = _node("MainProvision", F.coalesce("cs", F.lit("")))
     return law.select(F.col("c_custkey").cast("string").alias("doc_id"), _node("Law", _node("LawBody", F.concat_ws(",", _leaf("LawTitle", F.col("c_name")), main))).alias("body"))
 
