@@ -12,6 +12,10 @@ from lexgrove.session import merging
 from lexgrove.sources.nodes import STRUCTURAL
 
 
+#: Tags of the elements that outlines and chapter paths are made of: no other rows are looked at.
+TAGS = (*STRUCTURAL, "Article", *[f"{tag}Title" for tag in (*STRUCTURAL, "Article")], "ArticleCaption")
+
+
 def extract(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, path (if nodes have it), begin, end, level, tag, num, title and caption of each outline row.
 
@@ -20,12 +24,13 @@ def extract(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     is the text of its <tag>Title (null for an article without one), an article's caption that of its ArticleCaption.
     """
     at = [c for c in ("path", "begin", "end") if c in nodes.columns]
-    rows = nodes.where(F.col("tag").isin(*STRUCTURAL, "Article") & ~F.col("in_article")).select(key, *at, "level", "tag", "num")
+    own = F.when(F.col("tag").isin(*STRUCTURAL, "Article") & ~F.col("in_article"), F.struct(*dict.fromkeys([*at, "begin"]), "level", "tag", "num"))
     named = [f"{tag}Title" for tag in (*STRUCTURAL, "Article")] + ["ArticleCaption"]
-    labels = nodes.where(F.col("tag").isin(*named)).select(F.col(key).alias("_k"), F.col("parent").alias("_p"), F.col("tag").alias("_t"), F.struct("begin", "content").alias("_label"))
+    # rows and labels meet at the element's begin in one pass over the nodes, which may be parsed as they are read
+    placed = nodes.select(key, F.when(own.isNotNull(), F.col("begin")).when(F.col("tag").isin(*named), F.col("parent")).alias("_p"), own.alias("_own"), F.col("tag").alias("_t"), F.struct("begin", "content").alias("_label"))
     # the first label of each kind; of a row's kinds only its own title and the caption are looked at
-    first = labels.groupBy("_k", "_p").agg(*[F.min(F.when(F.col("_t") == t, F.col("_label"))).alias(t) for t in named])
-    joined = rows.join(merging(first), (F.col(key) == F.col("_k")) & (F.col("begin") == F.col("_p")), "left")
+    met = placed.where("_p is not null").groupBy(key, "_p").agg(F.collect_list("_own").alias("_rows"), *[F.min(F.when(F.col("_t") == t, F.col("_label"))).alias(t) for t in named])
+    joined = met.select(key, F.explode("_rows").alias("_own"), *named).select(key, "_own.*", *named)
     title = F.coalesce(*[F.when(F.col("tag") == tag, F.col(f"{tag}Title.content")) for tag in (*STRUCTURAL, "Article")])
     article, caption = F.col("tag") == "Article", F.nullif(F.col("ArticleCaption.content"), F.lit(""))
     return joined.select(key, *at, "level", "tag", "num", F.when(article, F.nullif(title, F.lit(""))).otherwise(F.coalesce(title, F.lit(""))).alias("title"), F.when(article, caption).alias("caption"))

@@ -114,8 +114,11 @@ def find_articles(nodes: DataFrame, wanted: DataFrame, num: str = "article", key
 
 def titles(nodes: DataFrame, tag: str = "LawTitle", key: str = "doc_id") -> DataFrame:
     """key and title: text of LawBody/LawTitle; no row for a document without one."""
-    bodies = nodes.where(F.col("tag") == "LawBody").groupBy(key).agg(F.min("begin").alias("begin"))
-    return children(nodes, bodies, tag, first=True, key=key).where("child is not null").select(key, F.coalesce("child.content", F.lit("")).alias("title"))
+    # one pass over the nodes, which may be parsed as they are read
+    held = nodes.where(F.col("tag").isin("LawBody", tag)).groupBy(key).agg(
+        F.min(F.when(F.col("tag") == "LawBody", F.col("begin"))).alias("_body"), F.collect_list(F.when(F.col("tag") == tag, F.struct("begin", "parent", "content"))).alias("_titles"))
+    first = held.select(key, F.array_min(F.filter("_titles", lambda x: x["parent"] == F.col("_body"))).alias("_first"))
+    return first.where("_first is not null").select(key, F.coalesce("_first.content", F.lit("")).alias("title"))
 
 
 def sections(nodes: DataFrame, wanted: DataFrame, tag: str = "tag", num: str = "num", key: str = "doc_id") -> DataFrame:

@@ -14,7 +14,7 @@ from lexgrove.operators import history, lookup, search, tree
 from lexgrove.operators import outline as toc
 from lexgrove.operators.errors import http_error, is_error
 from lexgrove.plans import requests, standins
-from lexgrove.session import checkpoint_dir, merging, table
+from lexgrove.session import checkpoint_dir, merging, stored, table
 from lexgrove.sources import postings
 from lexgrove.sources.aliases import OWNER, aliases
 from lexgrove.sources.law_types import law_types
@@ -66,13 +66,13 @@ o AS (
 
 @registered(f"WITH {TREE_OUTLINE} SELECT doc_id, path, CAST(lvl AS BIGINT) AS lvl, tag, num, title, caption FROM o")
 def toc_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = toc.extract(shred(spread(standins.trees(spark, sf_dir)), columns=("path", *OUTLINED)))
+    rows = toc.extract(shred(spread(standins.trees(spark, sf_dir)), columns=("path", *OUTLINED), tags=toc.TAGS))
     return _shown(rows).withColumn("path", F.array_join(F.transform(F.split("path", r"\."), lambda x: x.cast("int").cast("string")), "."))
 
 
 @registered(f"WITH {TREE_OUTLINE} SELECT doc_id, count(*) AS node_count FROM o GROUP BY doc_id")
 def toc_node_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toc.listing(toc.extract(shred(spread(standins.trees(spark, sf_dir)), columns=OUTLINED))).select("doc_id", "node_count")
+    return toc.listing(toc.extract(shred(spread(standins.trees(spark, sf_dir)), columns=OUTLINED, tags=toc.TAGS))).select("doc_id", "node_count")
 
 
 @registered(
@@ -353,7 +353,7 @@ def get_law(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("SELECT CAST(c_custkey AS VARCHAR) AS doc_id, c_name AS title FROM customer")
 def law_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.titles(shred(spread(standins.trees(spark, sf_dir)), columns=("begin", "end", "parent", "tag", "num", "content")))
+    return tree.titles(shred(spread(standins.trees(spark, sf_dir)), columns=("begin", "end", "parent", "tag", "num", "content"), tags=("LawBody", "LawTitle")))
 
 
 @registered(
@@ -362,7 +362,7 @@ def law_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def chapter_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles of all laws with the titles above them."""
-    return toc.chapter_paths(shred(spread(standins.trees(spark, sf_dir)), columns=OUTLINED)).select("doc_id", "num", "ord", "chapter_path")
+    return toc.chapter_paths(stored(shred(spread(standins.trees(spark, sf_dir)), columns=OUTLINED, tags=toc.TAGS))).select("doc_id", "num", "ord", "chapter_path")
 
 
 @registered(
@@ -639,11 +639,11 @@ def shred_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
       coalesce(paragraphs, 0) AS paragraphs, coalesce(items, 0) AS items FROM customer LEFT JOIN a ON a.o_custkey = c_custkey LEFT JOIN l ON l.o_custkey = c_custkey"""
 )
 def shred_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Laws of all customers by the table function, of whose columns the query names three."""
+    """Laws of all customers by the table function, of whose columns the query names three and of whose tags four; the root ends where all rows do."""
     register_shredder(spark)
     of = lambda tag: f"count_if(tag = '{tag}') AS {tag.lower()}s"
     return spark.sql(
-        f"SELECT doc_id, max(end) AS n_rows, {of('Article')}, {of('Paragraph')}, {of('Item')} FROM {{docs}}, LATERAL shred_tree(body, 'begin end tag') GROUP BY doc_id",
+        f"SELECT doc_id, max(end) AS n_rows, {of('Article')}, {of('Paragraph')}, {of('Item')} FROM {{docs}}, LATERAL shred_tree(body, 'begin end tag', 'Law Article Paragraph Item') GROUP BY doc_id",
         docs=spread(standins.trees(spark, sf_dir)),
     )
 
@@ -662,5 +662,5 @@ def section_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = standins.corpus(spark, sf_dir)
     wanted = held.laws.select(F.col("law_id").alias("doc_id"), F.lit("Chapter").alias("tag"), F.lit("F").alias("num"))
     of = lambda tag: F.count(F.when(F.col("node.tag") == tag, 1))
-    nodes = shred(spread(held.bodies), columns=("begin", "end", "tag", "num"))
+    nodes = stored(shred(spread(held.bodies), columns=("begin", "end", "tag", "num"), tags=("Chapter", "Article", "Paragraph")))
     return tree.sections(nodes, wanted).groupBy("doc_id").agg(of("Article").alias("articles"), of("Paragraph").alias("paragraphs"))

@@ -87,12 +87,12 @@ def _versioned(rows: DataFrame, corpus: Corpus) -> tuple[DataFrame, Corpus]:
     return met.withColumn("error", first_error(F.col("error"), none)).drop("_failed"), corpus
 
 
-def _nodes(rows: DataFrame, corpus: Corpus, columns: tuple[str, ...] = REQUESTED) -> DataFrame:
+def _nodes(rows: DataFrame, corpus: Corpus, columns: tuple[str, ...] = REQUESTED, tags: tuple[str, ...] | None = None) -> DataFrame:
     """The nodes of the documents that rows without an error ask for. Bodies are cut down to those before they are parsed, spread over all tasks, parsed once and stored."""
     asked = rows.where(F.col("error").isNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     if corpus.bodies is None:
         return corpus.nodes.join(merging(asked), "doc_id", "left_semi")
-    return stored(shred(spread(corpus.bodies.join(merging(asked), "doc_id", "left_semi")), columns=columns))
+    return stored(shred(spread(corpus.bodies.join(merging(asked), "doc_id", "left_semi")), columns=columns, tags=tags))
 
 
 def _meta(corpus: Corpus, now: Column) -> Column:
@@ -194,7 +194,7 @@ def get_toc(requests: DataFrame, corpus: Corpus, now: Column | None = None) -> D
     now = F.current_timestamp() if now is None else now
     rows, corpus = _versioned(_resolved(requests, corpus), corpus)
     rows = cut(rows)
-    rows = _outlined(rows, _nodes(rows, corpus, OUTLINED), corpus, F.col("depth"), now)
+    rows = _outlined(rows, _nodes(rows, corpus, OUTLINED, toc.TAGS), corpus, F.col("depth"), now)
     ok = F.col("error").isNull()
     shown = {"markdown": F.col("markdown"), "toc": F.parse_json("toc"), "meta": _meta(corpus, now), "node_count": F.col("node_count"), "truncated": F.coalesce(F.col("depth") >= 1, F.lit(False)), "actually_cut": F.col("node_count") < F.col("full_count")}
     return rows.select("req_id", *[F.when(ok, c).alias(n) for n, c in shown.items()], "error")

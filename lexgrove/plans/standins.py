@@ -78,13 +78,17 @@ def _joined(order, body):
 def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as laws in JSON: order states are chapters, orders articles, lines paragraphs; a returned line has an item."""
     customer, orders, lineitem = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
-    lined = lineitem.withColumn("p", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
+    # a line's paragraph but for its number, which is its place among its order's lines
     said = _node("ParagraphSentence", _plain("Sentence", F.concat(F.lit("part "), F.col("l_partkey").cast("string"))))
     item = _node("Item", F.concat_ws(",", _plain("ItemTitle", F.lit("一")), _node("ItemSentence", _plain("Sentence", F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string"))))), F.lit("1"))
-    paragraphs = lined.select("l_orderkey", "p", _node("Paragraph", F.concat_ws(",", said, F.when(F.col("l_returnflag") == "R", item)), F.col("p")).alias("j")).groupBy("l_orderkey").agg(_joined(F.col("p"), F.col("j")).alias("ps"))
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.concat_ws(",", said, F.when(F.col("l_returnflag") == "R", item)).alias("j"))
+    numbered = F.transform(F.array_sort(F.collect_list(line)), lambda x, i: _node("Paragraph", x["j"], i + 1))
+    paragraphs = lineitem.groupBy("l_orderkey").agg(F.array_join(numbered, ",").alias("ps"))
     held = orders.join(merging(paragraphs), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     heads = [_leaf("ArticleCaption", F.col("o_orderpriority")), _plain("ArticleTitle", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")))]
     articles = held.select("o_custkey", "o_orderstatus", "o_orderkey", _node("Article", F.concat_ws(",", *heads, F.col("ps")), F.col("o_orderkey")).alias("j"))
+    # chapters and laws are joined where their customer's articles are: the texts move once
+    articles = articles.repartition("o_custkey")
     chapters = articles.groupBy("o_custkey", "o_orderstatus").agg(_joined(F.col("o_orderkey"), F.col("j")).alias("as"))
     chapters = chapters.select("o_custkey", "o_orderstatus", _node("Chapter", F.concat_ws(",", _leaf("ChapterTitle", F.col("o_orderstatus")), F.col("as")), F.col("o_orderstatus")).alias("j"))
     bodies = chapters.groupBy("o_custkey").agg(_joined(F.col("o_orderstatus"), F.col("j")).alias("cs"))

@@ -136,7 +136,80 @@ def tree_columns(body: str | None, wanted: Sequence[str], into: dict[str, list])
     return begin
 
 
-def _checked(columns: Sequence[str]) -> list[str]:
+def tagged_columns(body: str | None, wanted: Sequence[str], into: dict[str, list], tags: frozenset[str]) -> int:
+    """As tree_columns, but of the elements with these tags alone: what else there is counts in begin, end and path, and its text in content, without a row of its own."""
+    try:
+        root = json.loads(body) if body else None
+    except ValueError:
+        return 0
+    if not isinstance(root, dict):
+        return 0
+    made: dict[str, list] = {c: [] for c in COLUMNS}
+    rows, ends, contents, with_path, with_content = 0, made["end"], made["content"], "path" in wanted, "content" in wanted
+    begin, texts, open_contents = 0, [], 0
+    # the open elements: what is left of their children, their begin, their row (None: no row), whether it has content, the number of texts before them, level and in_article of what they hold, and their position
+    above: list[tuple] = []
+    node, level, inside, parent, at = root, 0, False, -1, 0
+    rest: Iterator = iter(())
+    while True:
+        if node is not None:
+            tag, children, own, row, said = node.get("tag"), node.get("children"), begin, None, False
+            begin += 1
+            named = isinstance(tag, str)
+            if named and tag in tags:
+                row, said, attr = rows, with_content and is_content(tag), node.get("attr")
+                rows += 1
+                num = attr.get("Num") if isinstance(attr, dict) else None
+                made["begin"].append(own)
+                made["parent"].append(parent)
+                made["tag"].append(tag)
+                made["num"].append(num if num is None else str(num))
+                made["text"].append(None)
+                made["level"].append(level)
+                made["in_article"].append(inside)
+                made["path"].append([*(a[7] for a in above), at] if with_path else None)
+                ends.append(begin)
+                contents.append("" if said else None)
+            if children and isinstance(children, list):
+                above.append((rest, own, row, said, len(texts), level, inside, at))
+                open_contents += said
+                level, inside, parent, rest = level + (named and tag in STRUCTURAL), inside or tag == "Article", own, iter(enumerate(children))
+            node = None
+        for at, child in rest:
+            if isinstance(child, str):
+                begin += 1
+                if open_contents:
+                    texts.append(child)
+            elif isinstance(child, dict):
+                held, tag = child.get("children"), child.get("tag")
+                if isinstance(held, list) and len(held) == 1 and isinstance(held[0], str) and not (isinstance(tag, str) and tag in tags):
+                    # a leaf without a row
+                    begin += 2
+                    if open_contents:
+                        texts.append(held[0])
+                else:
+                    node = child
+                    break
+        if node is None:
+            if not above:
+                break
+            rest, own, row, said, before, level, inside, at = above.pop()
+            parent = above[-1][1] if above else -1
+            if row is not None:
+                ends[row] = begin
+                if said:
+                    open_contents -= 1
+                    contents[row] = "".join(texts[before:])
+                    if not open_contents:
+                        texts.clear()
+    for c in wanted:
+        into[c] += made[c]
+    return rows
+
+
+def _checked(columns: Sequence[str], tags: Sequence[str] | None = None) -> list[str]:
+    if tags is not None and (whole := {"head", "closes", "shut"} & set(columns)):
+        raise ValueError(f"a tree's JSON is made of all its rows: {sorted(whole)}")
     if unknown := set(columns) - set(COLUMNS):
         raise ValueError(f"no such columns: {sorted(unknown)}")
     return list(columns)
@@ -150,12 +223,12 @@ def spread(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(key))
 
 
-def shred(docs: DataFrame, key: str = "doc_id", body: str = "body", columns: Sequence[str] = DEFAULT) -> DataFrame:
+def shred(docs: DataFrame, key: str = "doc_id", body: str = "body", columns: Sequence[str] = DEFAULT, tags: Sequence[str] | None = None) -> DataFrame:
     """key and the columns (see COLUMNS) of each tree given as JSON text. Bad JSON, null and what is no object give no rows.
 
-    A task holds one tree at a time and gives rows on in batches of about BATCH_ROWS.
+    With tags, only the elements that have one of these are rows, numbered as all are. A task holds one tree at a time and gives rows on in batches of about BATCH_ROWS.
     """
-    wanted, kind = _checked(columns), docs.schema[key].dataType.simpleString()
+    wanted, only, kind = _checked(columns, tags), tags if tags is None else frozenset(tags), docs.schema[key].dataType.simpleString()
     types = [_ARROW[COLUMNS[c]] for c in wanted]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +244,8 @@ def shred(docs: DataFrame, key: str = "doc_id", body: str = "body", columns: Seq
                 return out
 
             for i in range(batch.num_rows):
-                of += [i] * tree_columns(batch.column(1)[i].as_py(), wanted, rows)
+                body = batch.column(1)[i].as_py()
+                of += [i] * (tree_columns(body, wanted, rows) if only is None else tagged_columns(body, wanted, rows, only))
                 if len(of) >= BATCH_ROWS:
                     yield flush()
             yield flush()
@@ -181,19 +255,24 @@ def shred(docs: DataFrame, key: str = "doc_id", body: str = "body", columns: Seq
 
 
 class TreeRows:
-    """Table function of a tree: SELECT d.id, t.* FROM docs d, LATERAL shred_tree(d.body, 'begin end tag text') t. The second argument, a constant, names the columns."""
+    """Table function of a tree: SELECT d.id, t.* FROM docs d, LATERAL shred_tree(d.body, 'begin end tag text') t. The second argument, a constant, names the columns; a third, if given, the tags whose elements are rows (see shred)."""
 
     @staticmethod
-    def analyze(body: AnalyzeArgument, columns: AnalyzeArgument) -> AnalyzeResult:
+    def analyze(body: AnalyzeArgument, columns: AnalyzeArgument, tags: AnalyzeArgument | None = None) -> AnalyzeResult:
         if not isinstance(columns.value, str):
             raise ValueError("columns: a constant with names parted by spaces")
+        if tags is not None and not isinstance(tags.value, str):
+            raise ValueError("tags: a constant with names parted by spaces")
         kinds = {"array<int>": T.ArrayType(T.IntegerType()), "long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType()}
-        return AnalyzeResult(T.StructType([T.StructField(c, kinds[COLUMNS[c]]) for c in _checked(columns.value.split())]))
+        return AnalyzeResult(T.StructType([T.StructField(c, kinds[COLUMNS[c]]) for c in _checked(columns.value.split(), tags and tags.value.split())]))
 
-    def eval(self, body: str, columns: str) -> Iterator[tuple]:
+    def eval(self, body: str, columns: str, tags: str | None = None) -> Iterator[tuple]:
         wanted = columns.split()
         rows: dict[str, list] = {c: [] for c in wanted}
-        tree_columns(body, wanted, rows)
+        if tags is None:
+            tree_columns(body, wanted, rows)
+        else:
+            tagged_columns(body, wanted, rows, frozenset(tags.split()))
         yield from zip(*rows.values())
 
 
