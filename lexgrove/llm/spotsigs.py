@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from lexgrove.llm.common import column, cut, documents, lean, slices
+from lexgrove.llm.common import column, cut, documents, lean, seen, slices
 from lexgrove.llm.jaccard import components, dealt
 
 #: Common words of English, German, French and Spanish that serve as anchors.
@@ -216,12 +216,94 @@ def fingerprints(docs: DataFrame, chain: int = 3, threshold: float = 0.0, key: s
     return in_order(body, key, text, 8 * partitions, partitions).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
-def alike(prints: DataFrame, threshold: float = 0.8, key: str = "doc_id", block_rows: int = 256, block_signatures: int = 500_000) -> DataFrame:
+def text_prints(docs: DataFrame, chain: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and fingerprint of each whole text (null: empty), as in fingerprints, without its edited text and next document: no text is moved."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            sets = signatures([t or "" for t in column(batch, "text").to_pylist()], chain)
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(map(fingerprint, sets), pa.string())], ["key", "fingerprint"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fingerprint string").withColumnRenamed("key", key)
+
+
+def most_shared(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """A bound of what a set shares with others, from how many of their signatures fall in each of some bins."""
+    return np.minimum(own, others).sum(axis=1, dtype=np.int64)
+
+
+def likely_pairs(members: DataFrame, groups: DataFrame, threshold: float, few: int) -> DataFrame:
+    """Pairs a, b to be compared, each once however many groups it is in: all pairs of the groups (gid, k) of up to `few` members, and each member of a larger group with three of its members.
+
+    Members are gid, tid, n and main; main ones don't meet one another, nor do sets whose sizes are too far apart.
+    """
+    known = members.join(groups.select("gid", "k"), "gid")
+    ours = known.where(F.col("k") <= few).drop("k")
+    theirs = ours.select("gid", F.col("tid").alias("b"), F.col("n").alias("m"), F.col("main").alias("too"))
+    together = ours.join(theirs, "gid").where("tid < b and not (main and too)")
+    # the same ones in every group that holds them, so that few pairs tie many near copies together
+    lead = [F.min(F.struct(F.xxhash64(F.lit(i), "tid").alias("o"), F.col("tid").alias("b"), F.col("n").alias("m"))).alias(f"l{i}") for i in range(3)]
+    leaders = known.where(F.col("k") > few).groupBy("gid").agg(*lead).select("gid", F.explode(F.array("l0", "l1", "l2")).alias("l")).select("gid", "l.b", "l.m").distinct()
+    star = members.join(leaders, "gid").where("tid <> b")
+    near = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
+    pairs = [x.where(near).select(F.least("tid", "b").alias("a"), F.greatest("tid", "b").alias("b")) for x in (together, star)]
+    return pairs[0].unionByName(pairs[1]).distinct()
+
+
+def compared(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs a, b whose sets (tid, text) have a pruned_jaccard of the threshold."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text_a", 1 << 20):
+            both = zip(*[[np.frombuffer(base64.b64decode(t), "<u4") for t in column(batch, c).to_pylist()] for c in ("text_a", "text_b")])
+            take = pa.array([i for i, (x, y) in enumerate(both) if pruned_jaccard(x, y, threshold)], pa.int64())
+            yield pa.RecordBatch.from_arrays([column(batch, c).take(take) for c in ("a", "b")], ["a", "b"])
+
+    left, right = (sets.select(F.col("tid").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def links_apart(members: DataFrame, groups: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float, few: int, block_rows: int, block_signatures: int) -> DataFrame:
+    """Links a, b of labels (node, label): sets of groups of more than `few` members that are alike and have not one label yet.
+
+    Groups of one label have none. In the others the largest label's members meet those of other labels, and these one another, in blocks of texts;
+    most_shared settles nearly all pairs that are not alike.
+    """
+    large = members.join(groups.where(F.col("k") > few).select("gid"), "gid", "left_semi").join(labels.withColumnRenamed("node", "tid"), "tid", "left")
+    large = cut(large.withColumns({"label": F.coalesce("label", "tid"), "below": F.col("main")}).drop("main"))
+    sizes = large.groupBy("gid", "label").agg(F.count(F.lit(1)).alias("size"))
+    mixed = sizes.groupBy("gid").agg(F.max(F.struct("size", "label"))["label"].alias("most"), F.count(F.lit(1)).alias("of")).where("of > 1").drop("of")
+    apart = large.join(mixed, "gid").select("gid", "tid", F.col("n").alias("n_shingles"), "n", "label", "below", (F.col("label") == F.col("most")).alias("main"))
+    apart = cut(apart)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = [np.frombuffer(base64.b64decode(t), "<u4") for t in pdf["text"]]
+        size, label, below = pdf["n"].to_numpy(), pdf["label"].to_numpy(), pdf["below"].to_numpy()
+        bins = np.stack([np.bincount(x & 255, minlength=256) for x in own]).astype(np.int32)
+        lo, hi = (np.flatnonzero(pdf["block"] == pdf[c]) for c in ("lo", "hi"))
+        found = set()
+        for i in lo:
+            others = hi[(label[hi] != label[i]) & ~(below[hi] & below[i]) & (np.minimum(size[hi], size[i]) >= threshold * np.maximum(size[hi], size[i]) - 1e-9)]
+            most = most_shared(bins[i], bins[others])
+            for j in others[most >= threshold * (size[others] + size[i] - most) - 1e-9]:
+                link = (min(label[i], label[j]), max(label[i], label[j]))
+                if link not in found and pruned_jaccard(own[i], own[j], threshold):
+                    found.add(link)
+        return pd.DataFrame(list(found), columns=["a", "b"])
+
+    return dealt(apart, sets.select("tid", "text"), block_rows, block_signatures).groupBy("gid", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+
+
+def alike(prints: DataFrame, threshold: float = 0.8, key: str = "doc_id", block_rows: int = 256, block_signatures: int = 500_000, few: int = 32) -> DataFrame:
     """key and class_id of each row of (key, fingerprint): classes of what likenesses of `threshold` or more connect.
 
     Equal fingerprints are one set. Sets are partitioned by length class and meet, within their
     class and with the one below, under the signatures of their prefixes alone: their rarest ones, as many as
-    a set of that likeness can't miss all of. What meets is compared by pruned_jaccard in blocks, so that
+    a set of that likeness can't miss all of. What meets is compared by pruned_jaccard: pairs of up to `few` sets once each, those of signatures
+    that more sets have with three of them, and what that leaves in several classes in blocks, so that
     no signature, however many sets have it, is held by one task or gives all its pairs.
     class_id is the least key of the class, or for null keys alone a hash of a fingerprint. A fingerprint without signatures (or null) equals
     only others such. Repeated rows stay; other columns are left out; an empty table gives no rows.
@@ -233,39 +315,31 @@ def alike(prints: DataFrame, threshold: float = 0.8, key: str = "doc_id", block_
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
-            own = [np.frombuffer(base64.b64decode(t), "<u4").astype(np.int64) for t in column(batch, "text").to_pylist()]
-            level = pa.array([length_class(len(x), threshold) for x in own], pa.int32())
-            yield pa.RecordBatch.from_arrays([column(batch, "tid"), pa.array([len(x) for x in own], pa.int64()), level, pa.array(own, pa.list_(pa.int64()))], ["tid", "n", "level", "signatures"])
-
-    each = sets.mapInArrow(spread, "tid long, n long, level int, signatures array<long>").where("n > 0").select("tid", "n", "level", F.explode("signatures").alias("h"))
-    each = cut(each)
-    rarity = each.groupBy("h").agg(F.count(F.lit(1)).alias("found_in"))
-    ordered = F.array_sort(F.collect_list(F.struct("found_in", "h")))
-    # a signature of one set alone stays in the order, as it takes a place of the prefix
-    prefix = each.join(rarity, "h").groupBy("tid", "n", "level").agg(F.slice(ordered, F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")).alias("first"))
-    met = prefix.select("tid", "n", "level", F.explode("first").alias("x")).where("x.found_in > 1").select("tid", "n", "level", "x.h")
+            own = [np.frombuffer(base64.b64decode(t), "<i4") for t in column(batch, "text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([column(batch, "tid"), pa.array([len(x) for x in own], pa.int32()), pa.array(own, pa.list_(pa.int32()))], ["tid", "n", "signatures"])
+
+    each = cut(sets.mapInArrow(spread, "tid long, n int, signatures array<int>").where("n > 0").select("tid", "n", F.explode("signatures").alias("h")))
+    # a signature of one set alone meets nothing: those come first in the set's order, and only how many they are counts
+    shared = each.groupBy("h").agg(F.count(F.lit(1)).alias("found_in")).where("found_in > 1")
+    held = each.join(shared, "h").groupBy("tid", "n").agg(F.array_sort(F.collect_list(F.struct("found_in", "h"))).alias("rarest"))
+    taken = (F.size("rarest") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    level = F.floor(F.log("n") / -math.log(threshold) + 1e-9) if threshold < 1 else F.lit(0).cast("long")
+    met = held.where(taken > 0).select("tid", "n", level.alias("level"), F.explode(F.slice("rarest", F.lit(1), taken)).alias("x")).select("tid", "n", "level", "x.h")
     # a group is a length class and a signature; its main members are those of the class below, which meet the class alone
     below = F.explode(F.array(F.lit(0), F.lit(1))).alias("up")
-    members = met.select("tid", F.col("n").alias("n_shingles"), "level", "h", below).select("tid", "n_shingles", F.xxhash64(F.col("level") + F.col("up"), "h").alias("gid"), (F.col("up") == 1).alias("main"))
-    members = cut(members)
-    several = members.groupBy("gid").agg(F.count(F.lit(1)).alias("n"), F.bool_and("main").alias("bare")).where("n > 1 and not bare").select("gid")
-    members = members.join(several, "gid", "left_semi")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = [np.frombuffer(base64.b64decode(t), "<u4") for t in pdf["text"]]
-        size, tid = np.array([len(x) for x in own]), pdf["tid"].to_numpy()
-        lo, hi = (np.flatnonzero(pdf["block"] == pdf[c]) for c in ("lo", "hi"))
-        found = []
-        for i in lo:
-            near = hi[(size[hi] >= threshold * size[i] - 1e-9) & (size[i] >= threshold * size[hi] - 1e-9) & (tid[hi] != tid[i])]
-            found += [(tid[i], tid[j]) for j in near if pruned_jaccard(own[i], own[j], threshold)]
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    members = cut(members)
-    pairs = dealt(members, sets.select("tid", "text"), block_rows, block_signatures).groupBy("gid", "lo", "hi").applyInPandas(compare, "a long, b long")
-    links = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = components(links).withColumnRenamed("node", "tid")
-    classed = sets.select("tid", "least").join(labels, "tid", "left").withColumn("label", F.coalesce("label", "tid"))
+    members = cut(met.select("tid", "n", "level", "h", below).select("tid", "n", F.xxhash64(F.col("level") + F.col("up"), "h").alias("gid"), (F.col("up") == 1).alias("main")))
+    # of groups with the same members one counts
+    same = [F.sum(F.xxhash64(F.lit(1), "tid", "main").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(2), "tid", "main")).alias("x")]
+    several = members.groupBy("gid").agg(F.count(F.lit(1)).alias("k"), F.bool_and("main").alias("bare"), *same).where("k > 1 and not bare")
+    groups = cut(several.groupBy("k", "s", "x").agg(F.min("gid").alias("gid")).select("gid", "k"))
+    pairs = cut(likely_pairs(members, groups, threshold, few))
+    labels = components(cut(compared(pairs, sets, threshold)))
+    far = cut(links_apart(members, groups, labels, sets, threshold, few, block_rows, block_signatures))
+    if seen(far)["rows"]:
+        joined = components(far).select(F.col("node").alias("label"), F.col("label").alias("root"))
+        lone = joined.join(labels, "label", "left_anti").select(F.col("label").alias("node"), F.col("root").alias("label"))
+        labels = cut(labels.join(joined, "label", "left").select("node", F.coalesce("root", "label").alias("label")).unionByName(lone))
+    classed = sets.select("tid", "least").join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
     best = classed.groupBy("label").agg(F.min("least").alias("class_id"))
     ids = classed.join(best, "label").select("tid", F.coalesce("class_id", "label").alias("class_id"))
     return rows.select("key", "tid").join(ids, "tid").select(F.col("key").alias(key), "class_id")
@@ -273,7 +347,7 @@ def alike(prints: DataFrame, threshold: float = 0.8, key: str = "doc_id", block_
 
 def spotsigs_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and class_id of every document: `alike` at 0.8 over the fingerprints of op6_spotsigs."""
-    return alike(cut(fingerprints(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "fingerprint")))
+    return alike(cut(text_prints(documents(spark, sf_dir))))
 
 
 def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
