@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from unicodedata import is_normalized
 
 import numpy as np
@@ -19,8 +20,8 @@ from lexgrove.llm.common import column, documents, lean, slices
 
 #: Python takes the separators for white space, the vocabulary's patterns don't; special tokens begin with "<|".
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
-_LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]{1,64}")
-_MARKS = ".,;:!?"
+#: Latin letters with a mark after them or none.
+_LATIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]{1,64})([.,;:!?]?)")
 #: What a kept chunk takes: its string, its ids and its place in the table, of chunks of up to 64 characters.
 CHUNK_BYTES = 240
 
@@ -38,6 +39,38 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _merger(path: str):
+    """The merge model of a vocabulary without its own cache of words: here a word comes to it when it is new."""
+    from tokenizers.models import BPE
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.pop("merges")]
+    return BPE(model.pop("vocab"), merges, cache_capacity=0, **{k: v for k, v in model.items() if v is not None and k != "type"})
+
+
+class _Chunks(dict):
+    """Ids by chunk, learned when they are first asked for.
+
+    Up to `most` are kept; when there are more they become the older ones, which are forgotten at the next
+    such time unless they have been asked for since. Chunks of over 64 characters are not kept.
+    """
+
+    def __init__(self, learn: Callable[[str], bytes], most: int) -> None:
+        self.learn, self.most, self.older = learn, most, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.learn(chunk)
+        if len(chunk) <= 64:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
 class WordIds:
     """Ids of texts by a lower-casing vocabulary that never merges across white space, kept by chunk.
 
@@ -45,59 +78,42 @@ class WordIds:
     text's ids are its chunks' ids one after another. Latin letters, with one mark after them or
     none, go straight to the merge model; other chunks, and texts whose lower case is not
     settled (odd separators, final sigma, composition), to the whole tokenizer. Chunks are kept up to about
-    `most_bytes`, each at CHUNK_BYTES; when they are more, all are forgotten.
+    `most_bytes`, each at CHUNK_BYTES, half of them as older ones.
     """
 
-    def __init__(self, path: str, most_bytes: int = 64 << 20) -> None:
+    def __init__(self, path: str, most_bytes: int = 128 << 20) -> None:
         self.tokenizer = _tokenizer(path)
-        self.model = self.tokenizer.model
-        self.most = max(1, most_bytes // CHUNK_BYTES)
-        self.known: dict[str, bytes] = {}
+        self.model = _merger(path)
+        self.known = _Chunks(self._learn, max(1, most_bytes // CHUNK_BYTES // 2))
         self.letters = _byte_letters()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
+    def _learn(self, chunk: str) -> bytes:
+        parts = _LATIN.fullmatch(chunk)
+        if parts is None:
+            return self._encode(chunk)
+        word, mark = parts.groups()
+        if mark:
+            return self.known[word] + self.known[mark]
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of chunks not known; those of up to 64 characters are kept."""
-        known, rest = self.known, []
-        for c in new:
-            if _LATIN.fullmatch(c):
-                known[c] = self._word(c)
-            elif c[-1] in _MARKS and _LATIN.fullmatch(c, 0, len(c) - 1):
-                if (word := known.get(c[:-1])) is None:
-                    word = known[c[:-1]] = self._word(c[:-1])
-                if (mark := known.get(c[-1])) is None:
-                    mark = known[c[-1]] = self._encode([c[-1]])[0]
-                known[c] = word + mark
-            else:
-                rest.append(c)
-        long = {}
-        for i in range(0, len(rest), 2000):
-            for c, ids in zip(part := rest[i : i + 2000], self._encode(part)):
-                (known if len(c) <= 64 else long)[c] = ids
-        return long
-
     def of(self, texts: list[str]) -> Iterator[bytes]:
         """Native 32-bit ids of each text."""
-        chunks: list[list[str] | None] = []
+        get = self.known.__getitem__
         for t in texts:
             low = t.lower()
             settled = low.isascii() or (is_normalized("NFC", t) and is_normalized("NFC", low) and "\u03a3" not in t)
-            chunks.append(low.split() if settled and not any(odd in t for odd in _ODD) else None)
-        new = {c for own in chunks if own for c in own}.difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = {c for own in chunks if own for c in own}
-        long = self._learn(list(new))
-        get = self.known.__getitem__ if not long else lambda c: long[c] if c in long else self.known[c]
-        for text, own in zip(texts, chunks):
-            yield self._encode([text])[0] if own is None else b"".join(map(get, own))
+            yield b"".join(map(get, low.split())) if settled and not any(odd in t for odd in _ODD) else self._encode(t)
+
+
+@functools.lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """One WordIds of a vocabulary for all tasks of a Python worker, one after another: what a task has learned the next one knows."""
+    return WordIds(path)
 
 
 @functools.lru_cache(4)
