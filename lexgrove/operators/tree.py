@@ -93,14 +93,17 @@ def children(nodes: DataFrame, parents: DataFrame, tag: str, num: str | None = N
     at = "begin" if "begin" in parents.columns else "path"
     above = F.col("parent") if at == "begin" else parent_path(F.col("path"))
     fields = [c for c in ("begin", "end", "path", "num", "content") if c in nodes.columns]
-    found = nodes.where(F.col("tag") == tag).select(F.col(key).alias("_k"), above.alias("_p"), F.struct(*fields).alias("child"))
+    found = nodes.where(F.col("tag") == tag).select(F.col(key).alias("_k"), above.alias("_p"), *([F.col("num").alias("_n")] if num else []), F.struct(*fields).alias("child"))
     on = (F.col(key) == F.col("_k")) & (F.col(at) == F.col("_p"))
     if num:
-        on = on & (F.col(num).cast("string") == F.col("child.num"))
+        on = on & (F.col(num).cast("string") == F.col("_n"))
     if not first:
-        return parents.join(merging(found), on).drop("_k", "_p")
-    # a parent's first child of each number is one row before parents meet it
-    held = found.groupBy("_k", "_p", *([F.col("child.num").alias("_n")] if num else [])).agg(F.min_by("child", F.col("child")[fields[0]]).alias("child"))
+        return parents.join(merging(found), on).drop("_k", "_p", "_n")
+    # a parent's first child of each number is one row before parents meet it; children that differ by number gain nothing from
+    # an aggregation before the shuffle, which would sort them as they are made: they are sorted once, where they meet
+    if num:
+        found = found.repartition("_k", "_p", "_n")
+    held = found.groupBy("_k", "_p", *(["_n"] if num else [])).agg(F.min_by("child", F.col("child")[fields[0]]).alias("child"))
     return parents.join(merging(held), on, "left").select(*parents.columns, "child")
 
 
