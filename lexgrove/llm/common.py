@@ -21,6 +21,8 @@ BROADCAST_BYTES = 8 << 20
 _TRIM_THRESHOLD, _MMAP_THRESHOLD = -1, -3
 
 
+#: Texts go to Python in batches of about so many bytes (see bounded()).
+BATCH_BYTES = 2 << 20
 #: A partition of a table of numbers holds so many rows or more, as far as there are as many partitions as cores.
 PARTITION_ROWS = 100_000
 
@@ -100,12 +102,39 @@ def release() -> None:
         libc.malloc_trim(0)
 
 
-def lean(run: Callable) -> Callable:
-    """A mapInArrow function that gives its memory back when its task ends."""
+#: What kept() has made, by module and name.
+_KEPT: dict[tuple[str, str], Callable] = {}
+
+
+def kept(most: int) -> Callable[[Callable], Callable]:
+    """A cache of up to `most` results that a Python worker keeps over its tasks, until one begins that doesn't use it (see lean())."""
+
+    def decorate(make: Callable) -> Callable:
+        _KEPT[make.__module__, make.__qualname__] = cached = functools.lru_cache(most)(make)
+        return cached
+
+    return decorate
+
+
+def forget(uses: tuple[Callable, ...] = ()) -> None:
+    """Empty the caches made by kept() but those in `uses`."""
+    for cached in _KEPT.values():
+        if not any(cached is own for own in uses):
+            cached.cache_clear()
+
+
+def lean(run: Callable | None = None, uses: tuple[Callable, ...] = ()) -> Callable:
+    """A mapInArrow function that gives its memory back when its task ends, and what the worker keeps from other operators' tasks when it begins.
+
+    uses: the caches, made by kept(), that it uses itself.
+    """
+    if run is None:
+        return functools.partial(lean, uses=uses)
 
     @functools.wraps(run)
     def wrapped(batches):
         _libc()
+        forget(uses)
         try:
             yield from run(batches)
         finally:
@@ -114,6 +143,18 @@ def lean(run: Callable) -> Callable:
     return wrapped
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, on whose rows mapInArrow follows: they go to Python in batches of about BATCH_BYTES.
+
+    Spark's own bound is 10,000 rows, which are as large as their texts, in the JVM and again in Python. This is a setting of the session;
+    spark.sql.execution.arrow.maxBytesPerBatch stands as it is where it has been set.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name, None) is None:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

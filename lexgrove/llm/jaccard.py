@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import column, cut, documents, lean, nested, nested_columns, row_hash, seen, slices, small
+from lexgrove.llm.common import bounded, column, cut, documents, lean, nested, nested_columns, row_hash, seen, slices, small
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -104,7 +104,7 @@ def signed(docs: DataFrame, words: int, trees: int, depth: int, seed: int) -> Da
             yield pa.RecordBatch.from_arrays([column(batch, "tid"), column(batch, "id"), pa.array(keys, pa.binary()), pa.array(count, pa.int64()), packed, *[pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(3)]], names)
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("tid", "id", "text").mapInArrow(run, f"tid long, id {kind}, key binary, n_shingles long, labels binary, s0 long, s1 long, s2 long")
+    return bounded(docs).select("tid", "id", "text").mapInArrow(run, f"tid long, id {kind}, key binary, n_shingles long, labels binary, s0 long, s1 long, s2 long")
 
 
 def _node(tree: Column, label: Column, depth: Column) -> Column:
@@ -192,7 +192,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -
             take = pa.array(good, pa.int64())
             yield pa.RecordBatch.from_arrays([column(batch, "a").take(take), column(batch, "b").take(take)], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return bounded(both).mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import column, cut, documents, fold, hash_below, lean, seen, slices, unused
+from lexgrove.llm.common import bounded, column, cut, documents, fold, hash_below, lean, seen, slices, unused
 
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -263,7 +263,7 @@ def learn(labelled: DataFrame, vocabulary_path: str | None = None, rows_per_lang
             for lang, mine in own.items():
                 yield pa.RecordBatch.from_arrays([pa.array([number[lang]] * len(mine), pa.int32()), pa.array(list(mine), pa.string()), pa.array(list(mine.values()), pa.int64())], ["lang", "word", "n"])
 
-    counted = cut(picked.select("lang", "text").mapInArrow(words, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    counted = cut(bounded(picked).select("lang", "text").mapInArrow(words, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     prob = np.full((len(names) + 1, len(languages)), 1.0 / (len(names) + 1))
     prob[-1] = UNKNOWN
     for _ in range(rounds):
@@ -309,7 +309,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", n
             lang, value = score(column(batch, text).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(value, pa.float64())], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")
+    return bounded(docs).mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import column, cut, documents, lean, seen, slices, small, with_slots
-from lexgrove.llm.tokens import word_ids
+from lexgrove.llm.common import bounded, column, cut, documents, lean, seen, slices, small, with_slots
+from lexgrove.llm.tokens import _tokenizer, word_ids
 
 
 def fill_bins(items: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +122,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1
     end = np.array([end_id], "<u4").tobytes()
     kind = docs.schema[key].dataType.simpleString()
 
-    @lean
+    @lean(uses=(_tokenizer, word_ids))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_ids(path)
         for batch in slices(batches, "text", 1 << 20):
@@ -141,7 +141,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1
             keys = column(batch, "key").take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([keys, *[pa.array(x, pa.int64()) for x in (start, length, crc, total, loss)]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "loss_tokens"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long")
+    return bounded(docs).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, max_tokens: int = 2048, max_segments: int = 512, max_loss: int | None = None, context: int = 0) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import functools
 import json
 import re
 from array import array
@@ -16,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import column, documents, lean, slices
+from lexgrove.llm.common import bounded, column, documents, kept, lean, slices
 
 #: Python takes the separators for white space, the vocabulary's patterns don't; special tokens begin with "<|".
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
@@ -32,7 +31,7 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(hidden)}
 
 
-@functools.lru_cache(4)
+@kept(4)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
@@ -110,13 +109,13 @@ class WordIds:
             yield b"".join(map(get, low.split())) if settled and not any(odd in t for odd in _ODD) else self._encode(t)
 
 
-@functools.lru_cache(1)
+@kept(1)
 def word_ids(path: str) -> WordIds:
-    """One WordIds of a vocabulary for all tasks of a Python worker, one after another: what a task has learned the next one knows."""
+    """One WordIds of a vocabulary for a Python worker's tasks of this kind, one after another: what a task has learned the next one knows."""
     return WordIds(path)
 
 
-@functools.lru_cache(4)
+@kept(4)
 def _ranks(path: str):
     """A byte-level vocabulary and each token's length in bytes."""
     import tiktoken
@@ -158,7 +157,7 @@ def count_by_section(docs: DataFrame, vocabulary: str | None = None, separator:
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     kind = docs.schema[key].dataType.simpleString()
 
-    @lean
+    @lean(uses=(_ranks,))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, lengths = _ranks(path)
         mark = separator.encode()
@@ -184,7 +183,7 @@ def count_by_section(docs: DataFrame, vocabulary: str | None = None, separator:
 
     if len(separator.encode()) != 1:
         raise ValueError("separator: one byte")
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, section long, begin long, length long, n_tokens long, doc_tokens long")
+    out = bounded(docs).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, section long, begin long, length long, n_tokens long, doc_tokens long")
     return out.withColumnRenamed("key", key)
 
 
