@@ -80,21 +80,35 @@ def chapter_paths(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     return articles.join(merging(found), (F.col(key) == F.col("_k2")) & (F.col("begin") == F.col("_p2")), "left").select(key, *own[:1], "num", "ord", F.coalesce("chapter_path", F.lit("")).alias("chapter_path"))
 
 
+def _item_line(num: Column, content: Column) -> Column:
+    return F.concat(F.coalesce(num, F.lit("")), F.lit(" "), strip_item_marker(trim_wide(F.coalesce(content, F.lit("")))))
+
+
+def _block(num: Column, sentence: Column, items: Column) -> Column:
+    label = F.when((num != "") & (num != "1"), F.concat(F.lit("**第"), num, F.lit("項**")))
+    return F.concat_ws("\n", label, F.nullif(sentence, F.lit("")), items)
+
+
+def paragraph_block(p: Column) -> Column:
+    """A paragraph as Markdown (see blocks), given as a struct of num, sentence and items (structs of num and content) in order."""
+    items = F.array_join(F.transform(p["items"], lambda x: _item_line(x["num"], x["content"])), "\n")
+    return _block(p["num"], trim_wide(p["sentence"]), F.when(F.size(p["items"]) > 0, items))
+
+
 def blocks(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, begin, parent and `block` of each paragraph as Markdown.
 
     A paragraph is its number if that is neither missing nor 1, the text of its first
     ParagraphSentence, and a line for each item. What is neither is left out.
     """
-    item = F.concat(F.coalesce("num", F.lit("")), F.lit(" "), strip_item_marker(trim_wide(F.coalesce("content", F.lit("")))))
+    item = _item_line(F.col("num"), F.col("content"))
     inner = nodes.where(F.col("tag").isin("ParagraphSentence", "Item")).select(F.col(key).alias("_k"), F.col("parent").alias("_p"), "tag", "begin", item.alias("_item"), trim_wide(F.col("content")).alias("_said"))
     said = F.min(F.when(F.col("tag") == "ParagraphSentence", F.struct("begin", "_said")))["_said"]
     items = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("tag") == "Item", F.struct("begin", "_item")))), lambda x: x["_item"]), "\n")
     held = inner.groupBy("_k", "_p").agg(said.alias("_sentence"), F.count(F.when(F.col("tag") == "Item", 1)).alias("_many"), items.alias("_items"))
     own = nodes.where(F.col("tag") == "Paragraph").select(key, "begin", "parent", "num")
     joined = own.join(merging(held), (F.col(key) == F.col("_k")) & (F.col("begin") == F.col("_p")), "left")
-    label = F.when((F.col("num") != "") & (F.col("num") != "1"), F.concat(F.lit("**第"), F.col("num"), F.lit("項**")))
-    return joined.select(key, "begin", "parent", F.concat_ws("\n", label, F.nullif(F.col("_sentence"), F.lit("")), F.when(F.col("_many") > 0, F.col("_items"))).alias("block"))
+    return joined.select(key, "begin", "parent", _block(F.col("num"), F.col("_sentence"), F.when(F.col("_many") > 0, F.col("_items"))).alias("block"))
 
 
 def paragraphs(nodes: DataFrame, articles: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -84,6 +84,11 @@ def subtrees(nodes: DataFrame, anchors: DataFrame, key: str = "doc_id") -> DataF
     return whole.select(key, "begin", "end", F.substring("_j", first + 1, F.length("_j") - first - 2 * F.col("_shut")).alias("json"))
 
 
+def bodies(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key and body: each document's JSON, joined from all its rows (with head and closes)."""
+    return nodes.groupBy(key).agg(ordered_text(F.col("begin"), F.concat("head", F.repeat(F.lit("]}"), F.col("closes")))).alias("body"))
+
+
 def children(nodes: DataFrame, parents: DataFrame, tag: str, num: str | None = None, first: bool = False, key: str = "doc_id") -> DataFrame:
     """parents (key, begin or path, more) with `child`, a struct of a direct child's columns, for each child of the tag.
 

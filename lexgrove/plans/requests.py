@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import json
 import logging
 from collections.abc import Callable
@@ -10,6 +9,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexgrove.functions.text import article_num, heading, iso_instant, law_url, trim_wide
 from lexgrove.operators import history, lookup, search, tree
@@ -17,7 +17,7 @@ from lexgrove.operators import outline as toc
 from lexgrove.operators.errors import ERROR, detail, first_error, make_error, try_alias, try_later, try_search, try_toc
 from lexgrove.session import cut, merging, stored
 from lexgrove.sources.aliases import OWNER
-from lexgrove.sources.nodes import OUTLINED, REQUESTED, shred, spread
+from lexgrove.sources.nodes import OUTLINED, shred, spread
 
 #: The wording of the Markdown footers and of the outline's title.
 SOURCE_LINE, AT_LABEL, TIME_LABEL, OUTLINE_LABEL = "出典：e-Gov法令検索（デジタル庁）", "時点: ", "取得日時: ", " — 目次"
@@ -29,6 +29,8 @@ REVISION_FIELDS = (
     "law_revision_id", "amendment_promulgate_date", "amendment_enforcement_date", "amendment_enforcement_comment",
     "amendment_law_num", "amendment_law_title", "amendment_law_id", "current_revision_status",
 )
+#: A document's requests are answered in lists of so many.
+LISTED = 10_000
 log = logging.getLogger("lexgrove.requests")
 
 
@@ -87,7 +89,28 @@ def _versioned(rows: DataFrame, corpus: Corpus) -> tuple[DataFrame, Corpus]:
     return met.withColumn("error", first_error(F.col("error"), none)).drop("_failed"), corpus
 
 
-def _nodes(rows: DataFrame, corpus: Corpus, columns: tuple[str, ...] = REQUESTED, tags: tuple[str, ...] | None = None) -> DataFrame:
+def _located(requests: DataFrame, corpus: Corpus) -> tuple[DataFrame, Corpus]:
+    """requests with law, doc_id and error, and the corpus that has these documents: a pair of name and time is looked up once and meets the requests that have it once, without what else they hold."""
+    pairs, corpus = _versioned(_resolved(requests.select("law_name", "at").distinct(), corpus), corpus)
+    known = pairs.select(F.col("law_name").alias("_name"), F.col("at").alias("_at"), "law", "doc_id", "error")
+    return requests.join(merging(known), F.col("law_name").eqNullSafe(F.col("_name")) & F.col("at").eqNullSafe(F.col("_at")), "left").drop("_name", "_at"), corpus
+
+
+def _parts(rows: DataFrame, corpus: Corpus) -> DataFrame:
+    """rows (doc_id, form, num, paragraph, item and more) with what each asks of its document (see sources.nodes.PARTS).
+
+    Requests come to their documents, in lists of at most LISTED, and no element of a document becomes a row: what is shuffled are the requests, and bodies once unless they
+    are dealt by doc_id already.
+    """
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0)))
+    listed = dealt.withColumn("block", F.floor((place - 1) / LISTED).cast("int"))
+    lists = listed.groupBy("doc_id", "block").agg(F.collect_list(F.struct(*[c for c in listed.columns if c != "doc_id"])).alias("asked"))
+    bodies = corpus.bodies if corpus.bodies is not None else tree.bodies(corpus.nodes)
+    return shred(lists.join(merging(bodies.select(F.col("doc_id").alias("_d"), "body")), F.col("doc_id") == F.col("_d"), "left").select("doc_id", "body", "asked"), asked="asked")
+
+
+def _nodes(rows: DataFrame, corpus: Corpus, columns: tuple[str, ...], tags: tuple[str, ...] | None = None) -> DataFrame:
     """The nodes of the documents that rows without an error ask for. Bodies are cut down to those before they are parsed, spread over all tasks, parsed once and stored."""
     asked = rows.where(F.col("error").isNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     if corpus.bodies is None:
@@ -105,6 +128,11 @@ def _footer(corpus: Corpus, now: Column) -> list[Column]:
     return [F.lit("---"), F.lit(SOURCE_LINE), url, F.concat(F.lit(AT_LABEL), F.col("at")), F.concat(F.lit(TIME_LABEL), iso_instant(now))]
 
 
+def _outline_text(lines: Column, corpus: Corpus, now: Column) -> Column:
+    top = F.concat(F.lit("# "), F.col("law.title"), F.lit(OUTLINE_LABEL))
+    return F.concat_ws("\n", top, F.lit(""), F.nullif(lines, F.lit("")), F.lit(""), *_footer(corpus, now))
+
+
 def _outlined(rows: DataFrame, nodes: DataFrame, corpus: Corpus, depth: Column, now: Column) -> DataFrame:
     """rows with markdown, node_count, full_count and toc (the outline nested, as JSON) of their documents."""
     wanted = rows.where("error is null").select("req_id", F.col("doc_id").alias("_d"), depth.alias("_depth"))
@@ -118,8 +146,7 @@ def _outlined(rows: DataFrame, nodes: DataFrame, corpus: Corpus, depth: Column,
     found = shown.join(merging(toc.nested(held, ["doc_id", "_cut"])), ["doc_id", "_cut"]).join(merging(sizes), "doc_id").withColumnsRenamed({"doc_id": "_d2", "_cut": "_cut2"})
     rows = rows.withColumn("_cut", F.when(F.col("error").isNull(), F.when(depth >= 1, depth).otherwise(-1)))
     rows = rows.join(merging(found), (F.col("doc_id") == F.col("_d2")) & (F.col("_cut") == F.col("_cut2")), "left")
-    top = F.concat(F.lit("# "), F.col("law.title"), F.lit(OUTLINE_LABEL))
-    text = F.concat_ws("\n", top, F.lit(""), F.nullif(F.col("_lines"), F.lit("")), F.lit(""), *_footer(corpus, now))
+    text = _outline_text(F.col("_lines"), corpus, now)
     counts = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("node_count", "full_count")}
     return rows.withColumns({"markdown": text, "toc": F.coalesce("toc", F.lit("[]")), **counts}).drop("_d2", "_cut", "_cut2", "_lines")
 
@@ -132,58 +159,37 @@ def get_law(requests: DataFrame, corpus: Corpus, now: Column | None = None) -> D
     without a paragraph is left aside, though `data` still names it.
     """
     now = F.current_timestamp() if now is None else now
-    rows, corpus = _versioned(_resolved(requests, corpus), corpus)
+    rows, corpus = _located(requests, corpus)
     given = F.nullif(F.col("article"), F.lit(""))
-    as_toc = F.coalesce(F.col("format") == "toc", F.lit(False)) | (given.isNull() & (F.coalesce("format", F.lit("markdown")) != "json"))
-    rows = rows.withColumn("_toc", as_toc).withColumn("_num", article_num(given))
+    is_json = F.coalesce(F.col("format") == "json", F.lit(False))
+    as_toc = F.coalesce(F.col("format") == "toc", F.lit(False)) | (given.isNull() & ~is_json)
     name = F.col("law_name")
-    rows = rows.withColumn("error", first_error(
+    rows = rows.withColumn("form", F.when(as_toc, "toc").when(is_json, "json").otherwise("markdown")).withColumn("num", article_num(given))
+    rows = stored(rows.withColumn("error", first_error(
         F.col("error"),
-        F.when(~F.col("_toc") & given.isNull(), make_error("INVALID_ARGUMENT", "no article given", "Use format toc or get_toc for an outline.", [try_toc(name)])),
-        F.when(~F.col("_toc") & F.col("_num").isNull(), make_error("INVALID_ARTICLE_NUM", F.concat(F.lit("kanji numerals are not read: "), given), "Write 30 or 30の2.")),
-    ))
-    rows = cut(rows)
-    nodes = _nodes(rows, corpus)
-    rows = tree.find_articles(nodes, rows.withColumn("_wanted", F.when(F.col("error").isNull() & ~F.col("_toc"), F.col("_num"))), "_wanted").withColumn("begin", F.col("found.begin")).withColumn("_tried", F.col("error").isNull() & ~F.col("_toc"))
-    rows = tree.children(nodes, rows, "Paragraph", "paragraph", first=True).withColumnRenamed("child", "p").withColumn("begin", F.col("p.begin"))
-    rows = tree.children(nodes, rows, "Item", "item", first=True).withColumnRenamed("child", "i")
+        F.when(~as_toc & given.isNull(), make_error("INVALID_ARGUMENT", "no article given", "Use format toc or get_toc for an outline.", [try_toc(name)])),
+        F.when(~as_toc & F.col("num").isNull(), make_error("INVALID_ARTICLE_NUM", F.concat(F.lit("kanji numerals are not read: "), given), "Write 30 or 30の2.")),
+    )).select("req_id", "law_name", "article", "paragraph", "item", "at", "law", "doc_id", "form", "num", "error"))
+    found = _parts(rows.where("error is null").drop("error"), corpus)
     with_p = F.col("paragraph").isNotNull()
     with_i = with_p & F.col("item").isNotNull()
+    tried, is_json = F.col("form") != "toc", F.col("form") == "json"
     absent = lambda what, value, more=None: make_error("ARTICLE_NOT_FOUND", F.concat(F.lit(f"no such {what}: "), value.cast("string")), "Numbers count from 1; check the outline.", more)
-    at = F.when(with_i, F.struct("i.begin", "i.end")).when(with_p, F.struct("p.begin", "p.end")).otherwise(F.struct("found.begin", "found.end"))
-    rows = cut(rows.withColumns({"_at": at, "error": first_error(
-        F.col("error"),
-        F.when(F.col("_tried") & F.col("found").isNull(), absent("article", given, [try_toc(name)])),
-        F.when(F.col("_tried") & with_p & F.col("p").isNull(), absent("paragraph", F.col("paragraph"))),
-        F.when(F.col("_tried") & with_i & F.col("i").isNull(), absent("item", F.col("item"))),
-    )}))
-    ok = F.col("error").isNull() & ~F.col("_toc")
-    is_json = F.col("format") == "json"
-    # each form is made of what the requests that show it ask for
-    said = rows.where(ok & ~F.coalesce(is_json, F.lit(False)))
-    anchors = said.select("doc_id", F.col("found.begin").alias("begin")).distinct()
-    parts = toc.blocks(nodes.join(merging(anchors.select("doc_id").distinct()), "doc_id", "left_semi"))
-    bodies = parts.join(merging(said.where(~with_p).select(F.col("doc_id").alias("_d"), F.col("found.begin").alias("_b")).distinct()), (F.col("doc_id") == F.col("_d")) & (F.col("parent") == F.col("_b"))).groupBy("_d", "_b").agg(tree.ordered_text(F.col("begin"), F.col("block"), "\n\n").alias("_body"))
-    single = parts.select(F.col("doc_id").alias("_d3"), F.col("begin").alias("_b3"), F.col("block").alias("_block"))
-    heads = tree.children(nodes, anchors, "ArticleCaption", first=True).select(F.col("doc_id").alias("_d2"), F.col("begin").alias("_b2"), F.nullif(F.col("child.content"), F.lit("")).alias("_caption"))
-    said = said.join(merging(bodies), (F.col("doc_id") == F.col("_d")) & (F.col("found.begin") == F.col("_b")), "left").join(merging(heads), (F.col("doc_id") == F.col("_d2")) & (F.col("found.begin") == F.col("_b2")), "left")
-    said = said.join(merging(single), (F.col("doc_id") == F.col("_d3")) & (F.col("p.begin") == F.col("_b3")), "left")
-    body = F.when(with_i, trim_wide(F.col("i.content"))).when(with_p, F.col("_block")).otherwise(F.col("_body"))
-    top = heading(F.col("law.title"), F.col("found.num"), F.col("p.num"), F.when(with_i, F.col("i.num")))
-    said = said.withColumn("_text", F.concat_ws("\n", top, F.col("_caption"), F.lit(""), F.coalesce(body, F.lit("")), F.lit(""), *_footer(corpus, now)))
-    shown = rows.where(ok & is_json)
-    subtrees = tree.subtrees(nodes, shown.select("doc_id", "_at.begin", "_at.end")).withColumnsRenamed({"doc_id": "_d", "begin": "_b", "end": "_e", "json": "_json"})
-    shown = shown.join(merging(subtrees), (F.col("doc_id") == F.col("_d")) & (F.col("_at.begin") == F.col("_b")) & (F.col("_at.end") == F.col("_e")), "left")
-    outlined = _outlined(rows.where(F.col("_toc") & F.col("error").isNull()), nodes, corpus, F.lit(None).cast("int"), now)
-    none = F.lit(None).cast("string")
-    # every request is of one of the forms, or an error
-    forms = [(rows.where(F.col("error").isNotNull()), "", none, none), (outlined, "toc", F.col("markdown"), none), (shown, "json", none, F.col("_json")), (said, "markdown", F.col("_text"), none)]
-    found = []
-    for df, form, text, subtree in forms:
-        data = F.struct(F.col("_num").alias("article_num"), F.col("paragraph").alias("paragraph_num"), F.col("item").alias("item_num"), subtree.alias("node"))
-        is_error = F.col("error").isNotNull()
-        found.append(df.select("req_id", F.lit(form or None).cast("string").alias("format"), text.alias("markdown"), F.when(F.lit(form == "json"), data).alias("data"), F.when(~is_error, _meta(corpus, now)).alias("meta"), "error"))
-    return functools.reduce(DataFrame.unionByName, found)
+    found = found.withColumn("error", first_error(
+        F.when(tried & F.col("found_num").isNull(), absent("article", given, [try_toc(name)])),
+        F.when(tried & with_p & F.col("paragraph_num").isNull(), absent("paragraph", F.col("paragraph"))),
+        F.when(tried & with_i & F.col("item_num").isNull(), absent("item", F.col("item"))),
+    ))
+    ok = F.col("error").isNull()
+    body = F.when(with_i, trim_wide(F.col("item_content"))).otherwise(F.array_join(F.transform("paragraphs", toc.paragraph_block), "\n\n"))
+    top = heading(F.col("law.title"), F.col("found_num"), F.when(with_p, F.col("paragraph_num")), F.when(with_i, F.col("item_num")))
+    said = F.concat_ws("\n", top, F.nullif(F.col("caption"), F.lit("")), F.lit(""), F.coalesce(body, F.lit("")), F.lit(""), *_footer(corpus, now))
+    outlined = _outline_text(F.array_join(F.transform("outline", lambda x: toc.line(x["level"], x["tag"], x["num"], x["title"], x["caption"])), "\n"), corpus, now)
+    data = F.struct(F.col("num").alias("article_num"), F.col("paragraph").alias("paragraph_num"), F.col("item").alias("item_num"), F.col("json").alias("node"))
+    shown = {"format": F.col("form"), "markdown": F.when(~tried, outlined).when(~is_json, said), "data": F.when(is_json, data), "meta": _meta(corpus, now)}
+    answers = found.select("req_id", *[F.when(ok, c).alias(n) for n, c in shown.items()], "error")
+    failed = rows.where("error is not null").select("req_id", *[F.lit(None).cast(answers.schema[n].dataType).alias(n) for n in shown], "error")
+    return answers.unionByName(failed)
 
 
 def get_toc(requests: DataFrame, corpus: Corpus, now: Column | None = None) -> DataFrame:

@@ -71,30 +71,38 @@ def _plain(tag: str, text):
     return _node(tag, F.concat(F.lit('"'), text, F.lit('"')))
 
 
-def _joined(order, body):
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), body.alias("b")))), lambda x: x["b"]), ",")
+def _joined(xs, body):
+    """The bodies of an array's elements, parted by commas."""
+    return F.array_join(F.transform(xs, body), ",")
 
 
 def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as laws in JSON: order states are chapters, orders articles, lines paragraphs; a returned line has an item."""
+    """Customers as laws in JSON: order states are chapters, orders articles, lines paragraphs; a returned line has an item.
+
+    Keys and numbers are brought together, first by order and then by customer, and texts are made of them where they have arrived: no text is shuffled or sorted. Laws are dealt by doc_id and stand in its order.
+    """
     customer, orders, lineitem = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
-    # a line's paragraph but for its number, which is its place among its order's lines
-    said = _node("ParagraphSentence", _plain("Sentence", F.concat(F.lit("part "), F.col("l_partkey").cast("string"))))
-    item = _node("Item", F.concat_ws(",", _plain("ItemTitle", F.lit("一")), _node("ItemSentence", _plain("Sentence", F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string"))))), F.lit("1"))
-    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.concat_ws(",", said, F.when(F.col("l_returnflag") == "R", item)).alias("j"))
-    numbered = F.transform(F.array_sort(F.collect_list(line)), lambda x, i: _node("Paragraph", x["j"], i + 1))
-    paragraphs = lineitem.groupBy("l_orderkey").agg(F.array_join(numbered, ",").alias("ps"))
-    held = orders.join(merging(paragraphs), F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    heads = [_leaf("ArticleCaption", F.col("o_orderpriority")), _plain("ArticleTitle", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")))]
-    articles = held.select("o_custkey", "o_orderstatus", "o_orderkey", _node("Article", F.concat_ws(",", *heads, F.col("ps")), F.col("o_orderkey")).alias("j"))
-    # chapters and laws are joined where their customer's articles are: the texts move once
-    articles = articles.repartition("o_custkey")
-    chapters = articles.groupBy("o_custkey", "o_orderstatus").agg(_joined(F.col("o_orderkey"), F.col("j")).alias("as"))
-    chapters = chapters.select("o_custkey", "o_orderstatus", _node("Chapter", F.concat_ws(",", _leaf("ChapterTitle", F.col("o_orderstatus")), F.col("as")), F.col("o_orderstatus")).alias("j"))
-    bodies = chapters.groupBy("o_custkey").agg(_joined(F.col("o_orderstatus"), F.col("j")).alias("cs"))
-    law = customer.join(merging(bodies), F.col("c_custkey") == F.col("o_custkey"), "left")
-    main = _node("MainProvision", F.coalesce("cs", F.lit("")))
-    return law.select(F.col("c_custkey").cast("string").alias("doc_id"), _node("Law", _node("LawBody", F.concat_ws(",", _leaf("LawTitle", F.col("c_name")), main))).alias("body"))
+    dealt = lambda df: df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    lines = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce(F.col("l_returnflag") == "R", F.lit(False)).alias("returned")).repartition("l_orderkey")
+    lines = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "returned"))).alias("l"))
+    held = orders.join(merging(lines), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    # an array of numbers takes a third of the room of an array of structs
+    said = F.struct("o_orderkey", "o_orderpriority", F.col("l.l_partkey").alias("parts"), F.col("l.l_suppkey").alias("suppliers"), F.col("l.returned").alias("returned"))
+    articles = dealt(held.select(F.col("o_custkey").cast("string").alias("doc_id"), "o_orderstatus", said.alias("article")))
+    chapters = articles.groupBy("doc_id", "o_orderstatus").agg(F.collect_list("article").alias("articles"))
+    laws = chapters.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("o_orderstatus", F.array_sort("articles").alias("articles")))).alias("chapters"))
+    customers = dealt(customer.select(F.col("c_custkey").cast("string").alias("doc_id"), "c_name"))
+    law = customers.join(merging(laws.withColumnRenamed("doc_id", "_d")), F.col("doc_id") == F.col("_d"), "left")
+
+    # a line's number is its place among its order's lines
+    sentence = lambda part: _node("ParagraphSentence", _plain("Sentence", F.concat(F.lit("part "), part.cast("string"))))
+    item = lambda supplier: _node("Item", F.concat_ws(",", _plain("ItemTitle", F.lit("一")), _node("ItemSentence", _plain("Sentence", F.concat(F.lit("supplier "), supplier.cast("string"))))), F.lit("1"))
+    paragraph = lambda x: lambda part, i: _node("Paragraph", F.concat_ws(",", sentence(part), F.when(F.get(x["returned"], i), item(F.get(x["suppliers"], i)))), i + 1)
+    heads = lambda x: [_leaf("ArticleCaption", x["o_orderpriority"]), _plain("ArticleTitle", F.concat(F.lit("Order "), x["o_orderkey"].cast("string")))]
+    article = lambda x: _node("Article", F.concat_ws(",", *heads(x), _joined(x["parts"], paragraph(x))), x["o_orderkey"])
+    chapter = lambda x: _node("Chapter", F.concat_ws(",", _leaf("ChapterTitle", x["o_orderstatus"]), _joined(x["articles"], article)), x["o_orderstatus"])
+    main = _node("MainProvision", F.coalesce(_joined(F.col("chapters"), chapter), F.lit("")))
+    return law.select("doc_id", _node("Law", _node("LawBody", F.concat_ws(",", _leaf("LawTitle", F.col("c_name")), main))).alias("body"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:

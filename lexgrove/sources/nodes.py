@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 #: Tags that make an outline.
@@ -34,8 +35,14 @@ _ARROW = {"array<int>": pa.list_(pa.int32()), "long": pa.int64(), "int": pa.int3
 _quoted = json.encoder.encode_basestring
 #: Stands behind a tree's last node.
 _END = object()
-#: Rows of a batch, whole trees.
-BATCH_ROWS = 20_000
+#: Rows of a batch, whole trees; and about how many bytes of the parts that requests ask for.
+BATCH_ROWS, BATCH_BYTES = 20_000, 4 << 20
+#: What a request gets of its document: the numbers of the article, paragraph and item found, the article's caption, the item's text or the paragraphs asked for, the subtree, the outline.
+PARTS = {
+    "found_num": "string", "paragraph_num": "string", "item_num": "string", "caption": "string", "item_content": "string",
+    "paragraphs": "array<struct<num:string,sentence:string,items:array<struct<num:string,content:string>>>>",
+    "json": "string", "outline": "array<struct<level:int,tag:string,num:string,title:string,caption:string>>",
+}
 
 
 def is_content(tag: str) -> bool:
@@ -207,6 +214,164 @@ def tagged_columns(body: str | None, wanted: Sequence[str], into: dict[str, list
     return rows
 
 
+def _parsed(body: str | None) -> dict | None:
+    """The root of a tree given as JSON text, or null if the text is no JSON object."""
+    try:
+        root = json.loads(body) if body else None
+    except ValueError:
+        return None
+    return root if isinstance(root, dict) else None
+
+
+def _elements(node: dict) -> list[dict]:
+    held = node.get("children")
+    return [c for c in held if isinstance(c, dict)] if isinstance(held, list) else []
+
+
+def _number(node: dict) -> str | None:
+    attr = node.get("attr")
+    num = attr.get("Num") if isinstance(attr, dict) else None
+    return num if num is None else str(num)
+
+
+def _content(node: dict) -> str:
+    """Texts below a node in document order, as tree_columns has them."""
+    out, todo = [], [node]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif isinstance(n, dict) and isinstance(held := n.get("children"), list):
+            todo.extend(reversed(held))
+    return "".join(out)
+
+
+def subtree_json(node: dict) -> str:
+    """A subtree's JSON: what head and closes of its rows join to."""
+    out: list[str] = []
+    todo: list[tuple[object, str]] = [(node, "")]
+    while todo:
+        n, comma = todo.pop()
+        if n is _END:
+            out.append("]}")
+        elif isinstance(n, str):
+            out.append(comma + _quoted(n))
+        else:
+            tag, held = n.get("tag"), n.get("children")
+            listed = isinstance(held, list)
+            out.append(f'{comma}{{"tag":{_quoted(tag)},"children":[' if listed and len(n) == 2 and isinstance(tag, str) else comma + _head(n))
+            if listed:
+                todo.append((_END, ""))
+                if len(held) == 1:
+                    held = held if isinstance(held[0], (str, dict)) else []
+                else:
+                    held = [c for c in held if isinstance(c, (str, dict))]
+                for i in range(len(held) - 1, -1, -1):
+                    todo.append((held[i], "," if i else ""))
+    return "".join(out)
+
+
+class Parts:
+    """What requests ask of one document: each element is looked for once, however many requests name it."""
+
+    def __init__(self, body: str | None):
+        self.root = _parsed(body)
+        self.known: dict[tuple, object] = {}
+
+    def _once(self, what: str, node: dict, make: Callable[[dict], object]) -> object:
+        # elements live as long as their root, so that their addresses tell them apart
+        at = (what, id(node))
+        if at not in self.known:
+            self.known[at] = make(node)
+        return self.known[at]
+
+    def _articles(self, root: dict) -> dict[str, dict]:
+        """The first article of each number in document order, at any depth."""
+        found: dict[str, dict] = {}
+        todo = [root]
+        while todo:
+            node = todo.pop()
+            if node.get("tag") == "Article" and (num := _number(node)) is not None:
+                found.setdefault(num, node)
+            held = node.get("children")
+            if isinstance(held, list):
+                for c in reversed(held):
+                    if isinstance(c, dict):
+                        todo.append(c)
+        return found
+
+    def _child(self, node: dict | None, tag: str, num: int | None) -> dict | None:
+        """The first child of the tag that has the number."""
+        if node is None or num is None:
+            return None
+
+        def numbered(of: dict) -> dict[str | None, dict]:
+            found: dict[str | None, dict] = {}
+            for c in _elements(of):
+                if c.get("tag") == tag:
+                    found.setdefault(_number(c), c)
+            return found
+
+        return self._once(tag, node, numbered).get(str(num))
+
+    @staticmethod
+    def _first(node: dict, tag: str) -> str | None:
+        return next((_content(c) for c in _elements(node) if c.get("tag") == tag), None)
+
+    def _paragraph(self, node: dict) -> dict:
+        items = [{"num": _number(c), "content": _content(c)} for c in _elements(node) if c.get("tag") == "Item"]
+        return {"num": _number(node), "sentence": self._first(node, "ParagraphSentence"), "items": items}
+
+    def _paragraphs(self, node: dict) -> list[dict]:
+        return [self._paragraph(c) for c in _elements(node) if c.get("tag") == "Paragraph"]
+
+    def _outline(self, root: dict) -> list[dict]:
+        """Structural elements and articles outside articles, in document order (see operators.outline.extract)."""
+        rows, todo = [], [(root, 0)]
+        while todo:
+            node, level = todo.pop()
+            tag = node.get("tag")
+            article, structural = tag == "Article", tag in STRUCTURAL
+            if article or structural:
+                title = self._first(node, f"{tag}Title") or (None if article else "")
+                rows.append({"level": level, "tag": tag, "num": _number(node), "title": title, "caption": self._first(node, "ArticleCaption") or None if article else None})
+            if not article:
+                todo.extend((c, level + structural) for c in reversed(_elements(node)))
+        return rows
+
+    def of(self, form: str, num: str | None, paragraph: int | None, item: int | None) -> dict:
+        """The columns of PARTS for one request."""
+        if self.root is None:
+            return {}
+        if form == "toc":
+            return {"outline": self._once("outline", self.root, self._outline)}
+        article = self._once("articles", self.root, self._articles).get(num) if num is not None else None
+        if article is None:
+            return {}
+        # an item is looked for in the paragraph given, else left aside
+        p = self._child(article, "Paragraph", paragraph)
+        i = self._child(p, "Item", item)
+        found = {"found_num": _number(article), "paragraph_num": p and _number(p), "item_num": i and _number(i)}
+        if (paragraph is not None and p is None) or (p is not None and item is not None and i is None):
+            return found
+        if form == "json":
+            top = article if p is None else p if i is None else i
+            return found | {"json": self._once("json", top, subtree_json)}
+        found["caption"] = self._once("caption", article, lambda x: self._first(x, "ArticleCaption"))
+        if i is not None:
+            return found | {"item_content": self._once("content", i, _content)}
+        return found | {"paragraphs": self._once("paragraphs", article, self._paragraphs) if p is None else [self._once("paragraph", p, self._paragraph)]}
+
+
+def _length(x: object) -> int:
+    """About how many bytes a value takes."""
+    if isinstance(x, str):
+        return len(x)
+    if isinstance(x, dict):
+        return sum(map(_length, x.values()))
+    return sum(map(_length, x)) if isinstance(x, list) else 8
+
+
 def _checked(columns: Sequence[str], tags: Sequence[str] | None = None) -> list[str]:
     if tags is not None and (whole := {"head", "closes", "shut"} & set(columns)):
         raise ValueError(f"a tree's JSON is made of all its rows: {sorted(whole)}")
@@ -223,11 +388,14 @@ def spread(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(key))
 
 
-def shred(docs: DataFrame, key: str = "doc_id", body: str = "body", columns: Sequence[str] = DEFAULT, tags: Sequence[str] | None = None) -> DataFrame:
+def shred(docs: DataFrame, key: str = "doc_id", body: str = "body", columns: Sequence[str] = DEFAULT, tags: Sequence[str] | None = None, asked: str | None = None) -> DataFrame:
     """key and the columns (see COLUMNS) of each tree given as JSON text. Bad JSON, null and what is no object give no rows.
 
     With tags, only the elements that have one of these are rows, numbered as all are. A task holds one tree at a time and gives rows on in batches of about BATCH_ROWS.
+    With asked, a column with a list of requests, a row is a request and what it asks for (see _answered), and no row stands for an element.
     """
+    if asked is not None:
+        return _answered(docs, key, body, asked)
     wanted, only, kind = _checked(columns, tags), tags if tags is None else frozenset(tags), docs.schema[key].dataType.simpleString()
     types = [_ARROW[COLUMNS[c]] for c in wanted]
 
@@ -254,6 +422,58 @@ def shred(docs: DataFrame, key: str = "doc_id", body: str = "body", columns: Seq
     return made.withColumnRenamed("key", key)
 
 
+def _answered(docs: DataFrame, key: str, body: str, asked: str) -> DataFrame:
+    """key, the fields of each request in the lists of `asked` (form, num, paragraph, item, block and more) and the columns of PARTS: what it asks of the document, parsed once for a list.
+
+    form is toc, json or markdown. A list's block says which of its document's it is: where documents are given twice, only the first that a list meets counts. Requests themselves stay in Arrow.
+    """
+    request = docs.schema[asked].dataType.elementType
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *[T.StructField(f.name, f.dataType) for f in request], *T.StructType.fromDDL(", ".join(f"{c} {t}" for c, t in PARTS.items()))])
+    names, parts = [f.name for f in request], to_arrow_schema(T.StructType([schema[c] for c in PARTS]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            lists = batch.column(2)
+            flat = dict(zip(names, lists.flatten().flatten()))
+            forms, nums, paragraphs, items, blocks = (flat[c].to_pylist() for c in ("form", "num", "paragraph", "item", "block"))
+            took: list[int] = []
+            of: list[int] = []
+            rows: list[dict] = []
+            size = 0
+
+            def flush() -> pa.RecordBatch:
+                where = pa.array(took, pa.int64())
+                made = [pa.array([r.get(f.name) for r in rows], f.type) for f in parts]
+                out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *[flat[c].take(where) for c in names], *made], [key, *names, *PARTS])
+                for values in (took, of, rows):
+                    values.clear()
+                return out
+
+            first = 0
+            for i, many in enumerate(lists.value_lengths().to_pylist()):
+                at, first = first, first + (many or 0)
+                if not many:
+                    continue
+                this = (batch.column(0)[i].as_py(), blocks[at])
+                if this == last:
+                    continue
+                last = this
+                tree = Parts(batch.column(1)[i].as_py())
+                for j in range(at, first):
+                    part = tree.of(forms[j], nums[j], paragraphs[j], items[j])
+                    took.append(j)
+                    of.append(i)
+                    rows.append(part)
+                    size += _length(part)
+                    if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                        yield flush()
+                        size = 0
+            yield flush()
+
+    return docs.select(key, body, asked).mapInArrow(run, schema)
+
+
 class TreeRows:
     """Table function of a tree: SELECT d.id, t.* FROM docs d, LATERAL shred_tree(d.body, 'begin end tag text') t. The second argument, a constant, names the columns; a third, if given, the tags whose elements are rows (see shred)."""
 
