@@ -29,7 +29,7 @@ def _written(spark):
     return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size())) + sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(shared) for f in files)
 
 
-@pytest.mark.parametrize("name", ["get_law"])
+@pytest.mark.parametrize("name", ["get_law", "get_law_forms"])
 def test_requests_write_less_than_the_texts_of_the_laws(spark, name):
     texts = standins.trees(spark, SF).agg(F.sum(F.octet_length("body"))).first()[0]
     before = _written(spark)
