@@ -275,7 +275,7 @@ class Parts:
     """What requests ask of one document: each element is looked for once, however many requests name it."""
 
     def __init__(self, body: str | None):
-        self.root = _parsed(body)
+        self.body, self.root = body, _parsed(body)
         self.known: dict[tuple, object] = {}
 
     def _once(self, what: str, node: dict, make: Callable[[dict], object]) -> object:
@@ -287,17 +287,25 @@ class Parts:
 
     def _articles(self, root: dict) -> dict[str, dict]:
         """The first article of each number in document order, at any depth."""
-        found: dict[str, dict] = {}
-        todo = [root]
-        while todo:
-            node = todo.pop()
-            if node.get("tag") == "Article" and (num := _number(node)) is not None:
-                found.setdefault(num, node)
-            held = node.get("children")
-            if isinstance(held, list):
-                for c in reversed(held):
-                    if isinstance(c, dict):
-                        todo.append(c)
+        for within in (False, True):
+            found: dict[str, dict] = {}
+            met, todo = 0, [root]
+            while todo:
+                node = todo.pop()
+                if node.get("tag") == "Article":
+                    met += 1
+                    if (num := _number(node)) is not None:
+                        found.setdefault(num, node)
+                    if not within:
+                        continue
+                held = node.get("children")
+                if isinstance(held, list):
+                    for c in reversed(held):
+                        if isinstance(c, dict):
+                            todo.append(c)
+            # articles are looked at inside only if the text has the word more often than articles were met
+            if "\\u" not in self.body and self.body.count('"Article"') == met:
+                break
         return found
 
     def _child(self, node: dict | None, tag: str, num: int | None) -> dict | None:

@@ -127,3 +127,11 @@ def test_requests_of_one_document_in_lists_and_of_given_nodes(spark, docs, monke
     monkeypatch.setattr(R, "LISTED", 2)
     monkeypatch.setattr(nodes, "BATCH_ROWS", 3)
     assert told(given(bodies=held.unionByName(held))) == want
+
+
+def test_articles_inside_articles_are_found_however_they_are_written():
+    inner = '{"tag":"%s","attr":{"Num":"2"},"children":[]}'
+    for tag in ("Article", "\\u0041rticle"):
+        of = nodes.Parts('{"tag":"Law","children":[{"tag":"Article","attr":{"Num":"1"},"children":[' + inner % tag + ',{"tag":"Article","attr":{"Num":"1"}}]},"Article"]}')
+        assert [of.of("json", num, None, None).get("found_num") for num in ("1", "2", "3")] == ["1", "2", None]
+        assert json.loads(of.of("json", "1", None, None)["json"])["children"]
