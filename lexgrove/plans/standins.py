@@ -86,7 +86,7 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce(F.col("l_returnflag") == "R", F.lit(False)).alias("returned")).repartition("l_orderkey")
     lines = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "returned"))).alias("l"))
     held = orders.join(merging(lines), F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    # an array of numbers takes a third of the room of an array of structs
+    # arrays of numbers take less room than an array of structs: 82 MB shuffled by customer over 6 x sf0.1, not 98
     said = F.struct("o_orderkey", "o_orderpriority", F.col("l.l_partkey").alias("parts"), F.col("l.l_suppkey").alias("suppliers"), F.col("l.returned").alias("returned"))
     articles = dealt(held.select(F.col("o_custkey").cast("string").alias("doc_id"), "o_orderstatus", said.alias("article")))
     chapters = articles.groupBy("doc_id", "o_orderstatus").agg(F.collect_list("article").alias("articles"))
